@@ -1,4 +1,4 @@
-from checks import asof, filters, paging  # noqa: F401  (registration)
+from checks import asof, dims, filters, paging, transfers, transitions  # noqa: F401  (registration)
 from checks.registry import CHECKS
 
 __all__ = ["CHECKS"]
