@@ -1,4 +1,6 @@
-from checks import asof, dims, filters, paging, transfers, transitions  # noqa: F401  (registration)
+from checks import (  # noqa: F401  (registration)
+    asof, classify, dims, filters, merge, paging, transfers, transitions, units,
+)
 from checks.registry import CHECKS
 
 __all__ = ["CHECKS"]

@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigtrail.functions.values import value_struct
@@ -18,6 +18,8 @@ from sigtrail.session import cut_lineage
 DEFAULT_WINDOW_MS = 1000
 # Distinct milliseconds one task thins out at a time.
 _BLOCK_MS = 1 << 22
+# Runs with up to this many late times are handled as one array.
+_SHORT_RUN = 1_000
 # A run is named by the position of its first row.
 _RUN = ["run_ms", "run_source", "run_id"]
 _RUN_SCHEMA = "run_ms long, run_source string, run_id long"
@@ -113,6 +115,34 @@ def _thin_out(times: DataFrame, window_ms: int) -> DataFrame:
     )
 
 
+def _kept_in_order(times: Column, window_ms: int) -> Column:
+    """The same rule over one short, sorted array."""
+    none = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("kept"))
+
+    def step(state, t):
+        keep = state["last"].isNull() | (t - state["last"] >= window_ms)
+        return F.when(
+            keep, F.struct(t.alias("last"), F.concat(state["kept"], F.array(t)).alias("kept"))
+        ).otherwise(state)
+
+    return F.aggregate(times, none, step, lambda state: state["kept"])
+
+
+def _kept_late(times: DataFrame, window_ms: int) -> DataFrame:
+    """Kept times of all runs: short runs as arrays, long ones block by block."""
+    sizes = times.groupBy(*_RUN).agg(F.count(F.lit(1)).alias("n"))
+    sized = times.join(sizes, _RUN)
+    short = (
+        sized.filter(F.col("n") <= _SHORT_RUN)
+        .groupBy(*_RUN)
+        .agg(F.sort_array(F.collect_list("ts_ms")).alias("t"))
+        .select(*_RUN, F.explode(_kept_in_order(F.col("t"), window_ms)).alias("ts_ms"))
+    )
+    if sizes.filter(F.col("n") > _SHORT_RUN).isEmpty():
+        return short
+    return short.unionByName(_thin_out(sized.filter(F.col("n") > _SHORT_RUN).drop("n"), window_ms))
+
+
 def dedupe(
     entries: DataFrame,
     window_ms: int = DEFAULT_WINDOW_MS,
@@ -155,5 +185,5 @@ def dedupe(
     heads = runs.filter("_head")
     if times.isEmpty():
         return heads.select(*ENTRY_COLUMNS)
-    kept = candidates.join(_thin_out(times, window_ms), [*_RUN, "ts_ms"], "left_semi")
+    kept = candidates.join(_kept_late(times, window_ms), [*_RUN, "ts_ms"], "left_semi")
     return heads.select(*ENTRY_COLUMNS).unionByName(kept.select(*ENTRY_COLUMNS))

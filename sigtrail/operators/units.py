@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,9 +44,10 @@ def map_devices(devices: DataFrame, mapping: DataFrame) -> DataFrame:
     )
     rest = mapping.filter(wild).select(_like(F.col("pattern")).alias("like"), "ord", "unit_id")
     matched = names.join(exact, "device_id", "left")
-    if rest.limit(_INLINE_PATTERNS + 1).count() <= _INLINE_PATTERNS:
-        patterns = rest.agg(F.collect_list(F.struct("ord", "unit_id", "like"))).scalar()
-        hits = F.filter(patterns, lambda p: F.col("device_id").like(p["like"]))
+    listed = [r.asDict() for r in rest.limit(_INLINE_PATTERNS + 1).collect()]
+    if len(listed) <= _INLINE_PATTERNS:
+        patterns = F.from_json(F.lit(json.dumps(listed)), "array<struct<ord: int, unit_id: string, like: string>>")
+        hits = F.filter(patterns, lambda p: F.like("device_id", p["like"]))
         found = F.array_min(F.transform(hits, lambda p: F.struct(p["ord"], p["unit_id"])))
         matched = matched.withColumn("_wild", found)
     else:
