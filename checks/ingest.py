@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from checks.merge import _sources, overlapping
 from checks.registry import EV, check
 from sigtrail.adapters import events, int_entries, table
-from sigtrail.functions.typing import infer_type, parse_ts_ms, parse_value
+from sigtrail.functions.typing import infer_type, parse_ts_ms, with_value
 from sigtrail.session import scratch_path
 from sigtrail.sources import backtick, generic, mcs, plc, stocker
 from sigtrail.sources.detect import detect_format
@@ -298,5 +298,5 @@ def infer_and_parse(spark, sf):
         .otherwise(_say("0o", (k % 8).cast("string")))
     )
     rows = events(spark, sf).select("id", raw.alias("raw")).withColumn("stype", infer_type(F.col("raw")))
-    rows = rows.withColumn("_v", parse_value(F.col("raw"), F.col("stype")))
-    return rows.select("id", "stype", "_v.val_bool", "_v.val_int", "_v.val_str")
+    rows = with_value(rows, "raw", F.col("stype"))
+    return rows.select("id", "stype", "value.val_bool", "value.val_int", "value.val_str")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigtrail.functions.text import trim_space
@@ -18,6 +20,8 @@ _INTEGER = (
     r"|0[oO]_*[0-7][0-7_]*"
     r"|[_,]*[0-9][0-9_,]*)\z"
 )
+_HEX = r"\A(?:0[xX]|[+-]0x)0*([0-9A-Fa-f]{1,16})\z"
+_BINARY = r"\A0[bB]0*([01]{1,64})\z"
 _CLOCK = r"\A\d{4}.\d{2}.\d{2}.\d{2}.\d{2}.\d{2}"
 
 
@@ -50,9 +54,7 @@ def parse_ts_ms(col: Column) -> Column:
     return F.when(valid, seconds * 1000 + millis)
 
 
-def infer_type(col: Column) -> Column:
-    """``boolean``, ``integer`` or ``string``; decimals count as strings."""
-    text = trim_space(col)
+def _type_of(text: Column) -> Column:
     return (
         F.when(F.upper(text).isin(TRUE_WORDS + FALSE_WORDS), F.lit("boolean"))
         .when(F.rlike(text, F.lit(_INTEGER)), F.lit("integer"))
@@ -60,25 +62,9 @@ def infer_type(col: Column) -> Column:
     )
 
 
-def _radix(sign: Column, digits: Column, base: int, width: int) -> Column:
-    """Signed integer from digits in ``base``; NULL when they do not fit."""
-    bare = F.regexp_replace(digits, r"\A0+(?=.)", "")
-    fits = F.rlike(bare, F.lit(r"\A[01]+\z" if base == 2 else r"\A[0-9A-Fa-f]+\z")) & (
-        F.length(bare) <= width
-    )
-    return F.concat(sign, F.conv(F.when(fits, bare), base, 10)).try_cast("long")
-
-
-def parse_integer(col: Column) -> Column:
-    """64-bit integer of decimal, ``0x`` or ``0b`` text with ``_`` and ``,`` dropped, else NULL."""
-    text = F.translate(col, ",_", "")
-    hexadecimal = F.rlike(text, F.lit(r"\A(?:0[xX]|[+-]0x)"))
-    sign = F.when(F.startswith(text, F.lit("-")), F.lit("-")).otherwise(F.lit(""))
-    return (
-        F.when(hexadecimal, _radix(sign, F.regexp_replace(text, r"\A[+-]?0[xX]", ""), 16, 16))
-        .when(F.rlike(text, F.lit(r"\A0[bB]")), _radix(F.lit(""), F.substring(text, 3, 1 << 30), 2, 64))
-        .when(F.rlike(text, F.lit(r"\A[+-]?\d+\z")), text.try_cast("long"))
-    )
+def infer_type(col: Column) -> Column:
+    """``boolean``, ``integer`` or ``string``; decimals count as strings."""
+    return _type_of(trim_space(col))
 
 
 def tagged(
@@ -107,16 +93,44 @@ def tagged(
     )
 
 
-def parse_value(col: Column, stype: Column) -> Column:
-    """Tagged value of ``col`` read as ``stype``; text that does not fit stays a string."""
-    text = trim_space(col)
+def with_value(df: DataFrame, raw: str, stype: Column | None = None, name: str = "value") -> DataFrame:
+    """Add the tagged value of the text column ``raw``, read as ``stype`` (else inferred).
+
+    Text that does not fit its type stays a string.  Integers are decimal, ``0x`` or
+    ``0b`` with ``_`` and ``,`` dropped, and have to fit 64 bits.  The steps are columns
+    of their own, so that none is evaluated - or compiled - more than once.
+    """
+    text, kind, digits = F.col("_text"), F.col("_stype"), F.col("_digits")
     upper = F.upper(text)
-    boolean = F.when(
-        stype == "boolean",
-        F.when(upper.isin(TRUE_WORDS), F.lit(True)).when(upper.isin(FALSE_WORDS), F.lit(False)),
+    words = F.when(upper.isin(TRUE_WORDS), F.lit(True)).when(upper.isin(FALSE_WORDS), F.lit(False))
+    marked = lambda *marks: reduce(Column.__or__, [F.contains(digits, F.lit(m)) for m in marks])
+    sign = F.when(F.startswith(digits, F.lit("-")), F.lit("-")).otherwise(F.lit(""))
+    integer = (
+        F.when(F.col("_hex") != "", F.concat(sign, F.conv("_hex", 16, 10)).try_cast("long"))
+        .when(F.col("_bin") != "", F.conv("_bin", 2, 10).try_cast("long"))
+        .otherwise(digits.try_cast("long"))
+    )
+    steps = (
+        df.withColumn("_text", trim_space(F.col(raw)))
+        .withColumn("_stype", _type_of(text) if stype is None else stype)
+        .withColumns(
+            {
+                "_digits": F.when(kind == "integer", F.translate(text, ",_", "")),
+                "_bool": F.when(kind == "boolean", words),
+            }
+        )
+        .withColumns(
+            {
+                "_hex": F.when(marked("x", "X"), F.regexp_extract(digits, _HEX, 1)),
+                "_bin": F.when(marked("b", "B"), F.regexp_extract(digits, _BINARY, 1)),
+            }
+        )
+        .withColumn("_int", integer)
+    )
+    value = tagged(boolean=F.col("_bool"), integer=F.col("_int"), string=text)
+    return steps.withColumn(name, value).drop(
+        "_text", "_stype", "_digits", "_bool", "_hex", "_bin", "_int"
     )
-    integer = F.when(stype == "integer", parse_integer(text))
-    return tagged(boolean=boolean, integer=integer, string=text)
 
 
 def extract_device_id(col: Column) -> Column:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from sigtrail.functions.text import is_blank, item, strip_bom, trim_space
 from sigtrail.functions.transfer import first_filled, pack_transfer, resolve_transfer_location
-from sigtrail.functions.typing import infer_type, parse_ts_ms, parse_value, tagged
-from sigtrail.sources.lines import ParsedLog, read_lines, split_result
+from sigtrail.functions.typing import infer_type, parse_ts_ms, tagged, with_value
+from sigtrail.sources.lines import ParsedLog, extract, read_lines, split_result
 
 # Header words and declared data types.
 OBSERVABLE_HEADER = r"^date\s+time\s+status\s+variables\s+device-id\s+datatype\s+tag(?:\s|$)"
@@ -79,68 +79,66 @@ def parse_observable(lines: DataFrame) -> ParsedLog:
     )
     parts = text.withColumn("_p", F.split("line", "`"))
     part = lambda i: trim_space(item(F.col("_p"), i))
-    fields = parts.select(
-        "id",
-        "source_id",
-        "line",
-        (F.size("_p") == 9).alias("_shaped"),
-        parse_ts_ms(_colon_fraction(part(0))).alias("ts_ms"),
-        part(1).alias("_status"),
-        part(2).alias("_variable"),
-        part(3).alias("device_id"),
-        part(4).alias("_dtype"),
-        F.coalesce(F.nullif(part(6), F.lit("")), part(5), F.lit("")).alias("_raw"),
-        observable_signal(part(2)).alias("signal"),
+    fields = extract(
+        parts,
+        _shaped=(F.size("_p") == 9),
+        _time=_colon_fraction(part(0)),
+        _status=part(1),
+        _variable=part(2),
+        device_id=part(3),
+        category=F.lit(""),
+        _dtype=part(4),
+        _raw=F.coalesce(F.nullif(part(6), F.lit("")), part(5), F.lit("")),
+    ).withColumns(
+        {"ts_ms": parse_ts_ms(F.col("_time")), "signal": observable_signal(F.col("_variable"))}
     )
-    classified = fields.select(
-        "id",
-        "source_id",
-        "line",
-        "ts_ms",
-        "device_id",
-        "signal",
-        F.lit("").alias("category"),
-        parse_value(F.col("_raw"), observable_type(F.col("_dtype"), F.col("_raw"))).alias("value"),
+    reason = (
         F.when(~F.col("_shaped"), F.lit("line does not match observable format"))
         .when(F.col("ts_ms").isNull(), F.lit("invalid timestamp"))
         .when(F.col("_status") != "OBSERVABLE", F.lit("invalid observable status"))
         .when(F.col("_variable") == "", F.lit("missing variable field"))
         .when(F.col("device_id") == "", F.lit("missing device-id"))
         .when(F.col("signal") == "", F.lit("missing signal name"))
-        .alias("reason"),
     )
-    return split_result(classified)
+    typed = with_value(fields, "_raw", observable_type(F.col("_dtype"), F.col("_raw")))
+    return split_result(typed.withColumn("reason", reason))
 
 
 def parse_trs(lines: DataFrame) -> ParsedLog:
     parts = lines.filter(~is_blank(F.col("line"))).withColumn("_p", F.split("line", "`"))
-    shaped = parts.filter(F.size("_p") >= TRANSFER_MIN_FIELDS)
     part = lambda i: trim_space(item(F.col("_p"), i))
-    ts = F.regexp_replace(part(0), r"\A(.{19}):(?=.)", "$1.")
-    rack_fields = [part(11), part(12)]
+    used = [0, 3, 4, 6, 8, 9, 10, 11, 12, 13, 14]
+    shaped = extract(
+        parts.filter(F.size("_p") >= TRANSFER_MIN_FIELDS), **{f"_f{i}": part(i) for i in used}
+    )
+    field = lambda i: F.col(f"_f{i}")
+    racks = [field(11), field(12)]
     packed = pack_transfer(
         [
-            part(3),
-            part(4),
-            resolve_transfer_location(part(8), rack_fields),
-            resolve_transfer_location(part(9), rack_fields),
-            first_filled([part(13), part(10)]),
-            part(14),
+            field(3),
+            field(4),
+            resolve_transfer_location(field(8), racks),
+            resolve_transfer_location(field(9), racks),
+            first_filled([field(13), field(10)]),
+            field(14),
         ]
     )
-    ts_ms = parse_ts_ms(ts)
-    classified = shaped.select(
-        "id",
-        "source_id",
-        "line",
-        ts_ms.alias("ts_ms"),
-        part(6).alias("device_id"),
-        F.lit("Transfer").alias("signal"),
-        F.lit("").alias("category"),
-        tagged(string=packed).alias("value"),
-        F.when(ts_ms.isNull(), F.lit("invalid timestamp")).alias("reason"),
+    timed = shaped.withColumns(
+        {"_time": F.regexp_replace(field(0), r"\A(.{19}):(?=.)", "$1."), "_packed": packed}
+    ).withColumn("ts_ms", parse_ts_ms(F.col("_time")))
+    return split_result(
+        timed.select(
+            "id",
+            "source_id",
+            "line",
+            "ts_ms",
+            field(6).alias("device_id"),
+            F.lit("Transfer").alias("signal"),
+            F.lit("").alias("category"),
+            tagged(string=F.col("_packed")).alias("value"),
+            F.when(F.col("ts_ms").isNull(), F.lit("invalid timestamp")).alias("reason"),
+        )
     )
-    return split_result(classified)
 
 
 def read_observable(spark: SparkSession, paths) -> ParsedLog:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sigtrail.functions.text import capture, is_blank, item
 from sigtrail.functions.typing import parse_ts_ms, tagged
-from sigtrail.sources.lines import ParsedLog, read_lines, split_result
+from sigtrail.sources.lines import ParsedLog, extract, read_lines, split_result
 
 # Fixed value: line layout.
 GENERIC_LINE = r"^(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}(?:\.\d+)?)\s+(?:\[([^\]]+)\]\s+)?(.*)$"
@@ -19,19 +19,22 @@ def parse_generic(lines: DataFrame) -> ParsedLog:
         "_p", capture(F.col("line"), GENERIC_LINE, 3)
     )
     part = lambda i: item(F.col("_p"), i)
-    ts_ms = parse_ts_ms(part(0))
-    classified = parts.filter(F.col("_p").isNotNull()).select(
-        "id",
-        "source_id",
-        "line",
-        ts_ms.alias("ts_ms"),
-        F.lit("system").alias("device_id"),
-        F.coalesce(F.nullif(part(1), F.lit("")), F.lit("INFO")).alias("signal"),
-        F.lit("").alias("category"),
-        tagged(string=part(2)).alias("value"),
-        F.when(ts_ms.isNull(), F.lit("invalid timestamp")).alias("reason"),
+    fields = extract(
+        parts.filter(F.col("_p").isNotNull()),
+        _time=part(0),
+        device_id=F.lit("system"),
+        signal=F.coalesce(F.nullif(part(1), F.lit("")), F.lit("INFO")),
+        category=F.lit(""),
+        _message=part(2),
+    ).withColumn("ts_ms", parse_ts_ms(F.col("_time")))
+    return split_result(
+        fields.withColumns(
+            {
+                "value": tagged(string=F.col("_message")),
+                "reason": F.when(F.col("ts_ms").isNull(), F.lit("invalid timestamp")),
+            }
+        )
     )
-    return split_result(classified)
 
 
 def read_generic(spark: SparkSession, paths) -> ParsedLog:

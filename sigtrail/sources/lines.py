@@ -54,6 +54,17 @@ def read_lines(spark: SparkSession, paths) -> DataFrame:
     return number_lines(scan_text(spark, paths))
 
 
+def extract(lines: DataFrame, **fields: Column) -> DataFrame:
+    """Cut fields out of each line, once.
+
+    The fields leave through a generator on purpose: conditions on them are then
+    tested on its output, where the optimizer would otherwise copy the expressions -
+    with all the pattern matching inside - into the filter as well.
+    """
+    cells = F.struct(*[c.alias(n) for n, c in fields.items()])
+    return lines.select("id", "source_id", "line", F.inline(F.array(cells)))
+
+
 def split_result(
     classified: DataFrame, value: Column | None = None, content: str = "line"
 ) -> ParsedLog:

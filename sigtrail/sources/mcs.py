@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigtrail.functions.text import capture, is_blank, item, trim_space
-from sigtrail.functions.typing import infer_type, parse_ts_ms, parse_value, tagged
-from sigtrail.sources.lines import ParsedLog, read_lines, split_result
+from sigtrail.functions.typing import infer_type, parse_ts_ms, tagged, with_value
+from sigtrail.sources.lines import ParsedLog, extract, read_lines, split_result
 
 # Line layout, pair layout and the keys with a set type.
 MCS_LINE = (
@@ -34,72 +34,68 @@ def mcs_key_type(key: Column, value: Column) -> Column:
     )
 
 
-def _pair(text: Column) -> Column:
-    """``[Key=Value]`` as a signal and its raw value."""
-    inner = F.substring(text, F.lit(2), F.length(text) - 2)
-    key = trim_space(F.substring_index(inner, "=", 1))
-    value = trim_space(F.substring(inner, F.instr(inner, "=") + 1, F.length(inner)))
-    name = F.when(key.isin(LOCATION_KEYS), F.lit("CurrentLocation")).otherwise(key)
-    return F.struct(name.alias("signal"), value.alias("raw"), F.lit(True).alias("typed"))
-
-
-def _fixed(name: str, value: Column) -> Column:
-    return F.struct(F.lit(name).alias("signal"), value.alias("raw"), F.lit(False).alias("typed"))
+def _cell(name: str, text: Column) -> Column:
+    """A signal still to be read: ``name`` is '' for a ``[Key=Value]`` text."""
+    return F.struct(F.lit(name).alias("name"), text.alias("text"))
 
 
 def parse_mcs(lines: DataFrame) -> ParsedLog:
     text = lines.filter(~is_blank(F.col("line")))
-    head = text.withColumn("_p", capture(F.col("line"), MCS_LINE, 5)).select(
+    head = extract(
+        text.withColumn("_p", capture(F.col("line"), MCS_LINE, 5)),
+        _shaped=F.col("_p").isNotNull(),
+        _time=item(F.col("_p"), 0),
+        _action=item(F.col("_p"), 1),
+        _first=trim_space(item(F.col("_p"), 2)),
+        _second=trim_space(item(F.col("_p"), 3)),
+        _pairs=item(F.col("_p"), 4),
+    ).withColumn("ts_ms", parse_ts_ms(F.col("_time")))
+    has_command = F.col("_second") != ""
+    reason = F.when(~F.col("_shaped"), F.lit("line does not match MCS format")).when(
+        F.col("ts_ms").isNull(), F.lit("invalid timestamp")
+    )
+    classified = head.withColumn("reason", reason)
+    found = F.regexp_extract_all("_pairs", F.lit(_PAIR), F.lit(0))
+    cells = F.concat(
+        F.array(_cell("_Action", F.col("_action")), _cell("_CommandID", F.when(has_command, F.col("_first")))),
+        F.transform(found, lambda text: _cell("", text)),
+    )
+    rows = classified.filter(F.col("reason").isNull()).select(
         "id",
         "source_id",
-        "line",
-        F.col("_p").isNotNull().alias("_shaped"),
-        parse_ts_ms(item(F.col("_p"), 0)).alias("ts_ms"),
-        item(F.col("_p"), 1).alias("_action"),
-        trim_space(item(F.col("_p"), 2)).alias("_first"),
-        trim_space(item(F.col("_p"), 3)).alias("_second"),
-        item(F.col("_p"), 4).alias("_pairs"),
-    )
-    has_command = F.col("_second") != ""
-    classified = head.withColumns(
-        {
-            "reason": F.when(~F.col("_shaped"), F.lit("line does not match MCS format")).when(
-                F.col("ts_ms").isNull(), F.lit("invalid timestamp")
-            ),
-            "device_id": F.when(has_command, F.col("_second")).otherwise(F.col("_first")),
-        }
+        "ts_ms",
+        F.when(has_command, F.col("_second")).otherwise(F.col("_first")).alias("device_id"),
+        F.posexplode(cells).alias("_n", "_c"),
     )
-    good = classified.filter(F.col("reason").isNull())
-    pairs = F.filter(
-        F.transform(F.regexp_extract_all("_pairs", F.lit(_PAIR), F.lit(0)), _pair),
-        lambda p: (p["signal"] != "") & ~p["raw"].isin("", "None"),
+    inner = F.substring("_c.text", F.lit(2), F.length("_c.text") - 2)
+    is_pair = F.col("_c.name") == ""
+    split = rows.select(
+        (F.col("id") + F.col("_n")).alias("id"),
+        "source_id",
+        "ts_ms",
+        "device_id",
+        is_pair.alias("_pair"),
+        F.when(is_pair, trim_space(F.substring_index(inner, "=", 1))).otherwise(F.col("_c.name")).alias("_key"),
+        F.when(is_pair, trim_space(F.regexp_replace(inner, r"\A[^=]*=", "")))
+        .otherwise(F.col("_c.text"))
+        .alias("_raw"),
     )
-    command = F.when(has_command, F.array(_fixed("_CommandID", F.col("_first"))))
-    signals = F.concat(
-        F.array(_fixed("_Action", F.col("_action"))),
-        F.coalesce(command, F.filter(F.array(_fixed("", F.col("_first"))), lambda _: F.lit(False))),
-        pairs,
+    kept = split.filter(
+        F.col("_raw").isNotNull()
+        & (~F.col("_pair") | ((F.col("_key") != "") & ~F.col("_raw").isin("", "None")))
     )
-    rows = good.select("id", "source_id", "ts_ms", "device_id", F.posexplode(signals).alias("_n", "_s"))
-    raw, key = F.col("_s.raw"), F.col("_s.signal")
-    stype = mcs_key_type(key, raw)
-    value = (
-        F.when(~F.col("_s.typed"), tagged(string=raw))
-        .when(stype == "boolean", tagged(boolean=F.upper(raw).isin(_RAISED)))
-        .otherwise(parse_value(raw, stype))
+    named = kept.withColumn(
+        "signal",
+        F.when(F.col("_key").isin(LOCATION_KEYS), F.lit("CurrentLocation")).otherwise(F.col("_key")),
     )
+    kind = F.when(F.col("_pair"), mcs_key_type(F.col("signal"), F.col("_raw"))).otherwise(F.lit("string"))
+    typed = with_value(named.withColumn("_kind", kind), "_raw", F.col("_kind"))
+    # A boolean key reads every other word as false.
+    flag = tagged(boolean=F.upper("_raw").isin(_RAISED))
+    value = F.when(F.col("_kind") == "boolean", flag).otherwise(F.col("value"))
+    none = F.lit(None).cast("string")
     entries = split_result(
-        rows.select(
-            (F.col("id") + F.col("_n")).alias("id"),
-            "source_id",
-            "ts_ms",
-            "device_id",
-            key.alias("signal"),
-            F.lit("").alias("category"),
-            value.alias("value"),
-            F.lit(None).cast("string").alias("reason"),
-            F.lit(None).cast("string").alias("line"),
-        )
+        typed.withColumns({"value": value, "category": F.lit(""), "reason": none, "line": none})
     ).entries
     errors = classified.filter(F.col("reason").isNotNull()).select(
         "source_id", F.col("id").alias("line_key"), F.col("line").alias("content"), "reason"

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigtrail.functions.text import capture, is_blank, item, strip_bom, trim_space
-from sigtrail.functions.typing import extract_device_id, infer_type, parse_ts_ms, parse_value
+from sigtrail.functions.typing import extract_device_id, infer_type, parse_ts_ms, with_value
 from sigtrail.operators.resolve import resolve_signal_types
-from sigtrail.sources.lines import ParsedLog, read_lines, split_result
+from sigtrail.sources.lines import ParsedLog, extract, read_lines, split_result
 
 # Line layouts.
 PLC_DEBUG_LINE = (
@@ -36,42 +36,34 @@ def parse_plc_debug(lines: DataFrame) -> ParsedLog:
     strict = F.rlike("line", F.lit(PLC_DEBUG_LINE))
     parts = text.withColumn("_p", capture(F.col("line"), _DEBUG_PARTS, 6))
     part = lambda i: trim_space(item(F.col("_p"), i))
-    fields = parts.select(
-        "id",
-        "source_id",
-        "line",
-        parse_ts_ms(part(0)).alias("ts_ms"),
-        extract_device_id(item(F.col("_p"), 1)).alias("_device"),
-        part(2).alias("category"),
-        part(3).alias("signal"),
-        F.lower(part(4)).alias("_dtype"),
-        part(5).alias("_raw"),
-        F.col("_p").isNotNull().alias("_free"),
+    fields = extract(
+        parts,
+        _time=part(0),
+        _device=extract_device_id(item(F.col("_p"), 1)),
+        category=part(2),
+        signal=part(3),
+        _dtype=F.lower(part(4)),
+        _raw=part(5),
+        _free=F.col("_p").isNotNull(),
+    ).withColumns(
+        {
+            "ts_ms": parse_ts_ms(F.col("_time")),
+            "device_id": F.coalesce(
+                F.nullif("_device", F.lit("")), F.nullif("category", F.lit(""))
+            ),
+        }
     )
-    device = F.coalesce(F.nullif(F.col("_device"), F.lit("")), F.nullif("category", F.lit("")))
-    complete = F.col("_free") & F.col("ts_ms").isNotNull() & device.isNotNull()
+    declared = F.when(F.col("_dtype").isin(_DECLARED_TYPES), F.col("_dtype"))
+    complete = F.col("_free") & F.col("ts_ms").isNotNull() & F.col("device_id").isNotNull()
     roomy = F.octet_length("line") >= _SHORTEST_FREE_FORM
-    classified = fields.select(
-        "id",
-        "source_id",
-        "line",
-        "ts_ms",
-        device.alias("device_id"),
-        "signal",
-        "category",
-        parse_value(
-            F.col("_raw"),
-            F.when(F.col("_dtype").isin(_DECLARED_TYPES), F.col("_dtype")).otherwise(
-                infer_type(F.col("_raw"))
-            ),
-        ).alias("value"),
+    reason = (
         F.when(complete & roomy, F.lit(None))
         .when(~strict, F.lit("line does not match PLC debug format"))
         .when(F.col("ts_ms").isNull(), F.lit("invalid timestamp"))
-        .when(device.isNull(), F.lit("device ID not found in path"))
-        .alias("reason"),
+        .when(F.col("device_id").isNull(), F.lit("device ID not found in path"))
     )
-    return split_result(classified)
+    typed = with_value(fields, "_raw", F.coalesce(declared, infer_type(F.col("_raw"))))
+    return split_result(typed.withColumn("reason", reason))
 
 
 def parse_plc_tab(lines: DataFrame) -> ParsedLog:
@@ -87,36 +79,23 @@ def parse_plc_tab(lines: DataFrame) -> ParsedLog:
         "_p", F.when(F.contains("_spaced", F.lit(marker)), F.split(rest, "\t"))
     )
     part = lambda i: trim_space(item(F.col("_p"), i))
-    fields = parts.select(
-        "id",
-        "source_id",
-        "line",
-        F.when(
-            F.col("_p").isNotNull(),
-            parse_ts_ms(trim_space(F.substring_index("_spaced", marker, 1))),
-        ).alias("ts_ms"),
-        extract_device_id(part(0)).alias("device_id"),
-        part(1).alias("signal"),
-        part(3).alias("_raw"),
-        F.coalesce(F.size("_p") >= 4, F.lit(False)).alias("_shaped"),
-    )
+    fields = extract(
+        parts,
+        _time=F.when(F.col("_p").isNotNull(), trim_space(F.substring_index("_spaced", marker, 1))),
+        device_id=extract_device_id(part(0)),
+        signal=part(1),
+        category=F.lit(""),
+        _raw=part(3),
+        _shaped=F.coalesce(F.size("_p") >= 4, F.lit(False)),
+    ).withColumn("ts_ms", parse_ts_ms(F.col("_time")))
     complete = F.col("_shaped") & F.col("ts_ms").isNotNull() & (F.col("device_id") != "")
-    classified = fields.select(
-        "id",
-        "source_id",
-        "line",
-        "ts_ms",
-        "device_id",
-        "signal",
-        F.lit("").alias("category"),
-        parse_value(F.col("_raw"), infer_type(F.col("_raw"))).alias("value"),
+    reason = (
         F.when(complete, F.lit(None))
         .when(~F.rlike("line", F.lit(PLC_TAB_LINE)), F.lit("line does not match PLC tab format"))
         .when(F.col("ts_ms").isNull(), F.lit("invalid timestamp"))
         .otherwise(F.lit("device ID not found in path"))
-        .alias("reason"),
     )
-    return split_result(classified)
+    return split_result(with_value(fields, "_raw").withColumn("reason", reason))
 
 
 def parse_csv_signal(lines: DataFrame) -> ParsedLog:
@@ -127,31 +106,23 @@ def parse_csv_signal(lines: DataFrame) -> ParsedLog:
     # Full-form lines keep blanks before a comma; free-form ones are trimmed.
     full = F.rlike("line", F.lit(CSV_SIGNAL_LINE))
     kept = lambda i: F.when(full, F.regexp_replace(raw(i), r"\A\s+", "")).otherwise(part(i))
-    fields = parts.select(
-        "id",
-        "source_id",
-        "line",
-        parse_ts_ms(part(0)).alias("ts_ms"),
-        kept(1).alias("_path"),
-        kept(2).alias("signal"),
-        part(3).alias("_raw"),
-        (F.size("_p") >= 4).alias("_shaped"),
+    fields = extract(
+        parts,
+        _time=part(0),
+        _path=kept(1),
+        signal=kept(2),
+        category=F.lit(""),
+        _raw=part(3),
+        _shaped=(F.size("_p") >= 4),
+    ).withColumns(
+        {"ts_ms": parse_ts_ms(F.col("_time")), "_device": extract_device_id(F.col("_path"))}
     )
-    device = F.coalesce(F.nullif(extract_device_id(F.col("_path")), F.lit("")), F.col("_path"))
-    classified = fields.select(
-        "id",
-        "source_id",
-        "line",
-        "ts_ms",
-        device.alias("device_id"),
-        "signal",
-        F.lit("").alias("category"),
-        parse_value(F.col("_raw"), infer_type(F.col("_raw"))).alias("value"),
-        F.when(~F.col("_shaped"), F.lit("line does not match CSV signal format"))
-        .when(F.col("ts_ms").isNull(), F.lit("invalid timestamp"))
-        .alias("reason"),
+    device = F.coalesce(F.nullif("_device", F.lit("")), F.col("_path"))
+    reason = F.when(~F.col("_shaped"), F.lit("line does not match CSV signal format")).when(
+        F.col("ts_ms").isNull(), F.lit("invalid timestamp")
     )
-    return split_result(classified)
+    typed = with_value(fields, "_raw")
+    return split_result(typed.withColumns({"device_id": device, "reason": reason}))
 
 
 def _resolved(parsed: ParsedLog, rule: str, resolve: bool) -> ParsedLog:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sigtrail.functions.text import trim_space
 from sigtrail.functions.transfer import first_filled, pack_transfer, resolve_transfer_location
-from sigtrail.functions.typing import infer_type, parse_ts_ms, parse_value, tagged
+from sigtrail.functions.typing import infer_type, parse_ts_ms, tagged, with_value
 from sigtrail.operators.resolve import resolve_signal_types
 from sigtrail.sources.lines import ParsedLog, split_result
 
@@ -41,20 +41,24 @@ def normalize_stk_plc(
     df: DataFrame, id_col: str, source: str | None = None, resolve: bool = True
 ) -> ParsedLog:
     """``DateTime, SubSystemID, ObservableID, CurrentValue, ValueType`` rows -> entries."""
-    raw = _clean_value(trim_space(F.coalesce("CurrentValue", F.lit(""))))
-    ts_ms = parse_ts_ms(trim_space(F.col("DateTime")))
-    classified = _keyed(df, id_col, source).select(
-        "id",
-        "source_id",
-        F.concat_ws("|", "DateTime", "SubSystemID", "ObservableID", "CurrentValue", "ValueType").alias("line"),
-        ts_ms.alias("ts_ms"),
-        trim_space(F.col("SubSystemID")).alias("device_id"),
-        trim_space(F.col("ObservableID")).alias("signal"),
-        F.lit("").alias("category"),
-        parse_value(raw, _value_type(F.col("ValueType"), raw)).alias("value"),
-        F.when(ts_ms.isNull(), F.lit("invalid timestamp")).alias("reason"),
+    shaped = (
+        _keyed(df, id_col, source)
+        .select(
+            "id",
+            "source_id",
+            F.concat_ws("|", "DateTime", "SubSystemID", "ObservableID", "CurrentValue", "ValueType").alias("line"),
+            trim_space(F.col("DateTime")).alias("_time"),
+            trim_space(F.col("SubSystemID")).alias("device_id"),
+            trim_space(F.col("ObservableID")).alias("signal"),
+            F.lit("").alias("category"),
+            trim_space(F.coalesce("CurrentValue", F.lit(""))).alias("_cell"),
+            F.col("ValueType"),
+        )
+        .withColumns({"_raw": _clean_value(F.col("_cell")), "ts_ms": parse_ts_ms(F.col("_time"))})
     )
-    parsed = split_result(classified)
+    typed = with_value(shaped, "_raw", _value_type(F.col("ValueType"), F.col("_raw")))
+    reason = F.when(F.col("ts_ms").isNull(), F.lit("invalid timestamp"))
+    parsed = split_result(typed.withColumn("reason", reason))
     if resolve:
         return ParsedLog(resolve_signal_types(parsed.entries, "any"), parsed.errors)
     return parsed
@@ -64,7 +68,14 @@ def normalize_stk_transfer(
     df: DataFrame, id_col: str, columns: list[str], source: str | None = None
 ) -> ParsedLog:
     """Fifteen columns in export order (``columns``) -> packed ``Transfer`` rows."""
-    part = lambda n: trim_space(F.coalesce(F.col(columns[TRANSFER_COLUMNS[n]]), F.lit("")))
+    cell = lambda n: trim_space(F.coalesce(F.col(columns[TRANSFER_COLUMNS[n]]), F.lit("")))
+    shaped = _keyed(df, id_col, source).select(
+        "id",
+        "source_id",
+        F.concat_ws("|", *[F.col(c).cast("string") for c in columns]).alias("line"),
+        *[cell(n).alias(f"_{n}") for n in TRANSFER_COLUMNS],
+    )
+    part = lambda n: F.col(f"_{n}")
     racks = [part("plc_from"), part("plc_to")]
     packed = pack_transfer(
         [
@@ -76,16 +87,17 @@ def normalize_stk_transfer(
             part("result"),
         ]
     )
-    ts_ms = parse_ts_ms(part("time"))
-    classified = _keyed(df, id_col, source).select(
-        "id",
-        "source_id",
-        F.concat_ws("|", *[F.col(c).cast("string") for c in columns]).alias("line"),
-        ts_ms.alias("ts_ms"),
-        part("carrier").alias("device_id"),
-        F.lit("Transfer").alias("signal"),
-        F.lit("").alias("category"),
-        tagged(string=packed).alias("value"),
-        F.when(ts_ms.isNull(), F.lit("invalid timestamp")).alias("reason"),
+    timed = shaped.withColumns({"ts_ms": parse_ts_ms(part("time")), "_packed": packed})
+    return split_result(
+        timed.select(
+            "id",
+            "source_id",
+            "line",
+            "ts_ms",
+            part("carrier").alias("device_id"),
+            F.lit("Transfer").alias("signal"),
+            F.lit("").alias("category"),
+            tagged(string=F.col("_packed")).alias("value"),
+            F.when(F.col("ts_ms").isNull(), F.lit("invalid timestamp")).alias("reason"),
+        )
     )
-    return split_result(classified)
