@@ -54,31 +54,29 @@ def read_lines(spark: SparkSession, paths) -> DataFrame:
     return number_lines(scan_text(spark, paths))
 
 
-def extract(lines: DataFrame, **fields: Column) -> DataFrame:
-    """Cut fields out of each line, once.
+def bind(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are evaluated once per row.
 
-    The fields leave through a generator on purpose: conditions on them are then
-    tested on its output, where the optimizer would otherwise copy the expressions -
-    with all the pattern matching inside - into the filter as well.
+    They leave through a generator on purpose: conditions on them are then tested on
+    its output, where the optimizer would otherwise copy the expressions - with all
+    the pattern matching inside - into the filter and into every use.
     """
-    cells = F.struct(*[c.alias(n) for n, c in fields.items()])
-    return lines.select("id", "source_id", "line", F.inline(F.array(cells)))
+    cells = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select("*", F.inline(F.array(cells)))
+
 
+def extract(lines: DataFrame, **fields: Column) -> DataFrame:
+    """Cut fields out of each line, once per line."""
+    return bind(lines, **fields).select("id", "source_id", "line", *fields)
 
-def split_result(
-    classified: DataFrame, value: Column | None = None, content: str = "line"
-) -> ParsedLog:
+
+def split_result(classified: DataFrame) -> ParsedLog:
     """Entries and errors of a frame that has ``reason``, ``ts_ms``, ``device_id``,
     ``signal``, ``category`` and the tagged struct ``value``."""
     good = classified.filter(F.col("reason").isNull())
-    tagged = F.col("value") if value is None else value
-    entries = good.withColumn("_v", tagged).select(
-        *[
-            F.col(f"_v.{c}").alias(c) if c in VALUE_COLUMNS else F.col(c)
-            for c in ENTRY_COLUMNS
-        ]
-    )
+    keys = [c for c in ENTRY_COLUMNS if c not in VALUE_COLUMNS]
+    entries = good.select(*keys, F.inline(F.array("value"))).select(*ENTRY_COLUMNS)
     errors = classified.filter(F.col("reason").isNotNull()).select(
-        "source_id", F.col("id").alias("line_key"), F.col(content).alias("content"), "reason"
+        "source_id", F.col("id").alias("line_key"), F.col("line").alias("content"), "reason"
     )
     return ParsedLog(entries, errors)

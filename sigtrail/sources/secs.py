@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sigtrail.functions.text import capture, item, trim_space
 from sigtrail.functions.typing import parse_ts_ms, tagged
-from sigtrail.sources.lines import ParsedLog, number_lines, scan_text, split_result
+from sigtrail.sources.lines import ParsedLog, bind, number_lines, scan_text, split_result
 
 # Header and TransactionTime layouts.
 SECS_HEADER = r"^@?(\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2}\.\d{3})\^([^^]+)\^([^^]+)\^([^^]+?)\s*$"
@@ -22,46 +22,43 @@ SECS_TRANSACTION = (
 _MAX_STREAM, _MAX_FUNCTION = 127, 255
 
 
-def _line_items(text: Column) -> Column:
+# Type, count, the text after it and the closing bracket of one item line.
+_ITEM = r"(?s)\A<([^,\x01]*),\s*([+-]?\d{1,9})(?: (.*?)|)\s*(>\.?|)\z"
+
+
+def _item(parts: Column, text: Column) -> Column:
     """One body line as an item: kind, type, count, value and name.
 
     ``kind`` is ``open`` (a list whose items follow), ``leaf`` (complete on its
     line), ``close`` or ``bad``.
     """
-    dotted = F.endswith(text, F.lit(">."))
-    whole = dotted | F.endswith(text, F.lit(">"))
-    inner = F.substring(text, F.lit(2), F.length(text) - 1 - F.when(dotted, 2).when(whole, 1).otherwise(0))
-    has_comma = F.instr(inner, ",") > 0
-    kind_text = trim_space(F.substring_index(inner, ",", 1))
-    rest = trim_space(F.substring(inner, F.instr(inner, ",") + 1, F.length(inner)))
-    count = F.substring_index(rest, " ", 1)
-    after = trim_space(F.substring(rest, F.length(count) + 1, F.length(rest)))
-    number = F.when(F.rlike(count, F.lit(r"\A[+-]?\d+\z")), count.try_cast("int"))
-    bracket = (
-        F.when(F.startswith(after, F.lit("[")), F.lit(1))
-        .when(F.instr(after, " [") > 0, F.instr(after, " [") + 1)
-        .otherwise(F.instr(after, "["))
+    name_of = trim_space(item(parts, 0))
+    after = trim_space(item(parts, 2))
+    is_list = name_of.isin("L", "LIST")
+    # The name is in brackets, at once or after a value; a list has no value.
+    at_once = F.startswith(after, F.lit("["))
+    spaced = F.contains(after, F.lit(" ["))
+    value = (
+        F.when(is_list | at_once, F.lit(""))
+        .when(spaced, trim_space(F.substring_index(after, " [", 1)))
+        .otherwise(trim_space(F.substring_index(after, "[", 1)))
     )
-    named = F.when(
-        bracket > 0, F.regexp_extract(F.substring(after, bracket, F.length(after)), r"\A\[([^\]]*)\]", 1)
+    named = (
+        F.when(at_once, F.regexp_extract(after, r"\A\[([^\]]*)\]", 1))
+        .when(is_list, F.lit(""))
+        .when(spaced, F.regexp_extract(after, r" \[([^\]]*)\]", 1))
+        .otherwise(F.regexp_extract(after, r"\[([^\]]*)\]", 1))
     )
-    is_list = kind_text.isin("L", "LIST")
-    before = F.when(bracket > 0, F.substring(after, F.lit(1), bracket - 1)).otherwise(after)
-    value = F.when(is_list, F.lit("")).otherwise(trim_space(before))
-    kind = (
+    return F.struct(
         F.when(F.startswith(text, F.lit(">")), "close")
-        .when(~F.startswith(text, F.lit("<")) | ~has_comma | number.isNull(), "bad")
-        .when(is_list & ~whole, "open")
+        .when(parts.isNull(), "bad")
+        .when(is_list & (item(parts, 3) == ""), "open")
         .otherwise("leaf")
-    )
-    # A list takes its name only from a bracket right after the count.
-    name = F.when(is_list & (bracket != 1), F.lit("")).otherwise(named)
-    return F.struct(
-        kind.alias("kind"),
-        F.when(is_list, F.lit("L")).otherwise(kind_text).alias("type"),
-        F.coalesce(number, F.lit(0)).alias("count"),
+        .alias("kind"),
+        F.when(is_list, F.lit("L")).otherwise(name_of).alias("type"),
+        F.coalesce(item(parts, 1).try_cast("int"), F.lit(0)).alias("count"),
         F.coalesce(value, F.lit("")).alias("value"),
-        F.coalesce(name, F.lit("")).alias("name"),
+        F.coalesce(named, F.lit("")).alias("name"),
     )
 
 
@@ -115,7 +112,7 @@ def _tree_check(items: Column) -> Column:
 
 
 def _json_member(name: str, value: Column) -> Column:
-    escaped = F.regexp_replace(F.regexp_replace(value, r"\\", r"\\\\\\\\"), '"', r'\\\\"')
+    escaped = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
     return F.when(value == "", F.lit("")).otherwise(
         F.concat(F.lit(f',"{name}":"'), escaped, F.lit('"'))
     )
@@ -147,72 +144,59 @@ def _tree_json(items: Column) -> Column:
 
 def classify_secs(records: DataFrame) -> DataFrame:
     """One row per message with header fields, checked item list and ``reason``."""
-    text = F.replace("line", F.lit("\r"), F.lit(""))
-    lines = records.withColumn("_lines", F.split(text, "\n"))
-    head = lines.withColumn("_h", capture(trim_space(item(F.col("_lines"), 0)), SECS_HEADER, 4)).filter(
-        F.col("_h").isNotNull()
-    )
-    second = trim_space(F.coalesce(item(F.col("_lines"), 1), F.lit("")))
-    parts = head.withColumn("_t", capture(second, SECS_TRANSACTION, 3)).withColumn(
-        "_rest", F.transform(F.slice("_lines", 3, 1 << 30), trim_space)
-    )
+    lines = bind(records, _lines=F.split(F.replace("line", F.lit("\r"), F.lit("")), "\n"))
+    heads = bind(
+        lines,
+        _h=capture(trim_space(item(F.col("_lines"), 0)), SECS_HEADER, 4),
+        _second=item(F.col("_lines"), 1),
+        _body=F.transform(F.slice("_lines", 3, 1 << 30), trim_space),
+    ).filter(F.col("_h").isNotNull())
     # The body ends at the first line that ends with ">."; what follows is not part of it.
-    ends = F.array_position(
-        F.transform("_rest", lambda x: F.endswith(x, F.lit(">."))), F.lit(True)
-    ).cast("int")
-    body = F.when(ends > 0, F.slice("_rest", F.lit(1), ends)).otherwise(F.col("_rest"))
-    stream = F.regexp_extract(item(F.col("_t"), 0), r"^S(\d+)F", 1).try_cast("int")
-    function = F.regexp_extract(item(F.col("_t"), 0), r"F(\d+)$", 1).try_cast("int")
-    fields = parts.select(
-        "id",
-        "source_id",
-        "line",
-        F.size("_lines").alias("_n"),
-        parse_ts_ms(F.translate(item(F.col("_h"), 0), "/", "-")).alias("ts_ms"),
-        item(F.col("_h"), 0).alias("timestamp"),
-        item(F.col("_h"), 1).alias("level"),
-        item(F.col("_h"), 2).alias("log_category"),
-        item(F.col("_h"), 3).alias("direction"),
-        F.col("_t").isNotNull().alias("_has_tx"),
-        item(F.col("_t"), 0).alias("stream_function"),
-        stream.alias("stream"),
-        function.alias("function"),
-        F.contains(item(F.col("_lines"), 1), F.lit(" W,")).alias("wait_bit"),
-        F.coalesce(item(F.col("_t"), 2).try_cast("long"), F.lit(0).cast("long")).alias("system_byte"),
-        trim_space(item(F.col("_t"), 1)).alias("message_desc"),
-        body.alias("_body"),
+    ends = F.transform("_body", lambda text: F.endswith(text, F.lit(">.")))
+    parts = bind(
+        heads,
+        _t=capture(trim_space(F.col("_second")), SECS_TRANSACTION, 3),
+        _ts=F.translate(item(F.col("_h"), 0), "/", "-"),
+        _end=F.array_position(ends, F.lit(True)).cast("int"),
+        # A file's last record ends in a line break, which is not a body line.
+        _has_body=F.exists("_body", lambda text: text != "") | (F.size("_body") > 1),
+    )
+    body = F.when(F.col("_end") > 0, F.slice("_body", F.lit(1), F.col("_end"))).otherwise(F.col("_body"))
+    fields = bind(
+        parts,
+        ts_ms=parse_ts_ms(F.col("_ts")),
+        timestamp=item(F.col("_h"), 0),
+        level=item(F.col("_h"), 1),
+        log_category=item(F.col("_h"), 2),
+        direction=item(F.col("_h"), 3),
+        stream_function=item(F.col("_t"), 0),
+        stream=F.regexp_extract(item(F.col("_t"), 0), r"^S(\d+)F", 1).try_cast("int"),
+        function=F.regexp_extract(item(F.col("_t"), 0), r"F(\d+)$", 1).try_cast("int"),
+        wait_bit=F.contains(F.col("_second"), F.lit(" W,")),
+        system_byte=F.coalesce(F.nullif(item(F.col("_t"), 2), F.lit("")).try_cast("long"), F.lit(0).cast("long")),
+        message_desc=trim_space(item(F.col("_t"), 1)),
+        _texts=F.filter(body, lambda text: text != ""),
     )
-    items = F.transform(F.filter("_body", lambda x: x != ""), _line_items)
+    # Matching the lines first binds each match for the item built from it.
+    matched = bind(fields, _parts=F.transform("_texts", lambda text: capture(text, _ITEM, 4)))
+    items = bind(matched, _items=F.zip_with("_parts", "_texts", _item))
+    tree = bind(items, _tree=_tree_check(F.col("_items")))
     valid_sf = (F.col("stream") <= _MAX_STREAM) & (F.col("function") <= _MAX_FUNCTION)
-    checked = fields.withColumn("_items", items).withColumn("_tree", _tree_check(F.col("_items")))
-    # A file's last record ends in a line break, which is not a body line.
-    empty_body = (F.size("_body") == 0) | ((F.size("_body") == 1) & (F.get("_body", F.lit(0)) == ""))
-    return checked.select(
-        "id",
-        "source_id",
-        "line",
-        "ts_ms",
-        "timestamp",
-        "level",
-        "log_category",
-        "direction",
-        "stream",
-        "function",
-        "stream_function",
-        "wait_bit",
-        "system_byte",
-        F.coalesce(
-            F.regexp_extract("message_desc", r"CEID\s+(\d+)", 1).try_cast("int"), F.lit(0)
-        ).alias("ceid"),
-        "message_desc",
-        F.slice("_items", F.lit(1), F.col("_tree.used")).alias("items"),
-        F.when(F.col("ts_ms").isNull(), F.lit("invalid SECS timestamp"))
-        .when((F.col("_n") < 2) | ((F.col("_n") == 2) & (F.get(F.split("line", "\n"), F.lit(1)) == "")), F.lit("unexpected EOF after SECS header"))
-        .when(~F.col("_has_tx"), F.lit("malformed TransactionTime line"))
+    ceid = F.nullif(F.regexp_extract("message_desc", r"CEID\s+(\d+)", 1), F.lit("")).try_cast("int")
+    checked = bind(
+        tree,
+        ceid=F.coalesce(ceid, F.lit(0)),
+        items=F.slice("_items", F.lit(1), F.col("_tree.used")),
+        reason=F.when(F.col("ts_ms").isNull(), F.lit("invalid SECS timestamp"))
+        .when(F.coalesce("_second", F.lit("")) == "", F.lit("unexpected EOF after SECS header"))
+        .when(F.col("_t").isNull(), F.lit("malformed TransactionTime line"))
         .when(~F.coalesce(valid_sf, F.lit(False)), F.lit("invalid stream/function code"))
-        .when(empty_body, F.lit("unexpected EOF: no SECS message body found"))
-        .when(~F.col("_tree.done"), F.lit("SML body parse error"))
-        .alias("reason"),
+        .when(~F.col("_has_body"), F.lit("unexpected EOF: no SECS message body found"))
+        .when(~F.col("_tree.done"), F.lit("SML body parse error")),
+    )
+    return checked.select(
+        "id", "source_id", "line", "ts_ms", "timestamp", "level", "log_category", "direction", "stream", "function",
+        "stream_function", "wait_bit", "system_byte", "ceid", "message_desc", "items", "reason",
     )
 
 
