@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sigtrail.functions.transfer import pack_transfer
 from sigtrail.functions.typing import tagged
+from sigtrail.plans.stages import bind
 from sigtrail.schema import COLOR_RULE_SCHEMA, ENTRY_COLUMNS, MAPPING_SCHEMA, VALUE_COLUMNS
 
 
@@ -33,7 +34,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def as_entries(df: DataFrame, value: Column, source: str = "events") -> DataFrame:
-    rows = df.withColumn("source_id", F.lit(source)).withColumn("_v", value)
+    rows = bind(df.withColumn("source_id", F.lit(source)), _v=value)
     return rows.select(
         *[F.col(f"_v.{c}").alias(c) if c in VALUE_COLUMNS else F.col(c) for c in ENTRY_COLUMNS]
     )

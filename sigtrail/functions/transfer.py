@@ -36,22 +36,24 @@ def rack_id(col: Column) -> Column:
     return F.regexp_extract(col, _RACK, 1)
 
 
-def rack_coordinate(col: Column) -> Column:
-    """Rack id and its z/x/y parts, NULL where the text has none."""
-    rack = rack_id(F.trim(F.coalesce(col, F.lit(""))))
+def rack_parts(rack: Column) -> Column:
+    """A rack id and its z/x/y parts."""
     z, x, y = F.substring(rack, 1, 1), F.substring(rack, 2, 3), F.substring(rack, 5, 2)
-    return F.when(
-        rack != "",
-        F.struct(
-            rack.alias("rack_id"),
-            z.try_cast("int").alias("z"),
-            x.try_cast("int").alias("x"),
-            y.try_cast("int").alias("y"),
-            F.concat(F.lit("Z"), z, F.lit("-"), y).alias("y_key"),
-        ),
+    return F.struct(
+        rack.alias("rack_id"),
+        z.try_cast("int").alias("z"),
+        x.try_cast("int").alias("x"),
+        y.try_cast("int").alias("y"),
+        F.concat(F.lit("Z"), z, F.lit("-"), y).alias("y_key"),
     )
 
 
+def rack_coordinate(col: Column) -> Column:
+    """Rack id and its parts, NULL where the text has none."""
+    rack = rack_id(F.coalesce(col, F.lit("")))
+    return F.when(rack != "", rack_parts(rack))
+
+
 def resolve_transfer_location(primary: Column, fallbacks: Sequence[Column]) -> Column:
     """``primary``, or the first rack id in ``fallbacks`` when it is blank or ``SN0``."""
     text = trim_space(F.coalesce(primary, F.lit("")))

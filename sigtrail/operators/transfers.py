@@ -9,36 +9,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigtrail.functions.transfer import rack_coordinate, transfer_field
+from sigtrail.functions.transfer import rack_id, rack_parts, transfer_field
 from sigtrail.operators.filters import completed_transfers
+from sigtrail.plans.stages import bind
 
 _GLOBAL, _ROW, _COLUMN, _LOG = "global", "row", "column", "log"
 
 
+def _rack_ends(entries: DataFrame) -> DataFrame:
+    """Completed transfers with the rack ids of source and destination ('' for none)."""
+    packed = F.col("val_str")
+    return bind(
+        completed_transfers(entries),
+        _source=rack_id(transfer_field(packed, "source")),
+        _dest=rack_id(transfer_field(packed, "dest")),
+    )
+
+
 def transfer_hits(entries: DataFrame) -> DataFrame:
     """One row per completed transfer and rack end (source, destination) that has coordinates."""
-    ends = [F.lit(n).alias("end") for n in ("source", "dest")]
-    packed = F.col("val_str")
-    racks = F.array(
+    ends = F.array(
         *[
-            F.struct(end, rack_coordinate(transfer_field(packed, n)).alias("rack"))
-            for end, n in zip(ends, ("source", "dest"))
+            F.struct(F.lit(end).alias("end"), F.col(f"_{end}").alias("rack"))
+            for end in ("source", "dest")
         ]
     )
-    hits = completed_transfers(entries).select(
-        "source_id", "id", F.explode(racks).alias("_h")
-    )
-    return hits.filter(F.col("_h.rack").isNotNull()).select(
-        "source_id", "id", F.col("_h.end").alias("end"), "_h.rack.*"
+    hits = _rack_ends(entries).select("source_id", "id", F.inline(ends)).filter("rack <> ''")
+    return hits.select("source_id", "id", "end", rack_parts(F.col("rack")).alias("_r")).select(
+        "source_id", "id", "end", "_r.*"
     )
 
 
 def transfer_heatmap(entries: DataFrame) -> DataFrame:
     """Hits per rack cell."""
-    return (
-        transfer_hits(entries)
-        .groupBy("z", "y", "x", "y_key", "rack_id")
-        .agg(F.count(F.lit(1)).alias("hits"))
+    ends = _rack_ends(entries).select(F.explode(F.array("_source", "_dest")).alias("rack"))
+    # Grouping by the id alone keeps the key short; its parts follow from it.
+    cells = ends.filter("rack <> ''").groupBy("rack").agg(F.count(F.lit(1)).alias("hits"))
+    return cells.select(rack_parts(F.col("rack")).alias("_r"), "hits").select(
+        "_r.z", "_r.y", "_r.x", "_r.y_key", "_r.rack_id", "hits"
     )
 
 
@@ -56,10 +64,7 @@ def heatmap_margins(cells: DataFrame) -> DataFrame:
 
 def heatmap_totals(entries: DataFrame) -> DataFrame:
     """Transfers with at least one rack, rack hits, distinct racks and the largest cell."""
-    has_rack = rack_coordinate(transfer_field(F.col("val_str"), "source")).isNotNull() | rack_coordinate(
-        transfer_field(F.col("val_str"), "dest")
-    ).isNotNull()
-    rows = completed_transfers(entries).agg(F.count_if(has_rack)).scalar()
+    rows = _rack_ends(entries).agg(F.count_if((F.col("_source") != "") | (F.col("_dest") != ""))).scalar()
     return transfer_heatmap(entries).agg(
         rows.alias("transfer_rows"),
         F.coalesce(F.sum("hits"), F.lit(0)).alias("total_hits"),

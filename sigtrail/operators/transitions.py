@@ -8,24 +8,33 @@ from pyspark.sql import functions as F
 from sigtrail.functions.values import is_empty, value_number, value_text
 from sigtrail.plans.ordered import OrderedRows, position
 from sigtrail.plans.percentiles import exact_percentiles
-from sigtrail.schema import BOOL, SIGNAL_KEY, STRING, TIME_ORDER
-from sigtrail.session import cut_lineage, small_or_plain
+from sigtrail.plans.stages import bind
+from sigtrail.schema import BOOL, SIGNAL_KEY, STRING, TIME_ORDER, VALUE_COLUMNS
+from sigtrail.session import cut_lineage, is_small
 
 CYCLE, A_TO_B, POPULATED = "cycle", "a-to-b", "value-populated"
 TRANSITION_COLUMNS = ["rule_id", "start_ms", "end_ms", "duration_ms", "status"]
 
 
-def condition_matches(condition: Column, value: Column, coerce_numeric: bool = False) -> Column:
+def condition_matches(
+    condition: Column,
+    value: Column,
+    coerce_numeric: bool = False,
+    text: Column | None = None,
+    number: Column | None = None,
+    empty: Column | None = None,
+) -> Column:
     """The entry's tagged value satisfies ``condition`` against the text ``value``.
 
     Equality is typed: numbers compare as numbers, everything else as text.
-    ``greater`` and ``less`` read strings as 0 unless ``coerce_numeric``.
+    ``greater`` and ``less`` read strings as 0 unless ``coerce_numeric``.  ``text``,
+    ``number`` and ``empty`` are the value's readings where they are at hand as columns.
     """
     wanted = value.try_cast("double")
     # A boolean rule value counts as 1/0, other text as 0.
     threshold = F.coalesce(wanted, F.when(F.lower(value) == "true", F.lit(1.0)), F.lit(0.0))
-    number = value_number(coerce_numeric)
-    same_text = value_text().eqNullSafe(value)
+    number = value_number(coerce_numeric) if number is None else number
+    same_text = (value_text() if text is None else text).eqNullSafe(value)
     equal = F.when(F.col("val_type").isin(BOOL, STRING), same_text).otherwise(
         same_text | F.coalesce(number == wanted, F.lit(False))
     )
@@ -34,7 +43,7 @@ def condition_matches(condition: Column, value: Column, coerce_numeric: bool = F
         .when(condition == "not-equals", ~equal)
         .when(condition == "greater", number > threshold)
         .when(condition == "less", number < threshold)
-        .when(condition == "not-empty", ~is_empty())
+        .when(condition == "not-empty", ~(is_empty() if empty is None else empty))
         .otherwise(False)
     )
 
@@ -61,37 +70,36 @@ def _rule_rows(entries: DataFrame, rules: DataFrame, coerce_numeric: bool) -> Da
         & F.col("end_device").isNotNull()
     ).select("*", F.col("end_device").alias("device_id"), F.col("end_signal").alias("signal"))
     watched = start.unionByName(end)
-    joined = entries.select(*SIGNAL_KEY, "ts_ms", "source_id", "id", "val_type", "val_bool", "val_int", "val_float", "val_str").join(
-        small_or_plain(watched), SIGNAL_KEY
-    )
+    read = bind(
+        entries.select(*SIGNAL_KEY, *TIME_ORDER, *VALUE_COLUMNS),
+        _text=value_text(),
+        _number=value_number(coerce_numeric),
+        _empty=is_empty(),
+    ).drop("val_bool", "val_int", "val_float", "val_str")
+    joined = read.join(F.broadcast(watched) if is_small(rules) else watched, SIGNAL_KEY)
     on_start = (F.col("device_id") == F.col("start_device")) & (F.col("signal") == F.col("start_signal"))
     on_end = (F.col("device_id") == F.col("end_device")) & (F.col("signal") == F.col("end_signal"))
-    starts = F.when(F.col("type") == POPULATED, is_empty()).otherwise(
-        condition_matches(F.col("start_cond"), F.col("start_value"), coerce_numeric)
+    holds = lambda side: condition_matches(
+        F.col(f"{side}_cond"), F.col(f"{side}_value"), text=F.col("_text"), number=F.col("_number"), empty=F.col("_empty")
     )
+    populated = F.col("type") == POPULATED
+    starts = F.when(populated, F.col("_empty")).otherwise(holds("start"))
     ends = (
-        F.when(F.col("type") == POPULATED, on_start & ~is_empty())
-        .when(
-            F.col("type") == A_TO_B,
-            on_end & condition_matches(F.col("end_cond"), F.col("end_value"), coerce_numeric),
-        )
+        F.when(populated, on_start & ~F.col("_empty"))
+        .when(F.col("type") == A_TO_B, on_end & holds("end"))
         .otherwise(False)
     )
-    return (
-        joined.select(
-            "rule_id",
-            "type",
-            *TIME_ORDER,
-            F.coalesce(on_start & starts, F.lit(False)).alias("s"),
-            F.coalesce(ends, F.lit(False)).alias("e"),
-            "target_ms",
-            "tolerance_ms",
-        )
-        .filter(F.col("s") | F.col("e"))
+    matched = bind(
+        joined,
+        s=F.coalesce(on_start & starts, F.lit(False)),
+        e=F.coalesce(ends, F.lit(False)),
+    )
+    return matched.filter(F.col("s") | F.col("e")).select(
+        "rule_id", "type", *TIME_ORDER, "s", "e", "target_ms", "tolerance_ms"
     )
 
 
-def _switches(rows: DataFrame, segments: int | None) -> OrderedRows:
+def _switches(rows: DataFrame, entries: DataFrame, segments: int | None) -> OrderedRows:
     """Rows that arm a rule or end a transition (``fires``).
 
     A paired rule is idle or armed.  A start-only row leaves it armed, an end-only
@@ -105,7 +113,7 @@ def _switches(rows: DataFrame, segments: int | None) -> OrderedRows:
         F.col("s") != F.col("e"), F.struct(F.col("s").alias("armed"), F.col("flips").alias("at"))
     )
     ordered = (
-        OrderedRows(rows, ["rule_id"], TIME_ORDER, segments)
+        OrderedRows(rows, ["rule_id"], TIME_ORDER, segments, within=entries)
         .settle()
         .running_total({"flips": both})
         .known({"set": setting})
@@ -127,7 +135,7 @@ def transitions(
     while idle to the next end match; a row that ends a transition cannot start the
     next one.  value-populated: from the first empty value to the next filled one.
     """
-    events = _switches(_rule_rows(entries, rules, coerce_numeric), segments)
+    events = _switches(_rule_rows(entries, rules, coerce_numeric), entries, segments)
     # Arming and firing rows alternate, so a transition starts at the row before its end.
     near = events.neighbour({"start_ms": F.col("ts_ms")})
     duration = F.col("ts_ms") - F.col("start_ms")

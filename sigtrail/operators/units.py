@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from sigtrail.functions.values import script_number, value_text
 from sigtrail.operators.asof import values_at, values_at_times
-from sigtrail.schema import BOOL, SIGNAL_KEY
+from sigtrail.plans.stages import bind
+from sigtrail.schema import BOOL, VALUE_COLUMNS
 
 DEFAULT_COLOR = "#D3D3D3"
 CARRIER_SIGNAL = "CurrentLocation"
@@ -99,17 +100,20 @@ def _status(values: DataFrame, rules: DataFrame, mapping: DataFrame, at: list[st
     """Best matching rule per unit (and probe time ``at``)."""
     mapped = values.join(map_devices(values, mapping), "device_id")
     # Of several devices on a unit the greatest id supplies the signal.
-    number = F.when(F.col("val_type") == BOOL, F.col("val_bool").cast("double")).otherwise(
-        script_number(value_text())
+    picked = mapped.groupBy(*at, "unit_id", "signal").agg(
+        F.max_by(F.struct(*VALUE_COLUMNS), "device_id").alias("_v")
     )
-    per_unit = mapped.groupBy(*at, "unit_id", "signal").agg(
-        F.max_by(F.struct(value_text().alias("text"), number.alias("number")), "device_id").alias("_v")
+    per_unit = bind(
+        picked.select(*at, "unit_id", "signal", "_v.*"),
+        _text=value_text(),
+        _flag=F.when(F.col("val_type") == BOOL, F.col("val_bool").cast("double")),
     )
+    per_unit = bind(per_unit, _number=F.coalesce("_flag", script_number(F.col("_text"))))
     tests = per_unit.join(
         rules.withColumnRenamed("value", "rule_value").withColumnRenamed("text", "rule_text"), "signal"
     )
     hits = tests.filter(
-        rule_matches(F.col("_v.text"), F.col("op"), F.col("rule_value"), F.col("_v.number"))
+        rule_matches(F.col("_text"), F.col("op"), F.col("rule_value"), F.col("_number"))
     )
     shown = F.struct(
         F.coalesce(F.nullif("color", F.lit("")), F.col("bg_color")).alias("color"),

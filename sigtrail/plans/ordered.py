@@ -59,27 +59,33 @@ class OrderedRows:
         keys: Sequence[str],
         order: Sequence[str],
         segments: int | None = None,
+        within: DataFrame | None = None,
     ) -> None:
+        """``within`` is a frame with at least as many rows as any key of ``df``: where
+        counting it is cheaper and already shows that a key fits, ``df`` is not counted."""
         self.keys = list(keys)
         self.order = list(order)
-        cuts = self._cut_points(df, segments)
+        cuts = self._cut_points(df, segments, df if within is None else within)
         self.segmented = bool(cuts)
         self.df = df.withColumn(_SEG, self._segment_column(df, cuts)) if cuts else df
 
     # -- cutting -----------------------------------------------------------
 
-    def _cut_points(self, df: DataFrame, segments: int | None) -> list[tuple]:
+    def _cut_points(
+        self, df: DataFrame, segments: int | None, within: DataFrame
+    ) -> list[tuple]:
         if segments == 1:
             return []
+        limit = rows_per_task(df)
+        # A plain count reads no columns, so it goes first.
+        if segments is None and within.count() <= limit:
+            return []
         position = self.keys + self.order
         per_key = df.groupBy(*self.keys).count()
         hottest, total = per_key.agg(F.max("count"), F.sum("count")).first()
-        if not total:
+        if not total or (segments is None and hottest <= limit):
             return []
         if segments is None:
-            limit = rows_per_task(df)
-            if hottest <= limit:
-                return []
             segments = min(MAX_SEGMENTS, math.ceil(2 * total / limit))
         # The sample only places the cut points; every row stays in the result.
         fraction = min(1.0, _SAMPLES_PER_SEGMENT * segments / total)

@@ -42,14 +42,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_or_plain(df: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """Broadcast hint for ``df`` when its size is checked to be small.
+def is_small(df: DataFrame, max_rows: int | None = None) -> bool:
+    """Whether a frame has few enough rows to be broadcast.
 
-    Past the bound the frame is returned without a hint and the join runs as an
-    ordinary shuffled join, so the result does not depend on the bound.
+    Where it has not, callers join without a hint, as an ordinary shuffled join, so a
+    result does not depend on the bound.
     """
-    spark = df.sparkSession
-    limit = max_rows or int(spark.conf.get(BROADCAST_ROWS_CONF, str(DEFAULT_BROADCAST_ROWS)))
-    if df.limit(limit + 1).count() <= limit:
-        return F.broadcast(df)
-    return df
+    limit = max_rows or int(df.sparkSession.conf.get(BROADCAST_ROWS_CONF, str(DEFAULT_BROADCAST_ROWS)))
+    return df.limit(limit + 1).count() <= limit

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sigtrail.functions.text import is_blank, item, strip_bom, trim_space
 from sigtrail.functions.transfer import first_filled, pack_transfer, resolve_transfer_location
 from sigtrail.functions.typing import infer_type, parse_ts_ms, tagged, with_value
+from sigtrail.plans.stages import bind
 from sigtrail.sources.lines import ParsedLog, extract, read_lines, split_result
 
 # Header words and declared data types.
@@ -89,8 +90,9 @@ def parse_observable(lines: DataFrame) -> ParsedLog:
         category=F.lit(""),
         _dtype=part(4),
         _raw=F.coalesce(F.nullif(part(6), F.lit("")), part(5), F.lit("")),
-    ).withColumns(
-        {"ts_ms": parse_ts_ms(F.col("_time")), "signal": observable_signal(F.col("_variable"))}
+    )
+    fields = bind(
+        fields, ts_ms=parse_ts_ms(F.col("_time")), signal=observable_signal(F.col("_variable"))
     )
     reason = (
         F.when(~F.col("_shaped"), F.lit("line does not match observable format"))
@@ -123,9 +125,8 @@ def parse_trs(lines: DataFrame) -> ParsedLog:
             field(14),
         ]
     )
-    timed = shaped.withColumns(
-        {"_time": F.regexp_replace(field(0), r"\A(.{19}):(?=.)", "$1."), "_packed": packed}
-    ).withColumn("ts_ms", parse_ts_ms(F.col("_time")))
+    timed = bind(shaped, _time=F.regexp_replace(field(0), r"\A(.{19}):(?=.)", "$1."), _packed=packed)
+    timed = bind(timed, ts_ms=parse_ts_ms(F.col("_time")))
     return split_result(
         timed.select(
             "id",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sigtrail.functions.text import capture, is_blank, item
 from sigtrail.functions.typing import parse_ts_ms, tagged
+from sigtrail.plans.stages import bind
 from sigtrail.sources.lines import ParsedLog, extract, read_lines, split_result
 
 # Fixed value: line layout.
@@ -26,7 +27,8 @@ def parse_generic(lines: DataFrame) -> ParsedLog:
         signal=F.coalesce(F.nullif(part(1), F.lit("")), F.lit("INFO")),
         category=F.lit(""),
         _message=part(2),
-    ).withColumn("ts_ms", parse_ts_ms(F.col("_time")))
+    )
+    fields = bind(fields, ts_ms=parse_ts_ms(F.col("_time")))
     return split_result(
         fields.withColumns(
             {

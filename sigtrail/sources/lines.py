@@ -7,6 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sigtrail.plans.stages import bind
 from sigtrail.schema import ENTRY_COLUMNS, VALUE_COLUMNS
 
 # Low bits of ``id`` number the entries one line expands to.
@@ -54,17 +55,6 @@ def read_lines(spark: SparkSession, paths) -> DataFrame:
     return number_lines(scan_text(spark, paths))
 
 
-def bind(df: DataFrame, **columns: Column) -> DataFrame:
-    """Add columns that are evaluated once per row.
-
-    They leave through a generator on purpose: conditions on them are then tested on
-    its output, where the optimizer would otherwise copy the expressions - with all
-    the pattern matching inside - into the filter and into every use.
-    """
-    cells = F.struct(*[c.alias(n) for n, c in columns.items()])
-    return df.select("*", F.inline(F.array(cells)))
-
-
 def extract(lines: DataFrame, **fields: Column) -> DataFrame:
     """Cut fields out of each line, once per line."""
     return bind(lines, **fields).select("id", "source_id", "line", *fields)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sigtrail.functions.text import capture, is_blank, item, trim_space
 from sigtrail.functions.typing import infer_type, parse_ts_ms, tagged, with_value
+from sigtrail.plans.stages import bind
 from sigtrail.sources.lines import ParsedLog, extract, read_lines, split_result
 
 # Line layout, pair layout and the keys with a set type.
@@ -49,7 +50,8 @@ def parse_mcs(lines: DataFrame) -> ParsedLog:
         _first=trim_space(item(F.col("_p"), 2)),
         _second=trim_space(item(F.col("_p"), 3)),
         _pairs=item(F.col("_p"), 4),
-    ).withColumn("ts_ms", parse_ts_ms(F.col("_time")))
+    )
+    head = bind(head, ts_ms=parse_ts_ms(F.col("_time")))
     has_command = F.col("_second") != ""
     reason = F.when(~F.col("_shaped"), F.lit("line does not match MCS format")).when(
         F.col("ts_ms").isNull(), F.lit("invalid timestamp")

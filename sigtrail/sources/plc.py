@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sigtrail.functions.text import capture, is_blank, item, strip_bom, trim_space
 from sigtrail.functions.typing import extract_device_id, infer_type, parse_ts_ms, with_value
 from sigtrail.operators.resolve import resolve_signal_types
+from sigtrail.plans.stages import bind
 from sigtrail.sources.lines import ParsedLog, extract, read_lines, split_result
 
 # Line layouts.
@@ -45,13 +46,11 @@ def parse_plc_debug(lines: DataFrame) -> ParsedLog:
         _dtype=F.lower(part(4)),
         _raw=part(5),
         _free=F.col("_p").isNotNull(),
-    ).withColumns(
-        {
-            "ts_ms": parse_ts_ms(F.col("_time")),
-            "device_id": F.coalesce(
-                F.nullif("_device", F.lit("")), F.nullif("category", F.lit(""))
-            ),
-        }
+    )
+    fields = bind(
+        fields,
+        ts_ms=parse_ts_ms(F.col("_time")),
+        device_id=F.coalesce(F.nullif("_device", F.lit("")), F.nullif("category", F.lit(""))),
     )
     declared = F.when(F.col("_dtype").isin(_DECLARED_TYPES), F.col("_dtype"))
     complete = F.col("_free") & F.col("ts_ms").isNotNull() & F.col("device_id").isNotNull()
@@ -87,7 +86,8 @@ def parse_plc_tab(lines: DataFrame) -> ParsedLog:
         category=F.lit(""),
         _raw=part(3),
         _shaped=F.coalesce(F.size("_p") >= 4, F.lit(False)),
-    ).withColumn("ts_ms", parse_ts_ms(F.col("_time")))
+    )
+    fields = bind(fields, ts_ms=parse_ts_ms(F.col("_time")))
     complete = F.col("_shaped") & F.col("ts_ms").isNotNull() & (F.col("device_id") != "")
     reason = (
         F.when(complete, F.lit(None))
@@ -114,8 +114,9 @@ def parse_csv_signal(lines: DataFrame) -> ParsedLog:
         category=F.lit(""),
         _raw=part(3),
         _shaped=(F.size("_p") >= 4),
-    ).withColumns(
-        {"ts_ms": parse_ts_ms(F.col("_time")), "_device": extract_device_id(F.col("_path"))}
+    )
+    fields = bind(
+        fields, ts_ms=parse_ts_ms(F.col("_time")), _device=extract_device_id(F.col("_path"))
     )
     device = F.coalesce(F.nullif("_device", F.lit("")), F.col("_path"))
     reason = F.when(~F.col("_shaped"), F.lit("line does not match CSV signal format")).when(

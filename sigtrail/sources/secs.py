@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from sigtrail.functions.text import capture, item, trim_space
 from sigtrail.functions.typing import parse_ts_ms, tagged
-from sigtrail.sources.lines import ParsedLog, bind, number_lines, scan_text, split_result
+from sigtrail.plans.stages import bind
+from sigtrail.sources.lines import ParsedLog, number_lines, scan_text, split_result
 
 # Header and TransactionTime layouts.
 SECS_HEADER = r"^@?(\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2}\.\d{3})\^([^^]+)\^([^^]+)\^([^^]+?)\s*$"
