@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.registry import DAY_MS, END_MS, EV, MIXED, START_MS, T_MS, check
+from checks.registry import DAY_MS, END_MS, EV, START_MS, T_MS, check
 from sigtrail.adapters import bool_entries, events, int_entries, mixed_entries
 from sigtrail.operators import asof
 from sigtrail.operators.filters import EntryFilter

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.registry import END_MS, EV, MIXED, START_MS, T_MS, check
+from checks.registry import EV, MIXED, START_MS, T_MS, check
 from sigtrail.adapters import int_entries, mixed_entries, state_entries, transfers
 from sigtrail.functions.values import signal_type
 from sigtrail.operators import asof, filters

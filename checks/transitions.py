@@ -2,8 +2,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.registry import EV, check
-from sigtrail.adapters import rule_entries, transition_rules
+from checks.registry import EV, MIXED, check
+from sigtrail.adapters import mixed_entries, rule_entries, transition_rules
 from sigtrail.operators import filters
 from sigtrail.operators import transitions as tact
 
@@ -125,3 +125,26 @@ def duration_histogram(spark, sf):
     families = rules.withColumn("rule_id", family).select("rule_id", "target_ms").distinct()
     bins = tact.duration_histogram(grouped, families)
     return bins.withColumns({c: F.round(c, 3) for c in ("bin_start", "bin_end")})
+
+
+CONDITIONS = [
+    ("equals", "true"), ("equals", "42"), ("equals", "42.0"), ("equals", "level 7"), ("not-equals", "42"),
+    ("greater", "50"), ("greater", "0"), ("less", "0.5"), ("less", "true"), ("not-empty", None), ("other", "1"),
+]
+_CONDITIONS = ", ".join("('{}', {})".format(c, "NULL" if v is None else f"'{v}'") for c, v in CONDITIONS)
+
+
+@check(f"""WITH {MIXED}, c AS (SELECT * FROM (VALUES {_CONDITIONS}) c(condition, wanted)),
+p AS (SELECT id, condition, wanted, val_type, val_bool, coalesce(CAST(val_bool AS DOUBLE), CAST(val_int AS DOUBLE), val_float, 0.0) AS num,
+  CASE val_type WHEN 0 THEN CASE WHEN val_bool THEN 'true' ELSE 'false' END WHEN 3 THEN val_str END AS text,
+  TRY_CAST(wanted AS DOUBLE) AS wanted_num, CASE WHEN wanted = 'true' THEN 1.0 ELSE coalesce(TRY_CAST(wanted AS DOUBLE), 0.0) END AS threshold FROM mixed, c),
+e AS (SELECT *, CASE WHEN val_type IN (0, 3) THEN text = wanted ELSE coalesce(num = wanted_num, false) END AS same FROM p)
+SELECT id, condition, wanted, CASE condition WHEN 'equals' THEN same WHEN 'not-equals' THEN NOT same WHEN 'greater' THEN num > threshold WHEN 'less' THEN num < threshold
+  WHEN 'not-empty' THEN CASE val_type WHEN 0 THEN val_bool WHEN 3 THEN text <> '' ELSE true END ELSE false END AS hit FROM e""")
+def conditions(spark, sf):
+    tests = F.array(
+        *[F.struct(F.lit(c).alias("condition"), F.lit(v).cast("string").alias("wanted")) for c, v in CONDITIONS]
+    )
+    rows = mixed_entries(spark, sf).select("*", F.inline(tests))
+    hit = tact.condition_matches(F.col("condition"), F.col("wanted"))
+    return rows.select("id", "condition", "wanted", hit.alias("hit"))
