@@ -51,7 +51,7 @@ def page_with_total(spark, sf):
     rows, total = paging.page(
         int_entries(spark, sf), EntryFilter(signal_names=("error",)), number=3, size=50
     )
-    return rows.select("id", "ts_ms", "device_id", F.lit(total).alias("total"))
+    return rows.select("id", "ts_ms", "device_id", F.lit(total).cast("long").alias("total"))
 
 
 @check(f"WITH {EV}, f AS (SELECT * FROM ev WHERE signal <> 'view') SELECT id, device_id FROM f ORDER BY device_id, id LIMIT 100 OFFSET 200")

@@ -105,7 +105,7 @@ def carrier_entries(spark, sf):
     return units.carrier_entries(carriers(spark, sf), START_MS, END_MS)
 
 
-@check("""SELECT min(CAST(p_size AS DOUBLE)) AS min_x, min(CAST(p_partkey AS DOUBLE)) AS min_y, max(p_size + 2.5) AS max_x, max(p_partkey + CAST(p_size AS DOUBLE)) AS max_y FROM part WHERE p_partkey % 3 <> 0""")
+@check("""SELECT min(CAST(p_size AS DOUBLE)) AS min_x, min(CAST(p_partkey AS DOUBLE)) AS min_y, CAST(max(p_size + 2.5) AS DOUBLE) AS max_x, max(p_partkey + CAST(p_size AS DOUBLE)) AS max_y FROM part WHERE p_partkey % 3 <> 0""")
 def layout_extent(spark, sf):
     part = table(spark, sf, "part")
     bad = F.col("p_partkey") % 3 == 0

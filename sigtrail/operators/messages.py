@@ -21,8 +21,8 @@ def secs_items(messages: DataFrame) -> DataFrame:
     is_item = F.col("_i.kind") != "close"
     numbered = lines.withColumns(
         {
-            "depth": F.coalesce(F.sum(opened).over(inside), F.lit(0)),
-            "seq": F.coalesce(F.sum(is_item.cast("int")).over(inside), F.lit(0)),
+            "depth": F.coalesce(F.sum(opened).over(inside), F.lit(0)).cast("int"),
+            "seq": F.coalesce(F.sum(is_item.cast("int")).over(inside), F.lit(0)).cast("int"),
         }
     )
     return numbered.filter(is_item).select(
