@@ -3,7 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.registry import EV, MIXED, check
-from sigtrail.adapters import as_entries, events, int_entries, mixed_entries
+from sigtrail.adapters import as_entries, events, int_entries, mixed_entries, table
 from sigtrail.functions.typing import extract_device_id, tagged
 from sigtrail.operators import dims, resolve
 
@@ -109,8 +109,6 @@ SELECT id, path, CASE WHEN regexp_matches(seg, '^[A-Za-z0-9_-]+$') THEN seg ELSE
 def device_ids(spark, sf):
     number = F.col("user_id").cast("string")
     kind, event = F.col("event_type"), F.col("event_id").cast("string")
-    from sigtrail.adapters import table
-
     path = (
         F.when(kind == "view", F.concat(F.lit("Area/Zone.DEV-"), number, F.lit("@D"), event))
         .when(kind == "click", F.concat(F.lit("a\\b]DEV_"), number))

@@ -3,7 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.registry import check
-from sigtrail.adapters import transfers
+from sigtrail.adapters import table, transfers
 from sigtrail.functions.transfer import rack_coordinate, resolve_transfer_location, unpack_transfer
 from sigtrail.operators import transfers as heat
 
@@ -32,8 +32,6 @@ r AS (SELECT *, regexp_extract(text, '(?:^|[^0-9])([0-9]{6})(?:[^0-9]|$)', 1) AS
 SELECT id, text, nullif(rack, '') AS rack_id, CAST(nullif(substr(rack, 1, 1), '') AS INTEGER) AS z, CAST(nullif(substr(rack, 2, 3), '') AS INTEGER) AS x,
   CAST(nullif(substr(rack, 5, 2), '') AS INTEGER) AS y, CASE WHEN rack <> '' THEN 'Z' || substr(rack, 1, 1) || '-' || substr(rack, 5, 2) END AS y_key FROM r""")
 def rack_coordinates(spark, sf):
-    from sigtrail.adapters import table
-
     kind = F.col("event_type")
     six = lambda c: F.lpad(F.col(c).cast("string"), 6, "0")
     text = (
@@ -52,8 +50,6 @@ def rack_coordinates(spark, sf):
 r AS (SELECT *, CASE WHEN trim(place) = '' OR upper(trim(place)) = 'SN0' THEN coalesce(nullif(regexp_extract(a, '(?:^|[^0-9])([0-9]{6})(?:[^0-9]|$)', 1), ''), nullif(regexp_extract(b, '(?:^|[^0-9])([0-9]{6})(?:[^0-9]|$)', 1), ''), trim(place)) ELSE trim(place) END AS location FROM t)
 SELECT place, a, b, location, count(*) AS n FROM r GROUP BY ALL""")
 def resolve_location(spark, sf):
-    from sigtrail.adapters import table
-
     flag, status = F.col("l_returnflag"), F.col("l_linestatus")
     place = F.when(flag == "A", "sn0").when(flag == "N", " ").otherwise(F.concat(F.lit("P"), F.col("l_suppkey")))
     a = F.when(status == "F", "none").otherwise(F.concat(F.lit("2"), F.lpad((F.col("l_partkey") % 100000).cast("string"), 5, "0")))
