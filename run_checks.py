@@ -5,7 +5,6 @@
 
 from __future__ import annotations
 
-import math
 import sys
 import time
 from pathlib import Path
@@ -24,11 +23,10 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def plain(value):
-    if isinstance(value, float):
-        return "nan" if math.isnan(value) else f"{value:.6g}"
+    """Text that keeps the type apart: 1 and 1.0 differ, as do 0.1 and 0.1000001."""
     if isinstance(value, (list, tuple)):
         return str([plain(v) for v in value])
-    return str(value)
+    return repr(value)
 
 
 def normal(columns, rows):
