@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigtrail.llm import sharding
+from sigtrail.llm import mixing, sharding
 from sigtrail.llm.scratch import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,3 +26,67 @@ def op10_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = sharding.shard(docs.withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit("")))), shards=24)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+MIXTURE = mixing.Mixture(
+    weights={
+        ("web",): 5, ("books",): 3, ("code",): 2,
+        ("web", "en"): 6, ("web", "de"): 2, ("web", "fr"): 2, ("web", "es"): 2,
+        ("books", "en"): 3, ("code", "en"): 4,
+        ("web", "en", "src0"): 4,
+    }
+)
+DOMAIN = F.when(F.col("source").isin([f"src{i}" for i in range(10)]), "web").when(F.col("source").isin([f"src{i}" for i in range(10, 15)]), "books").otherwise("code")
+
+
+@query
+def op1_hierarchical_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of a mixture of 60 % of all tokens, by domain, language and source."""
+    chosen = mixing.mix(table(spark, sf_dir, "documents"), MIXTURE, DOMAIN)
+    return chosen.select("doc_id", "epoch", "domain", "lang", "source", "n_tokens")
+
+
+def _weight_sql(depth: int) -> str:
+    cases = [
+        "WHEN " + " AND ".join(f"{level} = '{name}'" for level, name in zip(("d", "l", "s"), path)) + f" THEN {w}"
+        for path, w in MIXTURE.weights.items() if len(path) == depth
+    ]
+    return f"CASE {' '.join(cases)} ELSE 1 END"
+
+
+def _level_sql(depth: int) -> str:
+    keys, up = ", ".join("dls"[:depth]), ", ".join("dls"[: depth - 1])
+    part = f"PARTITION BY {up}" if up else ""
+    above = f"JOIN (SELECT {up}, budget FROM t{depth - 1}) USING ({up})" if up else "CROSS JOIN t0"
+    return f"""
+n{depth} AS (SELECT {keys}, cap, tokens, budget, {_weight_sql(depth)} AS w
+  FROM (SELECT {keys}, sum(tokens)::BIGINT AS tokens, sum(tokens)::BIGINT * {MIXTURE.max_epochs} AS cap FROM leaves GROUP BY {keys}) {above}),
+f{depth} AS (SELECT *, (budget - coalesce(sum(cap) OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * w
+    >= cap * sum(w) OVER (r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS is_full
+  FROM n{depth} WINDOW r AS ({part} ORDER BY cap / w::DOUBLE, {keys})),
+g{depth} AS (SELECT *, coalesce(sum(cap) FILTER (is_full) OVER ({part}), 0) AS used, coalesce(sum(w) FILTER (NOT is_full) OVER ({part}), 0) AS open_w FROM f{depth}),
+t{depth} AS (SELECT {keys}, tokens, CASE WHEN is_full THEN cap ELSE (budget - used) * w // greatest(open_w, 1) END AS budget FROM g{depth})"""
+
+
+SQL["op1_hierarchical_mixture"] = (
+    f"""
+WITH docs AS (
+  SELECT doc_id, lang, source, coalesce(lang, '') AS l, coalesce(source, '') AS s, coalesce(text, '') AS text,
+    CASE WHEN regexp_matches(source, '^src[0-9]$') THEN 'web' WHEN regexp_matches(source, '^src1[0-4]$') THEN 'books' ELSE 'code' END AS d,
+    coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS n_tokens
+  FROM documents),
+leaves AS (SELECT d, l, s, sum(n_tokens) AS tokens FROM docs GROUP BY d, l, s),
+t0 AS (SELECT sum(tokens)::BIGINT * {MIXTURE.percent} // 100 AS budget FROM leaves),"""
+    + ",".join(_level_sql(depth) for depth in (1, 2, 3))
+    + f""",
+keyed AS (
+  SELECT docs.*, budget // greatest(tokens, 1) AS whole, budget % greatest(tokens, 1) AS rest,
+    ('0x' || substr(md5('{MIXTURE.seed}:' || (budget // greatest(tokens, 1))::BIGINT || ':' || coalesce(doc_id::VARCHAR, '') || ':' || md5(text)), 1, 15))::BIGINT AS k
+  FROM docs JOIN t3 USING (d, l, s)),
+places AS (
+  SELECT *, sum(n_tokens) OVER (PARTITION BY d, l, s ORDER BY k RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS up_to,
+    sum(n_tokens) OVER (PARTITION BY d, l, s, k) AS here FROM keyed),
+used AS (SELECT *, whole + CASE WHEN rest > 0 AND 2 * up_to - here <= 2 * rest THEN 1 ELSE 0 END AS epochs FROM places)
+SELECT doc_id, e AS epoch, d AS domain, lang, source, n_tokens::BIGINT AS n_tokens
+FROM used, LATERAL (SELECT unnest(range(0, epochs::BIGINT)) AS e)"""
+)
