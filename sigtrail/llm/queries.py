@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigtrail.llm import mixing, sharding
+from sigtrail.llm import decontaminate, mixing, sharding
 from sigtrail.llm.scratch import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,3 +90,26 @@ used AS (SELECT *, whole + CASE WHEN rest > 0 AND 2 * up_to - here <= 2 * rest T
 SELECT doc_id, e AS epoch, d AS domain, lang, source, n_tokens::BIGINT AS n_tokens
 FROM used, LATERAL (SELECT unnest(range(0, epochs::BIGINT)) AS e)"""
 )
+
+
+@query
+def op3_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with every benchmark item that it contains."""
+    found = decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("doc").alias("doc_id"), "item_id", F.col("n_shared").cast("long").alias("n_shared"), F.col("n_item").cast("long").alias("n_item"))
+
+
+def _shingle_sql(name: str, rows: str, key: str, k: int) -> str:
+    """(key, shingle): the distinct k-word shingles; a shorter text is one shingle."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""{name}_w AS (SELECT {key}, regexp_extract_all(translate(text, '{upper}', '{lower}'), '[^\x20\x09-\x0D]+') AS w FROM {rows}),
+{name} AS (SELECT DISTINCT {key}, array_to_string(w[i : i + {k - 1}], ' ') AS shingle
+  FROM {name}_w, LATERAL (SELECT unnest(range(1, greatest(len(w) - {k - 2}, 2))) AS i) WHERE len(w) > 0)"""
+
+
+SQL["op3_minhash_containment"] = f"""
+WITH {_shingle_sql("doc", "documents", "doc_id", 5)},
+{_shingle_sql("item", "benchmark", "item_id", 5)},
+sized AS (SELECT item_id, count(*) AS n_item FROM item GROUP BY item_id),
+shared AS (SELECT doc_id, item_id, count(*) AS n_shared FROM doc JOIN item USING (shingle) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_shared, n_item FROM shared JOIN sized USING (item_id) WHERE 5 * n_shared >= 4 * n_item"""

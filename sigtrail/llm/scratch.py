@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -52,7 +53,7 @@ def slices(batch: pa.RecordBatch, column: int, max_bytes: int = 1 << 20) -> Iter
     text is a slice of its own.  Bounds the memory of whatever is computed per byte."""
     lengths = batch.column(column)
     start, used = 0, 0
-    for i, size in enumerate(pa.compute.binary_length(lengths).to_pylist()):
+    for i, size in enumerate(pc.binary_length(lengths).to_pylist()):
         size = size or 0
         if used + size > max_bytes and i > start:
             yield batch.slice(start, i - start)
