@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigtrail.llm import decontaminate, mixing, sharding
+from sigtrail.llm import decontaminate, mixing, quality, sharding
 from sigtrail.llm.scratch import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,3 +113,12 @@ WITH {_shingle_sql("doc", "documents", "doc_id", 5)},
 sized AS (SELECT item_id, count(*) AS n_item FROM item GROUP BY item_id),
 shared AS (SELECT doc_id, item_id, count(*) AS n_shared FROM doc JOIN item USING (shingle) GROUP BY doc_id, item_id)
 SELECT doc_id, item_id, n_shared, n_item FROM shared JOIN sized USING (item_id) WHERE 5 * n_shared >= 4 * n_item"""
+
+
+@query
+def op6_line_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, chain)
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
