@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigtrail.llm import decontaminate, mixing, quality, sharding
+from sigtrail.llm import decontaminate, jaccard, mixing, quality, sharding
 from sigtrail.llm.scratch import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -122,3 +122,19 @@ def op6_line_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     chain = quality.fit(docs, table(spark, sf_dir, "labels"))
     scored = quality.score(docs, chain)
     return scored.select("doc_id", quality.held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+@query
+def op4_adaptive_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of near copies (3-word shingles, similarity 0.9) of every document."""
+    return jaccard.near_classes(table(spark, sf_dir, "documents"), jaccard.Similarity(k=3, numerator=90))
+
+
+SQL["op4_adaptive_prefix_join"] = f"""
+WITH RECURSIVE {_shingle_sql("doc", "documents", "doc_id", 3)},
+sized AS (SELECT doc_id, count(*) AS n FROM doc GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM doc a JOIN doc b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT a, b FROM shared JOIN sized x ON x.doc_id = a JOIN sized y ON y.doc_id = b WHERE 100 * m >= 90 * (x.n + y.n - m)),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+SELECT d.doc_id, coalesce(max(n), 0) AS n_shingles, min(reach.b) AS component_id
+FROM documents d LEFT JOIN sized ON sized.doc_id = d.doc_id JOIN reach ON reach.a = d.doc_id GROUP BY d.doc_id"""
