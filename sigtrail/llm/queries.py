@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigtrail.llm import decontaminate, jaccard, mixing, quality, sharding
+from sigtrail.llm import decontaminate, jaccard, mixing, quality, secrets, sharding
 from sigtrail.llm.scratch import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -138,3 +138,9 @@ links AS (SELECT a, b FROM shared JOIN sized x ON x.doc_id = a JOIN sized y ON y
 reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
 SELECT d.doc_id, coalesce(max(n), 0) AS n_shingles, min(reach.b) AS component_id
 FROM documents d LEFT JOIN sized ON sized.doc_id = d.doc_id JOIN reach ON reach.a = d.doc_id GROUP BY d.doc_id"""
+
+
+@query
+def op9_trigram_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets of every document."""
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
