@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigtrail.llm.components import components
-from sigtrail.llm.scratch import arrow_map, drop, slices, staged
+from sigtrail.llm.scratch import arrow_map, drop, runs, slices, staged
 from sigtrail.llm.words import mix, shingle_sets
 
 COUNTER_BITS = 20
@@ -173,35 +173,6 @@ def _pivot_pairs(met: DataFrame, classes: DataFrame, like: Similarity) -> DataFr
     return near.where(like.may_differ(differ, F.col("na") + F.col("nb"))).select("a", "b")
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
-    """Rows with equal first ``keys`` columns together, from sorted batches."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        new = np.zeros(batch.num_rows, dtype=bool)
-        for i in range(keys):
-            column = batch.column(i).to_numpy(zero_copy_only=False)
-            new[1:] |= column[1:] != column[:-1]
-            new[0] |= not held or held[-1].column(i)[held[-1].num_rows - 1].as_py() != column[0]
-        cuts = np.flatnonzero(new)
-        edges = [0, *cuts[cuts > 0], batch.num_rows]
-        if new[0] and held:
-            yield _joined(held)
-            held = []
-        for a, b in zip(edges[:-1], edges[1:]):
-            if a and held:
-                yield _joined(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield _joined(held)
-
-
-def _joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-    return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
 def _block_pairs(met: DataFrame, classes: DataFrame, labels: DataFrame, like: Similarity, block: int) -> DataFrame:
     """(a, b) of classes in different components that meet often enough to be verified."""
     named = met.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
@@ -214,7 +185,7 @@ def _block_pairs(met: DataFrame, classes: DataFrame, labels: DataFrame, like: Si
     dealt = rows.repartition("shingle", "low", "high").sortWithinPartitions("shingle", "low", "high")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in _runs(batches, 3):
+        for run in runs(batches, 3):
             same_block = run.column(1)[0].as_py() == run.column(2)[0].as_py()
             own = run.column(3).to_numpy()
             component = np.unique(np.array(run.column(5).to_pylist(), dtype=object), return_inverse=True)[1]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigtrail.llm import decontaminate, jaccard, mixing, quality, secrets, sharding
+from sigtrail.llm import decontaminate, jaccard, mixing, quality, secrets, sharding, vectors
 from sigtrail.llm.scratch import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -144,3 +144,24 @@ FROM documents d LEFT JOIN sized ON sized.doc_id = d.doc_id JOIN reach ON reach.
 def op9_trigram_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The secrets of every document."""
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_metric_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of near copies (cosine 0.98 within a label) of every embedding."""
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+SQL["op8_metric_range_join"] = """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a),
+c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id"""

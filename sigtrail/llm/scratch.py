@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -61,3 +62,35 @@ def slices(batch: pa.RecordBatch, column: int, max_bytes: int = 1 << 20) -> Iter
         used += size
     if batch.num_rows > start:
         yield batch.slice(start)
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """Rows with equal first ``keys`` columns together, from sorted batches.
+
+    Holds one run at a time, so runs must be of bounded size.
+    """
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = np.zeros(batch.num_rows, dtype=bool)
+        for i in range(keys):
+            column = batch.column(i).to_numpy(zero_copy_only=False)
+            new[1:] |= column[1:] != column[:-1]
+            new[0] |= not held or held[-1].column(i)[held[-1].num_rows - 1].as_py() != column[0]
+        cuts = np.flatnonzero(new)
+        edges = [0, *cuts[cuts > 0], batch.num_rows]
+        if new[0] and held:
+            yield _joined(held)
+            held = []
+        for a, b in zip(edges[:-1], edges[1:]):
+            if a and held:
+                yield _joined(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield _joined(held)
+
+
+def _joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
