@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigtrail.llm import decontaminate, jaccard, mixing, quality, secrets, sharding, vectors
+from sigtrail.llm import decontaminate, extraction, jaccard, mixing, quality, secrets, sharding, urls, vectors
 from sigtrail.llm.scratch import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,13 +36,18 @@ MIXTURE = mixing.Mixture(
         ("web", "en", "src0"): 4,
     }
 )
-DOMAIN = F.when(F.col("source").isin([f"src{i}" for i in range(10)]), "web").when(F.col("source").isin([f"src{i}" for i in range(10, 15)]), "books").otherwise("code")
+
+
+def domain() -> Column:
+    """The domain of a source: the corpus has no such column."""
+    web, books = [f"src{i}" for i in range(10)], [f"src{i}" for i in range(10, 15)]
+    return F.when(F.col("source").isin(web), "web").when(F.col("source").isin(books), "books").otherwise("code")
 
 
 @query
 def op1_hierarchical_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of a mixture of 60 % of all tokens, by domain, language and source."""
-    chosen = mixing.mix(table(spark, sf_dir, "documents"), MIXTURE, DOMAIN)
+    chosen = mixing.mix(table(spark, sf_dir, "documents"), MIXTURE, domain())
     return chosen.select("doc_id", "epoch", "domain", "lang", "source", "n_tokens")
 
 
@@ -165,3 +170,24 @@ n AS (SELECT a, count(*) AS n FROM links GROUP BY a),
 c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
 SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
 FROM embeddings JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id"""
+
+
+@query
+def op7_inferred_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extraction.extract(table(spark, sf_dir, "pages"))
+
+
+URL_RULES = [
+    urls.Rule("block", "net", "/"),
+    urls.Rule("allow", "example.net", "/en/"),
+    urls.Rule("block", "example.com", "/de/"),
+    urls.Rule("allow", "org", "/fr/"),
+]
+
+
+@query
+def op5_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url."""
+    judged = urls.judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"))
