@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigtrail.llm import decontaminate, extraction, jaccard, mixing, quality, secrets, sharding, urls, vectors
+from sigtrail.llm import decontaminate, extraction, jaccard, lines, mixing, quality, secrets, sharding, urls, vectors
 from sigtrail.llm.scratch import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -191,3 +191,27 @@ def op5_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on every page's url."""
     judged = urls.judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict", F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"))
+
+
+@query
+def op2_deletion_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without repeated and nearly repeated lines."""
+    out = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_kept", F.md5("text").alias("text_md5"))
+
+
+SQL["op2_deletion_neighbourhood"] = """
+WITH parts AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+occ AS (SELECT doc_id, i, l[i] AS line FROM parts, LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i)),
+ranked AS (SELECT doc_id, i, line, row_number() OVER (ORDER BY doc_id, i) AS place FROM occ WHERE trim(line, ' ') <> ''),
+firsts AS (SELECT line, min(place) AS place, length(line) AS n FROM ranked GROUP BY line),
+near AS (
+  SELECT DISTINCT b.line FROM firsts a JOIN firsts b ON a.place < b.place AND abs(a.n - b.n) <= 1 AND least(a.n, b.n) >= 16
+    AND (left(a.line, least(a.n, b.n) // 2) = left(b.line, least(a.n, b.n) // 2)
+      OR right(a.line, least(a.n, b.n) - least(a.n, b.n) // 2) = right(b.line, least(a.n, b.n) - least(a.n, b.n) // 2))
+  WHERE a.n BETWEEN b.n - 1 AND b.n + 1 AND levenshtein(a.line, b.line) <= 1),
+kept AS (
+  SELECT occ.doc_id, occ.i, occ.line FROM occ LEFT JOIN ranked USING (doc_id, i) LEFT JOIN firsts ON firsts.line = occ.line AND firsts.place = ranked.place
+  WHERE ranked.place IS NULL OR (firsts.place IS NOT NULL AND occ.line NOT IN (SELECT line FROM near)))
+SELECT doc_id, len(l)::BIGINT AS n_lines, count(kept.i) AS n_kept, md5(coalesce(string_agg(kept.line, chr(10) ORDER BY kept.i), '')) AS text_md5
+FROM parts LEFT JOIN kept USING (doc_id) GROUP BY doc_id, l"""
