@@ -210,6 +210,28 @@ def _common(a: list, b: list) -> list[tuple[int, int]]:
     return pairs + [(len(a) - tail + k, len(b) - tail + k) for k in range(tail)]
 
 
+def _open_after(open_: list[tuple], symbol: str) -> list[tuple]:
+    """The open containers, as (name, *side words), after a tag."""
+    name, *marks = symbol.removeprefix("/").split(".")
+    if name not in CONTAINERS:
+        return open_
+    if symbol[0] != "/":
+        return [*open_, (name, *marks)]
+    at = max((i for i, (n, *_) in enumerate(open_) if n == name), default=None)
+    return open_ if at is None else open_[:at]
+
+
+def _keys(items: list[Item]) -> list[tuple]:
+    """Items as they are compared: by symbol and by the telling elements around."""
+    open_, keys = [], []
+    for x in items:
+        around = tuple(c for c in open_ if len(c) > 1 or c[0] in SIDE_ELEMENTS or c[0] in MAIN_ELEMENTS)
+        keys.append((x.symbol, around))
+        for symbol in _flat(x.symbol):
+            open_ = _open_after(open_, symbol)
+    return keys
+
+
 def _as_groups(items: list[Item], groups: set) -> list[Item]:
     """Single occurrences of what the other side repeats, as groups."""
     for group in sorted(groups, key=lambda g: (len(g[1]), repr(g))):
@@ -235,7 +257,7 @@ def align(a: list[Item], b: list[Item]) -> list[Item]:
     groups = _groups(a) | _groups(b)
     a, b = _as_groups(a, groups), _as_groups(b, groups)
     out, i, j = [], 0, 0
-    for x, y in [*_common([k.symbol for k in a], [k.symbol for k in b]), (len(a), len(b))]:
+    for x, y in [*_common(_keys(a), _keys(b)), (len(a), len(b))]:
         out += [k._replace(optional=True) for k in a[i:x]] + [k._replace(optional=True) for k in b[j:y]]
         if x < len(a):
             out.append(Item(a[x].symbol, a[x].optional or b[y].optional, [_add(s, t) for s, t in zip(a[x].slots, b[y].slots)]))
@@ -257,7 +279,7 @@ def _judge(wrapper: list[Item]) -> list[bool]:
     Slots in side elements never do.  If the host has articles, all other slots in them
     do; else those whose text changes from page to page and isn't mostly links.
     """
-    open_, places = [], []
+    open_, places, leaf = [], [], []
     slots = [s for x in wrapper for s in x.slots]
     for symbol in (s for x in wrapper for s in _flat(x.symbol)):
         if symbol == "#":
@@ -267,12 +289,7 @@ def _judge(wrapper: list[Item]) -> list[bool]:
             continue
         name, *marks = symbol.removeprefix("/").split(".")
         leaf = [] if symbol[0] == "/" or name in CONTAINERS else [name, *marks]
-        if name in CONTAINERS:
-            if symbol[0] != "/":
-                open_.append((name, *marks))
-            elif any(n == name for n, *_ in open_):
-                while open_.pop()[0] != name:
-                    pass
+        open_ = _open_after(open_, symbol)
     articles = any(inside and not side for side, inside in places)
     if articles:
         return [inside and not side for side, inside in places]
@@ -291,7 +308,7 @@ def main_slots(wrapper: list[Item], stream: list[Item]) -> list[int]:
     keep = _judge(folded)
     first = np.cumsum([0, *[len(x.slots) for x in wrapper]])
     own = np.cumsum([0, *[len(x.slots) for x in folded]])
-    for x, y in _common([k.symbol for k in wrapper], [k.symbol for k in folded]):
+    for x, y in _common(_keys(wrapper), _keys(folded)):
         keep[own[y] : own[y + 1]] = good[first[x] : first[x + 1]]
     return [i for i, main in enumerate(keep) if main]
 
