@@ -21,7 +21,7 @@ TRANSFER_SORTS = {
     "cmdID": "cmd_id", "status": "status", "source": "source",
     "dest": "dest", "currLoc": "curr_loc", "result": "result",
 }
-DEFAULT_PAGE_SIZE, MAX_PAGE_SIZE = 100, 1000
+DEFAULT_PAGE_SIZE = 100
 # Offsets up to here are served by a top-k; further ones by row positions.
 SHALLOW_ROWS = 100_000
 
@@ -51,10 +51,11 @@ def sort_entries(entries: DataFrame, column: str = "timestamp", direction: str =
     return entries.orderBy(*_ordering(sort_expression(column), direction))
 
 
-def clamp_page(page: int, size: int) -> tuple[int, int]:
-    if not 1 <= size <= MAX_PAGE_SIZE:
-        size = DEFAULT_PAGE_SIZE
-    return max(page, 1), size
+def _page_start(number: int, size: int) -> int:
+    """First position of a page; numbers below 1 count as 1."""
+    if size < 1:
+        raise ValueError(f"a page has at least one row, not {size}")
+    return (max(number, 1) - 1) * size
 
 
 def page(
@@ -73,8 +74,7 @@ def page(
 def page_rows(
     rows: DataFrame, column: str, direction: str, number: int, size: int
 ) -> DataFrame:
-    number, size = clamp_page(number, size)
-    start = (number - 1) * size
+    start = _page_start(number, size)
     if start + size <= SHALLOW_ROWS:
         ordering = _ordering(sort_expression(column), direction)
         return rows.orderBy(*ordering).offset(start).limit(size)
@@ -105,17 +105,23 @@ def page_after(
     direction: str = "asc",
 ) -> DataFrame:
     """The page that follows a known last row: a range predicate and a top-k,
-    at the same cost for every depth."""
+    at the same cost for every depth.
+
+    Rows without a key come last in both directions; ``last_key`` is None when the
+    known row is one of them.
+    """
+    _page_start(1, size)
     key = sort_expression(column)
-    here = F.struct(key.alias("k"), F.col("source_id").alias("s"), F.col("id").alias("i"))
-    last = F.struct(
-        F.lit(last_key).alias("k"), F.lit(last_source).alias("s"), F.lit(last_id).cast("long").alias("i")
-    )
-    # The plain comparison on the key is what the scan can use.
-    if direction == "desc":
-        later = (key <= F.lit(last_key)) & (here < last)
+    here = F.struct(F.col("source_id").alias("s"), F.col("id").alias("i"))
+    last = F.struct(F.lit(last_source).alias("s"), F.lit(last_id).cast("long").alias("i"))
+    tied = here < last if direction == "desc" else here > last
+    if last_key is None:
+        later = key.isNull() & tied
     else:
-        later = (key >= F.lit(last_key)) & (here > last)
+        # Plain comparisons on the key are what the scan can use.
+        bound = F.lit(last_key)
+        beyond = key < bound if direction == "desc" else key > bound
+        later = beyond | ((key == bound) & tied) | key.isNull()
     return entries.filter(later).orderBy(*_ordering(key, direction)).limit(size)
 
 
@@ -142,7 +148,10 @@ def index_of_time(
     sorted before it, so nothing is ranked.
     """
     rows = entries.filter(flt.predicate()) if flt else entries
-    key = F.struct(sort_expression(column).alias("k"), *INGEST_ORDER)
+    # NULL keys sort last in both directions, which a struct would put first.
+    value = sort_expression(column)
+    flag = value.isNotNull() if direction == "desc" else value.isNull()
+    key = F.struct(flag.alias("f"), value.alias("k"), *INGEST_ORDER)
     reached = F.col("ts_ms") >= ts_ms
     edge = F.max if direction == "desc" else F.min
     first = rows.filter(reached).agg(edge(key).alias("first")).scalar()
