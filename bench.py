@@ -16,6 +16,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from checks import CHECKS  # noqa: E402
 from run_checks import session  # noqa: E402
+from sigtrail.session import drop_stages  # noqa: E402
 
 HEADLINE = [
     "values_at",
@@ -53,6 +54,7 @@ def main() -> None:
             CHECKS[name].run(spark, sf_dir).write.format("noop").mode("overwrite").save()
             took = time.time() - begin
             best = took if best is None else min(best, took)
+        drop_stages(spark)
         times[name] = round(best, 3)
         print(f"{name}: {best:.2f}s", file=sys.stderr, flush=True)
     total = round(sum(times.values()), 3)

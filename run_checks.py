@@ -5,7 +5,9 @@
 
 from __future__ import annotations
 
+import os
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -13,6 +15,7 @@ import duckdb
 from pyspark.sql import SparkSession
 
 from checks import CHECKS
+from sigtrail.session import drop_stages
 
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
@@ -61,6 +64,7 @@ def session(cpus: str = "8") -> SparkSession:
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.dir", os.environ.get("SIGTRAIL_SCRATCH") or tempfile.mkdtemp(prefix="sigtrail-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -79,6 +83,7 @@ def main() -> int:
             ok, note = compare(spark, con, sf_dir, name)
         except Exception as error:
             ok, note = False, f"{type(error).__name__}: {str(error)[:600]}"
+        drop_stages(spark)
         failed += not ok
         print("ok  " if ok else "FAIL", name, note, flush=True)
     print(f"{failed} failed of {len(args or CHECKS)}")

@@ -5,20 +5,19 @@ order.  A plain window does that with one shuffle, but puts a whole key into
 one task; with a key that holds a third of the data that task never finishes.
 
 Here a key with more rows than one task should sort is cut into consecutive
-*segments* of about equal size.  The cut points are plain values of
-``(keys, order)``, so a row's segment depends on the row alone and every branch
-of the plan agrees on it, whatever is recomputed.  Each segment is windowed on
-its own, and what a segment needs from the rows before it (last row, last known
-value, total so far) comes from a per-segment summary.  A key is summarised only
-when it spans segments, hence at most two summary rows per cut point: that bound
-is what allows the summary to be broadcast.
-
-Keys that fit a task take the plain window; the choice is one counting job.
+*segments* of about equal size: its rows are range partitioned by ``(keys, order)``
+into as many parts as their number asks for, and the part becomes a column of the
+rows, which are written once so that every branch of the plan agrees on it, whatever
+is recomputed.  Each segment is windowed on its own, and what a segment needs from
+the rows before it (last row, last known value, total so far) comes from a
+per-segment summary, at most two rows for each cut.
+
+Keys that fit a task are one segment and are not ranged; if all do, nothing is
+written and the plain window is taken.  The choice is one counting job.
 """
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Mapping, Sequence
 
@@ -29,8 +28,6 @@ from sigtrail.session import cut_lineage
 
 ROWS_PER_TASK_CONF = "spark.sigtrail.maxRowsPerTask"
 DEFAULT_ROWS_PER_TASK = 4_000_000
-MAX_SEGMENTS = 4096
-_SAMPLES_PER_SEGMENT = 48
 _SEG = "_segment"
 
 
@@ -65,43 +62,38 @@ class OrderedRows:
         counting it is cheaper and already shows that a key fits, ``df`` is not counted."""
         self.keys = list(keys)
         self.order = list(order)
-        cuts = self._cut_points(df, segments, df if within is None else within)
-        self.segmented = bool(cuts)
-        self.df = df.withColumn(_SEG, self._segment_column(df, cuts)) if cuts else df
+        cut = self._cut(df, segments, df if within is None else within)
+        self.segmented = cut is not None
+        self.df = cut if self.segmented else df
 
     # -- cutting -----------------------------------------------------------
 
-    def _cut_points(
-        self, df: DataFrame, segments: int | None, within: DataFrame
-    ) -> list[tuple]:
+    def _cut(self, df: DataFrame, segments: int | None, within: DataFrame) -> DataFrame | None:
+        """``df`` with its segments, or None where no key needs more than one."""
         if segments == 1:
-            return []
+            return None
+        if segments is not None:
+            return cut_lineage(self._ranged(df, segments))
         limit = rows_per_task(df)
         # A plain count reads no columns, so it goes first.
-        if segments is None and within.count() <= limit:
-            return []
-        position = self.keys + self.order
-        per_key = df.groupBy(*self.keys).count()
-        hottest, total = per_key.agg(F.max("count"), F.sum("count")).first()
-        if not total or (segments is None and hottest <= limit):
-            return []
-        if segments is None:
-            segments = min(MAX_SEGMENTS, math.ceil(2 * total / limit))
-        # The sample only places the cut points; every row stays in the result.
-        fraction = min(1.0, _SAMPLES_PER_SEGMENT * segments / total)
-        sample = df.select(*position)
-        if fraction < 1.0:
-            sample = sample.sample(fraction=fraction, seed=7)
-        points = sorted(tuple(r) for r in sample.collect())
-        picked = {points[len(points) * i // segments] for i in range(1, segments)} if points else set()
-        return sorted(picked)
-
-    def _segment_column(self, df: DataFrame, cuts: list[tuple]) -> Column:
-        names = self.keys + self.order
-        fields = ", ".join(f"`{n}`: {df.schema[n].dataType.simpleString()}" for n in names)
-        literal = json.dumps([dict(zip(names, c)) for c in cuts])
-        bounds = F.from_json(F.lit(literal), f"array<struct<{fields}>>")
-        return count_not_above(bounds, len(cuts), F.struct(*names))
+        if within.count() <= limit:
+            return None
+        if not self.keys:
+            total = df.count()
+            return cut_lineage(self._ranged(df, math.ceil(2 * total / limit))) if total > limit else None
+        hot = df.groupBy(*self.keys).count().filter(F.col("count") > limit)
+        total = hot.agg(F.sum("count")).first()[0]
+        if not total:
+            return None
+        hot = cut_lineage(hot.select(*self.keys))  # at most one key for each ``limit`` rows
+        ranged = self._ranged(df.join(hot, self.keys, "left_semi"), math.ceil(2 * total / limit))
+        rest = df.join(hot, self.keys, "left_anti").withColumn(_SEG, F.lit(0))
+        return cut_lineage(ranged.unionByName(rest))
+
+    def _ranged(self, rows: DataFrame, parts: int) -> DataFrame:
+        """Twice as many parts as the limit asks for: their sizes are estimates."""
+        ranged = rows.repartitionByRange(parts, *self.keys, *self.order)
+        return ranged.withColumn(_SEG, F.spark_partition_id())
 
     # -- windows -----------------------------------------------------------
 
@@ -161,7 +153,7 @@ class OrderedRows:
                 *self.keys, _SEG, F.lag("_edge").over(self._segment_window(backward)).alias("_carry")
             )
             joined = self.df.withColumn("_near", near).join(
-                F.broadcast(carry), [*self.keys, _SEG], "left"
+                carry, [*self.keys, _SEG], "left"
             )
             out = joined.withColumn("_near", F.coalesce("_near", "_carry")).drop("_carry")
         out = out.select("*", *[F.col(f"_near.{n}").alias(n) for n in values]).drop("_near")
@@ -186,7 +178,7 @@ class OrderedRows:
             _SEG,
             *[F.last(f"_edge_{n}", ignorenulls=True).over(earlier).alias(f"_carry_{n}") for n in values],
         )
-        out = self.df.withColumns(local).join(F.broadcast(carry), [*self.keys, _SEG], "left")
+        out = self.df.withColumns(local).join(carry, [*self.keys, _SEG], "left")
         out = out.withColumns({n: F.coalesce(n, f"_carry_{n}") for n in values})
         return self._replace(out.drop(*[f"_carry_{n}" for n in values]))
 
@@ -203,7 +195,7 @@ class OrderedRows:
             _SEG,
             *[F.sum(f"_sum_{n}").over(earlier).alias(f"_carry_{n}") for n in values],
         )
-        out = self.df.withColumns(local).join(F.broadcast(carry), [*self.keys, _SEG], "left")
+        out = self.df.withColumns(local).join(carry, [*self.keys, _SEG], "left")
         out = out.withColumns(
             {n: F.col(n) + F.coalesce(f"_carry_{n}", F.lit(0)) for n in values}
         )

@@ -15,12 +15,15 @@ DEFAULT_BROADCAST_ROWS = 100_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (local tests) a private temporary folder stands in.
+    A cluster names it in ``spark.checkpoint.dir``.  Only in a local session, whose
+    executors share the driver's disk, a private temporary folder stands in.
     """
     configured = spark.conf.get(CHECKPOINT_CONF, None)
     if configured:
         return configured.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
     fallback = spark.conf.get("spark.sigtrail.localScratch", None)
     if not fallback:
         fallback = tempfile.mkdtemp(prefix="sigtrail-")
@@ -29,7 +32,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/sigtrail/{label}-{uuid.uuid4().hex[:12]}"
+    return f"{_stage_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def _stage_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/sigtrail/{spark.sparkContext.applicationId}"
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Delete what this application has materialised.
+
+    Stages outlive the call that wrote them, as the frame it returned still reads
+    them; call this when the results are taken.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(_stage_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
