@@ -11,7 +11,7 @@ from sigtrail.plans.stages import bind
 from sigtrail.sources.lines import ParsedLog, extract, read_lines, split_result
 
 # Fixed value: line layout.
-GENERIC_LINE = r"^(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}(?:\.\d+)?)\s+(?:\[([^\]]+)\]\s+)?(.*)$"
+GENERIC_LINE = r"(?d)^(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}(?:\.\d+)?)\s+(?:\[([^\]]+)\]\s+)?(.*)$"
 
 
 def parse_generic(lines: DataFrame) -> ParsedLog:

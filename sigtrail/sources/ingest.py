@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,9 +36,20 @@ class IngestedLog(ParsedLog):
     parser_name: str
 
 
-def read_logs(spark: SparkSession, paths, fmt: str = "auto") -> IngestedLog:
+RESOLVING = ("plc_debug", "plc_tab", "csv_signal")
+
+
+def file_pattern(source_id: str) -> str:
+    """A file's location as a path to read: neither encoded nor taken as a pattern."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", unquote(source_id))
+
+
+def read_logs(spark: SparkSession, paths, fmt: str = "auto", resolve: bool = True) -> IngestedLog:
     """Parse files of one or several formats.
 
+    ``resolve`` settles the types of signals over all rows of a file, which reads the
+    files of some formats twice; see ``resolve_signal_types``.
+
     With ``auto`` every file is detected on its own and the files of a format are
     read as one job; ``parser_name`` is the format, or ``merged`` when they mix.
     """
@@ -47,10 +60,11 @@ def read_logs(spark: SparkSession, paths, fmt: str = "auto") -> IngestedLog:
         for row in detect_format(spark, paths).collect():
             if row["format"] is None:
                 raise ValueError(f"no suitable format found for {row['source_id']}")
-            groups[row["format"]].append(row["source_id"])
+            groups[row["format"]].append(file_pattern(row["source_id"]))
         if not groups:
             raise ValueError(f"no log lines in {paths}")
-    parts = [READERS[name](spark, group) for name, group in sorted(groups.items())]
+    options = {name: {"resolve": resolve} if name in RESOLVING else {} for name in groups}
+    parts = [READERS[name](spark, group, **options[name]) for name, group in sorted(groups.items())]
     union = lambda frames: reduce(DataFrame.unionByName, frames)
     log = IngestedLog(union([p.entries for p in parts]), union([p.errors for p in parts]))
     log.parser_name = next(iter(groups)) if len(groups) == 1 else "merged"

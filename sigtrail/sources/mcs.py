@@ -12,7 +12,7 @@ from sigtrail.sources.lines import ParsedLog, extract, read_lines, split_result
 
 # Line layout, pair layout and the keys with a set type.
 MCS_LINE = (
-    r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d+)\s+\[(ADD|UPDATE|REMOVE)=([^,\]]+)"
+    r"(?d)^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d+)\s+\[(ADD|UPDATE|REMOVE)=([^,\]]+)"
     r"(?:,\s*([^\]]+))?\]\s*(.*)?$"
 )
 _PAIR = r"\[[^=\]]+=[^\]]*\]"

@@ -17,10 +17,12 @@ from sigtrail.sources.lines import ParsedLog, number_lines, scan_text, split_res
 # Header and TransactionTime layouts.
 SECS_HEADER = r"^@?(\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2}\.\d{3})\^([^^]+)\^([^^]+)\^([^^]+?)\s*$"
 SECS_TRANSACTION = (
-    r"^.*?TransactionTime\s*:\s*\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2}\.\d{3}\s+(S\d+F\d+)"
+    r"(?d)^.*?TransactionTime\s*:\s*\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2}\.\d{3}\s+(S\d+F\d+)"
     r"\s*(?:W,\s*)?.*?\s+-\s+(.*?)(?:\s+\[SystemByte\s*=\s*(\d+)\])?\s*$"
 )
 _MAX_STREAM, _MAX_FUNCTION = 127, 255
+# A header that white space stands before; the records of the scan don't end there.
+_INDENTED = r"\n(?=[ \t\x0B\f\r\x85\xA0]+@\d{4}/\d{2}/\d{2} )"
 
 
 # Type, count, the text after it and the closing bracket of one item line.
@@ -145,6 +147,8 @@ def _tree_json(items: Column) -> Column:
 
 def classify_secs(records: DataFrame) -> DataFrame:
     """One row per message with header fields, checked item list and ``reason``."""
+    parts = records.select("source_id", "id", F.posexplode(F.split("line", _INDENTED, -1)).alias("_n", "line"))
+    records = parts.withColumn("id", F.col("id") + F.col("_n")).drop("_n")
     lines = bind(records, _lines=F.split(F.replace("line", F.lit("\r"), F.lit("")), "\n"))
     heads = bind(
         lines,
