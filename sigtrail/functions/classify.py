@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sigtrail.functions.text import literal_pattern
+from sigtrail.functions.text import literal_pattern, valid_regex
 
 # Severity words, first class that matches wins.
 SEVERITY_WORDS = [
@@ -47,7 +47,7 @@ def slug(text: Column) -> Column:
 def signal_pattern(name: Column, patterns: Sequence[tuple] = tuple(SIGNAL_PATTERNS)) -> Column:
     """Slug of the first pattern found in a signal name, ignoring case.
 
-    A pattern is ``(label, text[, is_regex[, enabled]])``.
+    A pattern is ``(label, text[, is_regex[, enabled]])``; an invalid regex is skipped.
     """
     checks = []
     for label, text, *flags in patterns:
@@ -55,6 +55,8 @@ def signal_pattern(name: Column, patterns: Sequence[tuple] = tuple(SIGNAL_PATTER
         if len(flags) > 1 and not flags[1]:
             continue
         regex = text if is_regex else literal_pattern(text)
+        if not valid_regex("(?i)" + regex):
+            continue
         checks.append(F.when(F.rlike(name, F.lit("(?i)" + regex)), slug(F.lit(label))))
     return F.coalesce(*checks) if checks else F.lit(None).cast("string")
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 _SPACE = " \t\r\n\x0b\x0c\x85\xa0"
@@ -41,3 +42,12 @@ def item(array: Column, index: int) -> Column:
 def literal_pattern(text: str) -> str:
     """``text`` as a regex that matches it literally."""
     return "".join("\\" + c if c in r"\.^$|?*+()[]{}" else c for c in text)
+
+
+def valid_regex(pattern: str) -> bool:
+    """Whether the engine that will run a pattern accepts it."""
+    try:
+        SparkSession.active()._jvm.java.util.regex.Pattern.compile(pattern)
+    except IllegalArgumentException:
+        return False
+    return True

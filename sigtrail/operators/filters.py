@@ -3,14 +3,13 @@ tests reach the Parquet scan."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigtrail.functions.text import literal_pattern
+from sigtrail.functions.text import literal_pattern, valid_regex
 from sigtrail.functions.transfer import transfer_field
 from sigtrail.functions.values import value_text
 from sigtrail.schema import BOOL, FLOAT, INT, SIGNAL_KEY, STRING
@@ -54,14 +53,6 @@ def restrict_to_signals(entries: DataFrame, signals) -> DataFrame:
     return entries.filter(pair_filter(signals))
 
 
-def valid_regex(pattern: str) -> bool:
-    try:
-        re.compile(pattern)
-    except re.error:
-        return False
-    return True
-
-
 def search_predicate(
     text: str,
     case_sensitive: bool = False,
@@ -109,6 +100,7 @@ class EntryFilter:
     device_ids: tuple = ()
     signals: tuple = field(default=())
     signal_type: str = ""
+    ignore_regex_case: bool = False
 
     def predicate(self) -> Column:
         out = F.lit(True)
@@ -124,7 +116,7 @@ class EntryFilter:
             out = out & pair_filter(keys)
         if self.text:
             out = out & search_predicate(
-                self.text, self.case_sensitive, self.regex, self.include_category
+                self.text, self.case_sensitive, self.regex, self.include_category, self.ignore_regex_case
             )
         return out
 

@@ -30,6 +30,23 @@ def _like(pattern: Column) -> Column:
     return F.translate(escaped, "*", "%")
 
 
+def _candidates(names: DataFrame, rest: DataFrame) -> DataFrame:
+    """Devices with the wildcard patterns whose longer literal end they have.
+
+    A pattern is found by the text before its first wildcard or after its last one; one
+    with neither is tested on all devices.
+    """
+    head, tail = F.substring_index("pattern", "*", 1), F.substring_index("pattern", "*", -1)
+    front = F.length(head) >= F.length(tail)
+    keyed = rest.withColumn("_front", front).withColumn("_end", F.when(front, head).otherwise(tail))
+    lengths = keyed.select("_front", F.length("_end").alias("_size")).distinct()
+    sizes = lengths.groupBy("_front").agg(F.collect_set("_size").alias("_sizes"))  # lengths of names
+    ends = names.crossJoin(F.broadcast(sizes)).withColumn("_size", F.explode("_sizes"))  # two rows at most
+    ends = ends.filter(F.length("device_id") >= F.col("_size"))
+    end = F.when(F.col("_front"), F.expr("left(device_id, _size)")).otherwise(F.expr("right(device_id, _size)"))
+    return ends.select("device_id", "_front", end.alias("_end")).join(keyed, ["_front", "_end"])
+
+
 def map_devices(devices: DataFrame, mapping: DataFrame) -> DataFrame:
     """``device_id, unit_id`` by the first matching mapping row (``ord``), else by the name.
 
@@ -37,23 +54,24 @@ def map_devices(devices: DataFrame, mapping: DataFrame) -> DataFrame:
     """
     names = devices.select("device_id").distinct()
     wild = F.contains("pattern", F.lit("*"))
-    choice = F.struct("ord", "unit_id")
+    choice = F.struct(F.col("ord").cast("long").alias("ord"), "unit_id")
     exact = (
         mapping.filter(~wild)
         .groupBy(F.col("pattern").alias("device_id"))
         .agg(F.min(choice).alias("_exact"))
     )
-    rest = mapping.filter(wild).select(_like(F.col("pattern")).alias("like"), "ord", "unit_id")
+    rest = mapping.filter(wild).select("pattern", _like(F.col("pattern")).alias("like"), F.col("ord").cast("long").alias("ord"), "unit_id")
     matched = names.join(exact, "device_id", "left")
-    listed = [r.asDict() for r in rest.limit(_INLINE_PATTERNS + 1).collect()]
+    listed = [r.asDict() for r in rest.drop("pattern").limit(_INLINE_PATTERNS + 1).collect()]
     if len(listed) <= _INLINE_PATTERNS:
-        patterns = F.from_json(F.lit(json.dumps(listed)), "array<struct<ord: int, unit_id: string, like: string>>")
+        patterns = F.from_json(F.lit(json.dumps(listed)), "array<struct<ord: bigint, unit_id: string, like: string>>")
         hits = F.filter(patterns, lambda p: F.like("device_id", p["like"]))
         found = F.array_min(F.transform(hits, lambda p: F.struct(p["ord"], p["unit_id"])))
         matched = matched.withColumn("_wild", found)
     else:
         by_device = (
-            names.join(rest, F.expr("device_id LIKE like"))
+            _candidates(names, rest)
+            .filter("device_id LIKE like")
             .groupBy("device_id")
             .agg(F.min(choice).alias("_wild"))
         )

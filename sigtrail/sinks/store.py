@@ -63,7 +63,7 @@ def remove_orphans(spark: SparkSession, path: str, known: DataFrame) -> int:
     Goes through the Hadoop file system, so it works on any storage Spark writes to.
     """
     gone = (
-        spark.read.parquet(path)
+        spark.read.schema(ENTRY_SCHEMA).parquet(path)
         .select("source_id", F.col("_metadata.file_path").alias("file"))
         .join(known.select("source_id"), "source_id", "left_anti")
         .select(F.regexp_extract("file", r"^(.*)/[^/]*$", 1).alias("folder"))
