@@ -16,10 +16,9 @@ def search_substring(spark, sf):
     return search(int_entries(spark, sf), "u14").select("id", "device_id", "signal", F.col("val_int").alias("k"))
 
 
-@check(f"WITH {MIXED} SELECT id, device_id, signal FROM mixed WHERE signal <> 'purchase' AND (contains(device_id, 'level 3') OR contains(signal, 'level 3') OR contains(coalesce(val_str, ''), 'level 3'))")
+@check(f"WITH {MIXED} SELECT id, device_id, signal FROM mixed WHERE (contains(device_id, 'level 3') OR contains(signal, 'level 3') OR contains(coalesce(val_str, ''), 'level 3'))")
 def search_case_sensitive(spark, sf):
-    rows = mixed_entries(spark, sf).filter("val_type <> 2")
-    return search(rows, "level 3", case_sensitive=True).select("id", "device_id", "signal")
+    return search(mixed_entries(spark, sf), "level 3", case_sensitive=True).select("id", "device_id", "signal")
 
 
 @check(f"WITH {EV} SELECT id, device_id, signal, k FROM ev WHERE regexp_matches(device_id, '^U1[0-4]$') OR regexp_matches(signal, '^U1[0-4]$') OR regexp_matches(CAST(k AS VARCHAR), '^U1[0-4]$')")
@@ -43,6 +42,16 @@ def search_invalid_regex(spark, sf):
     return rows.select("id", "signal")
 
 
+@check(f"WITH {EV} SELECT id, signal FROM ev WHERE regexp_matches(device_id, '^\\p{{Lu}}1+$') OR regexp_matches(signal, '^\\p{{Lu}}1+$')")
+def search_letter_class(spark, sf):
+    return search(int_entries(spark, sf), r"^\p{Lu}1+$", regex=True, ignore_regex_case=True, case_sensitive=True).select("id", "signal")
+
+
+@check(f"WITH {EV} SELECT id, signal FROM ev WHERE contains(signal, '(?p<a>v)')")
+def search_foreign_regex(spark, sf):
+    return search(int_entries(spark, sf), "(?P<a>v)", regex=True, ignore_regex_case=True).select("id", "signal")
+
+
 @check(f"WITH {EV} SELECT id, category, signal FROM ev WHERE category IN ('C', 'P')")
 def filter_category(spark, sf):
     return filter_entries(int_entries(spark, sf), categories=("C", " P ,C")).select("id", "category", "signal")
@@ -69,12 +78,10 @@ def filter_value_type(spark, sf):
     return filter_entries(mixed_entries(spark, sf), signal_type="integer").select("id", "signal", "val_int")
 
 
-@check(f"WITH {MIXED} SELECT id, device_id, signal, category FROM mixed WHERE category IN ('S', 'E') AND signal IN ('signup', 'error', 'view') AND val_type = 3 AND val_str ILIKE '%7%'")
+@check(f"WITH {MIXED} SELECT id, device_id, signal, category FROM mixed WHERE category IN ('S', 'E') AND signal IN ('signup', 'error', 'view') AND val_type = 3 AND (device_id ILIKE '%7%' OR signal ILIKE '%7%' OR val_str ILIKE '%7%')")
 def filter_combined(spark, sf):
     flt = EntryFilter(text="7", categories=("S", "E"), signal_names=("signup", "error", "view"), signal_type="string")
-    rows = filter_entries(mixed_entries(spark, sf), flt)
-    rows = rows.filter(F.contains("val_str", F.lit("7")))
-    return rows.select("id", "device_id", "signal", "category")
+    return filter_entries(mixed_entries(spark, sf), flt).select("id", "device_id", "signal", "category")
 
 
 @check(f"WITH {MIXED}, s AS (SELECT DISTINCT device_id, signal, CASE val_type WHEN 0 THEN 'boolean' WHEN 1 THEN 'integer' ELSE 'string' END AS signal_type FROM mixed) SELECT * FROM s WHERE regexp_matches(device_id, '(?i)u12') OR regexp_matches(signal, '(?i)u12') OR contains(signal, 'zz')")

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks.registry import EV, MIXED, T_MS, check
@@ -18,32 +21,111 @@ def packed_events(spark, sf):
     return as_entries(rows, tagged(string=F.col("_p")))
 
 
-@check(f"WITH {EV} SELECT id, ts_ms, signal FROM ev ORDER BY signal DESC, id DESC LIMIT 500")
+# A sort is compared as pages: which rows each twentieth of the sorted table holds.
+PAGES = 20
+
+
+def page_sql(order: str, pages: int = PAGES) -> str:
+    return f"(row_number() OVER (ORDER BY {order}) - 1) // CAST(ceil(count(*) OVER () / {pages}.0) AS BIGINT) AS page"
+
+
+def page_size(rows, pages: int = PAGES) -> int:
+    return max(1, -(-rows.count() // pages))
+
+
+def all_pages(rows, column, direction="asc", count=PAGES):
+    size = page_size(rows, count)
+    pages = [paging.page_rows(rows, column, direction, n + 1, size).withColumn("page", F.lit(n).cast("long")) for n in range(count)]
+    return reduce(DataFrame.unionAll, pages)
+
+
+def gaps(spark, sf):
+    """Integer entries of which every third has no value."""
+    rows = int_entries(spark, sf)
+    return rows.withColumn("val_int", F.when(F.col("id") % 3 != 0, F.col("val_int")))
+
+
+GAPS = EV + ", gaps AS (SELECT *, CASE WHEN id % 3 <> 0 THEN k END AS v FROM ev)"
+
+
+@check(f"WITH {EV} SELECT id, ts_ms, signal, {page_sql('signal DESC, id DESC')} FROM ev")
 def sort_by_signal(spark, sf):
-    rows = paging.sort_entries(int_entries(spark, sf), "signalName", "desc")
-    return rows.limit(500).select("id", "ts_ms", "signal")
+    return all_pages(int_entries(spark, sf), "signalName", "desc").select("id", "ts_ms", "signal", "page")
+
+
+@check(f"WITH {EV} SELECT id, {page_sql('category, id')} FROM ev")
+def sort_by_category(spark, sf):
+    return all_pages(int_entries(spark, sf), "category").select("id", "page")
+
 
+@check(f"WITH {EV} SELECT id, {page_sql('ts_ms DESC, id DESC')} FROM ev")
+def sort_by_time_descending(spark, sf):
+    return all_pages(int_entries(spark, sf), "timestamp", "desc").select("id", "page")
 
-@check(f"WITH {EV} SELECT id, k, device_id FROM ev ORDER BY device_id, id LIMIT 700")
+
+# What the packed fields of ``packed_events`` hold.
+PACKED = {"cmdID": "CAST(k AS VARCHAR)", "status": "signal", "source": "'S' || k", "dest": "device_id", "currLoc": "category", "result": "'OK'"}
+
+
+@check(" UNION ALL ".join(f"(WITH {EV} SELECT '{name}' AS field, id, {page_sql(f'{text}, id', 4)} FROM ev)" for name, text in PACKED.items()))
+def sort_by_transfer_fields(spark, sf):
+    rows = packed_events(spark, sf)
+    return reduce(DataFrame.unionAll, [all_pages(rows, name, count=4).select(F.lit(name).alias("field"), "id", "page") for name in PACKED])
+
+
+@check(f"WITH {EV} SELECT id, k, device_id, {page_sql('device_id, id')} FROM ev")
 def sort_by_dest(spark, sf):
-    rows = paging.sort_entries(packed_events(spark, sf), "dest", "asc").limit(700)
-    return rows.select(
-        "id",
-        F.split_part("val_str", F.lit("|"), F.lit(1)).cast("long").alias("k"),
-        "device_id",
-    )
+    number = F.split_part("val_str", F.lit("|"), F.lit(1)).cast("long")
+    return all_pages(packed_events(spark, sf), "dest").select("id", number.alias("k"), "device_id", "page")
 
 
-@check(f"WITH {MIXED} SELECT id, signal FROM mixed WHERE val_type <> 2 ORDER BY CASE val_type WHEN 0 THEN 'boolean' WHEN 1 THEN 'integer' ELSE 'string' END, id LIMIT 2500")
+@check(f"WITH {MIXED} SELECT id, signal, {page_sql("CASE val_type WHEN 0 THEN 'boolean' WHEN 1 THEN 'integer' ELSE 'string' END, id")} FROM mixed")
 def sort_by_type(spark, sf):
-    rows = mixed_entries(spark, sf).filter("val_type <> 2")
-    return paging.sort_entries(rows, "signalType").limit(2500).select("id", "signal")
+    return all_pages(mixed_entries(spark, sf), "signalType").select("id", "signal", "page")
 
 
-@check(f"WITH {EV} SELECT id, k FROM ev ORDER BY CAST(k AS VARCHAR) DESC, id DESC LIMIT 900")
+@check(f"WITH {EV} SELECT id, k, {page_sql('CAST(k AS VARCHAR) DESC, id DESC')} FROM ev")
 def sort_by_value(spark, sf):
-    rows = paging.sort_entries(int_entries(spark, sf), "value", "desc").limit(900)
-    return rows.select("id", F.col("val_int").alias("k"))
+    return all_pages(int_entries(spark, sf), "value", "desc").select("id", F.col("val_int").alias("k"), "page")
+
+
+@check(f"WITH {EV} SELECT id FROM ev ORDER BY id LIMIT 2000 OFFSET 2000")
+def page_large(spark, sf):
+    return paging.page_rows(int_entries(spark, sf), "timestamp", "asc", 2, 2000).select("id")
+
+
+def walk(rows, direction):
+    """All pages, each found from the last row of the one before."""
+    key, size, last, pages = paging.sort_expression("value"), page_size(rows), None, []
+    for n in range(PAGES):
+        page = paging.page_after(rows, "value", *last, size=size, direction=direction) if n else paging.page_rows(rows, "value", direction, 1, size)
+        pages.append(page.select("id", F.col("val_int").alias("v"), F.lit(n).cast("long").alias("page")))
+        ends = page.select(key.alias("key"), "source_id", "id").tail(1)
+        if not ends:
+            break
+        last = tuple(ends[0])
+    return reduce(DataFrame.unionAll, pages)
+
+
+@check(f"WITH {GAPS} SELECT id, v, {page_sql('CAST(v AS VARCHAR) ASC NULLS LAST, id')} FROM gaps")
+def page_after_null_keys(spark, sf):
+    return walk(gaps(spark, sf), "asc")
+
+
+@check(f"WITH {GAPS} SELECT id, v, {page_sql('CAST(v AS VARCHAR) DESC NULLS LAST, id DESC')} FROM gaps")
+def page_after_null_keys_descending(spark, sf):
+    return walk(gaps(spark, sf), "desc")
+
+
+@check(" UNION ALL ".join(
+    f"(WITH {GAPS}, r AS (SELECT ts_ms, row_number() OVER (ORDER BY CAST(v AS VARCHAR) {d} NULLS LAST, id {d}) - 1 AS i FROM gaps) SELECT '{d}' AS direction, coalesce(min(i), -1) AS row_index FROM r WHERE ts_ms >= (SELECT quantile_disc(ts_ms, 0.99) FROM ev))"
+    for d in ("asc", "desc")
+))
+def index_of_time_null_keys(spark, sf):
+    rows = gaps(spark, sf)
+    late = rows.orderBy("ts_ms").offset(max(-(-rows.count() * 99 // 100) - 1, 0)).first()["ts_ms"]
+    found = [paging.index_of_time(rows, late, column="value", direction=d).select(F.lit(d).alias("direction"), "row_index") for d in ("asc", "desc")]
+    return reduce(DataFrame.unionAll, found)
 
 
 @check(f"WITH {EV}, f AS (SELECT * FROM ev WHERE signal = 'error') SELECT id, ts_ms, device_id, (SELECT count(*) FROM f) AS total FROM f ORDER BY ts_ms, id LIMIT 50 OFFSET 100")
@@ -54,9 +136,9 @@ def page_with_total(spark, sf):
     return rows.select("id", "ts_ms", "device_id", F.lit(total).cast("long").alias("total"))
 
 
-@check(f"WITH {EV}, f AS (SELECT * FROM ev WHERE signal <> 'view') SELECT id, device_id FROM f ORDER BY device_id, id LIMIT 100 OFFSET 200")
+@check(f"WITH {EV}, f AS (SELECT * FROM ev) SELECT id, device_id FROM f ORDER BY device_id, id LIMIT 100 OFFSET 200")
 def page_after_key(spark, sf):
-    entries = int_entries(spark, sf).filter("signal <> 'view'")
+    entries = int_entries(spark, sf)
     last = paging.page_rows(entries, "deviceId", "asc", 2, 100).orderBy("device_id", "id").tail(1)[0]
     rows = paging.page_after(entries, "deviceId", last["device_id"], last["source_id"], last["id"])
     return rows.select("id", "device_id")

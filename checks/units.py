@@ -23,6 +23,16 @@ def map_devices(spark, sf):
     return units.map_devices(mixed_entries(spark, sf), device_mapping(spark))
 
 
+@check(f"""WITH {EV}, d AS (SELECT DISTINCT device_id FROM ev), p AS (SELECT i AS ord, 'U' || i || '*' AS pattern, 'P' || i AS unit_id FROM range(1, 1500) t(i)
+  UNION ALL SELECT 5000000000 + i, '*' || i, 'S' || i FROM range(1, 900) t(i) UNION ALL SELECT 0, 'U1', 'ONE')
+SELECT device_id, coalesce(arg_min(unit_id, ord), device_id) AS unit_id FROM d LEFT JOIN p ON device_id LIKE replace(pattern, '*', '%') GROUP BY device_id""")
+def map_devices_many(spark, sf):
+    fronts = spark.range(1, 1500).selectExpr("concat('U', id, '*') AS pattern", "id AS ord", "concat('P', id) AS unit_id")
+    ends = spark.range(1, 900).selectExpr("concat('*', id) AS pattern", "5000000000 + id AS ord", "concat('S', id) AS unit_id")
+    one = spark.sql("SELECT 'U1' AS pattern, 0L AS ord, 'ONE' AS unit_id")
+    return units.map_devices(mixed_entries(spark, sf), fronts.union(ends).union(one))
+
+
 @check("""WITH d AS (SELECT DISTINCT 'Line.B' || user_id || '.N' || user_id || '@' || event_type AS device_id, user_id FROM events)
 SELECT device_id, 'N' || user_id AS unit_id FROM d""")
 def fallback_units(spark, sf):
