@@ -31,8 +31,9 @@ from sigtrail.llm.components import components
 from sigtrail.llm.scratch import arrow_map, drop, runs, slices, staged
 from sigtrail.llm.words import mix, shingle_sets
 
-COUNTER_BITS = 20
-SKETCH_WORDS = 8
+COUNTER_BITS = 18
+FILTER_BITS, FILTER_HASHES = 1 << 24, 3
+LEAST_BITS = 512
 BLOCK = 512
 MOST_MATCHES = 8
 VERIFY_COST = 20.0
@@ -85,9 +86,38 @@ def set_id(own: np.ndarray) -> bytes:
 
 
 def sketch(own: np.ndarray) -> np.ndarray:
-    """Parity of the shingles that fall on each of 512 positions."""
-    at = (mix(own + np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(55)).astype(np.int64)
-    return np.packbits((np.bincount(at, minlength=64 * SKETCH_WORDS) & 1).astype(np.uint8)).view(np.int64)
+    """Parity of the shingles that fall on each position; as many positions as
+    shingles, rounded up to a power of two and at least LEAST_BITS, so that sets of any
+    size can be told apart."""
+    width = max(LEAST_BITS, 1 << (len(own) - 1).bit_length() if len(own) else 0)
+    at = (mix(own + np.uint64(0x2545F4914F6CDD1D)) & np.uint64(width - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=width) & 1).astype(np.uint8)).view(np.uint64)
+
+
+def fold(marks: np.ndarray, words: int) -> np.ndarray:
+    """Sketches (rows) as those with fewer positions."""
+    while marks.shape[-1] > words:
+        half = marks.shape[-1] // 2
+        marks = marks[..., :half] ^ marks[..., half:]
+    return marks
+
+
+def may_link(one: list[bytes], two: list[bytes], sizes: np.ndarray, like: Similarity) -> np.ndarray:
+    """For pairs of sketches of sets of so many shingles in total, whether they may be
+    similar.  Pairs of equal widths are compared at once."""
+    out = np.zeros(len(one), dtype=bool)
+    widths = np.array([(len(a), len(b)) for a, b in zip(one, two)]).reshape(-1, 2)
+    for wide in np.unique(widths, axis=0):
+        at = np.flatnonzero((widths == wide).all(axis=1))
+        step = max(1, (1 << 22) // int(wide.max()))
+        for k in range(0, len(at), step):
+            part = at[k : k + step]
+            a = np.frombuffer(b"".join(one[i] for i in part), np.uint64).reshape(len(part), -1)
+            b = np.frombuffer(b"".join(two[i] for i in part), np.uint64).reshape(len(part), -1)
+            words = int(wide.min()) // 8
+            differ = np.bitwise_count(fold(a, words) ^ fold(b, words)).sum(axis=1, dtype=np.int64)
+            out[part] = like.may_differ(differ, sizes[part])
+    return out
 
 
 def prefix(own: np.ndarray, frequency: np.ndarray, noise: float, like: Similarity) -> tuple[np.ndarray, int]:
@@ -103,7 +133,7 @@ def prefix(own: np.ndarray, frequency: np.ndarray, noise: float, like: Similarit
 
 
 def _profiles(docs: DataFrame, doc_id: str, text: str, like: Similarity) -> DataFrame:
-    """(doc_id, n, sid, matches, prefix, s0 ...) of every document."""
+    """(doc_id, n, sid, matches, prefix, mark) of every document."""
     counters = _counters(docs, text, like)
     noise = float(counters.mean())
     shared = docs.sparkSession.sparkContext.broadcast(counters.astype(np.int32 if counters.max(initial=0) < 1 << 31 else np.int64))
@@ -113,46 +143,61 @@ def _profiles(docs: DataFrame, doc_id: str, text: str, like: Similarity) -> Data
         for part in slices(batch, 1):
             sets = shingle_sets(part.column(1), like.k)
             chosen = [prefix(s, frequency[(s >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)], noise, like) if len(s) else (s, 0) for s in sets]
-            marks = np.array([sketch(s) for s in sets]).reshape(len(sets), SKETCH_WORDS)
             columns = [
                 part.column(0),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([set_id(s) for s in sets], pa.binary()),
                 pa.array([m for _, m in chosen], pa.int32()),
                 pa.array([p.view(np.int64) for p, _ in chosen], pa.list_(pa.int64())),
-                *[pa.array(marks[:, i]) for i in range(SKETCH_WORDS)],
+                pa.array([sketch(s).tobytes() for s in sets], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "sid", "matches", "prefix", *_MARKS])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "sid", "matches", "prefix", "mark"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    marks = ", ".join(f"{m} long" for m in _MARKS)
-    return arrow_map(docs.select(doc_id, text), rows, f"doc_id {kind}, n long, sid binary, matches int, prefix array<long>, {marks}")
+    return arrow_map(docs.select(doc_id, text), rows, f"doc_id {kind}, n long, sid binary, matches int, prefix array<long>, mark binary")
 
 
-_MARKS = [f"s{i}" for i in range(SKETCH_WORDS)]
+def _filter_bits(wanted: DataFrame, key: Column) -> np.ndarray:
+    """A Bloom filter of FILTER_BITS bits over ``key``, whatever the number of rows."""
+    places = [F.pmod(F.xxhash64(key, F.lit(i)), F.lit(FILTER_BITS)) for i in range(FILTER_HASHES)]
+    bit = wanted.select(F.explode(F.array(*places)).alias("at"))
+    words = bit.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits")).toArrow()
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return np.unpackbits(bits.view(np.uint8), bitorder="little")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, like: Similarity) -> DataFrame:
-    """(sid, shingles) of the wanted classes (rep, sid), computed anew from the texts."""
-    few = wanted.select(F.col("rep").alias("_rep")).distinct()
-    texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(few, F.col("_id").eqNullSafe(F.col("_rep")), "left_semi").select("_text")
+    """(cls, shingles) of the wanted classes (cls, rep, sid), computed anew from the texts.
+
+    A Bloom filter of the documents drops most others where they are read, so that no
+    texts are shuffled; what passes by chance goes by its sid.
+    """
+    bits = docs.sparkSession.sparkContext.broadcast(np.packbits(_filter_bits(wanted, F.col("rep"))))
+    places = [F.pmod(F.xxhash64(F.col(doc_id), F.lit(i)), F.lit(FILTER_BITS)).alias(f"_p{i}") for i in range(FILTER_HASHES)]
+    texts = docs.select(F.col(text).alias("_text"), *places)
 
     def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for part in slices(batch, 0):
+        packed = bits.value
+        passes = np.ones(batch.num_rows, dtype=bool)
+        for i in range(FILTER_HASHES):
+            at = batch.column(1 + i).to_numpy()
+            passes &= (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+        for part in slices(batch.take(pa.array(np.flatnonzero(passes))), 0):
             sets = shingle_sets(part.column(0), like.k)
             yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["sid", "shingles"])
 
     found = arrow_map(texts, rows, "sid binary, shingles array<long>")
-    return found.join(wanted.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"])
+    return found.join(wanted.select("sid", "cls"), "sid").drop("sid").dropDuplicates(["cls"])
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, text: str, like: Similarity) -> DataFrame:
     """The pairs (a, b) whose sets are similar, by exact counts."""
     pairs = staged(pairs)
-    ends = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
-    sets = staged(_sets(docs, classes.join(ends, "sid", "left_semi").select("rep", "sid"), doc_id, text, like))
-    one = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("of_a"))
-    two = sets.select(F.col("sid").alias("b"), F.col("shingles").alias("of_b"))
+    ends = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
+    sets = staged(_sets(docs, staged(classes.join(ends, "cls", "left_semi").select("cls", "rep", "sid")), doc_id, text, like))
+    one = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("of_a"))
+    two = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("of_b"))
     shared = F.size(F.array_intersect("of_a", "of_b"))
     links = staged(pairs.join(one, "a").join(two, "b").where(like.holds(shared, F.size("of_a") + F.size("of_b"))).select("a", "b"))
     drop(pairs, sets)
@@ -162,54 +207,47 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str
 def _pivot_pairs(met: DataFrame, classes: DataFrame, like: Similarity) -> DataFrame:
     """Every class with the most typical class (most shared prefix shingles, then most
     copies) of each shingle that it shares: at most one pair per row of ``met``."""
-    typical = met.groupBy("sid").agg(F.count("*").alias("meets")).join(classes.select("sid", "copies"), "sid")
-    pivots = met.join(typical, "sid").groupBy("shingle").agg(F.max(F.struct("meets", "copies", "sid")).alias("top")).select("shingle", F.col("top.sid").alias("b"))
-    pairs = met.join(pivots, "shingle").where("sid <> b").select(F.least("sid", "b").alias("a"), F.greatest("sid", "b").alias("b")).distinct()
-    marks = classes.select("sid", "n", *_MARKS)
-    one = marks.select(F.col("sid").alias("a"), F.col("n").alias("na"), *[F.col(m).alias(f"a{m}") for m in _MARKS])
-    two = marks.select(F.col("sid").alias("b"), F.col("n").alias("nb"), *[F.col(m).alias(f"b{m}") for m in _MARKS])
-    differ = sum((F.bit_count(F.col(f"a{m}").bitwiseXOR(F.col(f"b{m}"))) for m in _MARKS[1:]), F.bit_count(F.col("as0").bitwiseXOR(F.col("bs0"))))
-    near = pairs.join(one, "a").join(two, "b").where(like.close_sizes(F.col("na"), F.col("nb")))
-    return near.where(like.may_differ(differ, F.col("na") + F.col("nb"))).select("a", "b")
+    typical = met.groupBy("cls").agg(F.count("*").alias("meets")).join(classes.select("cls", "copies"), "cls")
+    pivots = met.join(typical, "cls").groupBy("shingle").agg(F.max(F.struct("meets", "copies", "cls")).alias("top")).select("shingle", F.col("top.cls").alias("b"))
+    pairs = met.join(pivots, "shingle").where("cls <> b").select(F.least("cls", "b").alias("a"), F.greatest("cls", "b").alias("b")).distinct()
+    one = classes.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("mark").alias("mark_a"))
+    two = classes.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("mark").alias("mark_b"))
+    sizes = pairs.join(one.drop("mark_a"), "a").join(two.drop("mark_b"), "b").where(like.close_sizes(F.col("na"), F.col("nb")))
+    near = sizes.join(one.drop("na"), "a").join(two.drop("nb"), "b").select("a", "b", (F.col("na") + F.col("nb")).alias("sizes"), "mark_a", "mark_b")
+
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep = may_link(batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(2).to_numpy(), like)
+        return batch.select([0, 1]).filter(pa.array(keep))
+
+    return arrow_map(near, rows, "a long, b long")
 
 
 def _block_pairs(met: DataFrame, classes: DataFrame, labels: DataFrame, like: Similarity, block: int) -> DataFrame:
     """(a, b) of classes in different components that meet often enough to be verified."""
-    named = met.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    named = met.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     mixed = named.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low <> high").select("shingle", "size")
-    rows = named.join(mixed, "shingle").join(classes.select("sid", "n", "matches", *_MARKS), "sid")
-    rows = rows.withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    rows = named.join(mixed, "shingle").join(classes.select("cls", "n", "matches", "mark"), "cls")
+    rows = rows.withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     keys = ["shingle", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")]
-    rows = rows.select(*keys, "own", "sid", "component", "n", "matches", *_MARKS)
+    rows = rows.select(*keys, "own", "cls", "component", "n", "matches", "mark")
     dealt = rows.repartition("shingle", "low", "high").sortWithinPartitions("shingle", "low", "high")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in runs(batches, 3):
-            same_block = run.column(1)[0].as_py() == run.column(2)[0].as_py()
-            own = run.column(3).to_numpy()
-            component = np.unique(np.array(run.column(5).to_pylist(), dtype=object), return_inverse=True)[1]
-            n, matches = run.column(6).to_numpy(), run.column(7).to_numpy()
-            marks = np.stack([run.column(8 + i).to_numpy() for i in range(SKETCH_WORDS)], axis=1).view(np.uint64)
-            left, right = (np.arange(len(n)),) * 2 if same_block else (np.flatnonzero(own == own.min()), np.flatnonzero(own == own.max()))
-            if not same_block and own.min() == own.max():
-                continue
-            found_a, found_b = [], []
-            for i in left:
-                others = right[right > i] if same_block else right
-                others = others[component[others] != component[i]]
-                if len(others):
-                    sizes = n[others]
-                    others = others[like.denominator * np.minimum(sizes, n[i]) >= like.numerator * np.maximum(sizes, n[i])]
-                    differ = np.bitwise_count(marks[others] ^ marks[i]).sum(axis=1, dtype=np.int64)
-                    others = others[like.may_differ(differ, n[others] + n[i])]
-                    found_a += [i] * len(others)
-                    found_b += others.tolist()
-            if found_a:
-                one, two = run.column(4).take(pa.array(found_a)), run.column(4).take(pa.array(found_b))
-                yield pa.RecordBatch.from_arrays([one, two, pa.array(np.minimum(matches[found_a], matches[found_b]))], names=["x", "y", "need"])
-
-    met_pairs = dealt.mapInArrow(compare, "x binary, y binary, need int")
+            own, cls, component, n, matches = (run.column(i).to_numpy() for i in range(3, 8))
+            pairs = (component[:, None] != component) & (like.denominator * np.minimum(n[:, None], n) >= like.numerator * np.maximum(n[:, None], n))
+            if run.column(1)[0].as_py() != run.column(2)[0].as_py():
+                pairs &= own[:, None] != own  # pairs of one block meet elsewhere
+            x, y = np.nonzero(np.triu(pairs, 1))
+            if len(x):
+                marks = np.array(run.column(8).to_pylist(), dtype=object)
+                keep = may_link(marks[x].tolist(), marks[y].tolist(), n[x] + n[y], like)
+                x, y = x[keep], y[keep]
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(cls[x]), pa.array(cls[y]), pa.array(np.minimum(matches[x], matches[y]))], names=["x", "y", "need"])
+
+    met_pairs = dealt.mapInArrow(compare, "x long, y long, need int")
     met_pairs = met_pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "need")
     return met_pairs.groupBy("a", "b").agg(F.count("*").alias("times"), F.first("need").alias("need")).where("times >= need").select("a", "b")
 
@@ -224,20 +262,23 @@ def near_classes(docs: DataFrame, like: Similarity, doc_id: str = "doc_id", text
     aren't read.
     """
     profiles = staged(_profiles(docs, doc_id, text, like))
-    firsts = [F.first(c).alias(c) for c in ("n", "matches", "prefix", *_MARKS)]
-    classes = staged(profiles.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *firsts))
-    rows = classes.select("sid", F.explode("prefix").alias("shingle"))
+    ids = staged(profiles.select("doc_id", "n", "sid"))
+    firsts = [F.first(c).alias(c) for c in ("n", "matches", "prefix", "mark")]
+    grouped = profiles.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *firsts)
+    classes = staged(grouped.withColumn("cls", F.monotonically_increasing_id()))  # fixed by being written
+    drop(profiles)
+    rows = classes.select("cls", F.explode("prefix").alias("shingle"))
     several = rows.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1").select("shingle")
     met = staged(rows.join(several, "shingle"))
     links = _verified(_pivot_pairs(met, classes, like), classes, docs, doc_id, text, like)
     first_labels = components(links, "a", "b")
     more = _verified(_block_pairs(met, classes, first_labels, like, block), classes, docs, doc_id, text, like)
     labels = components(links.union(more), "a", "b")
-    named = classes.select("sid", "rep").join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    named = classes.select("cls", "sid", "rep").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     by_class = staged(named.join(smallest, "component").select("sid", "component_id"))
     drop(classes, met, links, more)
-    out = profiles.select("doc_id", "n", "sid").join(by_class, "sid", "left")
+    out = ids.join(by_class, "sid", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
