@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sigtrail.llm.mixing import Mixture, mix
+from tests.llm.test_words import WORD
 
 
 def share(budget, caps, weights):
@@ -26,7 +27,7 @@ def share(budget, caps, weights):
 
 
 def expected(rows, mixture, domain):
-    docs = [(domain(s or ""), l or "", s or "", i, t, len((t or "").split())) for i, t, l, s in rows]
+    docs = [(domain(s or ""), l or "", s or "", i, t, len(WORD.findall(t or ""))) for i, t, l, s in rows]
     tokens = Counter()
     for d, l, s, _, _, n in docs:
         tokens[d, l, s] += n
