@@ -18,6 +18,8 @@ from sigtrail.session import cut_lineage
 DEFAULT_WINDOW_MS = 1000
 # Distinct milliseconds one task thins out at a time.
 _BLOCK_MS = 1 << 22
+# Blocks whose summaries one task joins.
+_FANOUT = 64
 # Runs with up to this many late times are handled as one array.
 _SHORT_RUN = 1_000
 # A run is named by the position of its first row.
@@ -60,15 +62,42 @@ def _block_exits(window_ms: int):
     return run
 
 
-def _block_entries(window_ms: int):
-    """Chain the maps of a run: the first time kept in each of its blocks."""
+def _group_exits(window_ms: int):
+    """The map of neighbouring blocks together, from their own maps.
+
+    An entry later than ``window_ms`` after the first can't be the first one kept, but
+    for the next one, so the map is no longer than that of a block.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        enters, exits = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for _, part in pdf.sort_values(["block", "enter_ms"]).groupby("block", sort=True):
+            enter, leave = part["enter_ms"].to_numpy(), part["exit_ms"].to_numpy()
+            at = np.searchsorted(enter, exits + window_ms, side="left")
+            inside = at < len(enter)
+            exits = np.where(inside, leave[np.minimum(at, len(enter) - 1)], exits)
+            if not len(enters) or enters[-1] < enters[0] + window_ms:
+                bound = (enters[0] if len(enters) else enter[0]) + window_ms
+                more = min(int(np.searchsorted(enter, bound, side="left")) + 1, len(enter))
+                enters, exits = np.append(enters, enter[:more]), np.append(exits, leave[:more])
+        keys = {c: pdf[c].iloc[0] for c in (*_RUN, "above")}
+        return pd.DataFrame({**keys, "enter_ms": enters, "exit_ms": exits}).rename(columns={"above": "block"})
+
+    return run
+
+
+def _group_entries(window_ms: int):
+    """Chain the maps of a group of blocks: the first time kept in each of them.
+
+    ``due_ms`` is the first time kept in the group; without it, its first time is.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["block", "enter_ms"])
-        due, found = None, []
+        due, found = pdf["due_ms"].iloc[0], []
         for block, part in pdf.groupby("block", sort=True):
             enter = part["enter_ms"].to_numpy()
-            at = 0 if due is None else int(np.searchsorted(enter, due, side="left"))
+            at = 0 if pd.isna(due) else int(np.searchsorted(enter, due, side="left"))
             if at < len(enter):
                 found.append((block, enter[at]))
                 due = part["exit_ms"].to_numpy()[at] + window_ms
@@ -100,15 +129,23 @@ def _thin_out(times: DataFrame, window_ms: int) -> DataFrame:
     """Times of a run that are kept when each must be ``window_ms`` after the one
     kept before it, the first being kept.
 
-    The rule is sequential, so a run is cut into blocks of bounded size; blocks are
-    summarised in parallel, the summaries are chained and the blocks are finished
-    in parallel.
+    The rule is sequential, so a run is cut into blocks of bounded size, which are
+    summarised in parallel.  The summaries are joined in a tree of ``_FANOUT`` branches,
+    up to one for each run and down again to each block, so no task chains a whole run;
+    then the blocks are finished in parallel.
     """
     keys = f"{_RUN_SCHEMA}, block long"
-    exits = times.groupBy(*_RUN, "block").applyInPandas(
-        _block_exits(window_ms), f"{keys}, enter_ms long, exit_ms long"
-    )
-    firsts = exits.groupBy(*_RUN).applyInPandas(_block_entries(window_ms), f"{keys}, first_ms long")
+    above = F.floor(F.col("block") / _FANOUT).alias("above")
+    maps = f"{keys}, enter_ms long, exit_ms long"
+    levels = [cut_lineage(times.groupBy(*_RUN, "block").applyInPandas(_block_exits(window_ms), maps))]
+    while levels[-1].agg(F.max("block")).first()[0] >= _FANOUT:
+        groups = levels[-1].select("*", above).groupBy(*_RUN, "above")
+        levels.append(cut_lineage(groups.applyInPandas(_group_exits(window_ms), maps)))
+    firsts = levels[-1].select(*_RUN, F.lit(0).cast("long").alias("block"), F.lit(None).cast("long").alias("first_ms")).distinct()
+    for level in reversed(levels):
+        due = firsts.select(*_RUN, F.col("block").alias("above"), F.col("first_ms").alias("due_ms"))
+        groups = level.select("*", above).join(due, [*_RUN, "above"]).groupBy(*_RUN, "above")
+        firsts = cut_lineage(groups.applyInPandas(_group_entries(window_ms), f"{keys}, first_ms long"))
     started = times.join(firsts, [*_RUN, "block"])
     return started.groupBy(*_RUN, "block").applyInPandas(
         _kept_times(window_ms), f"{_RUN_SCHEMA}, ts_ms long"
@@ -173,6 +210,7 @@ def dedupe(
         .known({n: at_head(c) for n, c in zip(_RUN, TIME_ORDER)})
         .frame()
     )
+    runs = cut_lineage(runs.drop("_same"))  # three branches read it
     # Rows inside the window after the head repeat it; of rows at one time the first counts.
     late = F.col("ts_ms") - F.col("run_ms") >= window_ms
     first_at_time = F.col("_before_ms") < F.col("ts_ms")

@@ -114,9 +114,10 @@ def rule_matches(value: Column, op: Column, rule_value: Column, number: Column |
     )
 
 
-def _status(values: DataFrame, rules: DataFrame, mapping: DataFrame, at: list[str]) -> DataFrame:
-    """Best matching rule per unit (and probe time ``at``)."""
-    mapped = values.join(map_devices(values, mapping), "device_id")
+def _status(values: DataFrame, rules: DataFrame, mapped: DataFrame, at: list[str]) -> DataFrame:
+    """Best matching rule per unit (and probe time ``at``); ``mapped`` names each
+    device's unit."""
+    mapped = values.join(mapped, "device_id")
     # Of several devices on a unit the greatest id supplies the signal.
     picked = mapped.groupBy(*at, "unit_id", "signal").agg(
         F.max_by(F.struct(*VALUE_COLUMNS), "device_id").alias("_v")
@@ -156,8 +157,8 @@ def unit_status(
 ) -> DataFrame:
     """Colour and text of each unit at ``t_ms``: the matching rule of highest priority,
     the first listed on ties, the default colour where none matches."""
-    values = values_at(_rule_values(entries, rules), t_ms)
-    best = _status(values, rules, mapping, [])
+    rows = _rule_values(entries, rules)
+    best = _status(values_at(rows, t_ms), rules, map_devices(rows, mapping), [])
     every = map_devices(entries, mapping) if units is None else units
     return every.select("unit_id").distinct().join(best, "unit_id", "left").select(
         "unit_id",
@@ -174,8 +175,9 @@ def unit_status_at(
     segments: int | None = None,
 ) -> DataFrame:
     """``unit_status`` for every ``t_ms`` of ``times``, for the units a rule matches then."""
-    values = values_at_times(_rule_values(entries, rules), times, segments=segments)
-    best = _status(values, rules, mapping, ["t_ms"])
+    rows = _rule_values(entries, rules)
+    values = values_at_times(rows, times, segments=segments)
+    best = _status(values, rules, map_devices(rows, mapping), ["t_ms"])
     return best.select("t_ms", "unit_id", F.col("_s.color").alias("color"), F.col("_s.text").alias("text"))
 
 

@@ -143,6 +143,18 @@ def test_dedupe_one_long_run(spark, monkeypatch):
         assert sorted(r["id"] for r in got.collect()) == loop_dedupe(data, window, lambda r: "")
 
 
+@pytest.mark.parametrize("block_ms,window", [(8, 5), (8, 40), (3, 2)])
+def test_dedupe_over_a_tree_of_blocks(spark, monkeypatch, block_ms, window):
+    """Thousands of blocks, joined four at a time over several levels."""
+    monkeypatch.setattr(merge, "_SHORT_RUN", 10)
+    monkeypatch.setattr(merge, "_BLOCK_MS", block_ms)
+    monkeypatch.setattr(merge, "_FANOUT", 4)
+    rng = random.Random(block_ms)
+    data = [(i, "ab"[i % 2], t, "D", "S", "", 1, None, 1, None, None) for i, t in enumerate(sorted(rng.sample(range(9000), 7000)))]
+    got = merge.dedupe(frame(spark, data), window)
+    assert sorted(r["id"] for r in got.collect()) == loop_dedupe(data, window, lambda r: "")
+
+
 def test_dedupe_single_source(spark):
     data = rows(7, 50, 20, 1, 1)
     assert merge.dedupe(frame(spark, data)).count() == 50
