@@ -25,8 +25,11 @@ def write_lines(lines: DataFrame, label: str) -> str:
     return path
 
 
-def rendered(spark: SparkSession, sf: str, line, label: str) -> str:
+def rendered(spark: SparkSession, sf: str, line, label: str, together: str | None = None) -> str:
+    """Events as text; rows that agree in ``together`` go to one file, whose types are
+    settled together."""
     rows = events(spark, sf)
+    rows = rows.repartition(together) if together else rows
     return write_lines(rows.select(line().alias("value")), label)
 
 
@@ -90,16 +93,25 @@ def ingest_errors(spark, sf):
 
 # --- PLC tab, CSV -------------------------------------------------------------
 
-def plc_tab_line() -> Column:
+def plc_tab_line(value: Column | None = None) -> Column:
+    number = (F.col("k") + 2).cast("string")
     return _say(
-        stamp(), " [] Plant/", F.col("device_id"), "@X\t ", F.col("signal"), "\tIN\t", (F.col("k") + 2).cast("string"),
+        stamp(), " [] Plant/", F.col("device_id"), "@X\t ", F.col("signal"), "\tIN\t",
+        number if value is None else F.coalesce(value, number),
         "\t\tLOC\tF1\tF2\t", stamp(),
     )
 
 
-@check(f"WITH {EV} SELECT ts_ms, device_id, signal, '' AS category, 1 AS val_type, CAST(NULL AS BOOLEAN) AS val_bool, k + 2 AS val_int, CAST(NULL AS VARCHAR) AS val_str FROM ev")
+def plc_tab_switches() -> Column:
+    return plc_tab_line(F.when(F.col("k") % 7 == 0, "ON"))
+
+
+# A signal with a number beyond 0 and 1 has its booleans read as numbers.
+@check(f"""WITH {EV}, t AS (SELECT *, bool_or(k % 7 <> 0) OVER (PARTITION BY device_id, signal) AS whole FROM ev)
+SELECT ts_ms, device_id, signal, '' AS category, CASE WHEN whole THEN 1 ELSE 0 END AS val_type, CASE WHEN NOT whole THEN true END AS val_bool,
+  CASE WHEN whole THEN CASE WHEN k % 7 = 0 THEN 1 ELSE k + 2 END END AS val_int, CAST(NULL AS VARCHAR) AS val_str FROM t""")
 def ingest_plc_tab(spark, sf):
-    return plain(plc.read_plc_tab(spark, rendered(spark, sf, plc_tab_line, "tab")).entries)
+    return plain(plc.read_plc_tab(spark, rendered(spark, sf, plc_tab_switches, "tab", together="device_id")).entries)
 
 
 def csv_line() -> Column:
@@ -116,7 +128,7 @@ def csv_line() -> Column:
   CASE WHEN signal = 'click' THEN k >= 50 END AS val_bool, CASE WHEN signal = 'view' THEN k END AS val_int,
   CASE WHEN signal NOT IN ('view', 'click') THEN 'part ' || k || ', of, ' || id END AS val_str FROM ev""")
 def ingest_csv(spark, sf):
-    return plain(plc.read_csv_signal(spark, rendered(spark, sf, csv_line, "csv"), resolve=False).entries)
+    return plain(plc.read_csv_signal(spark, rendered(spark, sf, csv_line, "csv", together="device_id")).entries)
 
 
 # --- key/value, observable, transfer, plain -------------------------------------
