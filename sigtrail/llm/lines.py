@@ -1,66 +1,91 @@
 """Line deduplication by a deletion-neighbourhood join, in DataFrame operations only.
 
 Two lines are one edit apart if and only if one is the other without a character, or
-both become equal when the character at the same place goes.  So every line emits itself
-and all its variants with one character deleted, as hashed keys with the deleted place;
-lines are joined on equal keys, and the edit distance of what meets is verified.
+both become equal when the character at the same place goes.  So a line emits itself and
+its variants with one character deleted, as hashed keys with the deleted place; lines are
+joined on equal keys, and the edit distance of what meets is verified.
 
-One edit leaves the front half or the back half of a line as it is.  Lines that share
-neither half with another line can't have a partner, so they emit no variants.
+One edit leaves the front half or the back half of a line as it is.  So a line emits its
+variants once for each end that it shares with another line, with all deletions beside
+that end; a line that shares none can't have a partner and emits none.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigtrail.llm.scratch import drop, staged
+from sigtrail.plans.stages import bind
+from sigtrail.session import is_small
 
 LEAST_CHARS = 16
 """Lines shorter than this are only dropped if they are equal to an earlier one."""
 
 
-def _halves(line: str) -> Column:
-    """Hashed halves of a line for partners of its length or one more, and for partners
-    one shorter."""
-    keys = []
-    for longer in (0, 1):
-        size = f"(char_length({line}) - {longer})"
-        keys.append(F.expr(f"xxhash64(0, {size}, substring({line}, 1, {size} div 2))"))
-        keys.append(F.expr(f"xxhash64(1, {size}, right({line}, {size} - {size} div 2))"))
-    return F.array(*keys)
+def _end_size(n: str, which: str) -> str:
+    """Characters of an end: half a line, rounded down to whole eights.  A line and one
+    that is a character longer mostly have ends of one size; where they don't, the longer
+    one has those of the shorter one's size too (``which`` 2 and 3)."""
+    return f"(({n} - {which} div 2) div 16 * 8)"
 
 
-def _occurrences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def _ends(line: str, n: str, least: int) -> Column:
+    """Hashed front (0, 2) and back (1, 3) ends of a line of ``n`` characters, of which
+    one edit leaves one intact."""
+    keys = [F.expr(f"xxhash64({w % 2}, {_end_size(n, w)}, {'right' if w % 2 else 'left'}({line}, {_end_size(n, w)}))") for w in range(4)]
+    return F.when((F.col(n) % 16 == 0) & (F.col(n) > least), F.array(*keys)).otherwise(F.array(*keys[:2]))
+
+
+def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc, version, pos, line) of all lines that aren't blank; ``version`` tells rows
     with the same id apart."""
     lines = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(text).alias("version"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("pos", "line"))
-    return lines.where(F.trim("line") != "").withColumn("name", F.unhex(F.md5("line")))
+    return lines.where(F.trim("line") != "")
+
+
+def _spelled(docs: DataFrame, firsts: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(name, line, ord, shared) of the distinct lines that share an end with another
+    one; ``ord`` grows in the order of their first places."""
+    ends = firsts.select("name", F.posexplode("ends").alias("which", "end"))
+    shared = ends.groupBy("end").count().where("count > 1").select("end")
+    suspects = ends.join(shared, "end", "left_semi").groupBy("name").agg(F.collect_list(F.struct("which", "end")).alias("shared"))
+    places = staged(firsts.join(suspects, "name").select("name", "first", "shared"))
+    where = places.select("name", "first", "shared", F.col("first.doc").alias("_doc"), F.col("first.version").alias("_version"), F.col("first.pos").alias("_pos"))
+    at = F.col("doc").eqNullSafe(F.col("_doc")) & F.col("version").eqNullSafe(F.col("_version")) & (F.col("pos") == F.col("_pos"))
+    found = _lines(docs, doc_id, text).join(F.broadcast(where) if is_small(places) else where, at)
+    found = found.select("name", "first", "line", "shared").dropDuplicates(["name"])
+    ordered = staged(found.repartitionByRange("first").sortWithinPartitions("first").select("name", "line", "shared", F.monotonically_increasing_id().alias("ord")))
+    drop(places)
+    return ordered
 
 
 def _near_repeats(docs: DataFrame, firsts: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(name) of distinct lines that have an earlier line one edit away."""
-    halves = firsts.select("name", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").count().where("count > 1").select("half")
-    suspects = halves.join(shared, "half", "left_semi").select("name").distinct()
-    where = firsts.join(suspects, "name", "left_semi").select("name", "first", F.col("first.doc").alias("_doc"), F.col("first.version").alias("_version"), F.col("first.pos").alias("_pos"))
-    lines = _occurrences(docs, doc_id, text).withColumnRenamed("name", "_name")
-    at = F.col("name") == F.col("_name")
-    at = at & F.col("doc").eqNullSafe(F.col("_doc")) & F.col("version").eqNullSafe(F.col("_version")) & (F.col("pos") == F.col("_pos"))
-    spelled = staged(lines.join(where, at).select("name", "first", "line").dropDuplicates(["name"]))
-
-    without = "xxhash64(concat(substring(line, 1, i - 1), substring(line, i + 1)))"
-    variants = f"transform(sequence(1, char_length(line)), i -> struct(i as place, {without} as key))"
-    emitted = spelled.select("name", "first", F.explode(F.concat(F.array(F.struct(F.lit(0).alias("place"), F.xxhash64("line").alias("key"))), F.expr(variants))).alias("v"))
-    emitted = emitted.select("name", "first", F.col("v.place").alias("place"), F.col("v.key").alias("key"))
-    # The earliest line of each key and place stands for all of them: they are one edit apart.
-    earliest = emitted.groupBy("key", "place").agg(F.min(F.struct("first", "name")).alias("e")).select("key", F.col("place").alias("e_place"), "e.*").withColumnsRenamed({"first": "e_first", "name": "e_name"})
-    partners = emitted.join(earliest, "key").where("e_first < first AND (place = e_place OR place = 0 OR e_place = 0)").select("name", "e_name").distinct()
-    texts = spelled.select("name", "line")
-    pairs = partners.join(texts, "name").join(texts.select(F.col("name").alias("e_name"), F.col("line").alias("e_line")), "e_name")
-    found = staged(pairs.where(F.levenshtein("line", "e_line", 1) == 1).select("name").distinct())
+    spelled = _spelled(docs, firsts, doc_id, text)
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = spelled.repartition(tasks).select("ord", "line", F.char_length("line").alias("n"), F.inline("shared"))
+    # What is left of a line beside an end that it shares: there the edit must be.
+    size = _end_size("n", "which")
+    rest = F.expr(f"if(which % 2 = 0, substring(line, {size} + 1), left(line, n - {size}))")
+    each = bind(each, rest=rest)
+    without = "xxhash64(end, concat(substring(rest, 1, i - 1), substring(rest, i + 1)))"
+    variants = f"transform(sequence(1, char_length(rest)), i -> struct(i as place, {without} as key))"
+    emitted = each.select("ord", F.explode(F.concat(F.array(F.struct(F.lit(0).alias("place"), F.xxhash64("end", "rest").alias("key"))), F.expr(variants))).alias("v"))
+    emitted = emitted.select("ord", F.col("v.place").alias("place"), F.col("v.key").alias("key"))
+    # Lines with the same variant are few: each is the variant and one character more.
+    # At the same place they are one edit apart, and so are they all from the variant
+    # itself (place 0), so the earliest of a place stands for it.
+    same, key = Window.partitionBy("key", "place"), Window.partitionBy("key")
+    whole = F.min(F.when(F.col("place") == 0, F.col("ord"))).over(key)
+    longer = F.min(F.when(F.col("place") > 0, F.col("ord"))).over(key)
+    met = emitted.select("ord", F.array(F.min("ord").over(same), F.when(F.col("place") == 0, longer).otherwise(whole)).alias("partners"))
+    partners = met.select("ord", F.explode("partners").alias("partner")).where("partner < ord").distinct()
+    texts = spelled.select("ord", "line", "name")
+    pairs = partners.join(texts, "ord").join(spelled.select(F.col("ord").alias("partner"), F.col("line").alias("earlier")), "partner")
+    gone = staged(pairs.where(F.levenshtein("line", "earlier", 1) == 1).select("name").distinct())
     drop(spelled)
-    return found
+    return gone
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_chars: int = LEAST_CHARS) -> DataFrame:
@@ -75,22 +100,25 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     named like new ones are replaced.  A line of n characters has n variants of n
     characters, so a line that has a likely partner costs its length squared.
     """
-    docs = docs.drop("n_lines", "n_kept", "_flags")
-    lines = _occurrences(docs, doc_id, text)
+    docs = docs.drop("n_lines", "n_kept", "_version", "_gone", "_parts")
+    named = _lines(docs, doc_id, text).withColumn("n", F.char_length("line"))
+    named = staged(named.select("doc", "version", "pos", F.unhex(F.md5("line")).alias("name"), F.when(F.col("n") >= least_chars, _ends("line", "n", least_chars)).alias("ends")))
     place = F.struct(F.col("doc").isNull().alias("last"), "doc", "version", "pos")
-    halves = F.when(F.char_length("line") >= least_chars, _halves("line"))
-    firsts = staged(lines.groupBy("name").agg(F.min(place).alias("first"), F.first(halves).alias("halves")))
+    firsts = staged(named.groupBy("name").agg(F.min(place).alias("first"), F.first("ends").alias("ends")))
     gone = _near_repeats(docs, firsts, doc_id, text)
     kept = firsts.select("name", "first").join(gone.withColumn("gone", F.lit(True)), "name", "left").select("name", F.when(F.col("gone").isNull(), F.col("first")).alias("first"))
-    marked = lines.select("doc", "version", "pos", "name").join(kept, "name").withColumn("stays", F.coalesce(place == F.col("first"), F.lit(False)))
-    marked = marked.where("NOT stays").groupBy("doc", "version").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
-    flags = staged(marked.withColumn("gone", F.expr("transform(sequence(0, size(gone)), i -> struct(if(i = 0, 0, gone[i - 1] + 1) as start, if(i = size(gone), 2147483647, gone[i]) as stop))")))
-    drop(firsts, gone)
+    goes = named.select("doc", "version", "pos", "name").join(kept, "name").where(~F.coalesce(place == F.col("first"), F.lit(False)))
+    dropped = staged(goes.groupBy("doc", "version").agg(F.array_sort(F.collect_set("pos")).alias("_gone")))
+    drop(named, firsts, gone)
     own = docs.withColumn("_version", F.xxhash64(text))
-    out = own.join(flags, F.col(doc_id).eqNullSafe(F.col("doc")) & (F.col("_version") == F.col("version")), "left")
+    own = own.join(dropped, F.col(doc_id).eqNullSafe(F.col("doc")) & (F.col("_version") == F.col("version")), "left").drop("doc", "version", "_version")
+    n_lines = F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    own = own.withColumn("n_lines", F.coalesce(n_lines, F.lit(0)).cast("long"))
+    own = own.withColumn("n_kept", F.col("n_lines") - F.coalesce(F.size("_gone"), F.lit(0)))
     # Between two lines that go lies a run that stays: the text is cut into those runs.
-    parts = F.split(F.col(text), "\n", -1)
-    runs = F.flatten(F.transform("gone", lambda g: F.slice(parts, g["start"] + 1, F.greatest(F.lit(0), F.least(g["stop"], F.size(parts)) - g["start"]))))
-    stay = F.when(F.col("gone").isNull(), parts).otherwise(runs)
-    out = out.withColumn("n_lines", F.coalesce(F.size(parts), F.lit(0)).cast("long")).withColumn("n_kept", F.when(F.col(text).isNull(), 0).otherwise(F.size(stay)).cast("long"))
-    return out.withColumn(text, F.when(F.col("gone").isNull(), F.col(text)).otherwise(F.array_join(runs, "\n"))).drop("doc", "version", "_version", "gone")
+    cut = bind(own, _parts=F.when(F.col("_gone").isNotNull(), F.split(F.col(text), "\n", -1)))
+    runs = F.transform(
+        F.sequence(F.lit(0), F.size("_gone")),
+        lambda i: F.slice("_parts", F.coalesce(F.get("_gone", i - 1), F.lit(-1)) + 2, F.coalesce(F.get("_gone", i), F.size("_parts")) - F.coalesce(F.get("_gone", i - 1), F.lit(-1)) - 1),
+    )
+    return cut.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(F.flatten(runs), "\n"))).drop("_gone", "_parts")
