@@ -2,13 +2,11 @@ from __future__ import annotations
 
 import pytest
 
-from tests.conftest import spark  # noqa: F401  (fixture)
-
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
 @pytest.fixture
-def documents(spark):  # noqa: F811
+def documents(spark):
     """Rows (doc_id, text) or (doc_id, text, lang, source) as a table of documents."""
 
     def build(rows, schema=DOCS):
