@@ -21,8 +21,8 @@ def packed_events(spark, sf):
     return as_entries(rows, tagged(string=F.col("_p")))
 
 
-# A sort is compared as pages: which rows each twentieth of the sorted table holds.
-PAGES = 20
+# A sort is compared as pages: which rows each sixth of the sorted table holds.
+PAGES = 6
 
 
 def page_sql(order: str, pages: int = PAGES) -> str:
