@@ -4,8 +4,9 @@ A page is a stream of block tags and text slots.  Pages of one host come from fe
 templates, so their streams are aligned one after the other into a wrapper, a regular
 expression without unions: equal tags stay, a run of equal parts becomes a repeated
 group, what only some pages have becomes optional, and texts that differ become slots.
-The wrapper's slots are then judged once, by the blocks they lie in and by whether their
-text ever changes, and every page gives the text of the slots that hold the article.
+Each stream's slots are then judged once, by the blocks they lie in and, on streams
+without an article, by whether the wrapper knows their text to change; every page gives
+the text of the slots that hold the article.
 
 Streams are counted per host first: a host with very many pages has few distinct streams.
 Wrappers of parts of a host's streams are aligned with each other until one is left, so
@@ -273,15 +274,10 @@ def _flat(symbol) -> Iterator[str]:
         yield symbol
 
 
-def _judge(wrapper: list[Item]) -> list[bool]:
-    """For each slot of the wrapper whether it holds main text.
-
-    Slots in side elements never do.  If the host has articles, all other slots in them
-    do; else those whose text changes from page to page and isn't mostly links.
-    """
+def _places(items: list[Item]) -> list[tuple[bool, bool]]:
+    """For each slot whether it lies in a side part, and whether in an article."""
     open_, places, leaf = [], [], []
-    slots = [s for x in wrapper for s in x.slots]
-    for symbol in (s for x in wrapper for s in _flat(x.symbol)):
+    for symbol in (s for x in items for s in _flat(x.symbol)):
         if symbol == "#":
             side = any(n in SIDE_ELEMENTS or set(marks) & SIDE_WORDS for n, *marks in open_) or "title" in leaf
             inside = any(n in MAIN_ELEMENTS or "main" in marks for n, *marks in open_)
@@ -290,27 +286,31 @@ def _judge(wrapper: list[Item]) -> list[bool]:
         name, *marks = symbol.removeprefix("/").split(".")
         leaf = [] if symbol[0] == "/" or name in CONTAINERS else [name, *marks]
         open_ = _open_after(open_, symbol)
-    articles = any(inside and not side for side, inside in places)
-    if articles:
-        return [inside and not side for side, inside in places]
-    changes = [s.low != s.high or s.pages < 2 for s in slots]
-    return [not side and changes[i] and 2 * slots[i].links <= slots[i].chars for i, (side, _) in enumerate(places)]
+    return places
+
+
+def _changes(s: Slot) -> bool:
+    """Whether a slot's text changes from page to page and isn't mostly links."""
+    return (s.low != s.high or s.pages < 2) and 2 * s.links <= s.chars
 
 
 def main_slots(wrapper: list[Item], stream: list[Item]) -> list[int]:
-    """The slots of a stream that lie in the wrapper's main slots.
+    """The slots of a stream that hold main text.
 
-    Where another page's group cuts across the stream, an item may have no counterpart
-    in the wrapper; its slots are judged by the blocks of the stream itself.
+    Slots in side parts never do.  If the stream has an article, all other slots in it
+    do, whatever the host's other templates have; else those that change, by what the
+    wrapper knows of them.  Where another page's group cuts across the stream, an item
+    may have no counterpart in the wrapper; its slots are judged by the stream's pages.
     """
-    good = _judge(wrapper)
     folded = _as_groups(stream, _groups(wrapper))
-    keep = _judge(folded)
-    first = np.cumsum([0, *[len(x.slots) for x in wrapper]])
+    places = _places(folded)
+    if any(inside and not side for side, inside in places):
+        return [i for i, (side, inside) in enumerate(places) if inside and not side]
+    slots = [s for x in folded for s in x.slots]
     own = np.cumsum([0, *[len(x.slots) for x in folded]])
     for x, y in _common(_keys(wrapper), _keys(folded)):
-        keep[own[y] : own[y + 1]] = good[first[x] : first[x + 1]]
-    return [i for i, main in enumerate(keep) if main]
+        slots[own[y] : own[y + 1]] = wrapper[x].slots
+    return [i for i, (side, _) in enumerate(places) if not side and _changes(slots[i])]
 
 
 def _wrappers(streams: DataFrame, per_task: int) -> DataFrame:

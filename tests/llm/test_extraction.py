@@ -63,3 +63,14 @@ def test_main_text_of_many_pages(spark):
     assert all(r.n_chars == len(r.text) for r in got)
     assert texts[200] == texts[201] == "" and texts[204] == ("long " * 50_000).strip()
     assert extract(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_templates_with_and_without_an_article_share_a_host(spark):
+    rng = random.Random(3)
+    rows, want = [], {}
+    for i in range(24):
+        html, text = page(rng, i, article=i % 2 == 0)
+        rows.append((i, ["http://mixed.example/a", None, "no host"][i % 3], html, None))
+        want[i] = text
+    got = extract(spark.createDataFrame(rows, PAGES), per_task=3).collect()
+    assert {r.page_id: r.text for r in got} == want
