@@ -18,6 +18,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 from html import unescape
 from typing import NamedTuple
 
@@ -154,18 +155,20 @@ def read_page(html: str) -> Page:
 
 
 class Slot(NamedTuple):
-    """What is known of a slot: pages, smallest and largest digest, characters, those in
-    links."""
+    """What is known of a slot: blocks, smallest and largest digest, characters, those in
+    links; smallest and largest digest of the pages that have it."""
 
     pages: int
     low: int
     high: int
     chars: int
     links: int
+    first: int = 0
+    last: int = 1
 
 
 def _add(a: Slot, b: Slot) -> Slot:
-    return Slot(a.pages + b.pages, min(a.low, b.low), max(a.high, b.high), a.chars + b.chars, a.links + b.links)
+    return Slot(a.pages + b.pages, min(a.low, b.low), max(a.high, b.high), a.chars + b.chars, a.links + b.links, min(a.first, b.first), max(a.last, b.last))
 
 
 class Item(NamedTuple):
@@ -289,9 +292,22 @@ def _places(items: list[Item]) -> list[tuple[bool, bool]]:
     return places
 
 
+def _own_text(page: Page) -> bytes:
+    """Digest of a page's blocks outside side parts that aren't mostly links: equal for
+    copies, whatever changes around them."""
+    places = _places([Item(s, False, []) for s in page.stream])
+    own = "\n".join(t for slot, t, n in page.blocks if not places[slot][0] and 2 * n <= len(t))
+    return blake2b(own.encode("utf-8", "surrogatepass"), digest_size=8).digest()
+
+
 def _changes(s: Slot) -> bool:
-    """Whether a slot's text changes from page to page and isn't mostly links."""
-    return (s.low != s.high or s.pages < 2) and 2 * s.links <= s.chars
+    """Whether a slot's text changes from page to page and isn't mostly links.
+
+    It is constant only if pages of otherwise different text share it: copies of one
+    page, however many, are one page.
+    """
+    constant = s.low == s.high and s.pages > 1 and s.first != s.last
+    return not constant and 2 * s.links <= s.chars
 
 
 def main_slots(wrapper: list[Item], stream: list[Item]) -> list[int]:
@@ -348,19 +364,19 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
             read = [read_page(x) for x in part.column(2).to_pylist()]
             hosts = [(m[1].lower() if (m := _HOST.search(u or "")) else "") for u in part.column(1).to_pylist()]
             blocks = [[{"slot": s, "text": t, "links": n} for s, t, n in p.blocks] for p in read]
-            columns = [part.column(0), part.column(1), pa.array(hosts), pa.array([json.dumps(p.stream) for p in read]), pa.array(blocks, pa.list_(pa.struct([("slot", pa.int32()), ("text", pa.string()), ("links", pa.int32())])))]
-            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "host", "stream", "blocks"])
+            columns = [part.column(0), part.column(1), pa.array(hosts), pa.array([json.dumps(p.stream) for p in read]), pa.array([int.from_bytes(_own_text(p), "big", signed=True) for p in read], pa.int64()), pa.array(blocks, pa.list_(pa.struct([("slot", pa.int32()), ("text", pa.string()), ("links", pa.int32())])))]
+            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "host", "stream", "own", "blocks"])
 
-    schema = f"page_id {kind}, url string, host string, stream string, blocks array<struct<slot: int, text: string, links: int>>"
+    schema = f"page_id {kind}, url string, host string, stream string, own long, blocks array<struct<slot: int, text: string, links: int>>"
     read = staged(arrow_map(pages.select(page_id, url, html), rows, schema))
-    slots = read.select("host", "stream", F.explode_outer("blocks").alias("b")).select("host", "stream", F.col("b.slot").alias("slot"), F.xxhash64("b.text").alias("digest"), F.length("b.text").alias("chars"), F.col("b.links").alias("links"))
-    slots = slots.groupBy("host", "stream", "slot").agg(F.count("*").alias("pages"), F.min("digest").alias("low"), F.max("digest").alias("high"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
-    known = slots.groupBy("host", "stream").agg(F.collect_list(F.struct("slot", "pages", "low", "high", "chars", "links")).alias("slots"))  # one for each slot of the stream
+    slots = read.select("host", "stream", "own", F.explode_outer("blocks").alias("b")).select("host", "stream", "own", F.col("b.slot").alias("slot"), F.xxhash64("b.text").alias("digest"), F.length("b.text").alias("chars"), F.col("b.links").alias("links"))
+    slots = slots.groupBy("host", "stream", "slot").agg(F.count("*").alias("pages"), F.min("digest").alias("low"), F.max("digest").alias("high"), F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.min("own").alias("first"), F.max("own").alias("last"))
+    known = slots.groupBy("host", "stream").agg(F.collect_list(F.struct("slot", "pages", "low", "high", "chars", "links", "first", "last")).alias("slots"))  # one for each slot of the stream
 
     def as_items(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         for stream, slots in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            by_slot = {s["slot"]: Slot(s["pages"], s["low"], s["high"], s["chars"] or 0, s["links"] or 0) for s in slots if s["slot"] is not None}
+            by_slot = {s["slot"]: Slot(s["pages"], s["low"], s["high"], s["chars"] or 0, s["links"] or 0, s["first"], s["last"]) for s in slots if s["slot"] is not None}
             items, at = [], 0
             for symbol in map(_symbol, json.loads(stream)):
                 n = _slots(symbol)

@@ -74,3 +74,13 @@ def test_templates_with_and_without_an_article_share_a_host(spark):
         want[i] = text
     got = extract(spark.createDataFrame(rows, PAGES), per_task=3).collect()
     assert {r.page_id: r.text for r in got} == want
+
+
+def test_copies_of_a_page_are_no_boilerplate(spark):
+    shape = "<body><div><p>Read our terms</p></div><div><h2>{0}</h2><p>{0} text</p></div><footer><p>seen {1}</p></footer></body>"
+    rows = [(i, "http://copies.example/", shape.format("One", i), None) for i in range(5)]
+    rows += [(10 + i, "http://more.example/", shape.format("Two", i), None) for i in range(3)] + [(20, "http://more.example/", shape.format("Three", 0), None)]
+    rows += [(30, "http://twice.example/", "<p>a</p><p>a</p>", None)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert {got[i] for i in range(5)} == {"Read our terms\n\nOne\n\nOne text"}
+    assert {got[10 + i] for i in range(3)} == {"Two\n\nTwo text"} and got[20] == "Three\n\nThree text" and got[30] == "a\n\na"
