@@ -37,10 +37,16 @@ LONGEST_PERIOD = 12
 
 # Element names of HTML.
 RAW = frozenset("script style noscript template iframe svg math object textarea select button".split())
+TO_THE_END = frozenset("script style textarea".split())
+"""Of RAW, those that run to the end of the page without their end tag."""
 CONTAINERS = frozenset("html head body div section article main nav header footer aside form ul ol dl table thead tbody tfoot tr figure details dialog menu fieldset blockquote".split())
 LEAVES = frozenset("title p h1 h2 h3 h4 h5 h6 li dt dd td th caption pre address figcaption summary legend hr option center".split())
 SIDE_ELEMENTS = frozenset("head nav header footer aside form dialog menu".split())
 MAIN_ELEMENTS = frozenset(("article", "main"))
+UNMARKED = MAIN_ELEMENTS | {"html", "body"}
+"""Elements whose classes and ids say nothing of what lies in them."""
+FRAME = 2
+"""How much more text than all that is in no side part a frame of the page has."""
 # Words that classes and ids of the parts around an article have.
 SIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement sponsor sponsored promo promotion banner sidebar side menu nav navbar navigation breadcrumb breadcrumbs header masthead footer "
@@ -50,6 +56,7 @@ SIDE_WORDS = frozenset(
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[A-Za-z][^<]*\Z""", re.S)
 _MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_VALUE_SLASH = re.compile(r"""=\s*[^\s"'>]*/\s*\Z""")
 _HOST = re.compile(r"://([^/?#]*)")
 
 
@@ -68,10 +75,32 @@ def _marks(attributes: str) -> str:
     return "".join("." + w for w in sorted(found & (SIDE_WORDS | {"main"})))
 
 
+def _symbol_of(name: str, attributes: str) -> str:
+    marks = _marks(attributes)
+    return name + (".main" if ".main" in marks else "") if name in UNMARKED else name + marks
+
+
+def _raw_ends(html: str, name: str) -> dict[int, int]:
+    """Ends of the elements of a name in RAW, by where their start tags end; without
+    those that are never closed, or closed at once."""
+    tag = re.compile(rf"""<!--.*?(?:-->|\Z)|<(script|style|textarea)(?=[\s/>])[^>]*>.*?(?:</\1\b[^>]*>|\Z)|<(/?){re.escape(name)}(?=[\s/>])((?:[^"'>]|"[^"]*"|'[^']*')*)>""", re.S | re.I)
+    open_, ends = [], {}
+    for m in tag.finditer(html):
+        if m[2] is None:
+            continue
+        if not m[2]:
+            if not (m[3].rstrip().endswith("/") and not _VALUE_SLASH.search(m[3])):
+                open_.append(m.end())
+        elif open_:
+            ends[open_.pop()] = m.end()
+    return ends
+
+
 def _raw_items(html: str) -> Iterator[tuple[str, str, int]]:
     """(symbol, text, link characters): tags of blocks, and '#' for each block's text."""
     parts: list[str] = []
     linked, in_link, at, size = 0, 0, 0, len(html)
+    raw_ends: dict[str, dict[int, int]] = {}
 
     def block():
         text = " ".join(unescape("".join(parts)).split())
@@ -91,9 +120,13 @@ def _raw_items(html: str) -> Iterator[tuple[str, str, int]]:
         if not name:
             continue
         if name in RAW:
-            if not m[1]:
+            if not m[1] and name in TO_THE_END:
                 end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, at)
                 at = end.end() if end else size
+            elif not m[1]:
+                if name not in raw_ends:
+                    raw_ends[name] = _raw_ends(html, name)
+                at = raw_ends[name].get(at, at)
             parts.append(" ")
         elif name in CONTAINERS or name in LEAVES:
             if text := block():
@@ -102,7 +135,7 @@ def _raw_items(html: str) -> Iterator[tuple[str, str, int]]:
             if m[1]:
                 yield f"/{name}", "", 0
             else:
-                yield name + _marks(m[3]), "", 0
+                yield _symbol_of(name, m[3]), "", 0
         elif name == "br":
             parts.append(" ")
         elif name == "a":
@@ -142,8 +175,59 @@ def _fold(items: list[tuple[object, list[list[int]]]]) -> list[tuple[object, lis
     return items
 
 
+def _is_side(name: str, marks: list[str]) -> bool:
+    return "whole" not in marks and (name in SIDE_ELEMENTS or bool(set(marks) & SIDE_WORDS))
+
+
+def _frame(raw: list[tuple[str, str, int]]) -> int | None:
+    """The side part that frames the page, as its place: of the outermost the longest.
+
+    A container frames the page if all articles lie in it, where there are any, and more
+    than FRAME times the text that is in no side part.  So comments or teasers stay side
+    parts, also if they are articles, unless they are nearly all of the page.
+    """
+    open_: list[int] = []
+    outer: list[int] = []
+    inside: dict[int, list[int]] = {}
+    mains = plain = 0
+    for k, (symbol, text, _) in enumerate(raw):
+        name, *marks = symbol.removeprefix("/").split(".")
+        if symbol == "#":
+            around = [raw[i][0].split(".") for i in open_]
+            if any(n in SIDE_ELEMENTS and n != "form" for n, *_ in around):
+                continue
+            if not any(_is_side(n, own) for n, *own in around):
+                plain += len(text)
+            for i in open_:
+                inside[i][1] += len(text)
+        elif name not in CONTAINERS:
+            continue
+        elif symbol[0] == "/":
+            at = max((n for n, i in enumerate(open_) if raw[i][0].split(".")[0] == name), default=None)
+            open_ = open_ if at is None else open_[:at]
+        else:
+            if name in MAIN_ELEMENTS or "main" in marks:
+                mains += 1
+                for i in open_:
+                    inside[i][0] += 1
+            if _is_side(name, marks) and not any(_is_side(n, own) for n, *own in (raw[i][0].split(".") for i in open_)):
+                outer.append(k)
+            open_.append(k)
+            inside[k] = [0, 0]
+    frames = [(inside[k][1], -k) for k in outer if inside[k][0] + (".main" in raw[k][0]) == mains and inside[k][1] > FRAME * plain]
+    return -max(frames)[1] if frames else None
+
+
+def _around_main(raw: list[tuple[str, str, int]]) -> list[tuple[str, str, int]]:
+    """The items, with frames of the page as no side parts."""
+    while (k := _frame(raw)) is not None:
+        name, *marks = raw[k][0].split(".")
+        raw[k] = (".".join([name, *(m for m in marks if m == "main"), *(["whole"] if name in SIDE_ELEMENTS else [])]), "", 0)
+    return raw
+
+
 def read_page(html: str) -> Page:
-    raw = list(_raw_items(html or ""))
+    raw = _around_main(list(_raw_items(html or "")))
     texts = [(t, n) for s, t, n in raw if s == "#"]
     items, block = [], 0
     for symbol, _, _ in raw:
@@ -282,7 +366,7 @@ def _places(items: list[Item]) -> list[tuple[bool, bool]]:
     open_, places, leaf = [], [], []
     for symbol in (s for x in items for s in _flat(x.symbol)):
         if symbol == "#":
-            side = any(n in SIDE_ELEMENTS or set(marks) & SIDE_WORDS for n, *marks in open_) or "title" in leaf
+            side = any(_is_side(n, marks) for n, *marks in open_) or "title" in leaf
             inside = any(n in MAIN_ELEMENTS or "main" in marks for n, *marks in open_)
             places.append((side or bool(set(leaf[1:]) & SIDE_WORDS), inside))
             continue

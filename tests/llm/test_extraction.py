@@ -84,3 +84,20 @@ def test_copies_of_a_page_are_no_boilerplate(spark):
     got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, PAGES)).collect()}
     assert {got[i] for i in range(5)} == {"Read our terms\n\nOne\n\nOne text"}
     assert {got[10 + i] for i in range(3)} == {"Two\n\nTwo text"} and got[20] == "Three\n\nThree text" and got[30] == "a\n\na"
+
+
+def test_nothing_takes_the_rest_or_the_whole_of_a_page(spark):
+    bodies = [
+        "<article><p>one</p><svg class='a'/><p>two</p><svg><text>no</text></svg><math /><p>three</p></article>",
+        "<article><p>one</p><button>two<p>three</p><button>no</button></article>",
+        "<article><p>one</p><object data=http://x/>no<object>no</object></object><iframe src='x'><p>two</p><select><p>three</p></article>",
+        "<div id='page' class='has-header'><article class='post comments-open'><p>one</p><p>two</p><p>three</p></article><div class='related'><article><p>no</p></article></div></div>",
+        "<form id='form'><main class='no-sidebar'><p>one</p><p>two</p><p>three</p></main><aside><p>no</p></aside></form>",
+        "<p>skip</p><div id='page' class='has-header'><p>one is long</p><p>two is long</p><p>three is long</p><div class='sidebar'><p>no</p></div></div>",
+        "<div class='no-menu'><div class='menu'><p>no</p></div><form><p>one is long</p><p>two is long</p><p>three is long</p></form></div>",
+        "<article><p>one</p><p>two</p><p>three</p></article><script>no<p>no</p>",
+        "<div><p>one</p><p>two</p><p>three</p></div><div class='sidebar'><article><p>no</p></article></div>",
+    ]
+    rows = [(i, f"http://h{i}/", f"<html class='no-nav'><body class='no-sidebar'>{b}", None) for i, b in enumerate(bodies)]
+    got = {r.page_id: r.text.replace(" is long", "").removeprefix("skip").split() for r in extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {i: ["one", "two", "three"] for i in range(len(bodies))}
