@@ -3,8 +3,10 @@
 A rule names a host, with its subdomains, and the beginning of a path; the longest rule
 that fits a URL decides it.  URLs that no rule fits are judged by their host: trust is
 the personalised PageRank from hosts whose URLs rules allow, distrust is that of the
-reversed links from hosts whose URLs rules block, and a host that is distrusted more
-than it is trusted, by the threshold, is blocked.
+reversed links from hosts whose URLs rules block.  A host is blocked if most of what
+links say of it is distrust: of all that reaches it from hosts that rules know, over
+reversed links, and of the trust that reaches it, the share that comes from blocked
+URLs.  A share doesn't sink where distrust is split over many hosts that link to one.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ DAMPING = 0.85
 ROUNDS = 30
 """Rounds of propagation; what is left after them moves less than DAMPING ** ROUNDS."""
 THRESHOLD = 0.5
-"""Distrust minus trust, in seeds, from which a host is blocked."""
+"""Share of distrust in what reaches a host from which it is blocked."""
 
 _LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]*)"""
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -71,21 +73,25 @@ def links(pages: DataFrame, url: str, html: str) -> DataFrame:
 
 
 def _rank(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int) -> DataFrame:
-    """(host, rank): personalised PageRank in units of one full seed.
-
-    ``edges`` has source, target and weight; ``seeds`` host and seed.  A host without
-    links gives what it holds back to the seeds, so ranks always add up to the seeds.
-    The sums of a host's incoming ranks are formed before they are shuffled.
+    """(host, rank, mass, known_mass): personalised PageRank in units of one full seed,
+    and what reaches a host over all walks from the seeds, and from known hosts.
+
+    ``edges`` has source, target and weight; ``seeds`` host, seed and known, 1 for a
+    host that any rule knows.  A host without links gives the rank that it holds back to
+    the seeds, so ranks always add up to the seeds; masses are damped only, so those of
+    several seeds are the sums of each one's.  The sums of a host's incoming ranks are
+    formed before they are shuffled.
     """
     out = edges.groupBy("source").agg(F.sum("weight").alias("total"))
     shares = staged(edges.join(out, "source").select("source", "target", (F.col("weight") / F.col("total")).alias("share")))
     total = seeds.agg(F.sum("seed")).first()[0] or 0.0
-    rank = staged(seeds.select("host", F.col("seed").alias("rank")))
+    rank = staged(seeds.select("host", F.col("seed").alias("rank"), F.col("seed").alias("mass"), F.col("known").alias("known_mass")))
     for _ in range(rounds if total and shares.limit(1).count() else 0):
-        moved = shares.join(rank, shares.source == rank.host).groupBy(F.col("target").alias("host")).agg((F.sum(F.col("rank") * F.col("share")) * damping).alias("part")).select("host", "part")
-        kept = moved.agg(F.sum("part")).first()[0] or 0.0
-        back = seeds.select("host", (F.col("seed") * (1 - kept / total)).alias("part"))
-        new = staged(moved.union(back).groupBy("host").agg(F.sum("part").alias("rank")))
+        parts = [(F.sum(F.col(c) * F.col("share")) * damping).alias(c) for c in ("rank", "mass", "known_mass")]
+        moved = shares.join(rank, shares.source == rank.host).groupBy(F.col("target").alias("host")).agg(*parts)
+        kept = moved.agg(F.sum("rank")).first()[0] or 0.0
+        back = seeds.select("host", (F.col("seed") * (1 - kept / total)).alias("rank"), F.col("seed").alias("mass"), F.col("known").alias("known_mass"))
+        new = staged(moved.union(back).groupBy("host").agg(*[F.sum(c).alias(c) for c in ("rank", "mass", "known_mass")]))
         drop(rank)
         rank = new
     drop(shares)
@@ -102,7 +108,7 @@ def judge(pages: DataFrame, rules: list[Rule], url: str = "url", html: str = "ht
     that neither rules nor links reach.  Null and repeated rows are rows like others;
     columns of ``pages`` that are named like new ones are replaced.
     """
-    new = ("host", "path", "rule", "trust", "distrust", "verdict", "_rule")
+    new = ("host", "path", "rule", "trust", "distrust", "verdict", "_rule", "_for", "_against", "_known")
     pages = pages.drop(*(c for c in new if c not in (url, html)))
     ruled = pages.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url))).withColumn("_rule", rule_of(rules, F.col("host"), F.col("path")))
     best = ordered(rules)
@@ -111,12 +117,16 @@ def judge(pages: DataFrame, rules: list[Rule], url: str = "url", html: str = "ht
     ruled = ruled.withColumn("rule", F.get(names, F.col("_rule"))).withColumn("verdict", F.get(verdicts, F.col("_rule")))
     hosts = staged(ruled.where("host <> ''").groupBy("host").agg(*[F.avg(F.coalesce((F.col("verdict") == v).cast("double"), F.lit(0.0))).alias(v) for v in ("allow", "block")]))
     edges = staged(links(pages, url, html))
-    trust = _rank(edges, hosts.where("allow > 0").select("host", F.col("allow").alias("seed")), damping, rounds)
+    known = F.lit(1.0).alias("known")
+    seeds = hosts.where("allow > 0 OR block > 0")
+    trust = _rank(edges, seeds.select("host", F.col("allow").alias("seed"), known), damping, rounds)
     reverse = edges.select(F.col("target").alias("source"), F.col("source").alias("target"), "weight")
-    distrust = _rank(reverse, hosts.where("block > 0").select("host", F.col("block").alias("seed")), damping, rounds)
-    scores = hosts.select("host").join(trust.withColumnRenamed("rank", "trust"), "host", "left").join(distrust.withColumnRenamed("rank", "distrust"), "host", "left")
+    distrust = _rank(reverse, seeds.select("host", F.col("block").alias("seed"), known), damping, rounds)
+    trust = trust.select("host", F.col("rank").alias("trust"), F.col("mass").alias("_for"))
+    distrust = distrust.select("host", F.col("rank").alias("distrust"), F.col("mass").alias("_against"), F.col("known_mass").alias("_known"))
+    scores = hosts.select("host").join(trust, "host", "left").join(distrust, "host", "left")
     scores = staged(scores.fillna(0.0))
     drop(edges)
-    blocked = F.coalesce(F.col("distrust") - F.col("trust") > threshold, F.lit(False))
+    blocked = F.coalesce(F.col("_against") > threshold * (F.col("_known") + F.col("_for")), F.lit(False))
     out = ruled.join(scores, "host", "left").withColumn("verdict", F.coalesce("verdict", F.when(blocked, "block").otherwise("allow")))
-    return out.fillna(0.0, ["trust", "distrust"]).drop("_rule")
+    return out.fillna(0.0, ["trust", "distrust"]).drop("_rule", "_for", "_against", "_known")

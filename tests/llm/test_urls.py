@@ -74,3 +74,19 @@ def test_trust_and_distrust_spread_over_links(spark):
         if r.rule is None:
             assert r.verdict == ("block" if distrust.get(r.host, 0) - trust.get(r.host, 0) > 0.5 else "allow")
     assert {i: r.verdict for i, r in got.items()} == {1: "allow", 2: "allow", 3: "block", 4: "block", 5: "block", 6: "block", 7: "allow", 8: "block"}
+
+
+def test_one_blocked_host_blocks_all_that_only_link_to_it(spark):
+    link = lambda *hosts: "".join(f"<a href='//{h}/'>" for h in hosts)
+    for n in (1, 5):
+        rows = [(0, "http://bad.net/", None), (90, "http://good.org/fr/", link("both.io")), (91, "http://both.io/", link("bad.net")), (92, "http://quiet.io/", None), (93, "http://fan.io/", link("good.org"))]
+        rows += [(i, f"http://l{i}.io/", link("bad.net")) for i in range(1, n + 1)]
+        rows += [(100 + i, f"http://example.com/{'de' if i < 3 else 'en'}/{i}", None) for i in range(10)] + [(120, "http://reader.io/", link("example.com"))]
+        got = {r.page_id: r.verdict for r in judge(spark.createDataFrame(rows, PAGES), RULES).collect()}
+        assert {i: got[i] for i in range(n + 1)} == dict.fromkeys(range(n + 1), "block")
+        assert {i for i, v in got.items() if v == "block"} == {*range(n + 1), 100, 101, 102}
+
+
+def test_links_to_a_mostly_blocked_host_keep_its_other_pages_blocked(spark):
+    rows = [(i, f"http://example.com/{'de' if i < 8 else 'en'}/{i}", None) for i in range(10)] + [(10 + i, f"http://l{i}.io/", "<a href='//example.com/'>") for i in range(3)]
+    assert {r.verdict for r in judge(spark.createDataFrame(rows, PAGES), RULES).collect()} == {"block"}
