@@ -252,14 +252,21 @@ def _block_pairs(met: DataFrame, classes: DataFrame, labels: DataFrame, like: Si
     return met_pairs.groupBy("a", "b").agg(F.count("*").alias("times"), F.first("need").alias("need")).where("times >= need").select("a", "b")
 
 
-def near_classes(docs: DataFrame, like: Similarity, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``docs``.
+def near_classes(docs: DataFrame, like: Similarity, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK, links: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of ``docs``; with ``links`` also
+    (class_id, n_links).
 
     ``component_id`` is the smallest ``doc_id`` that links reach, itself included.  A
     text without words has no shingles and is linked with nothing; null is the empty
     text.  Rows with a null id can link others and belong to their component, but never
     name it; a component of such rows only has a null name.  Other columns of ``docs``
     aren't read.
+
+    Components need no links inside what is already one component, so those are not
+    sought.  With ``links`` all pairs of classes are met and verified, in a large group of
+    differing near copies as many as it has: ``n_links`` counts the other rows that a row
+    is similar to, its copies among them, and ``class_id`` is the smallest ``doc_id`` of
+    the rows with its shingle set (of a text without shingles, its own).
     """
     profiles = staged(_profiles(docs, doc_id, text, like))
     ids = staged(profiles.select("doc_id", "n", "sid"))
@@ -270,16 +277,30 @@ def near_classes(docs: DataFrame, like: Similarity, doc_id: str = "doc_id", text
     rows = classes.select("cls", F.explode("prefix").alias("shingle"))
     several = rows.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1").select("shingle")
     met = staged(rows.join(several, "shingle"))
-    links = _verified(_pivot_pairs(met, classes, like), classes, docs, doc_id, text, like)
-    first_labels = components(links, "a", "b")
-    more = _verified(_block_pairs(met, classes, first_labels, like, block), classes, docs, doc_id, text, like)
-    labels = components(links.union(more), "a", "b")
-    named = classes.select("cls", "sid", "rep").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    if links:
+        none = docs.sparkSession.createDataFrame([], "node long, component long")
+        found = _verified(_block_pairs(met, classes, none, like, block), classes, docs, doc_id, text, like)
+        labels = components(found, "a", "b")
+    else:
+        found = _verified(_pivot_pairs(met, classes, like), classes, docs, doc_id, text, like)
+        first_labels = components(found, "a", "b")
+        more = _verified(_block_pairs(met, classes, first_labels, like, block), classes, docs, doc_id, text, like)
+        labels = components(found.union(more), "a", "b")
+        drop(more)
+    named = classes.select("cls", "sid", "rep", "copies").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    by_class = staged(named.join(smallest, "component").select("sid", "component_id"))
-    drop(classes, met, links, more)
+    by_class = named.join(smallest, "component")
+    if links:
+        ends = found.select(F.col("a").alias("cls"), F.col("b").alias("near")).union(found.select("b", "a"))
+        near = ends.join(classes.select(F.col("cls").alias("near"), F.col("copies").alias("others")), "near").groupBy("cls").agg(F.sum("others").alias("others"))
+        by_class = by_class.join(near, "cls", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("others", F.lit(0)))
+    extra = ["rep", "n_links"] if links else []
+    by_class = staged(by_class.select("sid", "component_id", *extra))
+    drop(classes, met, found)
     out = ids.join(by_class, "sid", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    own = lambda c: F.when(F.col("n") > 0, F.col(c)).otherwise(F.col("doc_id"))
+    extra = [own("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if links else []
+    return out.select("doc_id", F.col("n").alias("n_shingles"), own("component_id").alias("component_id"), *extra)
 
 
 def keep_first(docs: DataFrame, like: Similarity, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

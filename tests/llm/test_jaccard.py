@@ -77,3 +77,15 @@ def test_prefixes_of_similar_sets_meet_often_enough():
         if like.denominator * shared >= like.numerator * len(union):
             (one, m), (two, n) = prefix(a, frequency[a.astype(int)], 3.0, like), prefix(b, frequency[b.astype(int)], 3.0, like)
             assert len(np.intersect1d(one, two)) >= min(m, n)
+
+
+@pytest.mark.parametrize("like,block", [(Similarity(3, 90), 512), (Similarity(1, 60), 8)])
+def test_links_equal_all_pairs(spark, documents, like, block):
+    rows = near_copies(random.Random(block), 12)
+    rows += [(1000 + i, t) for i, (_, t) in enumerate(rows[:9])] + [(2000, ""), (2001, None)]
+    sets = {i: plain_shingles(t or "", like.k) for i, t in rows}
+    linked = lambda a, b: bool(a) and like.denominator * len(a & b) >= like.numerator * len(a | b)
+    want = {i: (sum(linked(s, sets[j]) for j in sets if j != i), min(j for j in sets if sets[j] == s) if s else i, c) for (i, s), c in zip(sorted(sets.items()), plain_components(sets, linked).values())}
+    got = near_classes(documents(rows), like, block=block, links=True).collect()
+    assert len(got) == len(rows) and max(w[0] for w in want.values()) > 3
+    assert {r.doc_id: (r.n_links, r.class_id, r.component_id) for r in got} == want
