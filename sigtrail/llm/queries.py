@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigtrail.llm import decontaminate, extraction, jaccard, lines, mixing, quality, secrets, sharding, urls, vectors
+from sigtrail.llm import coalitions, decontaminate, extraction, jaccard, lines, mixing, quality, secrets, sharding, urls, vectors
 from sigtrail.llm.scratch import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -215,3 +215,40 @@ kept AS (
   WHERE ranked.place IS NULL OR (firsts.place IS NOT NULL AND occ.line NOT IN (SELECT line FROM near)))
 SELECT doc_id, len(l)::BIGINT AS n_lines, count(kept.i) AS n_kept, md5(coalesce(string_agg(kept.line, chr(10) ORDER BY kept.i), '')) AS text_md5
 FROM parts LEFT JOIN kept USING (doc_id) GROUP BY doc_id, l"""
+
+
+@query
+def op11_coalition_shapley(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters does at every step of all 120 orders, by language."""
+    docs, conditions = coalitions.text_filters(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return coalitions.audit(docs, conditions, F.coalesce("lang", F.lit("")), table(spark, sf_dir, "labels"), copies="E")
+
+
+def _bit(letter: str) -> str:
+    return f"(1 << (instr('ABCDE', {letter}) - 1))"
+
+
+SQL["op11_coalition_shapley"] = f"""
+WITH texts AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+firsts AS (SELECT text, min(doc_id) AS least FROM texts GROUP BY text),
+marked AS (SELECT doc_id, part,
+    CASE WHEN len(w) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN doc_id > least THEN 16 ELSE 0 END AS m
+  FROM texts JOIN firsts USING (text)),
+told AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+counted AS (SELECT part, m, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(bad), 0) AS bad FROM marked LEFT JOIN told USING (doc_id) GROUP BY part, m),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM f a JOIN f b ON b.x <> a.x JOIN f c ON c.x NOT IN (a.x, b.x) JOIN f d ON d.x NOT IN (a.x, b.x, c.x)
+  JOIN f e ON e.x NOT IN (a.x, b.x, c.x, d.x)),
+places AS (SELECT o, unnest([1, 2, 3, 4, 5]) AS k FROM orders),
+steps AS (SELECT o, k, substr(o, k, 1) AS letter, {_bit("substr(o, k, 1)")} AS own,
+    {" + ".join(f"CASE WHEN k > {i} THEN {_bit(f'substr(o, {i}, 1)')} ELSE 0 END" for i in (1, 2, 3, 4))} AS earlier FROM places),
+done AS (SELECT part, o AS filter_order, k AS step, letter,
+    sum(CASE WHEN m & (earlier | own) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN m & earlier = 0 AND m & own <> 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN m & earlier <> 0 AND m & own <> 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN m = own THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN m & earlier = 0 AND m & own <> 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN m & earlier = 0 AND m & own <> 0 THEN bad ELSE 0 END) AS toxic_lost
+  FROM counted CROSS JOIN steps GROUP BY part, o, k, letter)
+SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+  good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM done"""
