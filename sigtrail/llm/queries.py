@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigtrail.llm import coalitions, decontaminate, extraction, jaccard, lines, mixing, quality, secrets, sharding, urls, vectors
+from sigtrail.llm import coalitions, decontaminate, divergence, extraction, jaccard, lines, mixing, quality, secrets, sharding, urls, vectors
 from sigtrail.llm.scratch import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -252,3 +252,30 @@ done AS (SELECT part, o AS filter_order, k AS step, letter,
   FROM counted CROSS JOIN steps GROUP BY part, o, k, letter)
 SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
   good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM done"""
+
+
+@query
+def op12_vocabulary_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How sources of a language differ, and by which terms."""
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+SQL["op12_vocabulary_divergence"] = """
+WITH base AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS doc,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+tok AS (SELECT lang, source, doc, unnest(t) AS term FROM base),
+kept AS (SELECT lang, term FROM tok GROUP BY lang, term HAVING count(DISTINCT doc) >= 30),
+groups AS (SELECT DISTINCT lang, source FROM base),
+c AS (SELECT lang, source, term, count(*) AS n FROM tok JOIN kept USING (lang, term) GROUP BY lang, source, term),
+every AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM groups g JOIN kept k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+summed AS (SELECT *, sum(n) OVER (PARTITION BY lang, source) AS total, count(*) OVER (PARTITION BY lang, source) AS v,
+  sum(n) OVER (PARTITION BY lang, term) AS n_lang, sum(n) OVER (PARTITION BY lang) AS total_lang FROM every),
+shares AS (SELECT lang, source, term, n, 1 + 1000000000 * (n + 5)::HUGEINT // (total + 5 * v)::HUGEINT AS p,
+  1 + 1000000000 * (n_lang + 5)::HUGEINT // (total_lang + 5 * v)::HUGEINT AS q FROM summed),
+differ AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+pairs AS (SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(d.value, 0) AS value FROM groups g JOIN groups h ON h.lang = g.lang AND h.source <> g.source
+  LEFT JOIN differ d ON d.lang = g.lang AND d.source = g.source AND d.item = h.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM shares WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 50"""
