@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigtrail.llm import coalitions, decontaminate, divergence, extraction, jaccard, lines, mixing, quality, secrets, sharding, urls, vectors
+from sigtrail.llm import coalitions, decontaminate, divergence, extraction, jaccard, lines, mixing, quality, repeats, secrets, sharding, urls, vectors
 from sigtrail.llm.scratch import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -279,3 +279,22 @@ pairs AS (SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(d.
 terms AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM shares WHERE n > 0 AND p > q),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
 SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 50"""
+
+
+@query
+def op13_prefix_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the words of 20-word windows that start earlier."""
+    out = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+SQL["op13_prefix_suffix_trees"] = """
+WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, s, array_to_string(w[s : s + 19], ' ') AS win FROM texts, LATERAL (SELECT unnest(range(1, len(w) - 18)) AS s)),
+ranked AS (SELECT doc_id, s, row_number() OVER (PARTITION BY win ORDER BY doc_id, s) AS r FROM windows),
+gone AS (SELECT DISTINCT doc_id, i FROM ranked, LATERAL (SELECT unnest(range(s, s + 20)) AS i) WHERE r > 1),
+each AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM texts),
+kept AS (SELECT each.doc_id, string_agg(word, ' ' ORDER BY each.i) AS t FROM each LEFT JOIN gone ON gone.doc_id = each.doc_id AND gone.i = each.i WHERE gone.i IS NULL GROUP BY each.doc_id),
+lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT texts.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM texts LEFT JOIN kept ON kept.doc_id = texts.doc_id LEFT JOIN lost ON lost.doc_id = texts.doc_id"""

@@ -70,7 +70,8 @@ class Words(NamedTuple):
     end: np.ndarray
 
 
-def words(texts: pa.Array) -> Words:
+def words(texts: pa.Array, lower: bool = True) -> Words:
+    """With ``lower=False`` words that differ in case differ."""
     raw, offsets = text_bytes(texts)
     n = len(raw)
     if not n:
@@ -86,7 +87,7 @@ def words(texts: pa.Array) -> Words:
     ends[cuts - 1] = inside[cuts - 1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_CODES[_LOWER[raw]] * _powers("base", _BASE, n), out=sums[1:])
+    np.cumsum(_CODES[_LOWER[raw] if lower else raw] * _powers("base", _BASE, n), out=sums[1:])
     hashes = mix((sums[end] - sums[start]) * _powers("inverse", _INVERSE, n)[start] + (end - start).astype(np.uint64))
     return Words(hashes, np.searchsorted(start, offsets), start, end)
 
