@@ -99,7 +99,7 @@ def _beside(df: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(F.broadcast(small) if is_small(small) else small, keys)
 
 
-def _distances(batch: pa.RecordBatch):
+def _distances(batch: pa.RecordBatch, block: int):
     """Sums of differences of one batch of terms, for all pairs of places of a cell."""
     lang, low, high = (batch.column(i) for i in range(3))
     cells: dict[tuple, list[int]] = {}
@@ -114,9 +114,9 @@ def _distances(batch: pa.RecordBatch):
         at = np.searchsorted(place, have.flatten().field("pos").to_numpy())
         shares = np.tile(zero, (len(rows), 1))
         shares[np.repeat(np.arange(len(rows)), have.value_lengths().to_numpy()), at] = have.flatten().field("p").to_numpy()
-        block = place // BLOCK
-        for i in np.flatnonzero(block == lo):
-            others = np.flatnonzero((block == hi) & (place > place[i]))
+        side = place // block
+        for i in np.flatnonzero(side == lo):
+            others = np.flatnonzero((side == hi) & (place > place[i]))
             if len(others):
                 found["lang"] += [name] * len(others)
                 found["a"] += [int(place[i])] * len(others)
@@ -126,10 +126,10 @@ def _distances(batch: pa.RecordBatch):
     yield pa.RecordBatch.from_arrays([pa.array(found["lang"], pa.string()), *(pa.array(found[k], pa.int64()) for k in ("a", "b", "value", "seen"))], names=list(found))
 
 
-def _pairs(entries: DataFrame, groups: DataFrame) -> DataFrame:
+def _pairs(entries: DataFrame, groups: DataFrame, block: int) -> DataFrame:
     """(lang, source, item, value): the difference of each source from each other one."""
-    blocks = F.call_function("div", F.col("n_sources") - 1, F.lit(BLOCK))
-    own = F.call_function("div", F.col("pos"), F.lit(BLOCK))
+    blocks = F.call_function("div", F.col("n_sources") - 1, F.lit(block))
+    own = F.call_function("div", F.col("pos"), F.lit(block))
     met = F.explode(F.sequence(F.lit(0).cast("long"), blocks))
 
     def celled(df: DataFrame) -> DataFrame:
@@ -139,7 +139,7 @@ def _pairs(entries: DataFrame, groups: DataFrame) -> DataFrame:
     cells = celled(groups).groupBy("lang", "lo", "hi").agg(listed.alias("all")).select("lang", "lo", "hi", F.col("all.pos").alias("places"), F.col("all.zero").alias("zeros"))
     by_term = celled(entries).groupBy("lang", "lo", "hi", "term").agg(F.collect_list(F.struct("pos", "p")).alias("have"))
     rows = _beside(by_term, cells, ["lang", "lo", "hi"]).select("lang", "lo", "hi", "have", "places", "zeros")
-    sums = arrow_map(rows, _distances, "lang string, a long, b long, value long, seen long").groupBy("lang", "a", "b").agg(F.sum("value").alias("value"), F.sum("seen").alias("seen"))
+    sums = arrow_map(rows, lambda batch: _distances(batch, block), "lang string, a long, b long, value long, seen long").groupBy("lang", "a", "b").agg(F.sum("value").alias("value"), F.sum("seen").alias("seen"))
     later = groups.where("pos + 1 < n_sources").select("lang", F.col("source").alias("first"), F.col("pos").alias("a"), F.col("zero").alias("zero_a"), "kept", F.explode(F.sequence(F.col("pos") + 1, F.col("n_sources") - 1)).alias("b"))
     both = _beside(later, groups.select("lang", F.col("pos").alias("b"), F.col("source").alias("second"), F.col("zero").alias("zero_b")), ["lang", "b"]).join(sums, ["lang", "a", "b"], "left")
     unseen = F.when(F.col("kept") > 0, (F.col("kept") - F.coalesce("seen", F.lit(0))) * F.abs(F.col("zero_a") - F.col("zero_b"))).otherwise(F.lit(0))
@@ -148,7 +148,7 @@ def _pairs(entries: DataFrame, groups: DataFrame) -> DataFrame:
     return valued.select("lang", F.inline(ways), "value")
 
 
-def divergence(docs: DataFrame, min_docs: int = 30, top: int = 50, slice_terms: int = SLICE_TERMS, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+def divergence(docs: DataFrame, min_docs: int = 30, top: int = 50, slice_terms: int = SLICE_TERMS, block: int = BLOCK, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """(lang, source, part, item, value, rank) of every (language, source).
 
     A kept term weighs ``1 + floor(10^9 (n + 5) / (N + 5 V))`` in a source, with n its
@@ -181,5 +181,5 @@ def divergence(docs: DataFrame, min_docs: int = 30, top: int = 50, slice_terms:
     more = entries.withColumn("value", F.col("p") - _share(everywhere, F.col("lang_total"), F.col("kept"))).where("value > 0")
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     best = more.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    pair = _pairs(entries, groups).select("lang", "source", F.lit("pair").alias("part"), "item", "value").withColumn("rank", F.row_number().over(order))
+    pair = _pairs(entries, groups, block).select("lang", "source", F.lit("pair").alias("part"), "item", "value").withColumn("rank", F.row_number().over(order))
     return pair.unionByName(best)

@@ -41,7 +41,7 @@ GROUP = 1 << 12
 """Suffixes of a group; more only where else over ``MOST_LONGER`` prefixes would be."""
 MOST_LONGER = 1 << 20
 """Prefixes that are lengthened; their table is sent to all tasks."""
-_ROWS = 1 << 16
+AT_ONCE = 1 << 16
 """Suffixes that a task makes trees of at once."""
 _SALTS = 16
 _SINGLE, _SEVERAL, _KNOWN = 0, 1, 2
@@ -203,14 +203,14 @@ _LEAVES = "key long, part int, label long, ord long, h long, at int, low int, hi
 _MARKS = "ord long, h long, at int, bits int, key long, label long"
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of whole groups, of about ``_ROWS`` rows, from rows in the order of key and part."""
+def _groups(batches: Iterator[pa.RecordBatch], at_once: int) -> Iterator[pa.RecordBatch]:
+    """Batches of whole groups, of about ``at_once`` rows, from rows in the order of key and part."""
     held: list[pa.RecordBatch] = []
     rows = 0
     for batch in batches:
         held.append(batch)
         rows += batch.num_rows
-        if rows >= _ROWS:
+        if rows >= at_once:
             whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             key, part = whole.column(0).to_numpy(), whole.column(1).to_numpy()
             cut = np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1]))
@@ -263,8 +263,8 @@ def subtree_repeats(key: np.ndarray, around: np.ndarray, low: np.ndarray, high:
     return bits
 
 
-def _trees(batches: Iterator[pa.RecordBatch], window: int, prefix: int) -> Iterator[pa.RecordBatch]:
-    for batch in _groups(batches):
+def _trees(batches: Iterator[pa.RecordBatch], window: int, prefix: int, at_once: int) -> Iterator[pa.RecordBatch]:
+    for batch in _groups(batches, at_once):
         key, part, label, ids, h, at, low, high = (batch.column(i).to_numpy() for i in range(8))
         found = []
         tree = np.flatnonzero(part < 0)
@@ -284,7 +284,7 @@ def _trees(batches: Iterator[pa.RecordBatch], window: int, prefix: int) -> Itera
             yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(h[rows]), pa.array(at[rows]), pa.array(bits.astype(np.int32)), pa.array(keys), pa.array(labels)], names=["ord", "h", "at", "bits", "key", "label"])
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group: int = GROUP) -> DataFrame:
+def repeated_windows(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group: int = GROUP, at_once: int = AT_ONCE) -> DataFrame:
     """(ord, h, marks) of texts that are the first of their copies: for each word ``at``
     of a mark, bit d says that the window d words before it also starts earlier.
 
@@ -301,7 +301,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX
     firsts = docs.groupBy("h").agg(F.min("ord").alias("ord"))
     wanted = staged(listed.join(firsts, "h").select("ord", "h", "listed"))
     leaves = docs.join(wanted, ["ord", "h"]).select("ord", "h", "text", "listed").mapInArrow(lambda b: _suffixes(b, window, prefix), _LEAVES)
-    trees = leaves.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(lambda b: _trees(b, window, prefix), _MARKS)
+    trees = leaves.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(lambda b: _trees(b, window, prefix, at_once), _MARKS)
     found = staged(trees)
     place = F.struct("ord", "h", "at")
     least = F.min(place).over(Window.partitionBy("key", "label"))
@@ -362,7 +362,7 @@ def _spans(gone: np.ndarray, owner: np.ndarray, first: np.ndarray, texts: int) -
     return pa.ListArray.from_arrays(pa.array(offset), cells)
 
 
-def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, prefix: int = PREFIX, group: int = GROUP) -> DataFrame:
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, prefix: int = PREFIX, group: int = GROUP, at_once: int = AT_ONCE) -> DataFrame:
     """(doc_id, n_words, n_removed, spans, text) of every document.
 
     A word is removed if a window of its document covers it whose words also start
@@ -381,7 +381,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         raise ValueError("prefixes are shorter than windows, windows have 30 words at most")
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("ord"), F.xxhash64(whole).alias("h"), F.xxhash64(F.lit(1), whole).alias("g"), whole.alias("text"))
-    marks = repeated_windows(rows.select("ord", "h", "text"), window, prefix, group)
+    marks = repeated_windows(rows.select("ord", "h", "text"), window, prefix, group, at_once)
     light = rows.groupBy("ord", "h", "g").agg(F.count("*").alias("again"))
     several = light.groupBy("h", "g").agg(F.min("ord").alias("first"), F.count("*").alias("n")).where("n > 1")
     dealt = several.select("h", "g", "first", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
