@@ -1,84 +1,125 @@
 """Divergence of sources within a language, from exact sparse document vectors.
 
 ``CountVectorizer`` with a least document frequency and the largest integer as size of
-its vocabulary turns documents into sparse vectors of counts.  Every term carries its
-language, so one fit learns a vocabulary for each language and frequencies are counted
-per language.  Vectors are added up by (language, source) as ``Summarizer`` would, but
+its vocabulary turns documents into sparse vectors of counts.  A mark before each term
+tells its language, so one fit learns the vocabularies of many languages and counts
+frequencies per language.  Vectors are added up by (language, source) as ``Summarizer`` would, but
 entry by entry: its buffers are dense.  Sources are then compared over the terms that
 any of them has; all others differ by what a term without occurrences weighs.
 
-A vocabulary passes through the driver.  Distinct terms are therefore estimated first,
-and beyond ``SLICE_TERMS`` they are dealt by hash into slices with a fit each.  A slice
-is written apart, so every token is read by one fit whatever their number.
+A vocabulary passes through the driver.  A kept term occurs in ``min_docs`` documents, so
+the number of occurrences bounds that of kept terms.  Where this bound is beyond
+``SLICE_TERMS``, distinct terms are estimated and dealt by hash into slices with a fit
+each.  A slice is written apart, so a token is read by one fit whatever their number.
 
 All arithmetic is exact: counts are whole doubles below 2^53, shares whole numbers.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigtrail.llm.scratch import arrow_map, staged
+from sigtrail.llm.scratch import arrow_map, slices, staged
+from sigtrail.llm.words import text_bytes
+from sigtrail.plans.ordered import position
 from sigtrail.session import is_small, scratch_path
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 SCALE = 1_000_000_000
-SLICE_TERMS = 1 << 22
-"""Distinct terms of one fit at most; its vocabulary has those of them that are frequent."""
+SLICE_TERMS = 1 << 23
+"""Terms that a fit may keep, by a bound on them; a vocabulary is under 1 GB then."""
 BLOCK = 64
 """Sources of a language that one comparison holds on each side."""
-_MARK = "\0"
-"""Between a language and its term; no term has it."""
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
-def terms(text: Column) -> Column:
-    """The terms of a text, A-Z lower-cased; texts of ASCII take the faster way."""
-    lower = F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, _UPPER, _LOWER)).otherwise(F.lower(text))
-    return F.regexp_extract_all(lower, F.lit(TERM), F.lit(0))
+_MARKS = 63
+"""Languages of one fit: a byte below the letters tells them apart."""
+_TERM, _LOW = np.zeros(256, dtype=bool), np.arange(256, dtype=np.uint8)
+_TERM[0x41:0x5B] = _TERM[0x61:0x7B] = _TERM[0x80:] = True
+_LOW[0x41:0x5B] += 0x20
+
+
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, source, part, mark, text) with the text's terms in its place: maximal runs of
+    letters of ASCII and of bytes above it, A-Z lower-cased, each behind its mark."""
+    for batch in batches:
+        for part in slices(batch, 4, 8 << 20):
+            raw, offsets = text_bytes(pc.binary_join_element_wise("", part.column(4), " "))
+            inside = _TERM[raw]
+            start = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1  # each text begins with a blank
+            ends = np.flatnonzero(inside & ~np.append(inside[1:], False)) + 1
+            low = _LOW[raw]
+            first = np.searchsorted(start, offsets)
+            low[start - 1] = np.repeat(part.column(3).to_numpy().astype(np.uint8), np.diff(first))
+            inside[start - 1] = True
+            size = np.append(0, np.cumsum(ends - start + 1)).astype(np.int32)
+            terms = pa.Array.from_buffers(pa.string(), len(start), [None, pa.py_buffer(size), pa.py_buffer(low[inside])])
+            listed = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), terms)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), listed], names=["lang", "source", "part", "terms"])
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, source, indices, values) of vectors added up entry by entry within a batch."""
+    for batch in batches:
+        lang, source = (batch.column(i).dictionary_encode() for i in (0, 1))
+        pair = lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy()
+        index, value = batch.column(2), batch.column(3)
+        key = np.repeat(pair << 32, index.value_lengths().to_numpy()) | index.flatten().to_numpy()
+        found, at = np.unique(key, return_inverse=True)
+        n = np.bincount(at, weights=value.flatten().to_numpy(), minlength=len(found))
+        pair, many = found >> 32, max(len(source.dictionary), 1)
+        names = [lang.dictionary.take(pa.array(pair // many)), source.dictionary.take(pa.array(pair % many))]
+        yield pa.RecordBatch.from_arrays([*names, pa.array((found & 0xFFFFFFFF).astype(np.int32)), pa.array(n.astype(np.int64))], names=["lang", "source", "index", "n"])
 
 
 def _fitted(documents: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
-    """(lang, source, index, n) of one slice, and its vocabulary (index, lang, term)."""
+    """(lang, source, index, n) of one slice, and its vocabulary (index, mark, term)."""
     spark = documents.sparkSession
     # A term of its own keeps the vocabulary from being empty, which is an error.
-    padding = spark.range(min_docs).select(F.array(F.lit(_MARK)).alias("terms"))
+    padding = spark.range(min_docs).select(F.array(F.lit("\0")).alias("terms"))
     counter = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=(1 << 31) - 1)
     model = counter.fit(documents.select("terms").unionByName(padding))
     words = model.vocabulary
-    named = pa.table({"index": pa.array(range(len(words)), pa.int32()), "word": pa.array(words, pa.string())})
-    vocabulary = staged(spark.createDataFrame(named)).where(F.col("word") != _MARK)
-    vocabulary = vocabulary.select("index", F.expr("substring(word, 1, length(word) - length(substring_index(word, '\\0', -1)) - 1)").alias("lang"), F.substring_index("word", _MARK, -1).alias("term"))
+    marked = pa.table({"index": pa.array(range(len(words)), pa.int32()), "mark": pa.array([ord(w[0]) for w in words], pa.int32()), "term": pa.array([w[1:] for w in words], pa.string())})
+    vocabulary = staged(spark.createDataFrame(marked)).where("mark > 0")
     vector = F.unwrap_udt("vector")
-    entries = model.transform(documents).select("lang", "source", F.inline(F.arrays_zip(vector["indices"].alias("index"), vector["values"].alias("n"))))
-    return entries.groupBy("lang", "source", "index").agg(F.sum("n").cast("long").alias("n")), vocabulary
-
-
-def group_counts(docs: DataFrame, min_docs: int, slice_terms: int = SLICE_TERMS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Occurrences (lang, source, term, n) above 0 of kept terms, the kept (lang, term),
-    and all (lang, source)."""
-    word = F.transform(terms(F.col("text")), lambda t: F.concat("lang", F.lit(_MARK), t))
-    tokens = staged(docs.select("lang", "source", word.alias("terms")))
-    groups = staged(tokens.select("lang", "source").distinct())
-    distinct = tokens.select(F.explode("terms").alias("t")).agg(F.approx_count_distinct("t", 0.02)).first()[0]
-    slices = -(-distinct // slice_terms) or 1
+    entries = model.transform(documents).select("lang", "source", vector["indices"].alias("indices"), vector["values"].alias("values"))
+    return entries.mapInArrow(_sums, "lang string, source string, index int, n long").groupBy("lang", "source", "index").agg(F.sum("n").alias("n")), vocabulary
+
+
+def group_counts(docs: DataFrame, min_docs: int, slice_terms: int = SLICE_TERMS) -> tuple[DataFrame, DataFrame]:
+    """Occurrences (lang, source, term, n) above 0 of kept terms, and the kept (lang, term).
+
+    Languages with too few documents to keep a term aren't read.
+    """
+    spark = docs.sparkSession
+    large = docs.groupBy("lang").count().where(F.col("count") >= min_docs).select("lang")
+    number = position(large, [], ["lang"], "number")
+    marks = staged(number.select("lang", F.call_function("div", F.col("number"), F.lit(_MARKS)).cast("int").alias("part"), (F.col("number") % _MARKS + 1).cast("int").alias("mark")))
+    numbered = _beside(docs, marks, ["lang"]).select("lang", "source", "part", "mark", "text")
+    tokens = staged(numbered.mapInArrow(_terms, "lang string, source string, part int, terms array<string>"))
+    batches, total = tokens.agg(F.coalesce(F.max("part") + 1, F.lit(0)), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
+    slices_ = 1
+    if total // min_docs > slice_terms:  # so many terms may be kept
+        distinct = tokens.select(F.explode("terms").alias("t")).agg(F.approx_count_distinct("t", 0.02)).first()[0]
+        slices_ = -(-distinct // slice_terms) or 1
     parts = [tokens]
-    if slices > 1:
-        path = scratch_path(docs.sparkSession, "slices")
-        cut = F.transform(F.sequence(F.lit(0), F.lit(slices - 1)), lambda i: F.struct(i.alias("slice"), F.filter("terms", lambda t: F.pmod(F.xxhash64(t), F.lit(slices)) == i).alias("terms")))
-        tokens.select("lang", "source", F.inline(cut)).where(F.size("terms") > 0).write.partitionBy("slice").parquet(path)
-        cells = docs.sparkSession.read.parquet(path)
-        parts = [cells.where(F.col("slice") == i).drop("slice") for i in range(slices)]
-    counts, vocabularies = [], []
-    for part in parts:
+    if slices_ * batches > 1:
+        path = scratch_path(spark, "slices")
+        cut = F.transform(F.sequence(F.lit(0), F.lit(slices_ - 1)), lambda i: F.struct(i.alias("slice"), F.filter("terms", lambda t: F.pmod(F.xxhash64(t), F.lit(slices_)) == i).alias("terms")))
+        tokens.select("lang", "source", "part", F.inline(cut)).where(F.size("terms") > 0).write.partitionBy("part", "slice").parquet(path)
+        cells = spark.read.schema("lang string, source string, terms array<string>, part int, slice int").parquet(path)
+        parts = [cells.where((F.col("part") == i) & (F.col("slice") == j)) for i in range(batches) for j in range(slices_)]
+    counts, kept = [], []
+    for i, part in enumerate(parts):
         summed, vocabulary = _fitted(part, min_docs)
-        counts.append(summed.join(vocabulary.drop("lang"), "index").select("lang", "source", "term", "n"))
-        vocabularies.append(vocabulary.select("lang", "term"))
-    return staged(_together(counts)), _together(vocabularies), groups
+        counts.append(summed.join(vocabulary.drop("mark"), "index").select("lang", "source", "term", "n"))
+        kept.append(_beside(vocabulary, marks.where(F.col("part") == i // slices_), ["mark"]).select("lang", "term"))
+    return staged(_together(counts)), _together(kept)
 
 
 def _together(frames: list[DataFrame]) -> DataFrame:
@@ -162,7 +203,8 @@ def divergence(docs: DataFrame, min_docs: int = 30, top: int = 50, slice_terms:
     one source has no pairs; no rows give no rows.  Further columns are not read.
     """
     plain = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"), (text, "text"))])
-    counts, kept, pairs = group_counts(plain, min_docs, slice_terms)
+    counts, kept = group_counts(plain, min_docs, slice_terms)
+    pairs = plain.select("lang", "source").distinct()
     vocabulary = kept.groupBy("lang").agg(F.count("*").alias("kept"))
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     in_lang = Window.partitionBy("lang")

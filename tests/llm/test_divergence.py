@@ -75,3 +75,9 @@ def test_counts_beyond_long_products(spark):
     n = 10**13
     got = spark.range(1).select(module._share(F.lit(n), F.lit(3 * n), F.lit(7)).alias("p")).first().p
     assert got == 1 + 10**9 * (n + 5) // (3 * n + 35)
+
+
+def test_more_languages_than_marks(spark, documents):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice("abcdef") for _ in range(6)), f"l{i % 70}", f"s{i % 3}") for i in range(420)]
+    assert {tuple(r) for r in divergence(documents(rows), min_docs=3, top=2).collect()} == plain(rows, 3, 2)
