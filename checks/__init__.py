@@ -1,5 +1,5 @@
 from checks import (  # noqa: F401  (registration)
-    asof, classify, dims, filters, ingest, merge, paging, secs, sinks, transfers, transitions, units,
+    asof, classify, dims, filters, ingest, merge, paging, secs, sinks, timeline, transfers, transitions, units,
 )
 from checks.registry import CHECKS
 

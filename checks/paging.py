@@ -11,6 +11,7 @@ from sigtrail.functions.transfer import pack_transfer
 from sigtrail.functions.typing import tagged
 from sigtrail.operators import paging
 from sigtrail.operators.filters import EntryFilter
+from sigtrail.plans.ordered import position
 
 
 def packed_events(spark, sf):
@@ -89,6 +90,35 @@ def sort_by_value(spark, sf):
     return all_pages(int_entries(spark, sf), "value", "desc").select("id", F.col("val_int").alias("k"), "page")
 
 
+def places(rows, column, direction="asc"):
+    """Every row of the sorted table with its place in it."""
+    ordered = paging.sort_entries(rows, column, direction).select("id", F.monotonically_increasing_id().alias("at"))
+    return position(ordered, [], ["at"], "place").select("id", "place")
+
+
+def place_sql(order: str) -> str:
+    return f"row_number() OVER (ORDER BY {order}) - 1 AS place"
+
+
+@check(" UNION ALL ".join(f"(WITH {EV} SELECT '{name}' AS field, id, {place_sql(f'{text} DESC, id DESC')} FROM ev)" for name, text in {"timestamp": "ts_ms", "deviceId": "device_id", "signalName": "signal", "category": "category"}.items()))
+def sorted_by_column(spark, sf):
+    rows = int_entries(spark, sf)
+    return reduce(DataFrame.unionAll, [places(rows, name, "desc").select(F.lit(name).alias("field"), "id", "place") for name in paging.SORT_COLUMNS])
+
+
+@check(" UNION ALL ".join(f"(WITH {EV} SELECT '{name}' AS field, id, {place_sql(f'{text}, id')} FROM ev)" for name, text in PACKED.items()))
+def sorted_by_transfer_field(spark, sf):
+    rows = packed_events(spark, sf)
+    return reduce(DataFrame.unionAll, [places(rows, name).select(F.lit(name).alias("field"), "id", "place") for name in PACKED])
+
+
+@check(f"""(WITH {GAPS} SELECT 'value' AS field, id, {place_sql("CAST(v AS VARCHAR) DESC NULLS LAST, id DESC")} FROM gaps)
+UNION ALL (WITH {MIXED} SELECT 'signalType', id, {place_sql("CASE val_type WHEN 0 THEN 'boolean' WHEN 1 THEN 'integer' ELSE 'string' END DESC, id DESC")} FROM mixed)""")
+def sorted_by_value_and_type(spark, sf):
+    sorts = {"value": gaps(spark, sf), "signalType": mixed_entries(spark, sf)}
+    return reduce(DataFrame.unionAll, [places(rows, name, "desc").select(F.lit(name).alias("field"), "id", "place") for name, rows in sorts.items()])
+
+
 @check(f"WITH {EV} SELECT id FROM ev ORDER BY id LIMIT 2000 OFFSET 2000")
 def page_large(spark, sf):
     return paging.page_rows(int_entries(spark, sf), "timestamp", "asc", 2, 2000).select("id")

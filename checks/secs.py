@@ -98,4 +98,14 @@ def secs_lanes(spark, sf):
   FROM msg s LEFT JOIN msg r ON r.system_byte = s.system_byte AND r.direction = 'RECV' AND (r.ts_ms, r.id) > (s.ts_ms, s.id) WHERE s.direction = 'SEND')
 SELECT system_byte, send_ms, recv_ms, recv_ms - send_ms AS latency_ms FROM r WHERE n = 1""")
 def secs_transactions(spark, sf):
-    return messages.secs_transactions(read(spark, sf)).select("system_byte", "send_ms", "recv_ms", "latency_ms")
+    # One equipment whose log is spread over several files.
+    return messages.secs_transactions(read(spark, sf), by=()).select("system_byte", "send_ms", "recv_ms", "latency_ms")
+
+
+@check(f"""WITH {MSG}, r AS (SELECT s.ceid % 3 AS tool, s.ceid AS send, s.system_byte, s.ts_ms AS send_ms, r.ts_ms AS recv_ms, row_number() OVER (PARTITION BY s.id ORDER BY r.ts_ms, r.id) AS n
+  FROM msg s LEFT JOIN msg r ON r.system_byte = s.system_byte AND r.ceid % 3 = s.ceid % 3 AND r.direction = 'RECV' AND (r.ts_ms, r.id) > (s.ts_ms, s.id) WHERE s.direction = 'SEND')
+SELECT tool, system_byte, send_ms, recv_ms, recv_ms - send_ms AS latency_ms FROM r WHERE n = 1""")
+def secs_transactions_by_tool(spark, sf):
+    """Merged logs of three tools, whose system bytes overlap."""
+    merged = read(spark, sf).withColumn("tool", F.col("ceid") % 3)
+    return messages.secs_transactions(merged, by=("tool",)).select("tool", "system_byte", "send_ms", "recv_ms", "latency_ms")

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigtrail.plans.ordered import OrderedRows
@@ -10,24 +15,42 @@ from sigtrail.plans.ordered import OrderedRows
 _ORDER = ["ts_ms", "source_id", "id"]
 
 
+_ITEMS = "source_id string, id long, seq int, depth int, type string, count int, value string, name string"
+
+
+def _flat_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        trees = batch.column("items")
+        size = trees.value_lengths().fill_null(0).to_numpy()
+        item = trees.flatten()
+        kind = item.field("kind")
+        opens = (pc.equal(kind, "open").cast(pa.int32()).to_numpy(zero_copy_only=False))
+        closes = (pc.equal(kind, "close").cast(pa.int32()).to_numpy(zero_copy_only=False))
+        message = np.repeat(np.arange(len(size)), size)
+        first = np.cumsum(size) - size
+
+        def before(steps: np.ndarray) -> np.ndarray:
+            """Sum of a message's steps before each of its items."""
+            total = np.append(0, np.cumsum(steps))
+            return total[:-1] - np.repeat(total[first], size)
+
+        depth, seq = before(opens - closes), before(1 - closes)
+        keep = np.flatnonzero(closes == 0)
+        at = pa.array(message[keep])
+        fields = [item.field(name).take(pa.array(keep)) for name in ("type", "count", "value", "name")]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("source_id").take(at), batch.column("id").take(at), pa.array(seq[keep].astype(np.int32)), pa.array(depth[keep].astype(np.int32)), *fields],
+            names=["source_id", "id", "seq", "depth", "type", "count", "value", "name"],
+        )
+
+
 def secs_items(messages: DataFrame) -> DataFrame:
-    """Item tree as rows: sequence, depth, type, count, value and name."""
-    lines = messages.select("source_id", "id", F.posexplode("items").alias("_n", "_i"))
-    opened = F.when(F.col("_i.kind") == "open", 1).when(F.col("_i.kind") == "close", -1).otherwise(0)
-    # One message is one group; it already fits a row.
-    inside = (
-        Window.partitionBy("source_id", "id").orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    is_item = F.col("_i.kind") != "close"
-    numbered = lines.withColumns(
-        {
-            "depth": F.coalesce(F.sum(opened).over(inside), F.lit(0)).cast("int"),
-            "seq": F.coalesce(F.sum(is_item.cast("int")).over(inside), F.lit(0)).cast("int"),
-        }
-    )
-    return numbered.filter(is_item).select(
-        "source_id", "id", "seq", "depth", "_i.type", "_i.count", "_i.value", "_i.name"
-    )
+    """Item tree as rows: sequence, depth, type, count, value and name.
+
+    Running sums inside a message need neither a shuffle nor a sort, and take time in
+    proportion to its items.
+    """
+    return messages.select("source_id", "id", "items").mapInArrow(_flat_items, _ITEMS)
 
 
 def secs_fields(entries: DataFrame) -> DataFrame:
@@ -49,22 +72,31 @@ def secs_lanes(entries: DataFrame) -> DataFrame:
     return entries.withColumn("lane", F.upper(direction)).filter(F.col("lane").isin("SEND", "RECV"))
 
 
-def secs_transactions(messages: DataFrame, segments: int | None = None) -> DataFrame:
-    """Each SEND with the first later RECV of its system byte and the time between."""
+def secs_transactions(
+    messages: DataFrame, segments: int | None = None, by: Sequence[str] = ("source_id",)
+) -> DataFrame:
+    """Each SEND with the first later RECV of its system byte and the time between.
+
+    System bytes are counted by each piece of equipment for itself, so only messages
+    that agree in ``by`` answer each other: by default those of one source.  Name an
+    equipment column where equipment has several sources, or none for one equipment.
+    """
     lane = F.upper("direction")
     reply = F.when(
         lane == "RECV",
         F.struct("ts_ms", "id", "source_id", "stream_function"),
     )
+    scope = [c for c in by if c not in _ORDER]
     slim = messages.filter(lane.isin("SEND", "RECV")).select(
-        "system_byte", *_ORDER, "stream_function", lane.alias("lane"), reply.alias("reply")
+        *scope, "system_byte", *_ORDER, "stream_function", lane.alias("lane"), reply.alias("reply")
     )
     paired = (
-        OrderedRows(slim, ["system_byte"], _ORDER, segments)
+        OrderedRows(slim, [*by, "system_byte"], _ORDER, segments)
         .known({"reply": F.col("reply")}, backward=True)
         .frame()
     )
     return paired.filter(F.col("lane") == "SEND").select(
+        *scope,
         "system_byte",
         F.col("source_id").alias("send_source"),
         F.col("id").alias("send_id"),

@@ -2,32 +2,34 @@
 
 from __future__ import annotations
 
-import re
-from collections import defaultdict
 from functools import reduce
-from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigtrail.sources.backtick import read_observable, read_trs
+from sigtrail.operators.resolve import resolve_signal_types
+from sigtrail.session import cut_lineage, is_small, scratch_path
+from sigtrail.sources.backtick import parse_observable, parse_trs
 from sigtrail.sources.detect import detect_format
-from sigtrail.sources.generic import read_generic
-from sigtrail.sources.lines import ParsedLog
-from sigtrail.sources.mcs import read_mcs
-from sigtrail.sources.plc import read_csv_signal, read_plc_debug, read_plc_tab
-from sigtrail.sources.secs import read_secs
-
-READERS = {
-    "plc_debug": read_plc_debug,
-    "plc_tab": read_plc_tab,
-    "mcs_log": read_mcs,
-    "observable_log": read_observable,
-    "csv_signal": read_csv_signal,
-    "secs_log": read_secs,
-    "generic_log": read_generic,
-    "trs_log": read_trs,
+from sigtrail.sources.generic import parse_generic
+from sigtrail.sources.lines import ParsedLog, number_lines, scan_text
+from sigtrail.sources.mcs import parse_mcs
+from sigtrail.sources.plc import parse_csv_signal, parse_plc_debug, parse_plc_tab
+from sigtrail.sources.secs import parse_secs
+
+PARSERS = {
+    "plc_debug": (parse_plc_debug, "\n"),
+    "plc_tab": (parse_plc_tab, "\n"),
+    "mcs_log": (parse_mcs, "\n"),
+    "observable_log": (parse_observable, "\n"),
+    "csv_signal": (parse_csv_signal, "\n"),
+    "secs_log": (parse_secs, "\n@"),
+    "generic_log": (parse_generic, "\n"),
+    "trs_log": (parse_trs, "\n"),
 }
+RESOLVING = {"plc_debug": "any", "plc_tab": "last", "csv_signal": "last"}
+"""Formats whose signals get one type per file, and the rule for it."""
+_LINES = "id long, source_id string, line string, format string"
 
 
 class IngestedLog(ParsedLog):
@@ -36,41 +38,67 @@ class IngestedLog(ParsedLog):
     parser_name: str
 
 
-RESOLVING = ("plc_debug", "plc_tab", "csv_signal")
-
-
-def file_pattern(source_id: str) -> str:
-    """A file's location as a path to read: neither encoded nor taken as a pattern."""
-    return re.sub(r"([\\*?\[\]{}])", r"\\\1", unquote(source_id))
-
-
 def read_logs(spark: SparkSession, paths, fmt: str = "auto", resolve: bool = True) -> IngestedLog:
     """Parse files of one or several formats.
 
-    ``resolve`` settles the types of signals over all rows of a file, which reads the
-    files of some formats twice; see ``resolve_signal_types``.
+    ``resolve`` settles the types of signals over all rows of a file; where a format needs
+    that, its parsed rows are written once and read back.
 
-    With ``auto`` every file is detected on its own and the files of a format are
-    read as one job; ``parser_name`` is the format, or ``merged`` when they mix.
+    With ``auto`` every file is detected on its own; ``parser_name`` is the format, or
+    ``merged`` when they mix.  Files of one format are read directly.  Of mixed ones the
+    text is scanned once: each line meets its file's format and is written to that
+    format's part of a stage, from which the parsers read.  Formats stay in a table with
+    a row per file.  SECS records end elsewhere than lines, so if such files are among
+    others, a second scan takes theirs.
     """
     if fmt != "auto":
-        groups = {fmt: paths}
+        present = [fmt]
     else:
-        groups = defaultdict(list)
-        for row in detect_format(spark, paths).collect():
-            if row["format"] is None:
-                raise ValueError(f"no suitable format found for {row['source_id']}")
-            groups[row["format"]].append(file_pattern(row["source_id"]))
-        if not groups:
+        formats = cut_lineage(detect_format(spark, paths))
+        unknown = F.col("format").isNull()
+        found = formats.agg(F.array_sort(F.collect_set("format")), F.min(F.when(unknown, F.col("source_id")))).first()
+        if found[1] is not None:
+            raise ValueError(f"no suitable format found for {found[1]}")
+        present = found[0]
+        if not present:
             raise ValueError(f"no log lines in {paths}")
-    options = {name: {"resolve": resolve} if name in RESOLVING else {} for name in groups}
-    parts = [READERS[name](spark, group, **options[name]) for name, group in sorted(groups.items())]
+    if len(present) == 1:
+        separator = PARSERS[present[0]][1]
+        lines = {present[0]: number_lines(scan_text(spark, paths, separator))}
+    else:
+        lines = _routed(spark, paths, formats, present)
+    parts = [_parsed(name, lines[name], resolve) for name in present]
     union = lambda frames: reduce(DataFrame.unionByName, frames)
     log = IngestedLog(union([p.entries for p in parts]), union([p.errors for p in parts]))
-    log.parser_name = next(iter(groups)) if len(groups) == 1 else "merged"
+    log.parser_name = present[0] if len(present) == 1 else "merged"
     return log
 
 
+def _parsed(name: str, lines: DataFrame, resolve: bool) -> ParsedLog:
+    parsed = PARSERS[name][0](lines)
+    if not resolve or name not in RESOLVING:
+        return parsed
+    return ParsedLog(resolve_signal_types(cut_lineage(parsed.entries), RESOLVING[name]), parsed.errors)
+
+
+def _routed(spark: SparkSession, paths, formats: DataFrame, present: list[str]) -> dict[str, DataFrame]:
+    """Numbered lines of each format, from one scan of all files."""
+
+    def of_format(separator: str) -> DataFrame:
+        own = formats.filter(F.col("format").isin([n for n in present if PARSERS[n][1] == separator]))
+        lines = number_lines(scan_text(spark, paths, separator))
+        return lines.join(F.broadcast(own) if is_small(own) else own, "source_id")
+
+    path = scratch_path(spark, "routed")
+    of_format("\n").select("id", "source_id", "line", "format").write.partitionBy("format").parquet(path)
+    stage = spark.read.schema(_LINES).parquet(path)
+    other = {PARSERS[name][1] for name in present} - {"\n"}
+    return {
+        name: (of_format(PARSERS[name][1]) if PARSERS[name][1] in other else stage.filter(F.col("format") == name)).drop("format")
+        for name in present
+    }
+
+
 def session_summary(
     entries: DataFrame, errors: DataFrame | None = None, parser_name: str | None = None
 ) -> DataFrame:

@@ -9,6 +9,7 @@ from sigtrail.functions.text import capture, is_blank, item, strip_bom, trim_spa
 from sigtrail.functions.typing import extract_device_id, infer_type, parse_ts_ms, with_value
 from sigtrail.operators.resolve import resolve_signal_types
 from sigtrail.plans.stages import bind
+from sigtrail.session import cut_lineage
 from sigtrail.sources.lines import ParsedLog, extract, read_lines, split_result
 
 # Line layouts.
@@ -129,7 +130,8 @@ def parse_csv_signal(lines: DataFrame) -> ParsedLog:
 def _resolved(parsed: ParsedLog, rule: str, resolve: bool) -> ParsedLog:
     if not resolve:
         return parsed
-    return ParsedLog(resolve_signal_types(parsed.entries, rule), parsed.errors)
+    # Types and rows both read the parsed rows, so the text is parsed once for them.
+    return ParsedLog(resolve_signal_types(cut_lineage(parsed.entries), rule), parsed.errors)
 
 
 def read_plc_debug(spark: SparkSession, paths, resolve: bool = True) -> ParsedLog:

@@ -5,25 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
+from sigtrail.operators.resolve import apply_types, merge_type_states, type_state
 from sigtrail.schema import ENTRY_SCHEMA
-from sigtrail.sources.backtick import parse_observable, parse_trs
-from sigtrail.sources.generic import parse_generic
+from sigtrail.session import cut_lineage
+from sigtrail.sources.ingest import PARSERS, RESOLVING
 from sigtrail.sources.lines import locate, number_lines
-from sigtrail.sources.mcs import parse_mcs
-from sigtrail.sources.plc import parse_csv_signal, parse_plc_debug, parse_plc_tab
-from sigtrail.sources.secs import parse_secs
-
-PARSERS = {
-    "plc_debug": (parse_plc_debug, "\n"),
-    "plc_tab": (parse_plc_tab, "\n"),
-    "mcs_log": (parse_mcs, "\n"),
-    "observable_log": (parse_observable, "\n"),
-    "csv_signal": (parse_csv_signal, "\n"),
-    "secs_log": (parse_secs, "\n@"),
-    "generic_log": (parse_generic, "\n"),
-    "trs_log": (parse_trs, "\n"),
-}
 
 
 def _append(frame: DataFrame, path: str, batch_id: int) -> None:
@@ -49,8 +37,9 @@ def stream_entries(
     """Parse files as they appear, with the expressions of the batch readers.
 
     Rows go to ``store``/entries and ``store``/errors.  By default everything that
-    is there is taken and the query ends.  Types are kept as parsed; resolve them
-    over the stored rows, as a signal's type depends on all of its rows.
+    is there is taken and the query ends.  Rows are stored as parsed.  A signal's type
+    depends on all of its rows, also on those still to come, so each micro-batch adds
+    what it knows of types to ``store``/types, and reading settles them.
     """
     parse, line_sep = PARSERS[fmt]
     reader = spark.readStream.option("lineSep", line_sep)
@@ -61,6 +50,10 @@ def stream_entries(
         parsed = parse(number_lines(batch))
         _append(parsed.entries, f"{store}/entries", batch_id)
         _append(parsed.errors, f"{store}/errors", batch_id)
+        if fmt in RESOLVING:
+            # From the rows just stored, so that the text isn't parsed again.
+            stored = spark.read.schema(_STORED).parquet(f"{store}/entries").filter(F.col("batch_id") == batch_id)
+            _append(type_state(stored), f"{store}/types", batch_id)
 
     return (
         locate(reader.text(directory))
@@ -71,5 +64,41 @@ def stream_entries(
     )
 
 
-def streamed_entries(spark: SparkSession, store: str) -> DataFrame:
-    return spark.read.schema(ENTRY_SCHEMA).parquet(f"{store}/entries").select(*ENTRY_SCHEMA.names)
+_STORED = StructType([*ENTRY_SCHEMA.fields, StructField("batch_id", LongType())])
+_STATE = "source_id string, device_id string, signal string, seen int, last struct<id: bigint, kind: string>, batch_id long"
+
+
+def streamed_entries(spark: SparkSession, store: str, fmt: str | None = None) -> DataFrame:
+    """Stored rows; with ``fmt`` each signal has the one type that all rows so far settle.
+
+    Types come from the states of the micro-batches, a row per signal and batch; no row
+    of the log is read to find them.
+    """
+    rows = spark.read.schema(ENTRY_SCHEMA).parquet(f"{store}/entries").select(*ENTRY_SCHEMA.names)
+    return apply_types(rows, streamed_types(spark, store), RESOLVING[fmt]) if fmt in RESOLVING else rows
+
+
+def streamed_types(spark: SparkSession, store: str) -> DataFrame:
+    """State of each signal's type after all micro-batches so far."""
+    return merge_type_states(spark.read.schema(_STATE).parquet(f"{store}/types"))
+
+
+def compact_types(spark: SparkSession, store: str) -> None:
+    """Merge the states of micro-batches before the latest one, which may be replayed.
+
+    A merged state may be counted twice without harm, so readers and a compaction that
+    breaks off see right types throughout.
+    """
+    path = f"{store}/types"
+    states = spark.read.schema(_STATE).parquet(path)
+    latest, merged_before = states.agg(F.max("batch_id"), F.min("batch_id")).first()
+    if latest is None or latest <= 0:
+        return
+    fresh = min(merged_before, 0) - 1  # merged states have negative numbers
+    _append(cut_lineage(merge_type_states(states.filter(F.col("batch_id") < latest))), path, fresh)
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    system = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in system.listStatus(fs_path(path)):
+        name = folder.getPath().getName()
+        if name.startswith("batch_id=") and fresh < int(name.removeprefix("batch_id=")) < latest:
+            system.delete(folder.getPath(), True)
