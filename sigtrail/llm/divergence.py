@@ -44,40 +44,36 @@ _LOW[0x41:0x5B] += 0x20
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, source, part, mark, text) with the text's terms in its place: maximal runs of
+    """(group, part, mark, text) with the text's terms in its place: maximal runs of
     letters of ASCII and of bytes above it, A-Z lower-cased, each behind its mark."""
     for batch in batches:
-        for part in slices(batch, 4, 8 << 20):
-            raw, offsets = text_bytes(pc.binary_join_element_wise("", part.column(4), " "))
+        for part in slices(batch, 3, 8 << 20):
+            raw, offsets = text_bytes(pc.binary_join_element_wise("", part.column(3), " "))
             inside = _TERM[raw]
             start = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1  # each text begins with a blank
             ends = np.flatnonzero(inside & ~np.append(inside[1:], False)) + 1
             low = _LOW[raw]
             first = np.searchsorted(start, offsets)
-            low[start - 1] = np.repeat(part.column(3).to_numpy().astype(np.uint8), np.diff(first))
+            low[start - 1] = np.repeat(part.column(2).to_numpy().astype(np.uint8), np.diff(first))
             inside[start - 1] = True
             size = np.append(0, np.cumsum(ends - start + 1)).astype(np.int32)
             terms = pa.Array.from_buffers(pa.string(), len(start), [None, pa.py_buffer(size), pa.py_buffer(low[inside])])
             listed = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), terms)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), listed], names=["lang", "source", "part", "terms"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), listed], names=["group", "part", "terms"])
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, source, indices, values) of vectors added up entry by entry within a batch."""
+    """(group, indices, values) of vectors, added up entry by entry within a batch."""
     for batch in batches:
-        lang, source = (batch.column(i).dictionary_encode() for i in (0, 1))
-        pair = lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy()
-        index, value = batch.column(2), batch.column(3)
-        key = np.repeat(pair << 32, index.value_lengths().to_numpy()) | index.flatten().to_numpy()
-        found, at = np.unique(key, return_inverse=True)
+        index, value = batch.column(1), batch.column(2)
+        group = np.repeat(batch.column(0).to_numpy().astype(np.int64) << 32, index.value_lengths().to_numpy())
+        found, at = np.unique(group | index.flatten().to_numpy(), return_inverse=True)
         n = np.bincount(at, weights=value.flatten().to_numpy(), minlength=len(found))
-        pair, many = found >> 32, max(len(source.dictionary), 1)
-        names = [lang.dictionary.take(pa.array(pair // many)), source.dictionary.take(pa.array(pair % many))]
-        yield pa.RecordBatch.from_arrays([*names, pa.array((found & 0xFFFFFFFF).astype(np.int32)), pa.array(n.astype(np.int64))], names=["lang", "source", "index", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array((found >> 32).astype(np.int32)), pa.array((found & 0xFFFFFFFF).astype(np.int32)), pa.array(n.astype(np.int64))], names=["group", "index", "n"])
 
 
 def _fitted(documents: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
-    """(lang, source, index, n) of one slice, and its vocabulary (index, mark, term)."""
+    """(group, index, n) of one slice, and its vocabulary (index, mark, term)."""
     spark = documents.sparkSession
     # A term of its own keeps the vocabulary from being empty, which is an error.
     padding = spark.range(min_docs).select(F.array(F.lit("\0")).alias("terms"))
@@ -87,21 +83,23 @@ def _fitted(documents: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
     marked = pa.table({"index": pa.array(range(len(words)), pa.int32()), "mark": pa.array([ord(w[0]) for w in words], pa.int32()), "term": pa.array([w[1:] for w in words], pa.string())})
     vocabulary = staged(spark.createDataFrame(marked)).where("mark > 0")
     vector = F.unwrap_udt("vector")
-    entries = model.transform(documents).select("lang", "source", vector["indices"].alias("indices"), vector["values"].alias("values"))
-    return entries.mapInArrow(_sums, "lang string, source string, index int, n long").groupBy("lang", "source", "index").agg(F.sum("n").alias("n")), vocabulary
+    entries = model.transform(documents).select("group", vector["indices"].alias("indices"), vector["values"].alias("values"))
+    return entries.mapInArrow(_sums, "group int, index int, n long").groupBy("group", "index").agg(F.sum("n").alias("n")), vocabulary
 
 
-def group_counts(docs: DataFrame, min_docs: int, slice_terms: int = SLICE_TERMS) -> tuple[DataFrame, DataFrame]:
-    """Occurrences (lang, source, term, n) above 0 of kept terms, and the kept (lang, term).
+def group_counts(docs: DataFrame, groups: DataFrame, min_docs: int, slice_terms: int = SLICE_TERMS) -> tuple[DataFrame, DataFrame]:
+    """Occurrences (group, term, n) above 0 of kept terms, and the kept (lang, term).
 
-    Languages with too few documents to keep a term aren't read.
+    ``groups`` numbers each (lang, source).  Languages with too few documents to keep a
+    term aren't read.
     """
     spark = docs.sparkSession
-    large = docs.groupBy("lang").count().where(F.col("count") >= min_docs).select("lang")
+    large = groups.groupBy("lang").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).select("lang")
     number = position(large, [], ["lang"], "number")
     marks = staged(number.select("lang", F.call_function("div", F.col("number"), F.lit(_MARKS)).cast("int").alias("part"), (F.col("number") % _MARKS + 1).cast("int").alias("mark")))
-    numbered = _beside(docs, marks, ["lang"]).select("lang", "source", "part", "mark", "text")
-    tokens = staged(numbered.mapInArrow(_terms, "lang string, source string, part int, terms array<string>"))
+    marked = staged(groups.join(marks, "lang").select("lang", "source", "group", "part", "mark"))
+    numbered = _beside(docs, marked, ["lang", "source"]).select("group", "part", "mark", "text")
+    tokens = staged(numbered.mapInArrow(_terms, "group int, part int, terms array<string>"))
     batches, total = tokens.agg(F.coalesce(F.max("part") + 1, F.lit(0)), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
     slices_ = 1
     if total // min_docs > slice_terms:  # so many terms may be kept
@@ -111,13 +109,13 @@ def group_counts(docs: DataFrame, min_docs: int, slice_terms: int = SLICE_TERMS)
     if slices_ * batches > 1:
         path = scratch_path(spark, "slices")
         cut = F.transform(F.sequence(F.lit(0), F.lit(slices_ - 1)), lambda i: F.struct(i.alias("slice"), F.filter("terms", lambda t: F.pmod(F.xxhash64(t), F.lit(slices_)) == i).alias("terms")))
-        tokens.select("lang", "source", "part", F.inline(cut)).where(F.size("terms") > 0).write.partitionBy("part", "slice").parquet(path)
-        cells = spark.read.schema("lang string, source string, terms array<string>, part int, slice int").parquet(path)
+        tokens.select("group", "part", F.inline(cut)).where(F.size("terms") > 0).write.partitionBy("part", "slice").parquet(path)
+        cells = spark.read.schema("group int, terms array<string>, part int, slice int").parquet(path)
         parts = [cells.where((F.col("part") == i) & (F.col("slice") == j)) for i in range(batches) for j in range(slices_)]
     counts, kept = [], []
     for i, part in enumerate(parts):
         summed, vocabulary = _fitted(part, min_docs)
-        counts.append(summed.join(vocabulary.drop("mark"), "index").select("lang", "source", "term", "n"))
+        counts.append(summed.join(vocabulary.drop("mark"), "index").select("group", "term", "n"))
         kept.append(_beside(vocabulary, marks.where(F.col("part") == i // slices_), ["mark"]).select("lang", "term"))
     return staged(_together(counts)), _together(kept)
 
@@ -203,12 +201,13 @@ def divergence(docs: DataFrame, min_docs: int = 30, top: int = 50, slice_terms:
     one source has no pairs; no rows give no rows.  Further columns are not read.
     """
     plain = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"), (text, "text"))])
-    counts, kept = group_counts(plain, min_docs, slice_terms)
-    pairs = plain.select("lang", "source").distinct()
+    present = plain.groupBy("lang", "source").agg(F.count("*").alias("docs"))
+    pairs = staged(position(present, [], ["lang", "source"], "group").withColumn("group", F.col("group").cast("int")))
+    counts, kept = group_counts(plain, pairs, min_docs, slice_terms)
     vocabulary = kept.groupBy("lang").agg(F.count("*").alias("kept"))
-    totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
+    totals = counts.groupBy("group").agg(F.sum("n").alias("total"))
     in_lang = Window.partitionBy("lang")
-    groups = pairs.join(totals, ["lang", "source"], "left").join(vocabulary, "lang", "left").fillna(0, ["total", "kept"])
+    groups = pairs.drop("docs").join(totals, "group", "left").join(vocabulary, "lang", "left").fillna(0, ["total", "kept"])
     zero = F.when(F.col("kept") > 0, _share(F.lit(0), F.col("total"), F.col("kept"))).otherwise(F.lit(0))
     groups = staged(
         groups.withColumns({
@@ -218,7 +217,7 @@ def divergence(docs: DataFrame, min_docs: int = 30, top: int = 50, slice_terms:
             "zero": zero,
         })
     )
-    entries = _beside(counts, groups, ["lang", "source"]).withColumn("p", _share(F.col("n"), F.col("total"), F.col("kept")))
+    entries = _beside(counts, groups, ["group"]).withColumn("p", _share(F.col("n"), F.col("total"), F.col("kept")))
     everywhere = F.sum("n").over(Window.partitionBy("lang", "term"))
     more = entries.withColumn("value", F.col("p") - _share(everywhere, F.col("lang_total"), F.col("kept"))).where("value > 0")
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
