@@ -19,7 +19,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigtrail.llm.scratch import arrow_map, slices
+from sigtrail.llm.scratch import ROW, arrow_map, as_row, of_row, slices
 from sigtrail.llm.words import shingle_hashes, words
 
 MAX_BROADCAST = 1 << 20
@@ -127,6 +127,9 @@ def contained(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: s
 
 
 def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", k: int = 5, threshold: float = 0.8) -> DataFrame:
-    """``docs`` without the documents that contain an item; those without an id stay."""
-    found = contained(docs, items, doc_id, text, item_id, item_text, k, threshold).select(F.col("doc").alias("_found")).distinct()
-    return docs.join(found, docs[doc_id] == found["_found"], "left_anti")
+    """``docs`` without the documents that contain an item, whatever their id is."""
+    whole = of_row(text)
+    names = {"id": F.coalesce(of_row(doc_id).cast("string"), F.lit("")), "key": F.xxhash64(whole), "other": F.xxhash64(F.lit(1), whole)}
+    rows = as_row(docs).withColumns(names)
+    found = contained(rows.select(F.struct(*names).alias("name"), whole.alias("text")), items, "name", "text", item_id, item_text, k, threshold)
+    return rows.join(found.select("doc.*").distinct(), list(names), "left_anti").select(f"{ROW}.*")

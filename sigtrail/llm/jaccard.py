@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigtrail.llm.components import components
-from sigtrail.llm.scratch import arrow_map, drop, runs, slices, staged
+from sigtrail.llm.scratch import ROW, arrow_map, as_row, drop, of_row, runs, slices, staged
 from sigtrail.llm.words import mix, shingle_sets
 
 COUNTER_BITS = 18
@@ -306,8 +306,18 @@ def near_classes(docs: DataFrame, like: Similarity, doc_id: str = "doc_id", text
 def keep_first(docs: DataFrame, like: Similarity, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each group of near copies: the one with the smallest id.
 
-    Rows with a null id stay; rows that share an id stand or fall together.
+    Rows without id come after all others.  Rows that share an id are ordered by a hash
+    of their texts; of rows equal in id and text one stays, whichever it is, unless their
+    text has no words.
     """
-    named = near_classes(docs.where(F.col(doc_id).isNotNull()), like, doc_id, text)
-    rest = named.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(rest, docs[doc_id] == rest["_gone"], "left_anti")
+    whole = F.coalesce(of_row(text), F.lit(""))
+    key = F.struct(of_row(doc_id).isNull().alias("unnamed"), of_row(doc_id).alias("id"), F.xxhash64(whole).alias("digest"), F.xxhash64(F.lit(1), whole).alias("more"))
+    rows = as_row(docs).withColumn("key", key)
+    named = staged(near_classes(rows.select(F.col("key").alias("doc_id"), of_row(text).alias("text")), like))
+    rest = named.where("doc_id <> component_id").select(F.col("doc_id").alias("key")).distinct()
+    kept = rows.join(rest, "key", "left_anti")
+    repeated = named.where("n_shingles > 0 AND doc_id = component_id").groupBy(F.col("doc_id").alias("key")).count().where("count > 1").select("key")
+    if repeated.limit(1).count():
+        once = kept.join(repeated, "key", "left_semi").dropDuplicates(["key"])
+        kept = kept.join(repeated, "key", "left_anti").unionByName(once)
+    return kept.select(f"{ROW}.*")

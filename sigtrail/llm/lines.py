@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigtrail.llm.scratch import drop, staged
+from sigtrail.llm.scratch import as_row, drop, from_row, of_row, staged
 from sigtrail.plans.stages import bind
 from sigtrail.session import is_small
 
@@ -100,7 +100,6 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     named like new ones are replaced.  A line of n characters has n variants of n
     characters, so a line that has a likely partner costs its length squared.
     """
-    docs = docs.drop("n_lines", "n_kept", "_version", "_gone", "_parts")
     named = _lines(docs, doc_id, text).withColumn("n", F.char_length("line"))
     named = staged(named.select("doc", "version", "pos", F.unhex(F.md5("line")).alias("name"), F.when(F.col("n") >= least_chars, _ends("line", "n", least_chars)).alias("ends")))
     place = F.struct(F.col("doc").isNull().alias("last"), "doc", "version", "pos")
@@ -110,15 +109,19 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     goes = named.select("doc", "version", "pos", "name").join(kept, "name").where(~F.coalesce(place == F.col("first"), F.lit(False)))
     dropped = staged(goes.groupBy("doc", "version").agg(F.array_sort(F.collect_set("pos")).alias("_gone")))
     drop(named, firsts, gone)
-    own = docs.withColumn("_version", F.xxhash64(text))
-    own = own.join(dropped, F.col(doc_id).eqNullSafe(F.col("doc")) & (F.col("_version") == F.col("version")), "left").drop("doc", "version", "_version")
-    n_lines = F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    own = as_row(docs).withColumns({"doc": of_row(doc_id), "version": F.xxhash64(of_row(text))})
+    found = dropped.withColumnsRenamed({"doc": "_doc", "version": "_version"})
+    own = own.join(found, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("version") == F.col("_version")), "left")
+    whole = of_row(text)
+    n_lines = F.char_length(whole) - F.char_length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1
     own = own.withColumn("n_lines", F.coalesce(n_lines, F.lit(0)).cast("long"))
     own = own.withColumn("n_kept", F.col("n_lines") - F.coalesce(F.size("_gone"), F.lit(0)))
     # Between two lines that go lies a run that stays: the text is cut into those runs.
-    cut = bind(own, _parts=F.when(F.col("_gone").isNotNull(), F.split(F.col(text), "\n", -1)))
+    cut = bind(own, _parts=F.when(F.col("_gone").isNotNull(), F.split(whole, "\n", -1)))
     runs = F.transform(
         F.sequence(F.lit(0), F.size("_gone")),
         lambda i: F.slice("_parts", F.coalesce(F.get("_gone", i - 1), F.lit(-1)) + 2, F.coalesce(F.get("_gone", i), F.size("_parts")) - F.coalesce(F.get("_gone", i - 1), F.lit(-1)) - 1),
     )
-    return cut.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(F.flatten(runs), "\n"))).drop("_gone", "_parts")
+    left = F.when(F.col("_gone").isNull(), whole).otherwise(F.array_join(F.flatten(runs), "\n")).alias(text)
+    columns = zip((c for c in docs.columns if c not in ("n_lines", "n_kept")), from_row(docs, "n_lines", "n_kept"))
+    return cut.select(*[left if name == text else c for name, c in columns], "n_lines", "n_kept")

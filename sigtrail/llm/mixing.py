@@ -15,7 +15,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigtrail.llm.scratch import staged
+from sigtrail.llm.scratch import ROW, from_row, of_row, quoted, staged
 
 WORD = r"[^\x20\x09-\x0D]+"
 LEVELS = ("domain", "language", "leaf_source")
@@ -76,9 +76,9 @@ def budgets(leaves: DataFrame, mixture: Mixture) -> DataFrame:
     return filled
 
 
-def order_key(mixture: Mixture, epoch: Column, doc_id: str, text: str) -> Column:
+def order_key(mixture: Mixture, epoch: Column, doc_id: Column, text: Column) -> Column:
     """Place of a document in an epoch of its leaf: 60 bits of a seeded digest."""
-    name = F.concat_ws(":", F.lit(str(mixture.seed)), epoch.cast("string"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit(""))))
+    name = F.concat_ws(":", F.lit(str(mixture.seed)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit(""))))
     return F.conv(F.substring(F.md5(name), 1, KEY_BITS // 4), 16, 10).cast("long")
 
 
@@ -116,10 +116,11 @@ def mix(docs: DataFrame, mixture: Mixture, domain: Column, lang: str = "lang", s
     together.  Columns of ``docs`` that are named like new ones are replaced; no rows
     give no rows.
     """
-    names = (F.coalesce(domain, F.lit("")), F.coalesce(F.col(lang).cast("string"), F.lit("")), F.coalesce(F.col(source).cast("string"), F.lit("")))
-    docs = docs.select("*", *[c.alias(f"_{n}") for n, c in zip(LEVELS, names)])
-    plain = docs.drop(*LEVELS, "n_tokens", "epoch").withColumnsRenamed({f"_{n}": n for n in LEVELS}).withColumn("n_tokens", tokens(text))
-    counted = staged(plain.select(*LEVELS, F.col("n_tokens").alias("tokens"), F.col(doc_id).alias("id"), F.md5(F.coalesce(text, F.lit(""))).alias("digest")))
+    names = (F.coalesce(domain, F.lit("")), F.coalesce(quoted(lang).cast("string"), F.lit("")), F.coalesce(quoted(source).cast("string"), F.lit("")))
+    # The domain is worked out while columns still have their names.
+    packed = F.struct(*[quoted(c) for c in docs.columns]).alias(ROW)
+    plain = docs.select(packed, *[c.alias(n) for n, c in zip(LEVELS, names)]).withColumn("n_tokens", tokens(of_row(text)))
+    counted = staged(plain.select(*LEVELS, F.col("n_tokens").alias("tokens"), of_row(doc_id).alias("id"), F.md5(F.coalesce(of_row(text), F.lit(""))).alias("digest")))
     plan = budgets(counted.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")), mixture)
     plan = plan.selectExpr(*LEVELS, "cap >= 0 as known", "target div greatest(tokens, 1) as full", "target % greatest(tokens, 1) as rest")
     plan = staged(plan)
@@ -128,7 +129,8 @@ def mix(docs: DataFrame, mixture: Mixture, domain: Column, lang: str = "lang", s
     rows = rows.select(*LEVELS, "tokens", "rest", F.conv(F.substring(F.md5(key), 1, KEY_BITS // 4), 16, 10).cast("long").alias("key"))
     plan = plan.drop("known", "rest").join(_cuts(rows), list(LEVELS), "left").withColumn("cut", F.coalesce("cut", F.lit(-1)))
     used = plain.join(staged(plan), list(LEVELS))
-    last = F.col("cut") >= order_key(mixture, F.col("full"), doc_id, text)
+    last = F.col("cut") >= order_key(mixture, F.col("full"), of_row(doc_id), of_row(text))
     passes = F.col("full") + F.when(last, 1).otherwise(0)
     used = used.withColumn("epochs", passes).where("epochs > 0")
-    return used.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs") - 1))).drop("full", "cut", "epochs", *LEVELS[1:])
+    epoch = F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs") - 1)).alias("epoch")
+    return used.select(*from_row(docs, LEVELS[0], "n_tokens", "epoch"), LEVELS[0], "n_tokens", epoch)

@@ -18,12 +18,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from sigtrail.llm.scratch import arrow_map, slices
+from sigtrail.llm.scratch import ROW, arrow_map, as_row, quoted, slices
 from sigtrail.llm.words import text_bytes, words
 
 SAMPLE_DOCS = 4000
 """Labelled documents the chain is trained on, the first in the order of a hash."""
 
+SAMPLE_LINES = 2000
+"""Lines of a document that training uses, so that what the driver gets is bounded;
+scoring uses all."""
+
 _NEWLINE = 10
 _UPPER, _LOWER, _DIGIT, _HIGH = (np.zeros(256, bool) for _ in range(4))
 _UPPER[65:91] = _LOWER[97:123] = _DIGIT[48:58] = _HIGH[128:] = True
@@ -168,20 +172,22 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample_docs: int = SAMPLE_DOCS) -> Chain:
-    """Train on up to ``sample_docs`` labelled documents that aren't held out.
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample_docs: int = SAMPLE_DOCS, sample_lines: int = SAMPLE_LINES) -> Chain:
+    """Train on up to ``sample_docs`` labelled documents that aren't held out, on the
+    first ``sample_lines`` lines of each.
 
     Rows of ``labels`` without id or label aren't used; without any label the chain is
     neutral and scores 0.5.
     """
     usable = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull() & ~held_out(doc_id))
     chosen = usable.select(F.col(doc_id).alias("id"), F.col(label).cast("double").alias("quality")).orderBy(F.xxhash64("id"), "id", "quality").limit(sample_docs)
-    pairs = docs.join(F.broadcast(chosen), docs[doc_id] == chosen["id"]).select("id", "quality", docs[text].alias("text"))
+    own = docs.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text"))
+    pairs = own.join(F.broadcast(chosen), own["doc_id"] == chosen["id"]).select("id", "quality", "text")
 
     def rows(batch: pa.RecordBatch):
         for part in slices(batch, 2):
             lines = line_features(part.column(2))
-            each = [pa.array(lines.features[a:b].astype(np.float32).ravel()) for a, b in zip(lines.first[:-1], lines.first[1:])]
+            each = [pa.array(lines.features[a : min(b, a + sample_lines)].astype(np.float32).ravel()) for a, b in zip(lines.first[:-1], lines.first[1:])]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(each, pa.list_(pa.float32()))], names=["id", "quality", "lines"])
 
     got = arrow_map(pairs, rows, f"id {chosen.schema['id'].dataType.simpleString()}, quality double, lines array<float>").toArrow()
@@ -214,7 +220,8 @@ def score(docs: DataFrame, chain: Chain, text: str = "text", column: str = "scor
     at = docs.columns.index(text)
 
     def rows(batch: pa.RecordBatch):
-        for part in slices(batch, at):
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(text_scores(chain, part.column(at)))], names=[*part.schema.names, column])
+        for part in slices(pa.RecordBatch.from_struct_array(batch.column(0)), at):
+            yield pa.RecordBatch.from_arrays([part.to_struct_array(), pa.array(text_scores(chain, part.column(at)))], names=[ROW, column])
 
-    return arrow_map(docs, rows, StructType([*docs.schema.fields, StructField(column, DoubleType())]))
+    scored = arrow_map(as_row(docs), rows, StructType([StructField(ROW, docs.schema), StructField(column, DoubleType())]))
+    return scored.select(f"{ROW}.*", column)

@@ -8,7 +8,8 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from sigtrail.session import cut_lineage
@@ -42,6 +43,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+ROW = "_whole_row_"
+"""One column for all columns of a table, so that none can clash with a helper's name."""
+
+
+def as_row(docs: DataFrame) -> DataFrame:
+    """``docs`` as the one column ``ROW``."""
+    return docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias(ROW))
+
+
+def quoted(name: str) -> Column:
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def of_row(name: str) -> Column:
+    """A column of ``ROW``."""
+    return F.col(ROW)[name]
+
+
+def from_row(docs: DataFrame, *without: str) -> list[Column]:
+    """The columns of the table behind ``ROW``, but for some."""
+    return [of_row(c).alias(c) for c in docs.columns if c not in without]
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
     """``mapInArrow`` with a function of one record batch."""
 

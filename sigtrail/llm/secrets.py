@@ -48,14 +48,15 @@ BASE = (
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 """Characters that a base match (of ``assign``: its value) must have."""
 
-# Publicly documented shapes of other credentials.
+# Publicly documented shapes of other credentials.  None can be tried from
+# every place of a long run: a run begins once, or what precedes a fixed text is bounded.
 MORE = (
     Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("web_token", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("code_host", r"\bgh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_bot", r"\bxox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("map_key", r"\bAIza[A-Za-z0-9_-]{35}"),
-    Rule("basic_url", r"[a-z][a-z0-9+.-]*://[^\s/:@]+:[^\s/:@]+@[^\s/:@]+"),
+    Rule("basic_url", r"[a-z][a-z0-9+.-]{0,30}://[^\s/:@]+:[^\s/:@]+@[^\s/:@]+"),
     Rule("bearer", r"bearer\x20+[a-z0-9+/_.=-]{20,}", True),
 )
 

@@ -16,9 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigtrail.llm.scratch import staged
+from sigtrail.llm.scratch import as_row, from_row, of_row, staged
+from sigtrail.plans.ordered import count_not_above
 
 LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
+MOST_LARGE = 4096
+"""Texts at most that are cut into runs of their own."""
 PROBES = 64
 """Probes that divide one unresolved interval in one round."""
 
@@ -30,11 +33,11 @@ class Cut(NamedTuple):
     below: int
 
 
-def text_key(text: str = "text", *others: str) -> Column:
+def text_key(text: Column, *others: Column) -> Column:
     """High half from the text, low half from the other columns: equal texts are
     neighbours in the order, and a group of copies can still be cut."""
-    high = F.shiftleft(F.xxhash64(F.coalesce(F.col(text), F.lit(""))).bitwiseAND(F.lit(0xFFFFFFFF)), 32)
-    return high.bitwiseOR(F.xxhash64(F.col(text), *[F.col(c) for c in others]).bitwiseAND(F.lit(0xFFFFFFFF)))
+    high = F.shiftleft(F.xxhash64(F.coalesce(text, F.lit(""))).bitwiseAND(F.lit(0xFFFFFFFF)), 32)
+    return high.bitwiseOR(F.xxhash64(text, *others).bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
 def histogram(keyed: DataFrame, probes: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -123,29 +126,45 @@ def shard(docs: DataFrame, shards: int = 24, tolerance: float = 0.002, text: str
     half of that), or by one row.  ``slot`` numbers a shard's rows from 0 in key order.
     Copies of a text are neighbours; a group larger than a shard is cut by ``tie``.
     Rows that agree in text and ``tie`` are in no particular order among themselves;
-    null ties are ties of their own.  Columns of ``docs`` that are named like new ones
-    are replaced.  No rows give no rows.
-
-    The one exchange deals shards out in runs of about ``rows_per_run`` rows.  Rows per
-    run are counted beforehand from the keys alone, so no task numbers a whole shard.
+    null ties are ties of their own.  Of the columns of ``docs`` only ones named like
+    those three are replaced.  No rows give no rows.
+
+    The one exchange deals shards out in runs of about ``rows_per_run`` rows, counted
+    beforehand from the keys alone.  A run is a range of keys; where a text alone has
+    more rows than a run, its copies are runs of their own, cut by the half of the key
+    that comes from ``tie``.  So no task numbers a whole shard or all copies of a text,
+    unless they agree in ``tie`` too.
     """
-    docs = docs.drop("size", "shard", "slot", "key", "run")
-    key = text_key(text, *tie)
-    size = (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long")
-    counted = staged(docs.select(key.alias("key"), size.alias("size")))
-    total, rows = counted.agg(F.sum("size"), F.count("*")).first()
-    cuts = sorted(splitters(counted, shards, int((total or 0) / shards * tolerance / 2))) if rows else [0] * (shards - 1)
-    runs = max(1, -(-rows // (shards * rows_per_run)))
+    rows = as_row(docs)
+    key = text_key(of_row(text), *[of_row(c) for c in tie])
+    size = (F.coalesce(F.octet_length(of_row(text)), F.lit(0)) + 8).cast("long")
+    counted = staged(rows.select(key.alias("key"), size.alias("size")))
+    total, number = counted.agg(F.sum("size"), F.count("*")).first()
+    cuts = sorted(splitters(counted, shards, int((total or 0) / shards * tolerance / 2))) if number else [0] * (shards - 1)
+    runs = max(1, -(-number // (shards * rows_per_run)))
     edges = F.array(*[F.lit(float(x)) for x in (LOWEST, *cuts, HIGHEST)])
+    # Texts of more rows than this are few, whatever their size.
+    most = max(rows_per_run, number // MOST_LARGE + 1)
+    large = counted.groupBy(F.shiftright("key", 32).alias("high")).count().where(F.col("count") > most).orderBy("high").collect()
+    highs, parts = [r["high"] for r in large], [-(-r["count"] // rows_per_run) for r in large]
 
     def place(df: DataFrame) -> DataFrame:
         df = df.withColumn("shard", shard_column(F.col("key"), cuts).cast("int"))
         low, high = F.get(edges, F.col("shard")), F.get(edges, F.col("shard") + 1)
         part = F.floor((F.col("key").cast("double") - low) / F.greatest(high - low, F.lit(1.0)) * runs)
-        return df.withColumn("run", F.col("shard") * F.lit(runs).cast("long") + F.greatest(F.lit(0), F.least(F.lit(runs - 1), part)))
-
-    before = Window.partitionBy("shard").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = place(counted).groupBy("shard", "run").count().select("run", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
-    order = Window.partitionBy("run").orderBy("key", *tie)
-    numbered = place(docs.withColumn("key", key).withColumn("size", size)).withColumn("slot", F.row_number().over(order) - 1)
-    return numbered.join(offsets, "run").withColumn("slot", F.col("slot") + F.col("offset")).drop("run", "key", "offset")
+        df = df.withColumn("run", F.greatest(F.lit(0), F.least(F.lit(runs - 1), part)).cast("long"))
+        if not highs:
+            return df.withColumns({"zone": F.lit(0), "piece": F.lit(0).cast("long")})
+        own = F.shiftright("key", 32)
+        table = F.array(*[F.lit(h) for h in highs])
+        upto = count_not_above(table, len(highs), own)
+        inside = F.coalesce(F.get(table, upto - 1) == own, F.lit(False))
+        share = F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)) * F.get(F.array(*[F.lit(n).cast("long") for n in parts]), upto - 1)
+        return df.withColumns({"zone": 2 * upto - inside.cast("int"), "piece": F.when(inside, F.shiftright(share, 32)).otherwise(F.lit(0).cast("long"))})
+
+    group = ["shard", "run", "zone", "piece"]
+    before = Window.partitionBy("shard").orderBy(*group[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = place(counted).groupBy(*group).count().select(*group, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
+    order = Window.partitionBy(*group).orderBy("key", *[of_row(c) for c in tie])
+    numbered = place(rows.withColumns({"key": key, "size": size})).withColumn("place", F.row_number().over(order) - 1)
+    return numbered.join(offsets, group).select(*from_row(docs, "size", "shard", "slot"), "size", "shard", (F.col("place") + F.col("offset")).alias("slot"))

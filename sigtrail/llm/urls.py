@@ -16,11 +16,13 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigtrail.llm.scratch import drop, staged
+from sigtrail.llm.scratch import as_row, drop, from_row, of_row, staged
 
 DAMPING = 0.85
-ROUNDS = 30
-"""Rounds of propagation; what is left after them moves less than DAMPING ** ROUNDS."""
+CHANGE = 1e-9
+"""Propagation ends when a round changes ranks and masses by this share of the seeds."""
+ROUNDS = 200
+"""Rounds at most; each leaves DAMPING of the change before, so 128 reach ``CHANGE``."""
 THRESHOLD = 0.5
 """Share of distrust in what reaches a host from which it is blocked."""
 
@@ -88,12 +90,17 @@ def _rank(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int) -> Da
     rank = staged(seeds.select("host", F.col("seed").alias("rank"), F.col("seed").alias("mass"), F.col("known").alias("known_mass")))
     for _ in range(rounds if total and shares.limit(1).count() else 0):
         parts = [(F.sum(F.col(c) * F.col("share")) * damping).alias(c) for c in ("rank", "mass", "known_mass")]
-        moved = shares.join(rank, shares.source == rank.host).groupBy(F.col("target").alias("host")).agg(*parts)
+        moved = staged(shares.join(rank, shares.source == rank.host).groupBy(F.col("target").alias("host")).agg(*parts))
         kept = moved.agg(F.sum("rank")).first()[0] or 0.0
         back = seeds.select("host", (F.col("seed") * (1 - kept / total)).alias("rank"), F.col("seed").alias("mass"), F.col("known").alias("known_mass"))
         new = staged(moved.union(back).groupBy("host").agg(*[F.sum(c).alias(c) for c in ("rank", "mass", "known_mass")]))
-        drop(rank)
+        before = rank.select("host", *[F.col(c).alias(f"_{c}") for c in ("rank", "mass", "known_mass")])
+        changes = [F.sum(F.abs(F.coalesce(c, F.lit(0.0)) - F.coalesce(f"_{c}", F.lit(0.0)))) for c in ("rank", "mass", "known_mass")]
+        change = sum(x or 0.0 for x in new.join(before, "host", "full").agg(*changes).first())
+        drop(rank, moved)
         rank = new
+        if change <= CHANGE * total:
+            break
     drop(shares)
     return rank
 
@@ -108,15 +115,25 @@ def judge(pages: DataFrame, rules: list[Rule], url: str = "url", html: str = "ht
     that neither rules nor links reach.  Null and repeated rows are rows like others;
     columns of ``pages`` that are named like new ones are replaced.
     """
-    new = ("host", "path", "rule", "trust", "distrust", "verdict", "_rule", "_for", "_against", "_known")
-    pages = pages.drop(*(c for c in new if c not in (url, html)))
-    ruled = pages.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url))).withColumn("_rule", rule_of(rules, F.col("host"), F.col("path")))
+    named = as_row(pages).withColumn("host", host_of(of_row(url))).withColumn("path", path_of(of_row(url)))
+    ruled = named.withColumn("_rule", rule_of(rules, F.col("host"), F.col("path")))
     best = ordered(rules)
     names = F.array(*[F.lit(r.name()) for r in best]) if best else F.array().cast("array<string>")
     verdicts = F.array(*[F.lit(r.verdict) for r in best]) if best else F.array().cast("array<string>")
     ruled = ruled.withColumn("rule", F.get(names, F.col("_rule"))).withColumn("verdict", F.get(verdicts, F.col("_rule")))
     hosts = staged(ruled.where("host <> ''").groupBy("host").agg(*[F.avg(F.coalesce((F.col("verdict") == v).cast("double"), F.lit(0.0))).alias(v) for v in ("allow", "block")]))
     edges = staged(links(pages, url, html))
+    scores = host_scores(hosts, edges, damping, rounds)
+    drop(edges)
+    blocked = F.coalesce(F.col("_against") > threshold * (F.col("_known") + F.col("_for")), F.lit(False))
+    out = ruled.join(scores, "host", "left").withColumn("verdict", F.coalesce("verdict", F.when(blocked, "block").otherwise("allow"))).fillna(0.0, ["trust", "distrust"])
+    new = ("host", "path", "rule", "trust", "distrust", "verdict")
+    return out.select(*from_row(pages, *new), *new)
+
+
+def host_scores(hosts: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+    """(host, trust, distrust, _for, _against, _known) of ``hosts``, which have the shares
+    ``allow`` and ``block`` of their URLs; ``edges`` has source, target and weight."""
     known = F.lit(1.0).alias("known")
     seeds = hosts.where("allow > 0 OR block > 0")
     trust = _rank(edges, seeds.select("host", F.col("allow").alias("seed"), known), damping, rounds)
@@ -125,8 +142,4 @@ def judge(pages: DataFrame, rules: list[Rule], url: str = "url", html: str = "ht
     trust = trust.select("host", F.col("rank").alias("trust"), F.col("mass").alias("_for"))
     distrust = distrust.select("host", F.col("rank").alias("distrust"), F.col("mass").alias("_against"), F.col("known_mass").alias("_known"))
     scores = hosts.select("host").join(trust, "host", "left").join(distrust, "host", "left")
-    scores = staged(scores.fillna(0.0))
-    drop(edges)
-    blocked = F.coalesce(F.col("_against") > threshold * (F.col("_known") + F.col("_for")), F.lit(False))
-    out = ruled.join(scores, "host", "left").withColumn("verdict", F.coalesce("verdict", F.when(blocked, "block").otherwise("allow")))
-    return out.fillna(0.0, ["trust", "distrust"]).drop("_rule", "_for", "_against", "_known")
+    return staged(scores.fillna(0.0))

@@ -52,7 +52,7 @@ def test_lines_equal_plain_comparison(spark, documents):
 def test_nulls_ties_and_repeated_rows(spark, documents):
     line = "a line that is long enough"
     rows = [(1, None), (2, ""), (3, line), (3, line), (None, line + "\nonly here, without an id"), (None, None), (4, line + "!\n\nnew")]
-    docs = documents(rows).selectExpr("*", "'mine' AS n_kept", "'x' AS doc", "1 AS version").drop("doc", "version")
+    docs = documents(rows).selectExpr("*", "'mine' AS n_kept", "'x' AS doc", "1 AS version")
     got = sorted(((r.doc_id is None, r.doc_id), r.text, r.n_lines, r.n_kept) for r in dedup_lines(docs).collect() if r.doc_id is not None)
     assert got == [((False, 1), None, 0, 0), ((False, 2), "", 1, 1), ((False, 3), line, 1, 1), ((False, 3), line, 1, 1), ((False, 4), "\nnew", 3, 2)]
     none = {(r.text, r.n_kept) for r in dedup_lines(docs).collect() if r.doc_id is None}

@@ -65,3 +65,13 @@ def test_queries_miss_no_match(rule):
     assert query.open() == (rule.kind == "hex")
     if not query.open():
         assert not answer[5] and not answer[6]
+
+
+def test_long_runs_take_time_in_proportion(spark, documents):
+    import time
+
+    rows = [(1, "a" * 2_000_000 + "://user:pass@host"), (2, "eyJ" * 700_000), (3, "password" * 250_000), (4, "-----BEGIN " * 180_000), (5, "a:" * 1_000_000 + "//")]
+    begin = time.time()
+    got = {r.doc_id: r.spans for r in find_secrets(documents(rows)).collect()}
+    assert time.time() - begin < 60
+    assert got[1] == "basic_url:1999969:2000017" and got[2] == got[4] == ""

@@ -44,3 +44,17 @@ def test_few_or_no_rows(spark, documents):
     assert shard(documents([]), shards=3).count() == 0
     assert [(r.shard, r.slot) for r in shard(documents([(1, "a")]), shards=1).collect()] == [(0, 0)]
     assert sorted(r.doc_id for r in shard(documents([(1, "a"), (2, "b")]), shards=24).collect()) == [1, 2]
+
+
+def test_copies_of_a_text_are_many_runs(spark, documents):
+    from sigtrail.llm import sharding
+
+    rows = [(i, "") for i in range(500)] + [(1000 + i, "b" * (i % 40)) for i in range(300)] + [(2000 + i, "copy") for i in range(400)]
+    frame = shard(documents(rows), shards=3, rows_per_run=50)
+    got = [r.asDict() for r in frame.collect()]
+    check(got, 3, 0.002)
+    groups = Counter()
+    for r in got:
+        groups[r["text"]] += 1
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "piece" in plan and groups[""] == 508 and sharding.MOST_LARGE >= 2

@@ -25,7 +25,7 @@ def plain_rule(host, path):
     return max(fits, key=lambda r: len(r.name()), default=None)
 
 
-def plain_rank(edges, seeds, rounds=30):
+def plain_rank(edges, seeds, rounds=200):
     rank = dict(seeds)
     for _ in range(rounds):
         new = defaultdict(float)
