@@ -5,13 +5,15 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from checks.registry import EV, MIXED, T_MS, check
+from checks.registry import CHECKS, EV, MIXED, T_MS, check
 from sigtrail.adapters import as_entries, events, int_entries, mixed_entries, state_entries
 from sigtrail.functions.transfer import pack_transfer
 from sigtrail.functions.typing import tagged
 from sigtrail.operators import paging
 from sigtrail.operators.filters import EntryFilter
 from sigtrail.plans.ordered import position
+from sigtrail.session import scratch_path
+from sigtrail.sinks.sorted import write_sorted
 
 
 def packed_events(spark, sf):
@@ -199,3 +201,21 @@ SELECT id, ts_ms, device_id, signal AS val_str FROM p WHERE before IS DISTINCT F
 def changed_only(spark, sf):
     rows = paging.changed_only(state_entries(spark, sf))
     return rows.select("id", "ts_ms", "device_id", "val_str")
+
+
+@check(f"WITH {GAPS} SELECT 'asc' AS direction, id, {page_sql('CAST(v AS VARCHAR) ASC NULLS LAST, id')} FROM gaps UNION ALL (WITH {GAPS} SELECT 'desc', id, {page_sql('CAST(v AS VARCHAR) DESC NULLS LAST, id DESC')} FROM gaps)")
+def directory_pages(spark, sf):
+    """All pages of a sorted copy, each read from the files that hold it."""
+    rows = gaps(spark, sf)
+    kept = write_sorted(rows, scratch_path(spark, "sorted"), "value", rows_per_file=max(1, rows.count() // 16))
+    size = page_size(rows)
+    pages = [kept.page(n + 1, size, d)[0].select(F.lit(d).alias("direction"), "id", F.lit(n).cast("long").alias("page")) for d in ("asc", "desc") for n in range(PAGES)]
+    return reduce(DataFrame.unionAll, pages)
+
+
+@check(CHECKS["index_of_time_null_keys"].sql)
+def directory_index_of_time(spark, sf):
+    rows = gaps(spark, sf)
+    kept = write_sorted(rows, scratch_path(spark, "sorted"), "value", rows_per_file=max(1, rows.count() // 16))
+    late = rows.orderBy("ts_ms").offset(max(-(-rows.count() * 99 // 100) - 1, 0)).first()["ts_ms"]
+    return spark.createDataFrame([(d, kept.index_of_time(late, d)) for d in ("asc", "desc")], "direction string, row_index long")

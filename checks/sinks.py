@@ -29,6 +29,20 @@ def stored_entries(spark, sf):
     return back.select("source_id", "id", "ts_ms", "device_id", "signal", F.col("val_int").alias("v"))
 
 
+@check(f"WITH {_sources('k', 'signal')} SELECT source_id, id, ts_ms, device_id, signal, v FROM m WHERE signal = 'view' AND source_id <> 'b'")
+def stored_entries_compacted(spark, sf):
+    """Many files per batch, a source written twice and one removed, then merged."""
+    path = scratch_path(spark, "store")
+    rows = overlapping(spark, sf, int_entries)
+    store.write_entries(rows.filter("source_id <> 'c'"), path, rows_per_file=1000)
+    store.write_entries(rows.filter("source_id = 'c' AND id % 2 = 0"), path)
+    store.write_entries(rows.filter("source_id = 'c'"), path)
+    store.remove_orphans(spark, path, spark.createDataFrame([("a",), ("c",)], "source_id string"))
+    store.compact(spark, path, rows_per_file=1000)
+    back = store.read_entries(spark, path).filter("signal = 'view'")
+    return back.select("source_id", "id", "ts_ms", "device_id", "signal", F.col("val_int").alias("v"))
+
+
 def _transitions_back(spark, sf, fmt, sep):
     path = scratch_path(spark, fmt)
     text.write_transitions(found(spark, sf)[0], path, fmt)

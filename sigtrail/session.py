@@ -58,6 +58,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_stage(df: DataFrame) -> None:
+    """Delete the files of one ``cut_lineage`` that no later result reads."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(file.rsplit("/", 1)[0])
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def is_small(df: DataFrame, max_rows: int | None = None) -> bool:
     """Whether a frame has few enough rows to be broadcast.
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
 
 from sigtrail.operators.resolve import apply_types, merge_type_states, type_state
 from sigtrail.schema import ENTRY_SCHEMA
 from sigtrail.session import cut_lineage
+from sigtrail.sinks.store import read_entries, write_entries
 from sigtrail.sources.ingest import PARSERS, RESOLVING
 from sigtrail.sources.lines import locate, number_lines
 
@@ -36,8 +36,10 @@ def stream_entries(
 ) -> StreamingQuery:
     """Parse files as they appear, with the expressions of the batch readers.
 
-    Rows go to ``store``/entries and ``store``/errors.  By default everything that
-    is there is taken and the query ends.  Rows are stored as parsed.  A signal's type
+    Rows go to a store (see ``sinks.store``) with a batch for each micro-batch, rejected
+    lines to ``store``/errors.  A file is read by one micro-batch, so a source is in one
+    batch, and ``compact(..., named=True)`` merges small ones.  By default everything
+    that is there is taken and the query ends.  Rows are stored as parsed.  A signal's type
     depends on all of its rows, also on those still to come, so each micro-batch adds
     what it knows of types to ``store``/types, and reading settles them.
     """
@@ -48,11 +50,11 @@ def stream_entries(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         parsed = parse(number_lines(batch))
-        _append(parsed.entries, f"{store}/entries", batch_id)
+        write_entries(parsed.entries, store, batch_id)
         _append(parsed.errors, f"{store}/errors", batch_id)
         if fmt in RESOLVING:
             # From the rows just stored, so that the text isn't parsed again.
-            stored = spark.read.schema(_STORED).parquet(f"{store}/entries").filter(F.col("batch_id") == batch_id)
+            stored = spark.read.schema(ENTRY_SCHEMA).parquet(f"{store}/entries/batch={batch_id}")
             _append(type_state(stored), f"{store}/types", batch_id)
 
     return (
@@ -64,7 +66,6 @@ def stream_entries(
     )
 
 
-_STORED = StructType([*ENTRY_SCHEMA.fields, StructField("batch_id", LongType())])
 _STATE = "source_id string, device_id string, signal string, seen int, last struct<id: bigint, kind: string>, batch_id long"
 
 
@@ -74,7 +75,7 @@ def streamed_entries(spark: SparkSession, store: str, fmt: str | None = None) ->
     Types come from the states of the micro-batches, a row per signal and batch; no row
     of the log is read to find them.
     """
-    rows = spark.read.schema(ENTRY_SCHEMA).parquet(f"{store}/entries").select(*ENTRY_SCHEMA.names)
+    rows = read_entries(spark, store)
     return apply_types(rows, streamed_types(spark, store), RESOLVING[fmt]) if fmt in RESOLVING else rows
 
 

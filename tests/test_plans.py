@@ -29,13 +29,17 @@ def stored(spark, tmp_path):
 
 def test_filters_and_columns_reach_the_scan(spark, tmp_path):
     path = stored(spark, tmp_path)
+    store.write_entries(merge.merge_logs([int_entries(spark, SMALL)], ["c"]), path)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     entries = store.read_entries(spark, path, ["a"])
     text = plan(filter_entries(entries, EntryFilter(device_ids=("U1",), signal_names=("view",))))
     assert "EqualTo(device_id,U1)" in text or "In(device_id, [U1])" in text
-    assert re.search(r"PartitionFilters: \[[^\]]*source_id", text)
+    assert re.search(r"PartitionFilters: \[[^\]]*batch", text)
+    assert {f.split("/")[-2] for f in entries.inputFiles()} == {"batch=0", "batch=1"} and entries.count() == int_entries(spark, SMALL).count()
     schema = re.search(r"ReadSchema: struct<([^>]*)>", plan(dims.signals(entries))).group(1)
-    assert set(schema.split(",")) == {"device_id:string", "signal:string"}
+    assert set(schema.split(",")) == {"source_id:string", "device_id:string", "signal:string"}
     assert "LessThanOrEqual(ts_ms,5)" in plan(asof.values_at(entries, 5))
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
 
 
 def test_one_shuffle_for_all_rules(spark):

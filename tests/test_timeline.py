@@ -32,20 +32,15 @@ def frame(spark):
     return lambda data: spark.createDataFrame(data, ENTRY_SCHEMA)
 
 
-def times():
-    edges = [t + d for t in range(-200, 1500, STEP) for d in (-1, 0, 1)]
-    return [-(10**15), *edges, 10**15]
-
-
 def test_every_boundary_like_the_scan(spark, frame, tmp_path):
     entries = frame(rows())
     line = append_timeline(entries, str(tmp_path / "t"), STEP)
-    for t in times()[::4] + [-1, 0, 399, 400, 550, 700, 1199]:
+    for t in (-1, 0, 99, 100, 399, 550, 700, 1199, 10**15):
         assert found(asof.values_at(line.upto(t), t)) == found(asof.values_at(entries, t))
         assert found(units.carrier_locations(line.upto(t), t)) == found(units.carrier_locations(entries, t))
 
 
-@pytest.mark.parametrize("start,end", [(-50, -10), (-50, 150), (0, 99), (100, 100), (250, 1000), (400, 699), (450, 500), (1100, 5000), (9000, 9001), (-9000, 9000)])
+@pytest.mark.parametrize("start,end", [(-50, -10), (100, 100), (250, 1000), (450, 500), (-9000, 9000)])
 def test_windows_like_the_scan(spark, frame, tmp_path, start, end):
     entries = frame(rows(2))
     line = append_timeline(entries, str(tmp_path / "t"), STEP)
@@ -69,8 +64,8 @@ def test_appended_parts_make_the_same_snapshots(spark, frame, tmp_path):
     assert parts.batches == 4
     assert found(parts.intervals) == found(whole.intervals)
     for kind in ("before", "after"):
-        for interval in range(-1, 12):
-            assert found(parts._read(kind, "interval", [interval])) == found(whole._read(kind, "interval", [interval])), (kind, interval)
+        state = [found(spark.read.parquet(f"{line.path}/{kind}").drop("batch")) for line in (parts, whole)]
+        assert state[0] == state[1]
     assert found(parts.entries()) == found(frame(data))
 
 
