@@ -67,6 +67,14 @@ def values_at_times_many(spark, sf):
     return rows.selectExpr("t_ms", "id", "ts_ms", "device_id", "signal", K)
 
 
+@check(f"""{_AT_TIMES.replace("SELECT t_ms, id, ts_ms, device_id, signal, k FROM r WHERE n = 1", "")}
+SELECT min(t_ms) AS from_ms, max(t_ms) AS to_ms, id, ts_ms, device_id, signal, k FROM r WHERE n = 1 GROUP BY id, ts_ms, device_id, signal, k""")
+def value_ranges(spark, sf):
+    """A row for each held value instead of one for each probe."""
+    rows = asof.value_ranges(int_entries(spark, sf), every_day(spark, sf))
+    return rows.selectExpr("from_ms", "to_ms", "id", "ts_ms", "device_id", "signal", K)
+
+
 @check(f"""WITH {EV}, b AS (
   SELECT 'before' AS side, *, row_number() OVER (PARTITION BY device_id, signal ORDER BY ts_ms DESC, id DESC) AS n FROM ev WHERE ts_ms < {START_MS}
   UNION ALL

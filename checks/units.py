@@ -79,6 +79,20 @@ def unit_status_playback(spark, sf):
     return units.unit_status_at(mixed_entries(spark, sf), every_day(spark, sf), color_rules(spark), device_mapping(spark))
 
 
+@check(f"""WITH {MIXED}, days AS (SELECT 1704067200000 + i * 300000 AS t_ms FROM range(20000) q(i)), own AS (SELECT *, {MAPPED} AS unit_id FROM mixed WHERE signal IN ('click', 'view', 'signup', 'purchase', 'error')),
+r AS (SELECT t_ms, own.*, row_number() OVER (PARTITION BY t_ms, device_id, signal ORDER BY ts_ms DESC, id DESC) AS n FROM (SELECT * FROM days WHERE t_ms % 86400000 = 0) d JOIN own ON ts_ms <= t_ms),
+u AS (SELECT *, row_number() OVER (PARTITION BY t_ms, unit_id, signal ORDER BY device_id DESC) AS pick FROM r WHERE n = 1), v AS (SELECT * FROM u WHERE pick = 1),
+hits AS ({RULE_HITS.format(at='t_ms,')}), best AS (SELECT *, row_number() OVER (PARTITION BY t_ms, unit_id ORDER BY priority DESC, ord) AS b FROM hits)
+SELECT t_ms, unit_id, color, text FROM best WHERE b = 1""")
+def unit_status_ranges(spark, sf):
+    """Ranges over 20 000 probes five minutes apart, looked at where a day begins."""
+    probes = spark.range(20_000).select((F.col("id") * 300_000 + 1_704_067_200_000).alias("t_ms"))
+    ranges = units.unit_status_ranges(mixed_entries(spark, sf), probes, color_rules(spark), device_mapping(spark))
+    days = probes.filter(F.col("t_ms") % 86_400_000 == 0)
+    seen = ranges.join(days, F.col("t_ms").between(F.col("from_ms"), F.col("to_ms")))
+    return seen.select("t_ms", "unit_id", "color", "text")
+
+
 @check("SELECT signal FROM (VALUES ('click'), ('view'), ('signup'), ('purchase'), ('idle'), ('error')) r(signal) WHERE signal NOT IN (SELECT event_type FROM events)")
 def missing_rule_signals(spark, sf):
     return units.missing_rule_signals(mixed_entries(spark, sf), color_rules(spark))

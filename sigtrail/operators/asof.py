@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from sigtrail.operators.filters import EntryFilter, pair_filter, restrict_to_sig
 from sigtrail.plans.ordered import OrderedRows, following, position, previous
 from sigtrail.plans.slots import ProbeTimes, asof_rows
 from sigtrail.schema import ENTRY_COLUMNS, SIGNAL_KEY, TIME_ORDER
+from sigtrail.session import cut_lineage
 
 _REST = [c for c in ENTRY_COLUMNS if c not in SIGNAL_KEY]
 
@@ -62,21 +65,46 @@ def values_at(entries: DataFrame, t_ms: int, signals: list[str] | None = None) -
     return _unpack(latest, "_row")
 
 
-def values_at_times(
+class HeldValues(NamedTuple):
+    """Which probes see which row: those numbered ``_slot`` to ``_until`` see ``_row``.
+
+    There is a row for each value that some probe sees, so their number grows with the
+    changes of the log and not with that of the probes.
+    """
+
+    rows: DataFrame
+    probe: ProbeTimes
+    numbered: DataFrame | None
+
+    def timed(self, df: DataFrame, slot: str, name: str) -> DataFrame:
+        """``df`` with the time of the probe numbered ``slot`` in its place."""
+        if self.numbered is None:
+            return df.withColumn(name, self.probe.time_at(F.col(slot))).drop(slot)
+        times = self.numbered.select(F.col("_slot").alias(slot), F.col("t_ms").alias(name))
+        return df.join(times, slot).drop(slot)
+
+    def expanded(self, df: DataFrame) -> DataFrame:
+        """A row of ``df`` for each probe from ``_slot`` to ``_until``, with its ``t_ms``."""
+        each = df.withColumn("_at", F.explode(F.sequence("_slot", "_until"))).drop("_slot", "_until")
+        return self.timed(each, "_at", "t_ms")
+
+
+def held_values(
     entries: DataFrame,
     times: DataFrame,
     signals: list[str] | None = None,
     segments: int | None = None,
     max_slots: int | None = None,
-) -> DataFrame:
-    """``values_at`` for every ``t_ms`` of ``times``."""
+) -> HeldValues:
+    """What every signal holds at each ``t_ms`` of ``times``, as ranges of probes."""
     wanted = _named(signals)
     rows = entries if wanted is None else entries.filter(wanted)
     probe = ProbeTimes(times, **({} if max_slots is None else {"max_slots": max_slots}))
     if not probe.fits:
-        return _values_at_many(rows, times, segments)
+        return _held_at_many(rows, times, segments, probe)
     if not probe.times:
-        return _unpack(rows.limit(0).withColumns({"t_ms": F.lit(0), "_row": _row()}), "_row", "t_ms")
+        none = rows.limit(0).select(*SIGNAL_KEY, _row().alias("_row"))
+        return HeldValues(none.withColumns({"_slot": F.lit(0), "_until": F.lit(0)}), probe, None)
     in_reach = rows.filter(F.col("ts_ms") <= probe.times[-1])
     latest = (
         in_reach.groupBy(*SIGNAL_KEY, probe.before_or_at(F.col("ts_ms")).alias("_slot"))
@@ -84,17 +112,16 @@ def values_at_times(
     )
     # At most one row per signal and probe from here on.
     next_slot = F.lead("_slot").over(Window.partitionBy(*SIGNAL_KEY).orderBy("_slot"))
-    held = latest.withColumn("_until", F.coalesce(next_slot, F.lit(len(probe.times))) - 1)
-    slots = held.withColumn("_at", F.explode(F.sequence("_slot", "_until")))
-    return _unpack(slots.withColumn("t_ms", probe.time_at(F.col("_at"))), "_row", "t_ms")
+    until = F.coalesce(next_slot, F.lit(len(probe.times))) - 1
+    return HeldValues(latest.withColumn("_until", until), probe, None)
 
 
-def _values_at_many(rows: DataFrame, times: DataFrame, segments: int | None) -> DataFrame:
+def _held_at_many(rows: DataFrame, times: DataFrame, segments: int | None, probe: ProbeTimes) -> HeldValues:
     """The same slots for more probes than a plan can carry: the probes are numbered
     as a table and every row looks up the first probe at or after it."""
     asked = times.select(F.col("t_ms").cast("long").alias("t_ms")).distinct()
-    numbered = position(asked, [], ["t_ms"], "_slot", segments)
-    total = asked.agg(F.count(F.lit(1))).scalar()
+    numbered = cut_lineage(position(asked, [], ["t_ms"], "_slot", segments))
+    total = numbered.agg(F.count(F.lit(1))).first()[0]
     placed = asof_rows(
         numbered.withColumnRenamed("t_ms", "_m"),
         rows.select(F.col("ts_ms").alias("t_ms"), F.struct(*ENTRY_COLUMNS).alias("_entry")),
@@ -107,10 +134,33 @@ def _values_at_many(rows: DataFrame, times: DataFrame, segments: int | None) ->
     entry = placed.select("_slot", "_entry.*")
     latest = entry.groupBy(*SIGNAL_KEY, "_slot").agg(F.max_by(_row(), _when()).alias("_row"))
     held = following(latest, SIGNAL_KEY, ["_slot"], {"_until": F.col("_slot")}, segments)
-    slots = held.withColumn(
-        "_slot", F.explode(F.sequence("_slot", F.coalesce("_until", total) - 1))
-    )
-    return _unpack(slots.join(numbered, "_slot"), "_row", "t_ms")
+    return HeldValues(held.withColumn("_until", F.coalesce("_until", F.lit(total)) - 1), probe, numbered)
+
+
+def values_at_times(
+    entries: DataFrame,
+    times: DataFrame,
+    signals: list[str] | None = None,
+    segments: int | None = None,
+    max_slots: int | None = None,
+) -> DataFrame:
+    """``values_at`` for every ``t_ms`` of ``times``."""
+    held = held_values(entries, times, signals, segments, max_slots)
+    return _unpack(held.expanded(held.rows), "_row", "t_ms")
+
+
+def value_ranges(
+    entries: DataFrame,
+    times: DataFrame,
+    signals: list[str] | None = None,
+    segments: int | None = None,
+    max_slots: int | None = None,
+) -> DataFrame:
+    """``values_at_times`` with a row for each run of probes that see the same row:
+    ``from_ms`` and ``to_ms`` are the first and last of them."""
+    held = held_values(entries, times, signals, segments, max_slots)
+    ranges = held.timed(held.timed(held.rows, "_slot", "from_ms"), "_until", "to_ms")
+    return _unpack(ranges, "_row", "from_ms", "to_ms")
 
 
 def boundary_values(entries: DataFrame, start_ms: int, end_ms: int, signals) -> DataFrame:

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigtrail.functions.values import script_number, value_text
-from sigtrail.operators.asof import values_at, values_at_times
+from sigtrail.operators.asof import HeldValues, held_values, values_at
+from sigtrail.plans.ordered import OrderedRows, position
 from sigtrail.plans.stages import bind
 from sigtrail.schema import BOOL, VALUE_COLUMNS
+from sigtrail.session import cut_lineage
 
 DEFAULT_COLOR = "#D3D3D3"
 CARRIER_SIGNAL = "CurrentLocation"
@@ -114,21 +116,16 @@ def rule_matches(value: Column, op: Column, rule_value: Column, number: Column |
     )
 
 
-def _status(values: DataFrame, rules: DataFrame, mapped: DataFrame, at: list[str]) -> DataFrame:
-    """Best matching rule per unit (and probe time ``at``); ``mapped`` names each
-    device's unit."""
-    mapped = values.join(mapped, "device_id")
-    # Of several devices on a unit the greatest id supplies the signal.
-    picked = mapped.groupBy(*at, "unit_id", "signal").agg(
-        F.max_by(F.struct(*VALUE_COLUMNS), "device_id").alias("_v")
-    )
-    per_unit = bind(
-        picked.select(*at, "unit_id", "signal", "_v.*"),
+def _hits(per_unit: DataFrame, rules: DataFrame, *keep: str) -> DataFrame:
+    """Rules that hold for values (``unit_id, signal``, the value and ``keep``), with
+    their rank and what they show."""
+    valued = bind(
+        per_unit,
         _text=value_text(),
         _flag=F.when(F.col("val_type") == BOOL, F.col("val_bool").cast("double")),
     )
-    per_unit = bind(per_unit, _number=F.coalesce("_flag", script_number(F.col("_text"))))
-    tests = per_unit.join(
+    valued = bind(valued, _number=F.coalesce("_flag", script_number(F.col("_text"))))
+    tests = valued.join(
         rules.withColumnRenamed("value", "rule_value").withColumnRenamed("text", "rule_text"), "signal"
     )
     hits = tests.filter(
@@ -138,9 +135,48 @@ def _status(values: DataFrame, rules: DataFrame, mapped: DataFrame, at: list[str
         F.coalesce(F.nullif("color", F.lit("")), F.col("bg_color")).alias("color"),
         F.col("rule_text").alias("text"),
     )
-    return hits.groupBy(*at, "unit_id").agg(
-        F.min_by(shown, F.struct(-F.col("priority"), F.col("ord"))).alias("_s")
+    return hits.select("unit_id", *keep, F.struct((-F.col("priority")).alias("p"), "ord").alias("_rank"), shown.alias("_s"))
+
+
+def _status(values: DataFrame, rules: DataFrame, mapped: DataFrame) -> DataFrame:
+    """Best matching rule per unit; ``mapped`` names each device's unit."""
+    # Of several devices on a unit the greatest id supplies the signal.
+    picked = values.join(mapped, "device_id").groupBy("unit_id", "signal").agg(
+        F.max_by(F.struct(*VALUE_COLUMNS), "device_id").alias("_v")
     )
+    hits = _hits(picked.select("unit_id", "signal", "_v.*"), rules)
+    return hits.groupBy("unit_id").agg(F.min_by("_s", "_rank").alias("_s"))
+
+
+def _status_ranges(held: HeldValues, rules: DataFrame, mapped: DataFrame, segments: int | None) -> DataFrame:
+    """``unit_id, _slot, _until, _s``: runs of probes at which a rule shows the same.
+
+    Rules are tested once for each value held.  A unit's status can only change where
+    the range of a rule that holds begins or ends, so its ranges are cut at these places
+    and compared there, and equal neighbours become one.
+    """
+    on_unit = held.rows.select("device_id", "signal", "_row.*", "_slot", "_until").join(mapped, "device_id")
+    # A device supplies the signal until one with a greater id has a value.
+    greater = Window.partitionBy("unit_id", "signal").orderBy(F.desc("device_id")).rowsBetween(Window.unboundedPreceding, -1)
+    begins = on_unit.groupBy("unit_id", "signal", "device_id").agg(F.min("_slot").alias("_begin"))
+    turns = begins.select("unit_id", "signal", "device_id", F.min("_begin").over(greater).alias("_end"))
+    supplied = on_unit.join(turns, ["unit_id", "signal", "device_id"]).withColumn("_until", F.least("_until", F.col("_end") - 1))
+    picked = supplied.filter("_slot <= _until").select("unit_id", "signal", *VALUE_COLUMNS, "_slot", "_until")
+    hits = cut_lineage(_hits(picked, rules, "_slot", "_until"))
+    edges = hits.select("unit_id", F.explode(F.array(F.col("_slot"), F.col("_until") + 1)).alias("_edge")).distinct()
+    numbered = cut_lineage(position(edges, ["unit_id"], ["_edge"], "_n", segments))
+    placed = hits
+    for slot, name in (("_slot", "_first"), ("_until", "_last")):
+        where = numbered.select("unit_id", (F.col("_edge") - (1 if slot == "_until" else 0)).alias(slot), F.col("_n").alias(name))
+        placed = placed.join(where, ["unit_id", slot])
+    pieces = placed.select("unit_id", "_rank", "_s", F.explode(F.sequence(F.col("_first"), F.col("_last") - 1)).alias("_n"))
+    best = pieces.groupBy("unit_id", "_n").agg(F.min_by("_s", "_rank").alias("_s"))
+    spans = best.join(numbered.withColumnRenamed("_edge", "_slot"), ["unit_id", "_n"])
+    spans = spans.join(numbered.select("unit_id", (F.col("_n") - 1).alias("_n"), (F.col("_edge") - 1).alias("_until")), ["unit_id", "_n"])
+    ordered = OrderedRows(spans, ["unit_id"], ["_slot"], segments).neighbour({"_was": F.col("_s"), "_ended": F.col("_until")})
+    fresh = ~F.coalesce((F.col("_was") == F.col("_s")) | (F.col("_was").isNull() & F.col("_s").isNull()), F.lit(False)) | (F.col("_ended") + 1 != F.col("_slot"))
+    runs = ordered.with_column("_new", F.coalesce(fresh, F.lit(True)).cast("long")).running_total({"_run": F.col("_new")}).frame()
+    return runs.groupBy("unit_id", "_run").agg(F.min("_slot").alias("_slot"), F.max("_until").alias("_until"), F.first("_s").alias("_s")).drop("_run")
 
 
 def _rule_values(entries: DataFrame, rules: DataFrame) -> DataFrame:
@@ -158,7 +194,7 @@ def unit_status(
     """Colour and text of each unit at ``t_ms``: the matching rule of highest priority,
     the first listed on ties, the default colour where none matches."""
     rows = _rule_values(entries, rules)
-    best = _status(values_at(rows, t_ms), rules, map_devices(rows, mapping), [])
+    best = _status(values_at(rows, t_ms), rules, map_devices(rows, mapping))
     every = map_devices(entries, mapping) if units is None else units
     return every.select("unit_id").distinct().join(best, "unit_id", "left").select(
         "unit_id",
@@ -167,6 +203,22 @@ def unit_status(
     )
 
 
+def unit_status_ranges(
+    entries: DataFrame,
+    times: DataFrame,
+    rules: DataFrame,
+    mapping: DataFrame,
+    segments: int | None = None,
+) -> DataFrame:
+    """``unit_id, from_ms, to_ms, color, text``: runs of ``times`` at which a unit shows
+    the same, where a rule matches.  Rows grow with the changes, not with the times."""
+    rows = _rule_values(entries, rules)
+    held = held_values(rows, times, segments=segments)
+    best = _status_ranges(held, rules, map_devices(rows, mapping), segments)
+    timed = held.timed(held.timed(best, "_slot", "from_ms"), "_until", "to_ms")
+    return timed.select("unit_id", "from_ms", "to_ms", "_s.color", "_s.text")
+
+
 def unit_status_at(
     entries: DataFrame,
     times: DataFrame,
@@ -176,9 +228,9 @@ def unit_status_at(
 ) -> DataFrame:
     """``unit_status`` for every ``t_ms`` of ``times``, for the units a rule matches then."""
     rows = _rule_values(entries, rules)
-    values = values_at_times(rows, times, segments=segments)
-    best = _status(values, rules, map_devices(rows, mapping), ["t_ms"])
-    return best.select("t_ms", "unit_id", F.col("_s.color").alias("color"), F.col("_s.text").alias("text"))
+    held = held_values(rows, times, segments=segments)
+    best = _status_ranges(held, rules, map_devices(rows, mapping), segments)
+    return held.expanded(best).select("t_ms", "unit_id", F.col("_s.color").alias("color"), F.col("_s.text").alias("text"))
 
 
 def missing_rule_signals(entries: DataFrame, rules: DataFrame) -> DataFrame:

@@ -30,6 +30,8 @@ class ProbeTimes:
         self.times = sorted(found) if self.fits else []
 
     def array(self) -> Column:
+        if not self.times:
+            return F.array().cast("array<bigint>")
         text = ",".join(map(str, self.times))
         return F.split(F.lit(text), ",").cast("array<bigint>")
 
