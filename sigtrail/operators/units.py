@@ -116,26 +116,62 @@ def rule_matches(value: Column, op: Column, rule_value: Column, number: Column |
     )
 
 
+def rule_index(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rules of each signal, arranged so that a value finds the best one that holds
+    without meeting the others.
+
+    First frame, by signal: thresholds in order, each with the best rule up to it
+    (``above`` for ``>`` and ``>=``, ``below`` for the others, negated), and the best two
+    ``!=`` rules that exclude different values.  Second frame, by signal and value: the
+    best ``==`` rule.  A best rule is ``p, ord`` and what it shows, smallest first.
+    """
+    shown = F.struct(F.coalesce(F.nullif("color", F.lit("")), F.col("bg_color")).alias("color"), F.col("text").alias("text"))
+    best = F.struct((-F.col("priority")).alias("p"), "ord", shown.alias("shown"))
+    ranked = rules.select("signal", "op", _plain(F.col("value")).alias("plain"), script_number(F.col("value")).alias("number"), best.alias("best"))
+
+    def thresholds(weak: str, strict: str, sign: int, name: str) -> DataFrame:
+        own = ranked.filter(F.col("op").isin(weak, strict) & F.col("number").isNotNull())
+        placed = own.select("signal", (F.col("number") * sign).alias("t"), (F.col("op") == strict).cast("int").alias("strict"), "best")
+        upto = Window.partitionBy("signal").orderBy("t", "strict").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return placed.withColumn("best", F.min("best").over(upto)).groupBy("signal").agg(F.array_sort(F.collect_list(F.struct("t", "strict", "best"))).alias(name))
+
+    unlike = ranked.filter("op = '!='").groupBy("signal", "plain").agg(F.min("best").alias("best"))
+    place = F.row_number().over(Window.partitionBy("signal").orderBy("best"))
+    unlike = unlike.withColumn("place", place).filter("place <= 2").groupBy("signal").agg(F.array_sort(F.collect_list(F.struct("best", "plain"))).alias("unlike"))
+    ordered = thresholds(">=", ">", 1, "above").join(thresholds("<=", "<", -1, "below"), "signal", "full")
+    equal = ranked.filter("op = '=='").groupBy("signal", "plain").agg(F.min("best").alias("equal"))
+    return ordered.join(unlike, "signal", "full"), equal
+
+
+def _best_upto(table: Column, number: Column, bits: int) -> Column:
+    """Best rule of the last threshold that ``number`` reaches (binary search)."""
+    reached = F.struct(number.alias("t"), F.lit(0).alias("strict"))
+
+    def step(at: Column, size: Column) -> Column:
+        there = F.get(table, at + size - 1)
+        inside = (at + size <= F.size(table)) & (F.struct(there["t"].alias("t"), there["strict"].alias("strict")) <= reached)
+        return F.when(F.coalesce(inside, F.lit(False)), at + size).otherwise(at)
+
+    at = F.aggregate(F.array(*[F.lit(1 << k) for k in reversed(range(bits))]), F.lit(0), step)
+    return F.when(number.isNotNull() & table.isNotNull(), F.get(table, at - 1)["best"])
+
+
 def _hits(per_unit: DataFrame, rules: DataFrame, *keep: str) -> DataFrame:
-    """Rules that hold for values (``unit_id, signal``, the value and ``keep``), with
-    their rank and what they show."""
+    """The best rule of its signal that holds for each value (``unit_id, signal``, the
+    value and ``keep``), with its rank and what it shows; values without one are left out."""
     valued = bind(
         per_unit,
         _text=value_text(),
         _flag=F.when(F.col("val_type") == BOOL, F.col("val_bool").cast("double")),
     )
-    valued = bind(valued, _number=F.coalesce("_flag", script_number(F.col("_text"))))
-    tests = valued.join(
-        rules.withColumnRenamed("value", "rule_value").withColumnRenamed("text", "rule_text"), "signal"
-    )
-    hits = tests.filter(
-        rule_matches(F.col("_text"), F.col("op"), F.col("rule_value"), F.col("_number"))
-    )
-    shown = F.struct(
-        F.coalesce(F.nullif("color", F.lit("")), F.col("bg_color")).alias("color"),
-        F.col("rule_text").alias("text"),
-    )
-    return hits.select("unit_id", *keep, F.struct((-F.col("priority")).alias("p"), "ord").alias("_rank"), shown.alias("_s"))
+    valued = bind(valued, _number=F.coalesce("_flag", script_number(F.col("_text"))), plain=_plain(F.col("_text")))
+    index, equal = rule_index(rules)
+    bits = max(1, rules.count().bit_length())
+    met = valued.join(index, "signal", "left").join(equal, ["signal", "plain"], "left")
+    other = F.filter("unlike", lambda rule: rule["plain"] != F.col("plain"))
+    ways = [F.col("equal"), F.get(other, F.lit(0))["best"], _best_upto(F.col("above"), F.col("_number"), bits), _best_upto(F.col("below"), -F.col("_number"), bits)]
+    best = bind(met, _best=F.array_min(F.array_compact(F.array(*ways)))).filter("_best IS NOT NULL")
+    return best.select("unit_id", *keep, F.struct("_best.p", "_best.ord").alias("_rank"), F.col("_best.shown").alias("_s"))
 
 
 def _status(values: DataFrame, rules: DataFrame, mapped: DataFrame) -> DataFrame:

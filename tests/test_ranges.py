@@ -79,3 +79,21 @@ def test_no_probes(spark):
     assert asof.value_ranges(frame, none).collect() == []
     rules, mapping = spark.createDataFrame(RULES, COLOR_RULE_SCHEMA), spark.createDataFrame(MAPPING, MAPPING_SCHEMA)
     assert units.unit_status_at(frame, none, rules, mapping).collect() == []
+
+
+def test_many_rules_of_a_signal_are_found_not_tried(spark):
+    rng = random.Random(9)
+    signs = {">": lambda v, r: v > r, ">=": lambda v, r: v >= r, "<": lambda v, r: v < r, "<=": lambda v, r: v <= r, "==": lambda v, r: v == r, "!=": lambda v, r: v != r}
+    rules = [(i, "a", op := rng.choice(["==", ">", ">=", "<", "<="] if i % 50 else ["!="]), str(rng.randrange(300, 700) if op != "==" else rng.randrange(1000)), f"c{i}", "", "", rng.randrange(5)) for i in range(10_000)]
+    rules += [(10_001, "a", ">", "word", "never", "", "", 99), (10_002, "a", "=~", "1", "never", "", "", 99), (10_003, "b", "!=", "ON", "b", "", "", 1)]
+    data = [(i, "s", 0, f"d{i}", "a", "", 1, None, i * 3, None, None) for i in range(340)] + [(900, "s", 0, "on", "b", "", 0, True, None, None, None), (901, "s", 0, "off", "b", "", 0, False, None, None, None)]
+    mapping = spark.createDataFrame([(1, "nobody", "x")], MAPPING_SCHEMA)
+    frame = spark.createDataFrame(data, ENTRY_SCHEMA)
+    got = {r.unit_id: r.color for r in units.unit_status(frame, 5, spark.createDataFrame(rules, COLOR_RULE_SCHEMA), mapping, default_color="none").collect()}
+
+    def best(v):
+        held = [((-r[7], r[0]), r[4]) for r in rules if r[1] == "a" and r[3] != "word" and r[2] in signs and signs[r[2]](v, int(r[3]))]
+        return min(held)[1] if held else "none"
+
+    assert {k: v for k, v in got.items() if k.startswith("d")} == {f"d{i}": best(i * 3) for i in range(340)}
+    assert (got["on"], got["off"]) == ("none", "b")
