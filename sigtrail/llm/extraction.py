@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from hashlib import blake2b
 from html import unescape
@@ -32,6 +34,10 @@ from sigtrail.llm.scratch import arrow_map, drop, slices, staged
 
 PER_TASK = 16
 """Streams or wrappers of a host that one task aligns."""
+CELLS = 1 << 18
+"""Size of a table up to which parts of streams are aligned exactly."""
+REACH = 64
+"""How far beyond the last match an item's next occurrence may be in larger parts."""
 LONGEST_PERIOD = 12
 """Stream items that a repeated group can have."""
 
@@ -274,28 +280,90 @@ def dump(items: list[Item]) -> str:
 
 
 def _common(a: list, b: list) -> list[tuple[int, int]]:
-    """Longest common subsequence as pairs of places."""
-    start = 0
-    while start < min(len(a), len(b)) and a[start] == b[start]:
-        start += 1
-    tail = 0
-    while tail < min(len(a), len(b)) - start and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
-    x, y = a[start : len(a) - tail], b[start : len(b) - tail]
+    """A long common subsequence as pairs of places, in memory bounded by ``CELLS``.
+
+    Equal ends are matched first.  What is left is solved exactly if it is small; else it
+    is split at items that both sides have once, in their longest common order, and
+    where there are none, each item meets its next occurrence within reach.
+    """
+    pairs: list[tuple[int, int]] = []
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        low, high, left, right = todo.pop()
+        while low < high and left < right and a[low] == b[left]:
+            pairs.append((low, left))
+            low, left = low + 1, left + 1
+        while low < high and left < right and a[high - 1] == b[right - 1]:
+            high, right = high - 1, right - 1
+            pairs.append((high, right))
+        if low == high or left == right:
+            continue
+        if (high - low) * (right - left) <= CELLS:
+            pairs += [(low + i, left + j) for i, j in _longest(a[low:high], b[left:right])]
+            continue
+        anchors = _once_in_both(a, b, low, high, left, right)
+        if not anchors:
+            pairs += _within_reach(a, b, low, high, left, right)
+            continue
+        edges = [(low - 1, left - 1), *anchors, (high, right)]
+        pairs += anchors
+        todo += [(i + 1, k, j + 1, m) for (i, j), (k, m) in zip(edges, edges[1:])]
+    return sorted(pairs)
+
+
+def _longest(x: list, y: list) -> list[tuple[int, int]]:
+    """Longest common subsequence by its table."""
     best = np.zeros((len(x) + 1, len(y) + 1), dtype=np.int32)
+    number: dict = {}
+    right = np.array([number.setdefault(v, len(number)) for v in y], dtype=np.int64)
     for i in range(len(x) - 1, -1, -1):
-        for j in range(len(y) - 1, -1, -1):
-            best[i, j] = best[i + 1, j + 1] + 1 if x[i] == y[j] else max(best[i + 1, j], best[i, j + 1])
-    pairs, i, j = [(k, k) for k in range(start)], 0, 0
+        same = right == number.get(x[i], -1)
+        here = np.where(same, best[i + 1, 1:] + 1, best[i + 1, :-1])
+        best[i, :-1] = np.maximum.accumulate(here[::-1])[::-1]
+    pairs, i, j = [], 0, 0
     while i < len(x) and j < len(y):
         if x[i] == y[j]:
-            pairs.append((start + i, start + j))
+            pairs.append((i, j))
             i, j = i + 1, j + 1
         elif best[i + 1, j] >= best[i, j + 1]:
             i += 1
         else:
             j += 1
-    return pairs + [(len(a) - tail + k, len(b) - tail + k) for k in range(tail)]
+    return pairs
+
+
+def _once_in_both(a: list, b: list, low: int, high: int, left: int, right: int) -> list[tuple[int, int]]:
+    """Items that occur once on each side, as many as stand in one order."""
+    counts = Counter(a[low:high]), Counter(b[left:right])
+    at = {x: j for j, x in enumerate(b[left:right], left) if counts[1][x] == 1}
+    ends, last, before = [], [], {}
+    for i, x in enumerate(a[low:high], low):
+        if counts[0][x] == 1 and x in at:
+            j = at[x]
+            place = bisect_left(ends, j)
+            before[j] = (i, last[place - 1] if place else None)
+            ends[place : place + 1], last[place : place + 1] = [j], [j]
+    chain, j = [], last[-1] if last else None
+    while j is not None:
+        i, previous = before[j]
+        chain.append((i, j))
+        j = previous
+    return chain[::-1]
+
+
+def _within_reach(a: list, b: list, low: int, high: int, left: int, right: int) -> list[tuple[int, int]]:
+    """Each item with its next occurrence on the other side, if that is near."""
+    places = defaultdict(list)
+    for j in range(left, right):
+        places[b[j]].append(j)
+    pairs, j = [], left
+    for i in range(low, high):
+        own = places.get(a[i], [])
+        k = bisect_left(own, j)
+        if k < len(own) and own[k] - j <= REACH:
+            pairs.append((i, own[k]))
+            j = own[k] + 1
+    return pairs
 
 
 def _open_after(open_: list[tuple], symbol: str) -> list[tuple]:
@@ -394,13 +462,60 @@ def _changes(s: Slot) -> bool:
     return not constant and 2 * s.links <= s.chars
 
 
+SHARE = 2 / 3
+"""Of a part's changing text what one part in it must have to stand for it."""
+
+
+def article_region(wrapper: list[Item]) -> list[bool]:
+    """For each slot whether it lies in the part of the wrapper that holds the article.
+
+    From the whole page on, a part without changing text of its own gives way to the one
+    part in it that has most of its changing text.  So frames and the parts around an
+    article fall away by where the host's pages differ, whatever they are called; a part
+    with headings or paragraphs of its own is the article.
+    """
+    sides = [side for side, _ in _places(wrapper)]
+    slots = [x for item in wrapper for x in item.slots]
+    weight = [max(0, s.chars - s.links) if not side and _changes(s) else 0 for s, side in zip(slots, sides)]
+    open_, paths, nodes = [], [], 0
+    for symbol in (s for x in wrapper for s in _flat(x.symbol)):
+        if symbol == "#":
+            paths.append([n for _, n in open_])
+            continue
+        name = symbol.removeprefix("/").split(".")[0]
+        if name not in CONTAINERS:
+            continue
+        if symbol[0] == "/":
+            at = max((i for i, (n, _) in enumerate(open_) if n == name), default=None)
+            open_ = open_ if at is None else open_[:at]
+        else:
+            nodes += 1
+            open_ = [*open_, (name, nodes)]
+    inside, depth = [True] * len(slots), 0
+    while True:
+        below, own = Counter(), 0
+        for path, w, here in zip(paths, weight, inside):
+            if here and len(path) > depth:
+                below[path[depth]] += w
+            elif here:
+                own += w
+        if own or not below:
+            return inside
+        best, most = max(below.items(), key=lambda x: (x[1], -x[0]))
+        if most < SHARE * sum(below.values()) or not most:
+            return inside
+        inside = [here and len(path) > depth and path[depth] == best for path, here in zip(paths, inside)]
+        depth += 1
+
+
 def main_slots(wrapper: list[Item], stream: list[Item]) -> list[int]:
     """The slots of a stream that hold main text.
 
     Slots in side parts never do.  If the stream has an article, all other slots in it
     do, whatever the host's other templates have; else those that change, by what the
-    wrapper knows of them.  Where another page's group cuts across the stream, an item
-    may have no counterpart in the wrapper; its slots are judged by the stream's pages.
+    wrapper knows of them, in the part that the wrapper shows to hold the article.
+    Where another page's group cuts across the stream, an item may have no counterpart
+    in the wrapper; its slots are judged by the stream's pages.
     """
     folded = _as_groups(stream, _groups(wrapper))
     places = _places(folded)
@@ -408,9 +523,12 @@ def main_slots(wrapper: list[Item], stream: list[Item]) -> list[int]:
         return [i for i, (side, inside) in enumerate(places) if inside and not side]
     slots = [s for x in folded for s in x.slots]
     own = np.cumsum([0, *[len(x.slots) for x in folded]])
+    region, near = article_region(wrapper), article_region(folded)
+    known = np.cumsum([0, *[len(x.slots) for x in wrapper]])
     for x, y in _common(_keys(wrapper), _keys(folded)):
         slots[own[y] : own[y + 1]] = wrapper[x].slots
-    return [i for i, (side, _) in enumerate(places) if not side and _changes(slots[i])]
+        near[own[y] : own[y + 1]] = region[known[x] : known[x + 1]]
+    return [i for i, (side, _) in enumerate(places) if not side and near[i] and _changes(slots[i])]
 
 
 def _wrappers(streams: DataFrame, per_task: int) -> DataFrame:

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import random
+import re
+import time
 
-from sigtrail.llm.extraction import Item, Slot, align, extract, main_slots, read_page
+import pytest
+
+from sigtrail.llm.extraction import Item, Slot, _common, align, article_region, extract, main_slots, read_page
 
 PAGES = "page_id long, url string, html string, text string"
 
@@ -101,3 +105,71 @@ def test_nothing_takes_the_rest_or_the_whole_of_a_page(spark):
     rows = [(i, f"http://h{i}/", f"<html class='no-nav'><body class='no-sidebar'>{b}", None) for i, b in enumerate(bodies)]
     got = {r.page_id: r.text.replace(" is long", "").removeprefix("skip").split() for r in extract(spark.createDataFrame(rows, PAGES)).collect()}
     assert got == {i: ["one", "two", "three"] for i in range(len(bodies))}
+
+
+@pytest.fixture(scope="module")
+def given(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    return rows, {r.page_id: r.text for r in extract(spark.createDataFrame(rows)).collect()}
+
+
+@pytest.mark.parametrize("marks", [True, False])
+def test_pages_without_article_elements_and_names(spark, given, marks):
+    """The wrapper finds the article by where pages differ, whatever parts are called."""
+    rows, want = given
+
+    def plain(html):
+        html = re.sub(r"(</?)(?:article|main)\b", r"\1div", html or "")
+        return html if marks else re.sub(r'\s(?:class|id|role)="[^"]*"', "", html)
+
+    pages = spark.createDataFrame([(r.page_id, r.url, plain(r.html)) for r in rows], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract(pages).collect()}
+    assert got == want
+
+
+def test_a_part_without_text_of_its_own_gives_way():
+    def region(html):
+        page = read_page(html)
+        slots = [Slot(1, k, k, len(t), n) for k, (_, t, n) in enumerate(page.blocks)]
+        items, at = [], 0
+        for symbol in page.stream:
+            n = 1 if symbol == "#" else 0
+            items.append(Item(symbol, False, slots[at : at + n]))
+            at += n
+        return [t for (_, t, _), inside in zip(page.blocks, article_region(items)) if inside]
+
+    long = "a long text of an article " * 8
+    assert region(f"<body><div>notice</div><div><h1>Head</h1><p>{long}</p></div><div>more</div></body>") == ["Head", long.strip()]
+    assert region(f"<body><p>own</p><div><p>{long}</p></div></body>") == ["own", long.strip()]
+    assert region(f"<body><div><p>{long}</p></div><div><h2>{long}</h2></div></body>") == [long.strip()] * 2
+    assert region("<body></body>") == []
+
+
+def test_alignment_is_bounded_and_right():
+    rng = random.Random(4)
+
+    def subsequence(pairs, a, b):
+        assert all(a[i] == b[j] for i, j in pairs)
+        assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:]))
+
+    def longest(a, b):
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        return best[-1][-1]
+
+    for _ in range(60):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(14))] for _ in range(2))
+        pairs = _common(a, b)
+        subsequence(pairs, a, b)
+        assert len(pairs) == longest(a, b)
+    begin = time.time()
+    base = [rng.choice("abcdefgh") if k % 7 else f"only {k}" for k in range(50_000)]
+    other = [x for x in base if rng.random() > 0.1]
+    pairs = _common(base, other)
+    subsequence(pairs, base, other)
+    assert len(pairs) > 0.95 * len(other)
+    mixed = [[rng.choice("abcdefgh") for _ in range(50_000)] for _ in range(2)]
+    subsequence(_common(*mixed), *mixed)
+    assert time.time() - begin < 30
