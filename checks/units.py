@@ -33,6 +33,18 @@ def map_devices_many(spark, sf):
     return units.map_devices(mixed_entries(spark, sf), fronts.union(ends).union(one))
 
 
+@check(f"""WITH {EV}, d AS (SELECT DISTINCT 'Bay7.' || device_id || '@' || signal AS device_id FROM ev), p AS (SELECT 6000 - i AS ord, '*' || i || '*' AS pattern, 'P' || i AS unit_id FROM range(1, 2500) t(i)
+  UNION ALL SELECT 10000 + i, '*U' || i || '@*l*', 'V' || i FROM range(1, 400) t(i) UNION ALL SELECT 90000, '*c*k*', 'CLICK' UNION ALL SELECT 95000, '*@*', 'REST')
+SELECT device_id, arg_min(unit_id, ord) AS unit_id FROM d JOIN p ON device_id LIKE replace(pattern, '*', '%') GROUP BY device_id""")
+def map_devices_infix(spark, sf):
+    """Patterns open at both ends, some of which every device matches."""
+    devices = mixed_entries(spark, sf).select(F.concat(F.lit("Bay7."), "device_id", F.lit("@"), "signal").alias("device_id"))
+    inside = spark.range(1, 2500).selectExpr("concat('*', id, '*') AS pattern", "6000 - id AS ord", "concat('P', id) AS unit_id")
+    mixed = spark.range(1, 400).selectExpr("concat('*U', id, '@*l*') AS pattern", "10000 + id AS ord", "concat('V', id) AS unit_id")
+    short = spark.sql("SELECT '*c*k*' AS pattern, 90000L AS ord, 'CLICK' AS unit_id UNION ALL SELECT '*@*', 95000L, 'REST'")
+    return units.map_devices(devices, inside.union(mixed).union(short))
+
+
 @check("""WITH d AS (SELECT DISTINCT 'Line.B' || user_id || '.N' || user_id || '@' || event_type AS device_id, user_id FROM events)
 SELECT device_id, 'N' || user_id AS unit_id FROM d""")
 def fallback_units(spark, sf):

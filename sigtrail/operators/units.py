@@ -32,21 +32,54 @@ def _like(pattern: Column) -> Column:
     return F.translate(escaped, "*", "%")
 
 
+_GRAM = 3
+_SALTS = 64
+
+
 def _candidates(names: DataFrame, rest: DataFrame) -> DataFrame:
-    """Devices with the wildcard patterns whose longer literal end they have.
+    """Devices with the wildcard patterns that they may match.
 
-    A pattern is found by the text before its first wildcard or after its last one; one
-    with neither is tested on all devices.
+    A pattern is found by the text before its first wildcard or after its last one,
+    whichever is longer; one with neither by a piece of the text inside it.
     """
     head, tail = F.substring_index("pattern", "*", 1), F.substring_index("pattern", "*", -1)
     front = F.length(head) >= F.length(tail)
-    keyed = rest.withColumn("_front", front).withColumn("_end", F.when(front, head).otherwise(tail))
+    split = rest.withColumn("_front", front).withColumn("_end", F.when(front, head).otherwise(tail))
+    keyed = split.filter("_end <> ''")
     lengths = keyed.select("_front", F.length("_end").alias("_size")).distinct()
     sizes = lengths.groupBy("_front").agg(F.collect_set("_size").alias("_sizes"))  # lengths of names
     ends = names.crossJoin(F.broadcast(sizes)).withColumn("_size", F.explode("_sizes"))  # two rows at most
     ends = ends.filter(F.length("device_id") >= F.col("_size"))
     end = F.when(F.col("_front"), F.expr("left(device_id, _size)")).otherwise(F.expr("right(device_id, _size)"))
-    return ends.select("device_id", "_front", end.alias("_end")).join(keyed, ["_front", "_end"])
+    anchored = ends.select("device_id", "_front", end.alias("_end")).join(keyed, ["_front", "_end"]).drop("_front", "_end")
+    inside = split.filter("_end = ''").drop("_front", "_end")
+    return anchored.unionByName(_infix_candidates(names, inside)) if inside.limit(1).count() else anchored
+
+
+def _grams(text: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.length(text) - _GRAM + 1), lambda i: F.substring(text, i, F.lit(_GRAM)))
+
+
+def _infix_candidates(names: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Devices with the patterns of which they have the rarest gram.
+
+    Grams are those of a pattern's longest literal piece; a gram's rarity is counted over
+    the devices.  Patterns of shorter pieces are few different ones; they meet all
+    devices, but dealt over salts.
+    """
+    piece = F.expr("array_max(transform(split(pattern, '[*]'), x -> struct(length(x) AS n, x)))")
+    cut = patterns.withColumn("_piece", piece["x"])
+    long = cut.filter(F.length("_piece") >= _GRAM).withColumn("_gram", F.explode(_grams(F.col("_piece"))))
+    wanted = long.select("_gram").distinct()
+    own = names.filter(F.length("device_id") >= _GRAM).select("device_id", F.explode(F.array_distinct(_grams(F.col("device_id")))).alias("_gram"))
+    met = own.join(wanted, "_gram", "left_semi")
+    counted = long.join(met.groupBy("_gram").count(), "_gram", "left")
+    rare = F.min_by("_gram", F.struct(F.coalesce("count", F.lit(0)), "_gram"))
+    chosen = counted.groupBy("pattern", "like", "ord", "unit_id").agg(rare.alias("_gram"))
+    by_gram = met.join(chosen, "_gram").drop("_gram")
+    short = cut.filter(F.length("_piece") < _GRAM).drop("_piece").withColumn("_salt", F.pmod(F.hash("pattern"), F.lit(_SALTS)))
+    everywhere = names.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    return by_gram.unionByName(everywhere.join(short, "_salt").drop("_salt").select(*by_gram.columns))
 
 
 def map_devices(devices: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -62,7 +95,8 @@ def map_devices(devices: DataFrame, mapping: DataFrame) -> DataFrame:
         .groupBy(F.col("pattern").alias("device_id"))
         .agg(F.min(choice).alias("_exact"))
     )
-    rest = mapping.filter(wild).select("pattern", _like(F.col("pattern")).alias("like"), F.col("ord").cast("long").alias("ord"), "unit_id")
+    first = mapping.filter(wild).groupBy("pattern").agg(F.min(choice).alias("_first"))
+    rest = first.select("pattern", _like(F.col("pattern")).alias("like"), "_first.ord", "_first.unit_id")
     matched = names.join(exact, "device_id", "left")
     listed = [r.asDict() for r in rest.drop("pattern").limit(_INLINE_PATTERNS + 1).collect()]
     if len(listed) <= _INLINE_PATTERNS:

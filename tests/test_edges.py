@@ -173,6 +173,18 @@ def test_many_wildcard_patterns_are_joined_on_their_ends(spark):
     assert {r["device_id"]: r["unit_id"] for r in mapped.collect()} == {d: plain(d) for d in devices}
 
 
+def test_patterns_open_at_both_ends_meet_the_devices_with_their_rarest_piece(spark):
+    import fnmatch
+
+    devices = [f"line-{i % 9}.cell{i}.press@{i * 7 % 100}" for i in range(400)] + ["", "a", "ab", "100%_x"]
+    patterns = [(f"*cell{i}.press*", 9000 + i, f"p{i}") for i in range(0, 5000, 2)] + [("*s@9*", 50, "nine"), ("*%_*", 3, "odd"), ("*b*", 99_990, "b"), ("*line-3*cell*", 99_980, "three"), ("**", 99_999, "any"), ("*s@9*", 70, "later")]
+    mapping = spark.createDataFrame(patterns, "pattern string, ord long, unit_id string")
+    mapped = units.map_devices(spark.createDataFrame([(d,) for d in devices], "device_id string"), mapping)
+    want = {d: min((o, u) for p, o, u in patterns if fnmatch.fnmatchcase(d, p))[1] for d in devices}
+    assert {r["device_id"]: r["unit_id"] for r in mapped.collect()} == want
+    assert "CartesianProduct" not in mapped._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_large_rank_doesnt_win(spark):
     mapping = spark.createDataFrame([("D*", 1 << 33, "far"), ("D1*", 5, "near")], "pattern string, ord long, unit_id string")
     names = spark.createDataFrame([("D1x",)], "device_id string")
