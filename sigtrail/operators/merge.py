@@ -210,18 +210,15 @@ def dedupe(
         .known({n: at_head(c) for n, c in zip(_RUN, TIME_ORDER)})
         .frame()
     )
-    runs = cut_lineage(runs.drop("_same"))  # three branches read it
     # Rows inside the window after the head repeat it; of rows at one time the first counts.
+    # Only these are written: three branches read them, and they are few.
     late = F.col("ts_ms") - F.col("run_ms") >= window_ms
     first_at_time = F.col("_before_ms") < F.col("ts_ms")
-    candidates = runs.filter(late & first_at_time)
-    times = cut_lineage(
-        candidates.select(
-            *_RUN, "ts_ms", F.floor((F.col("ts_ms") - F.col("run_ms")) / _BLOCK_MS).alias("block")
-        )
-    )
-    heads = runs.filter("_head")
-    if times.isEmpty():
-        return heads.select(*ENTRY_COLUMNS)
+    candidates = cut_lineage(runs.filter(~F.col("_head") & late & first_at_time).select(*ENTRY_COLUMNS, *_RUN))
+    heads = runs.filter("_head").select(*ENTRY_COLUMNS)
+    if candidates.isEmpty():
+        return heads
+    block = F.floor((F.col("ts_ms") - F.col("run_ms")) / _BLOCK_MS).alias("block")
+    times = candidates.select(*_RUN, "ts_ms", block)
     kept = candidates.join(_kept_late(times, window_ms), [*_RUN, "ts_ms"], "left_semi")
-    return heads.select(*ENTRY_COLUMNS).unionByName(kept.select(*ENTRY_COLUMNS))
+    return heads.unionByName(kept.select(*ENTRY_COLUMNS))
