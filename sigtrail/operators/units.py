@@ -12,13 +12,15 @@ from sigtrail.operators.asof import HeldValues, held_values, values_at
 from sigtrail.plans.ordered import OrderedRows, position
 from sigtrail.plans.stages import bind
 from sigtrail.schema import BOOL, VALUE_COLUMNS
-from sigtrail.session import cut_lineage
+from sigtrail.session import cut_lineage, is_small
 
 DEFAULT_COLOR = "#D3D3D3"
 CARRIER_SIGNAL = "CurrentLocation"
 _LABEL_CHARS = 6
 # Wildcard patterns that may ride along as one array.
 _INLINE_PATTERNS = 2_000
+# Up to so many probes it is cheaper to look at each than to work out ranges.
+_FEW_PROBES = 64
 
 
 def fallback_unit(device: Column) -> Column:
@@ -199,7 +201,9 @@ def _hits(per_unit: DataFrame, rules: DataFrame, *keep: str) -> DataFrame:
         _flag=F.when(F.col("val_type") == BOOL, F.col("val_bool").cast("double")),
     )
     valued = bind(valued, _number=F.coalesce("_flag", script_number(F.col("_text"))), plain=_plain(F.col("_text")))
-    index, equal = rule_index(rules)
+    few = is_small(rules)
+    # A table of few rules is arranged in one task and sent to all.
+    index, equal = (F.broadcast(df) if few else df for df in rule_index(rules.coalesce(1) if few else rules))
     bits = max(1, rules.count().bit_length())
     met = valued.join(index, "signal", "left").join(equal, ["signal", "plain"], "left")
     other = F.filter("unlike", lambda rule: rule["plain"] != F.col("plain"))
@@ -208,22 +212,23 @@ def _hits(per_unit: DataFrame, rules: DataFrame, *keep: str) -> DataFrame:
     return best.select("unit_id", *keep, F.struct("_best.p", "_best.ord").alias("_rank"), F.col("_best.shown").alias("_s"))
 
 
-def _status(values: DataFrame, rules: DataFrame, mapped: DataFrame) -> DataFrame:
-    """Best matching rule per unit; ``mapped`` names each device's unit."""
+def _status(values: DataFrame, rules: DataFrame, mapped: DataFrame, *at: str) -> DataFrame:
+    """Best matching rule per unit (and probe time ``at``); ``mapped`` names each
+    device's unit."""
     # Of several devices on a unit the greatest id supplies the signal.
-    picked = values.join(mapped, "device_id").groupBy("unit_id", "signal").agg(
+    picked = values.join(mapped, "device_id").groupBy(*at, "unit_id", "signal").agg(
         F.max_by(F.struct(*VALUE_COLUMNS), "device_id").alias("_v")
     )
-    hits = _hits(picked.select("unit_id", "signal", "_v.*"), rules)
-    return hits.groupBy("unit_id").agg(F.min_by("_s", "_rank").alias("_s"))
+    hits = _hits(picked.select(*at, "unit_id", "signal", "_v.*"), rules, *at)
+    return hits.groupBy(*at, "unit_id").agg(F.min_by("_s", "_rank").alias("_s"))
 
 
-def _status_ranges(held: HeldValues, rules: DataFrame, mapped: DataFrame, segments: int | None) -> DataFrame:
+def _status_ranges(held: HeldValues, rules: DataFrame, mapped: DataFrame, segments: int | None, whole: bool = True) -> DataFrame:
     """``unit_id, _slot, _until, _s``: runs of probes at which a rule shows the same.
 
     Rules are tested once for each value held.  A unit's status can only change where
     the range of a rule that holds begins or ends, so its ranges are cut at these places
-    and compared there, and equal neighbours become one.
+    and compared there; if they are to be ``whole``, equal neighbours become one.
     """
     on_unit = held.rows.select("device_id", "signal", "_row.*", "_slot", "_until").join(mapped, "device_id")
     # A device supplies the signal until one with a greater id has a value.
@@ -234,7 +239,7 @@ def _status_ranges(held: HeldValues, rules: DataFrame, mapped: DataFrame, segmen
     picked = supplied.filter("_slot <= _until").select("unit_id", "signal", *VALUE_COLUMNS, "_slot", "_until")
     hits = cut_lineage(_hits(picked, rules, "_slot", "_until"))
     edges = hits.select("unit_id", F.explode(F.array(F.col("_slot"), F.col("_until") + 1)).alias("_edge")).distinct()
-    numbered = cut_lineage(position(edges, ["unit_id"], ["_edge"], "_n", segments))
+    numbered = position(edges, ["unit_id"], ["_edge"], "_n", segments)
     placed = hits
     for slot, name in (("_slot", "_first"), ("_until", "_last")):
         where = numbered.select("unit_id", (F.col("_edge") - (1 if slot == "_until" else 0)).alias(slot), F.col("_n").alias(name))
@@ -243,6 +248,8 @@ def _status_ranges(held: HeldValues, rules: DataFrame, mapped: DataFrame, segmen
     best = pieces.groupBy("unit_id", "_n").agg(F.min_by("_s", "_rank").alias("_s"))
     spans = best.join(numbered.withColumnRenamed("_edge", "_slot"), ["unit_id", "_n"])
     spans = spans.join(numbered.select("unit_id", (F.col("_n") - 1).alias("_n"), (F.col("_edge") - 1).alias("_until")), ["unit_id", "_n"])
+    if not whole:
+        return spans.select("unit_id", "_slot", "_until", "_s")
     ordered = OrderedRows(spans, ["unit_id"], ["_slot"], segments).neighbour({"_was": F.col("_s"), "_ended": F.col("_until")})
     fresh = ~F.coalesce((F.col("_was") == F.col("_s")) | (F.col("_was").isNull() & F.col("_s").isNull()), F.lit(False)) | (F.col("_ended") + 1 != F.col("_slot"))
     runs = ordered.with_column("_new", F.coalesce(fresh, F.lit(True)).cast("long")).running_total({"_run": F.col("_new")}).frame()
@@ -299,7 +306,12 @@ def unit_status_at(
     """``unit_status`` for every ``t_ms`` of ``times``, for the units a rule matches then."""
     rows = _rule_values(entries, rules)
     held = held_values(rows, times, segments=segments)
-    best = _status_ranges(held, rules, map_devices(rows, mapping), segments)
+    mapped = map_devices(rows, mapping)
+    if held.numbered is None and len(held.probe.times) <= _FEW_PROBES:
+        values = held.expanded(held.rows).select("t_ms", "device_id", "signal", *[f"_row.{c}" for c in VALUE_COLUMNS])
+        best = _status(values, rules, mapped, "t_ms")
+        return best.select("t_ms", "unit_id", F.col("_s.color").alias("color"), F.col("_s.text").alias("text"))
+    best = _status_ranges(held, rules, mapped, segments, whole=False)
     return held.expanded(best).select("t_ms", "unit_id", F.col("_s.color").alias("color"), F.col("_s.text").alias("text"))
 
 
