@@ -21,6 +21,8 @@ _LABEL_CHARS = 6
 _INLINE_PATTERNS = 2_000
 # Up to so many probes it is cheaper to look at each than to work out ranges.
 _FEW_PROBES = 64
+# Up to so many rules it is cheaper to try each than to arrange them for a search.
+_FEW_RULES = 64
 
 
 def fallback_unit(device: Column) -> Column:
@@ -97,8 +99,7 @@ def map_devices(devices: DataFrame, mapping: DataFrame) -> DataFrame:
         .groupBy(F.col("pattern").alias("device_id"))
         .agg(F.min(choice).alias("_exact"))
     )
-    first = mapping.filter(wild).groupBy("pattern").agg(F.min(choice).alias("_first"))
-    rest = first.select("pattern", _like(F.col("pattern")).alias("like"), "_first.ord", "_first.unit_id")
+    rest = mapping.filter(wild).select("pattern", _like(F.col("pattern")).alias("like"), F.col("ord").cast("long").alias("ord"), "unit_id")
     matched = names.join(exact, "device_id", "left")
     listed = [r.asDict() for r in rest.drop("pattern").limit(_INLINE_PATTERNS + 1).collect()]
     if len(listed) <= _INLINE_PATTERNS:
@@ -107,8 +108,10 @@ def map_devices(devices: DataFrame, mapping: DataFrame) -> DataFrame:
         found = F.array_min(F.transform(hits, lambda p: F.struct(p["ord"], p["unit_id"])))
         matched = matched.withColumn("_wild", found)
     else:
+        # A pattern that is listed several times counts once.
+        once = rest.groupBy("pattern", "like").agg(F.min(F.struct("ord", "unit_id")).alias("_first")).select("pattern", "like", "_first.*")
         by_device = (
-            _candidates(names, rest)
+            _candidates(names, once)
             .filter("device_id LIKE like")
             .groupBy("device_id")
             .agg(F.min(choice).alias("_wild"))
@@ -161,8 +164,7 @@ def rule_index(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``!=`` rules that exclude different values.  Second frame, by signal and value: the
     best ``==`` rule.  A best rule is ``p, ord`` and what it shows, smallest first.
     """
-    shown = F.struct(F.coalesce(F.nullif("color", F.lit("")), F.col("bg_color")).alias("color"), F.col("text").alias("text"))
-    best = F.struct((-F.col("priority")).alias("p"), "ord", shown.alias("shown"))
+    best = F.struct((-F.col("priority")).alias("p"), "ord", _shown().alias("shown"))
     ranked = rules.select("signal", "op", _plain(F.col("value")).alias("plain"), script_number(F.col("value")).alias("number"), best.alias("best"))
 
     def thresholds(weak: str, strict: str, sign: int, name: str) -> DataFrame:
@@ -194,17 +196,21 @@ def _best_upto(table: Column, number: Column, bits: int) -> Column:
 
 def _hits(per_unit: DataFrame, rules: DataFrame, *keep: str) -> DataFrame:
     """The best rule of its signal that holds for each value (``unit_id, signal``, the
-    value and ``keep``), with its rank and what it shows; values without one are left out."""
+    value and ``keep``), with its rank and what it shows; values without one are left out.
+    Of few rules all that hold are given."""
     valued = bind(
         per_unit,
         _text=value_text(),
         _flag=F.when(F.col("val_type") == BOOL, F.col("val_bool").cast("double")),
     )
     valued = bind(valued, _number=F.coalesce("_flag", script_number(F.col("_text"))), plain=_plain(F.col("_text")))
+    number = rules.count()
+    if number <= _FEW_RULES:
+        return _tried(valued, rules, *keep)
     few = is_small(rules)
-    # A table of few rules is arranged in one task and sent to all.
+    # A table of not too many rules is arranged in one task and sent to all.
     index, equal = (F.broadcast(df) if few else df for df in rule_index(rules.coalesce(1) if few else rules))
-    bits = max(1, rules.count().bit_length())
+    bits = number.bit_length()
     met = valued.join(index, "signal", "left").join(equal, ["signal", "plain"], "left")
     other = F.filter("unlike", lambda rule: rule["plain"] != F.col("plain"))
     ways = [F.col("equal"), F.get(other, F.lit(0))["best"], _best_upto(F.col("above"), F.col("_number"), bits), _best_upto(F.col("below"), -F.col("_number"), bits)]
@@ -212,6 +218,18 @@ def _hits(per_unit: DataFrame, rules: DataFrame, *keep: str) -> DataFrame:
     return best.select("unit_id", *keep, F.struct("_best.p", "_best.ord").alias("_rank"), F.col("_best.shown").alias("_s"))
 
 
+def _tried(valued: DataFrame, rules: DataFrame, *keep: str) -> DataFrame:
+    """All rules of a value's signal that hold, by trying each."""
+    named = rules.select("signal", "op", F.col("value").alias("rule_value"), "priority", "ord", _shown().alias("_s"))
+    hits = valued.join(named, "signal").filter(rule_matches(F.col("_text"), F.col("op"), F.col("rule_value"), F.col("_number")))
+    return hits.select("unit_id", *keep, F.struct((-F.col("priority")).alias("p"), "ord").alias("_rank"), "_s")
+
+
+def _shown() -> Column:
+    """What a rule shows."""
+    return F.struct(F.coalesce(F.nullif("color", F.lit("")), F.col("bg_color")).alias("color"), F.col("text").alias("text"))
+
+
 def _status(values: DataFrame, rules: DataFrame, mapped: DataFrame, *at: str) -> DataFrame:
     """Best matching rule per unit (and probe time ``at``); ``mapped`` names each
     device's unit."""
