@@ -87,8 +87,11 @@ def test_pages_and_vectors(spark):
     assert {r.component_id for r in vectors.near_vectors(rows).collect()} == {1}
 
 
-def test_pipeline(spark, docs, tables, tmp_path):
-    df, extra = docs
-    for name, table in (tables | {"documents": df}).items():
+def test_pipeline(spark, documents, tables, tmp_path):
+    rows = [(i, " ".join(f"word{i}of{k}" for k in range(30)) + ".", "en", f"src{i % 3}") for i in range(40)]
+    df, extra = with_extras(documents(rows))
+    good = with_extras(spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int"))[0]
+    for name, table in (tables | {"documents": df, "labels": good}).items():
         table.write.parquet(str(tmp_path / f"{name}.parquet"))
-    kept(corpus_pipeline.run(spark, str(tmp_path)), extra, "size", "shard", "slot")
+    # The mixture names three columns itself, and so replaces those.
+    kept(corpus_pipeline.run(spark, str(tmp_path)), extra, "size", "shard", "slot", "domain", "n_tokens", "epoch")
