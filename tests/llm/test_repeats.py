@@ -48,8 +48,7 @@ def corpus(seed, n):
     return rows + [(n + j, rows[j][1]) for j in range(0, n, 7)]
 
 
-@pytest.mark.parametrize("group", [4096, 3])
-@pytest.mark.parametrize("window,prefix", [(20, 8), (7, 3)])
+@pytest.mark.parametrize("window,prefix,group", [(20, 8, 4096), (7, 3, 4096), (7, 3, 3)])
 def test_against_plain_windows(spark, documents, window, prefix, group):
     rows = corpus(window + group, 60)
     docs = documents(rows).selectExpr("*", "1 AS h", "'mine' AS marks", "2 AS ord", "3 AS copy").repartition(5)
