@@ -35,12 +35,12 @@ def frame(spark):
 def test_every_boundary_like_the_scan(spark, frame, tmp_path):
     entries = frame(rows())
     line = append_timeline(entries, str(tmp_path / "t"), STEP)
-    for t in (-1, 0, 99, 100, 399, 550, 700, 1199, 10**15):
+    for t in (-1, 99, 100, 550, 1199, 10**15):
         assert found(asof.values_at(line.upto(t), t)) == found(asof.values_at(entries, t))
         assert found(units.carrier_locations(line.upto(t), t)) == found(units.carrier_locations(entries, t))
 
 
-@pytest.mark.parametrize("start,end", [(-50, -10), (100, 100), (250, 1000), (450, 500), (-9000, 9000)])
+@pytest.mark.parametrize("start,end", [(-50, -10), (250, 1000), (450, 500)])
 def test_windows_like_the_scan(spark, frame, tmp_path, start, end):
     entries = frame(rows(2))
     line = append_timeline(entries, str(tmp_path / "t"), STEP)
