@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 from sigtrail.llm.scratch import as_row, drop, from_row, of_row, staged
 
 DAMPING = 0.85
-CHANGE = 1e-9
+CHANGE = 5e-3
 """Propagation ends when a round changes ranks and masses by this share of the seeds."""
 ROUNDS = 200
-"""Rounds at most; each leaves DAMPING of the change before, so 128 reach ``CHANGE``."""
+"""Rounds at most; each leaves DAMPING of the change before, so 33 reach ``CHANGE``."""
 THRESHOLD = 0.5
 """Share of distrust in what reaches a host from which it is blocked."""
 
@@ -74,7 +74,7 @@ def links(pages: DataFrame, url: str, html: str) -> DataFrame:
     return found.where("source <> '' AND target <> '' AND source <> target").groupBy("source", "target").agg(F.count("*").cast("double").alias("weight"))
 
 
-def _rank(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int) -> DataFrame:
+def _rank(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int, least_change: float) -> DataFrame:
     """(host, rank, mass, known_mass): personalised PageRank in units of one full seed,
     and what reaches a host over all walks from the seeds, and from known hosts.
 
@@ -99,13 +99,13 @@ def _rank(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int) -> Da
         change = sum(x or 0.0 for x in new.join(before, "host", "full").agg(*changes).first())
         drop(rank, moved)
         rank = new
-        if change <= CHANGE * total:
+        if change <= least_change * total:
             break
     drop(shares)
     return rank
 
 
-def judge(pages: DataFrame, rules: list[Rule], url: str = "url", html: str = "html", damping: float = DAMPING, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
+def judge(pages: DataFrame, rules: list[Rule], url: str = "url", html: str = "html", damping: float = DAMPING, rounds: int = ROUNDS, threshold: float = THRESHOLD, least_change: float = CHANGE) -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule``, ``trust``, ``distrust`` and
     ``verdict``.
 
@@ -123,7 +123,7 @@ def judge(pages: DataFrame, rules: list[Rule], url: str = "url", html: str = "ht
     ruled = ruled.withColumn("rule", F.get(names, F.col("_rule"))).withColumn("verdict", F.get(verdicts, F.col("_rule")))
     hosts = staged(ruled.where("host <> ''").groupBy("host").agg(*[F.avg(F.coalesce((F.col("verdict") == v).cast("double"), F.lit(0.0))).alias(v) for v in ("allow", "block")]))
     edges = staged(links(pages, url, html))
-    scores = host_scores(hosts, edges, damping, rounds)
+    scores = host_scores(hosts, edges, damping, rounds, least_change)
     drop(edges)
     blocked = F.coalesce(F.col("_against") > threshold * (F.col("_known") + F.col("_for")), F.lit(False))
     out = ruled.join(scores, "host", "left").withColumn("verdict", F.coalesce("verdict", F.when(blocked, "block").otherwise("allow"))).fillna(0.0, ["trust", "distrust"])
@@ -131,14 +131,14 @@ def judge(pages: DataFrame, rules: list[Rule], url: str = "url", html: str = "ht
     return out.select(*from_row(pages, *new), *new)
 
 
-def host_scores(hosts: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def host_scores(hosts: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, least_change: float = CHANGE) -> DataFrame:
     """(host, trust, distrust, _for, _against, _known) of ``hosts``, which have the shares
     ``allow`` and ``block`` of their URLs; ``edges`` has source, target and weight."""
     known = F.lit(1.0).alias("known")
     seeds = hosts.where("allow > 0 OR block > 0")
-    trust = _rank(edges, seeds.select("host", F.col("allow").alias("seed"), known), damping, rounds)
+    trust = _rank(edges, seeds.select("host", F.col("allow").alias("seed"), known), damping, rounds, least_change)
     reverse = edges.select(F.col("target").alias("source"), F.col("source").alias("target"), "weight")
-    distrust = _rank(reverse, seeds.select("host", F.col("block").alias("seed"), known), damping, rounds)
+    distrust = _rank(reverse, seeds.select("host", F.col("block").alias("seed"), known), damping, rounds, least_change)
     trust = trust.select("host", F.col("rank").alias("trust"), F.col("mass").alias("_for"))
     distrust = distrust.select("host", F.col("rank").alias("distrust"), F.col("mass").alias("_against"), F.col("known_mass").alias("_known"))
     scores = hosts.select("host").join(trust, "host", "left").join(distrust, "host", "left")
