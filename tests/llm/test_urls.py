@@ -25,7 +25,7 @@ def plain_rule(host, path):
     return max(fits, key=lambda r: len(r.name()), default=None)
 
 
-def plain_rank(edges, seeds, rounds=12):
+def plain_rank(edges, seeds, rounds=30):
     rank = dict(seeds)
     for _ in range(rounds):
         new = defaultdict(float)
@@ -62,7 +62,7 @@ def test_trust_and_distrust_spread_over_links(spark):
         (3, "http://farm.io/1", link("bad.net")), (4, "http://farm.io/2", link("bad.net", "worse.net")), (5, "http://bad.net/", link("friend.io")),
         (6, "http://worse.net/a", None), (7, "http://quiet.io/", ""), (8, "http://feeder.io/", link("farm.io", "FARM.io")),
     ]
-    got = {r.page_id: r for r in judge(spark.createDataFrame(rows, PAGES), RULES, rounds=12, least_change=0.0).collect()}
+    got = {r.page_id: r for r in judge(spark.createDataFrame(rows, PAGES), RULES, rounds=30, least_change=0.0).collect()}
     edges = {"good.org": {"friend.io": 1, "shop.io": 1}, "friend.io": {"shop.io": 1}, "farm.io": {"bad.net": 2, "worse.net": 1}, "bad.net": {"friend.io": 1}, "feeder.io": {"farm.io": 1}}
     back = defaultdict(dict)
     for a, own in edges.items():
