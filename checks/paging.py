@@ -11,7 +11,7 @@ from sigtrail.functions.transfer import pack_transfer
 from sigtrail.functions.typing import tagged
 from sigtrail.operators import paging
 from sigtrail.operators.filters import EntryFilter
-from sigtrail.plans.ordered import position
+from sigtrail.plans.ordered import position, value_at
 from sigtrail.session import scratch_path
 from sigtrail.sinks.sorted import write_sorted
 
@@ -149,13 +149,18 @@ def page_after_null_keys_descending(spark, sf):
     return walk(gaps(spark, sf), "desc")
 
 
+def late_time(rows):
+    """The discrete 99 % quantile of the times."""
+    return value_at(rows, "ts_ms", max(-(-rows.count() * 99 // 100) - 1, 0))
+
+
 @check(" UNION ALL ".join(
     f"(WITH {GAPS}, r AS (SELECT ts_ms, row_number() OVER (ORDER BY CAST(v AS VARCHAR) {d} NULLS LAST, id {d}) - 1 AS i FROM gaps) SELECT '{d}' AS direction, coalesce(min(i), -1) AS row_index FROM r WHERE ts_ms >= (SELECT quantile_disc(ts_ms, 0.99) FROM ev))"
     for d in ("asc", "desc")
 ))
 def index_of_time_null_keys(spark, sf):
     rows = gaps(spark, sf)
-    late = rows.orderBy("ts_ms").offset(max(-(-rows.count() * 99 // 100) - 1, 0)).first()["ts_ms"]
+    late = late_time(rows)
     found = [paging.index_of_time(rows, late, column="value", direction=d).select(F.lit(d).alias("direction"), "row_index") for d in ("asc", "desc")]
     return reduce(DataFrame.unionAll, found)
 
@@ -217,5 +222,5 @@ def directory_pages(spark, sf):
 def directory_index_of_time(spark, sf):
     rows = gaps(spark, sf)
     kept = write_sorted(rows, scratch_path(spark, "sorted"), "value", rows_per_file=max(1, rows.count() // 16))
-    late = rows.orderBy("ts_ms").offset(max(-(-rows.count() * 99 // 100) - 1, 0)).first()["ts_ms"]
+    late = late_time(rows)
     return spark.createDataFrame([(d, kept.index_of_time(late, d)) for d in ("asc", "desc")], "direction string, row_index long")

@@ -29,6 +29,9 @@ from sigtrail.session import cut_lineage
 ROWS_PER_TASK_CONF = "spark.sigtrail.maxRowsPerTask"
 DEFAULT_ROWS_PER_TASK = 4_000_000
 _SEG = "_segment"
+_AT = "_at"
+# ``monotonically_increasing_id`` numbers the rows of a task in so many low bits.
+_TASK_BITS = 33
 
 
 def rows_per_task(df: DataFrame) -> int:
@@ -217,3 +220,39 @@ def position(df, keys, order, name="pos", segments=None) -> DataFrame:
     """Dense 0-based position of each row inside its key."""
     rows = OrderedRows(df, keys, order, segments).running_total({name: F.lit(1).cast("long")})
     return rows.frame().withColumn(name, F.col(name) - 1)
+
+
+class PlacedRows:
+    """All rows in one order, written once, of which any range of places is read.
+
+    Their numbers come from the tasks of the sort, so they grow in that order, and the
+    rows of each task, a few numbers in all, tell which is at a place.  Reading a range
+    is a filter on the number, which skips the files and row groups outside it.
+    """
+
+    def __init__(self, rows: DataFrame, order: Sequence[Column | str]) -> None:
+        self.columns = rows.columns
+        self.df = cut_lineage(rows.orderBy(*order).withColumn(_AT, F.monotonically_increasing_id()))
+        task = F.shiftright(_AT, _TASK_BITS).alias("task")
+        self._tasks = self.df.groupBy(task).agg(F.count(F.lit(1)).alias("n")).orderBy("task").collect()
+
+    def _number(self, place: int) -> int | None:
+        """The number of the row at a place; None past the end."""
+        for task, n in self._tasks:
+            if place < n:
+                return (task << _TASK_BITS) + place
+            place -= n
+        return None
+
+    def between(self, start: int, end: int) -> DataFrame:
+        """Rows ``start <= place < end``, in order."""
+        first, stop = self._number(max(start, 0)), self._number(max(end, 0))
+        wanted = self.df.filter(F.lit(False) if first is None else F.col(_AT) >= first)
+        if stop is not None:
+            wanted = wanted.filter(F.col(_AT) < stop)
+        return wanted.orderBy(_AT).select(*self.columns)
+
+
+def value_at(df: DataFrame, column: str, place: int):
+    """The value at a 0-based place of a column in ascending order, NULLs first."""
+    return PlacedRows(df.select(column), [column]).between(place, place + 1).first()[0]
