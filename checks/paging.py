@@ -38,7 +38,8 @@ def page_size(rows, pages: int = PAGES) -> int:
 
 def all_pages(rows, column, direction="asc", count=PAGES):
     size = page_size(rows, count)
-    pages = [paging.page_rows(rows, column, direction, n + 1, size).withColumn("page", F.lit(n).cast("long")) for n in range(count)]
+    placed = paging.sorted_rows(rows, column, direction) if count * size > paging.SHALLOW_ROWS else None
+    pages = [paging.page_rows(rows, column, direction, n + 1, size, placed).withColumn("page", F.lit(n).cast("long")) for n in range(count)]
     return reduce(DataFrame.unionAll, pages)
 
 

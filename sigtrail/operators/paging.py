@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sigtrail.functions.transfer import transfer_field
 from sigtrail.functions.values import signal_type, value_struct, value_text
 from sigtrail.operators.filters import EntryFilter
-from sigtrail.plans.ordered import position, previous
+from sigtrail.plans.ordered import PlacedRows, previous
 from sigtrail.schema import INGEST_ORDER, SIGNAL_KEY, TIME_ORDER
 
 # Sortable names. The packed transfer fields sort by their text.
@@ -22,7 +22,7 @@ TRANSFER_SORTS = {
     "dest": "dest", "currLoc": "curr_loc", "result": "result",
 }
 DEFAULT_PAGE_SIZE = 100
-# Offsets up to here are served by a top-k; further ones by row positions.
+# Offsets up to here are served by a top-k; further ones by places in the sorted table.
 SHALLOW_ROWS = 100_000
 
 
@@ -36,11 +36,6 @@ def sort_expression(name: str) -> Column:
     return F.col(SORT_COLUMNS.get(name, "ts_ms"))
 
 
-def sort_is_time(name: str) -> bool:
-    text = name in TRANSFER_SORTS or name in ("value", "signalType")
-    return not text and SORT_COLUMNS.get(name, "ts_ms") == "ts_ms"
-
-
 def _ordering(key: Column, direction: str) -> list[Column]:
     if direction == "desc":
         return [key.desc_nulls_last(), *[F.col(c).desc() for c in INGEST_ORDER]]
@@ -71,28 +66,21 @@ def page(
     return page_rows(rows, column, direction, number, size), rows.count()
 
 
+def sorted_rows(rows: DataFrame, column: str, direction: str = "asc") -> PlacedRows:
+    """The sorted table, written once, for many deep pages of it."""
+    return PlacedRows(rows, _ordering(sort_expression(column), direction))
+
+
 def page_rows(
-    rows: DataFrame, column: str, direction: str, number: int, size: int
+    rows: DataFrame, column: str, direction: str, number: int, size: int, placed: PlacedRows | None = None
 ) -> DataFrame:
+    """One page of the sorted rows.  Pages beyond ``SHALLOW_ROWS`` sort the whole table;
+    ``placed`` is its ``sorted_rows``, where several of them are taken."""
     start = _page_start(number, size)
-    if start + size <= SHALLOW_ROWS:
+    if placed is None and start + size <= SHALLOW_ROWS:
         ordering = _ordering(sort_expression(column), direction)
         return rows.orderBy(*ordering).offset(start).limit(size)
-    if direction == "desc":
-        start = rows.count() - start - size
-    end = start + size
-    # NULL keys sort last in both directions, so they get their own leading flag.
-    key = sort_expression(column)
-    flag = key.isNotNull() if direction == "desc" else key.isNull()
-    blank = F.lit(0).cast("long") if sort_is_time(column) else F.lit("")
-    keyed = rows.withColumns({"_flag": flag.cast("int"), "_key": F.coalesce(key, blank)})
-    numbered = position(keyed, [], ["_flag", "_key", *INGEST_ORDER], "_pos")
-    return _positions(numbered, start, end, direction).drop("_flag", "_key", "_pos")
-
-
-def _positions(numbered: DataFrame, start: int, end: int, direction: str = "asc") -> DataFrame:
-    wanted = numbered.filter((F.col("_pos") >= max(start, 0)) & (F.col("_pos") < end))
-    return wanted.orderBy(F.col("_pos").desc() if direction == "desc" else F.col("_pos"))
+    return (placed or sorted_rows(rows, column, direction)).between(start, start + size)
 
 
 def page_after(
@@ -131,8 +119,7 @@ def entries_range(entries: DataFrame, start: int, end: int) -> DataFrame:
         return entries.limit(0)
     if end <= SHALLOW_ROWS:
         return entries.orderBy(*INGEST_ORDER).offset(start).limit(end - start)
-    numbered = position(entries, [], INGEST_ORDER, "_pos")
-    return _positions(numbered, start, end).drop("_pos")
+    return PlacedRows(entries, INGEST_ORDER).between(start, end)
 
 
 def index_of_time(
