@@ -28,6 +28,9 @@ from sigtrail.schema import ENTRY_COLUMNS, ENTRY_SCHEMA, SIGNAL_KEY
 from sigtrail.session import cut_lineage, drop_stage, is_small
 
 ROWS_PER_FILE = 10_000_000
+ROWS_PER_TASK = 250_000
+"""A task writes several smaller files up to these rows, as each task costs the driver a
+sample of its bounds and a report."""
 _MOST_BITS = 10
 _ROWS = StructType([*ENTRY_SCHEMA.fields, StructField("batch", IntegerType())])
 _SOURCES = "source_id string, rows long, batch int"
@@ -62,8 +65,13 @@ def _clustered(rows: DataFrame, rows_per_file: int) -> DataFrame:
     cuts = rows.approxQuantile("ts_ms", [i / cells for i in range(1, cells)], 1 / (8 * cells))
     time = count_not_above(F.array(*[F.lit(c).cast("long") for c in cuts]), len(cuts), F.col("ts_ms"))
     placed = rows.join(F.broadcast(signals) if is_small(signals) else signals, SIGNAL_KEY)
-    dealt = placed.withColumn("_z", _z_value([F.col("_signal"), time], bits)).repartitionByRange(files, "_z", *inside)
-    return dealt.sortWithinPartitions(*inside).drop("_signal", "_z")
+    tasks = -(-total // max(rows_per_file, ROWS_PER_TASK))
+    dealt = placed.withColumn("_z", _z_value([F.col("_signal"), time], bits)).repartitionByRange(tasks, "_z", *inside)
+    if rows_per_file >= ROWS_PER_TASK:
+        return dealt.sortWithinPartitions(*inside).drop("_signal", "_z")
+    in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    cut = dealt.sortWithinPartitions("_z", *inside).withColumn("_file", F.floor(in_task / rows_per_file))
+    return cut.sortWithinPartitions("_file", *inside).drop("_signal", "_z", "_file")
 
 
 def _path(spark: SparkSession, path: str):
@@ -113,7 +121,8 @@ def write_entries(entries: DataFrame, path: str, batch: int | None = None, rows_
             _clustered(rows, rows_per_file)
             .write.mode("overwrite")
             .options(**_BLOOMS)
-            .option("maxRecordsPerFile", 2 * rows_per_file)
+            # Files of one task each have a size that is estimated; others are cut exactly.
+            .option("maxRecordsPerFile", rows_per_file if rows_per_file < ROWS_PER_TASK else 2 * rows_per_file)
             .parquet(f"{path}/entries/batch={number}")
         )
         _commit(rows.groupBy("source_id").agg(F.count(F.lit(1)).alias("rows")), path, number)
