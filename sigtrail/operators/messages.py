@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigtrail.plans.ordered import OrderedRows
+from sigtrail.session import cut_lineage
 
 _ORDER = ["ts_ms", "source_id", "id"]
 
@@ -90,6 +91,8 @@ def secs_transactions(
     slim = messages.filter(lane.isin("SEND", "RECV")).select(
         *scope, "system_byte", *_ORDER, "stream_function", lane.alias("lane"), reply.alias("reply")
     )
+    # Messages are parsed once, whatever counts and cuts them below.
+    slim = cut_lineage(slim)
     paired = (
         OrderedRows(slim, [*by, "system_byte"], _ORDER, segments)
         .known({"reply": F.col("reply")}, backward=True)

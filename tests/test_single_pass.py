@@ -28,3 +28,8 @@ def test_small_files_share_a_task(spark, tmp_path):
     span = F.max("ts_ms") - F.min("ts_ms")
     in_file = back.groupBy(F.input_file_name()).agg(span.alias("span")).agg(F.avg("span")).first()[0]
     assert in_file < 0.6 * rows.agg(span).first()[0]
+
+
+def test_messages_are_parsed_once_for_transactions(spark):
+    found = CHECKS["secs_transactions"].run(spark, SMALL)
+    assert "FileScan text" not in plan(found, "executedPlan")
