@@ -68,11 +68,8 @@ def secs_errors(spark, sf):
   UNION ALL SELECT ts_ms, ceid, 5, 1, 'BOOLEAN', 1, '1', '' FROM msg)
 SELECT * FROM i""")
 def secs_items(spark, sf):
-    found = read(spark, sf)
-    items = messages.secs_items(found)
-    return items.join(found.select("source_id", "id", "ts_ms", "ceid"), ["source_id", "id"]).select(
-        "ts_ms", "ceid", "seq", "depth", "type", "count", "value", "name"
-    )
+    items = messages.secs_items(read(spark, sf), beside=("ts_ms", "ceid"))
+    return items.select("ts_ms", "ceid", "seq", "depth", "type", "count", "value", "name")
 
 
 @check(f"""WITH {MSG} SELECT ts_ms, 'SECS' AS device_id, 'SECS' AS signal, direction AS category, 3 AS val_type, CAST(NULL AS BOOLEAN) AS val_bool, CAST(NULL AS BIGINT) AS val_int,

@@ -16,10 +16,11 @@ from sigtrail.session import cut_lineage
 _ORDER = ["ts_ms", "source_id", "id"]
 
 
-_ITEMS = "source_id string, id long, seq int, depth int, type string, count int, value string, name string"
+_ITEM_FIELDS = "seq int, depth int, type string, count int, value string, name string"
 
 
 def _flat_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The columns before ``items`` on each item's row, and the item."""
     for batch in batches:
         trees = batch.column("items")
         size = trees.value_lengths().fill_null(0).to_numpy()
@@ -39,19 +40,23 @@ def _flat_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = np.flatnonzero(closes == 0)
         at = pa.array(message[keep])
         fields = [item.field(name).take(pa.array(keep)) for name in ("type", "count", "value", "name")]
+        own = [name for name in batch.schema.names if name != "items"]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("source_id").take(at), batch.column("id").take(at), pa.array(seq[keep].astype(np.int32)), pa.array(depth[keep].astype(np.int32)), *fields],
-            names=["source_id", "id", "seq", "depth", "type", "count", "value", "name"],
+            [*(batch.column(name).take(at) for name in own), pa.array(seq[keep].astype(np.int32)), pa.array(depth[keep].astype(np.int32)), *fields],
+            names=[*own, "seq", "depth", "type", "count", "value", "name"],
         )
 
 
-def secs_items(messages: DataFrame) -> DataFrame:
-    """Item tree as rows: sequence, depth, type, count, value and name.
+def secs_items(messages: DataFrame, beside: Sequence[str] = ()) -> DataFrame:
+    """Item tree as rows: sequence, depth, type, count, value and name, after the columns
+    of the message named in ``beside``.
 
     Running sums inside a message need neither a shuffle nor a sort, and take time in
     proportion to its items.
     """
-    return messages.select("source_id", "id", "items").mapInArrow(_flat_items, _ITEMS)
+    own = messages.select("source_id", "id", *beside)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema)
+    return messages.select(*own.columns, "items").mapInArrow(_flat_items, f"{kinds}, {_ITEM_FIELDS}")
 
 
 def secs_fields(entries: DataFrame) -> DataFrame:

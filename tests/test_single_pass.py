@@ -33,3 +33,9 @@ def test_small_files_share_a_task(spark, tmp_path):
 def test_messages_are_parsed_once_for_transactions(spark):
     found = CHECKS["secs_transactions"].run(spark, SMALL)
     assert "FileScan text" not in plan(found, "executedPlan")
+
+
+def test_items_bring_columns_of_their_message(spark):
+    found = CHECKS["secs_items"].run(spark, SMALL)
+    text = plan(found, "executedPlan")
+    assert text.count("FileScan text") == 1 and "Join" not in text
