@@ -9,6 +9,7 @@ from sigtrail.functions.text import trim_space
 from sigtrail.functions.transfer import first_filled, pack_transfer, resolve_transfer_location
 from sigtrail.functions.typing import infer_type, parse_ts_ms, tagged, with_value
 from sigtrail.operators.resolve import resolve_signal_types
+from sigtrail.plans.stages import bind
 from sigtrail.sources.lines import ParsedLog, split_result
 
 # Declared value types and the 0-based columns of a transfer row.
@@ -68,13 +69,13 @@ def normalize_stk_transfer(
     df: DataFrame, id_col: str, columns: list[str], source: str | None = None
 ) -> ParsedLog:
     """Fifteen columns in export order (``columns``) -> packed ``Transfer`` rows."""
-    cell = lambda n: trim_space(F.coalesce(F.col(columns[TRANSFER_COLUMNS[n]]), F.lit("")))
-    shaped = _keyed(df, id_col, source).select(
+    raw = _keyed(df, id_col, source).select(
         "id",
         "source_id",
         F.concat_ws("|", *[F.col(c).cast("string") for c in columns]).alias("line"),
-        *[cell(n).alias(f"_{n}") for n in TRANSFER_COLUMNS],
+        *[F.col(columns[i]).alias(f"_raw_{n}") for n, i in TRANSFER_COLUMNS.items()],
     )
+    shaped = bind(raw, **{f"_{n}": trim_space(F.coalesce(F.col(f"_raw_{n}"), F.lit(""))) for n in TRANSFER_COLUMNS})
     part = lambda n: F.col(f"_{n}")
     racks = [part("plc_from"), part("plc_to")]
     packed = pack_transfer(
@@ -87,7 +88,7 @@ def normalize_stk_transfer(
             part("result"),
         ]
     )
-    timed = shaped.withColumns({"ts_ms": parse_ts_ms(part("time")), "_packed": packed})
+    timed = bind(shaped, ts_ms=parse_ts_ms(part("time")))
     return split_result(
         timed.select(
             "id",
@@ -97,7 +98,7 @@ def normalize_stk_transfer(
             part("carrier").alias("device_id"),
             F.lit("Transfer").alias("signal"),
             F.lit("").alias("category"),
-            tagged(string=F.col("_packed")).alias("value"),
+            tagged(string=packed).alias("value"),
             F.when(F.col("ts_ms").isNull(), F.lit("invalid timestamp")).alias("reason"),
         )
     )

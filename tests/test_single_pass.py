@@ -39,3 +39,12 @@ def test_items_bring_columns_of_their_message(spark):
     found = CHECKS["secs_items"].run(spark, SMALL)
     text = plan(found, "executedPlan")
     assert text.count("FileScan text") == 1 and "Join" not in text
+
+
+def test_transfer_cells_are_read_once(spark):
+    columns = [f"c{i}" for i in range(15)]
+    rows = spark.createDataFrame([(1, *["2024-05-02 21:40:08"] * 15), (2, *["late"] * 15), (3, *[None] * 15)], "id long, " + ", ".join(f"{c} string" for c in columns))
+    parsed = stocker.normalize_stk_transfer(rows.withColumn("c1", F.reverse(F.reverse("c1"))), "id", columns)
+    assert plan(parsed.entries, "optimizedPlan").count("reverse(reverse(") == 1
+    assert [(r["id"], r["ts_ms"]) for r in parsed.entries.collect()] == [(1, 1714686008000)]
+    assert sorted(r["reason"] for r in parsed.errors.collect()) == ["invalid timestamp"] * 2
